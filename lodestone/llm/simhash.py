@@ -108,7 +108,7 @@ def links(fps: DataFrame, keys: Sequence[tuple[int, ...]], radius: int, matches:
     """All links (a, b), a < b, between distinct 8-byte fingerprints (column fp) that differ in at most `radius` (1 or 2) bits.
 
     keys: positional bytes under which a fingerprint is posted, from covering_keys(); matches: shared positional bytes that a pair needs.
-    The members of a posting list longer than `posting` are linked to the points one bit away instead, which are further nodes of the links.
+    The members of a posting list longer than `posting` are linked where they meet in a point at most one bit away instead.
     """
     p = posted(fps, keys, False)
     lists = p.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
@@ -116,9 +116,9 @@ def links(fps: DataFrame, keys: Sequence[tuple[int, ...]], radius: int, matches:
     small = shared.where(F.col("size") <= posting)
     pairs = small.select("key", F.col("fp").alias("a")).join(small.select("key", F.col("fp").alias("b")), "key").where("a < b").select("a", "b")
     points = shared.where(F.col("size") > posting).select("fp").distinct().mapInArrow(one_bit_away, "a binary, b binary")
-    met = points.groupBy("b").agg(F.count("*").alias("n")).where("n > 1").select("b")
-    near = points.join(met, "b").select(F.col("b").alias("a"), F.col("a").alias("b"))
-    return verified(pairs.distinct(), radius, matches).unionByName(near)
+    least = points.groupBy("b").agg(F.count("*").alias("n"), F.min("a").alias("m")).where("n > 1").select("b", "m")
+    near = points.join(least, "b").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))  # at most 65 meet in a point
+    return verified(pairs.distinct(), radius, matches).unionByName(near.distinct())
 
 
 def likely_links(fps: DataFrame, keys: Sequence[tuple[int, ...]], radius: int, matches: int) -> DataFrame:
@@ -143,7 +143,7 @@ def with_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def one_bit_away(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each fingerprint with itself and its 64 neighbours; neighbours' names are 9 bytes long, so they never equal a fingerprint."""
+    """Each fingerprint with itself and its 64 neighbours; a point's name is 9 bytes long."""
     flips = np.concatenate([[0], np.uint64(1) << np.arange(64, dtype=np.uint64)]).astype(np.uint64)
     for b in batches:
         raw = b.column(0).to_pylist()
