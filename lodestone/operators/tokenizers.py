@@ -115,12 +115,15 @@ class WordPiece(Tokenizer):
 class SentencePiece(Tokenizer):
     """Words behind a boundary mark: whole if known, else greedy longest prefixes; a character that is not known is the unknown token."""
 
+    @functools.cached_property
+    def longest(self) -> int:
+        return max(map(len, self.vocabulary), default=1)
+
     def pieces(self, text: str) -> list[str]:
         return [p for w in (text.lower() if self.lowercase else text).split() for p in self.split(SPACE_MARK + w)]
 
     def split(self, word: str) -> list[str]:
-        out, at = [], 0
-        longest = max(map(len, self.vocabulary), default=1)
+        out, at, longest = [], 0, self.longest
         while at < len(word):
             end = next((e for e in range(min(len(word), at + longest), at, -1) if word[at:e] in self.vocabulary), None)
             out.append(self.special.get("unk", "[UNK]") if end is None else word[at:end])

@@ -17,7 +17,7 @@ from ..operators.tokenizers import ByteBPE, GreedyBPE, SentencePiece, WordPiece
 
 def lines(spark: SparkSession, path: str) -> list[str]:
     """A small text file's lines in order, wherever Spark can read it."""
-    return [r[0] for r in spark.read.option("wholetext", True).text(path).select("value").limit(1).collect()][0].splitlines()
+    return [r[0] for r in spark.read.text(path, wholetext=True).select("value").limit(1).collect()][0].splitlines()
 
 
 def vocabulary(spark: SparkSession, path: str) -> dict[str, int]:
