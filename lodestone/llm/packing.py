@@ -12,6 +12,10 @@ rows; columns besides the id and the text are ignored; very long texts span many
 
 from __future__ import annotations
 
+import array
+import json
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,32 +26,75 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-#: Words whose ids a worker keeps; beyond it the table starts anew.
-CACHED_WORDS = 400_000
+#: Words in each of the two generations of a worker's table.
+CACHED_WORDS = 250_000
 #: Sequence ids of whole windows start here, those of the plan below.
 WHOLE = 1 << 36
 
 
+#: Letters, and ASCII punctuation behind them: what the quick engine may encode.
+PLAIN = re.compile(r"([^\W\d_]*)([!-/:-@\[-`{-~]*)")
+
+
 class WordTokenizer:
-    """Ids of a tokenizer that never merges over ASCII white space, with the ids of each word kept."""
+    """Ids of a tokenizer that lower-cases, never merges over ASCII white space and marks each word's last id, with the ids of each word kept.
+
+    The table has two generations: what is asked for moves to the young one, which becomes the old one when it is full, so frequent words stay. Words of letters, or of
+    letters and then punctuation, go to a second engine with the same merges, in which a byte that UTF-8 never has stands for the end of a word; all others go to the tokenizer.
+    """
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.encode = Tokenizer.from_file(path).encode_batch_fast
-        self.known: dict[bytes, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        byte = {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(own)))}
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        merged = [model["vocab"][a + b] for a, b in pairs]
+        letters = [i for t, i in model["vocab"].items() if len(t.removesuffix("</w>")) == 1]
+        if merged != sorted(merged) or max(letters) > merged[0]:
+            raise ValueError(f"ids in {path} are not in the order of the merges")
+        made = set(merged) | set(letters)
+        ranks = {bytes(byte[c] for c in t.removesuffix("</w>")) + b"\xff" * t.endswith("</w>"): i for t, i in model["vocab"].items() if i in made}
+        self.piece = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def learn(self, words: list[bytes]) -> None:
+        hard = []
+        for w in words:
+            t = w.decode()
+            m = PLAIN.fullmatch(t)
+            if m and (t.isascii() or unicodedata.is_normalized("NFC", t)) and t == t.lower() and "<|" not in t:
+                ids = [i for part in m.groups() if part for i in self.piece(part.encode() + b"\xff")]
+                self.young[w] = array.array("I", ids).tobytes()
+            else:
+                hard.append(w)
+        for w, e in zip(hard, self.encode([w.decode() for w in hard], add_special_tokens=False), strict=True):
+            self.young[w] = array.array("I", e.ids).tobytes()
 
     def ids(self, text: str | None) -> bytes:
         """The text's ids as little-endian unsigned 32-bit numbers."""
-        words = (text or "").encode("utf-8", "replace").split()
-        known = self.known
-        if new := [w for w in set(words) if w not in known]:
-            if len(known) > CACHED_WORDS:
-                known.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.encode([w.decode() for w in new], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, words))
+        text = text or ""
+        if "<|" not in text and "Σ" not in text:  # special tokens are not to come about, and a final sigma depends on its place
+            text = text.lower()
+        words = text.encode("utf-8", "replace").split()
+        if new := set(words).difference(self.young):
+            unknown = []
+            for w in new:
+                if (v := self.old.get(w)) is None:
+                    unknown.append(w)
+                else:
+                    self.young[w] = v
+            if unknown:
+                self.learn(unknown)
+        out = b"".join(map(self.young.__getitem__, words))
+        if len(self.young) > CACHED_WORDS:
+            self.old, self.young = self.young, {}
+        return out
 
 
 TOKENS = "doc_id long, n long, ids binary, part int, pos int, rem int, rank int, whole long"
