@@ -97,6 +97,18 @@ def test_word_tokenizer_is_the_tokenizer(text):
     assert np.frombuffer(own.ids(text), "<u4").tolist() == whole.encode(text.encode("utf-8", "replace").decode(), add_special_tokens=False).ids
 
 
+def test_word_tokenizer_on_all_words_of_a_table():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    own, whole = packing.WordTokenizer(path), Tokenizer.from_file(path)
+    texts = [r[0] for r in duckdb.sql("select text from '/root/testdata/sf0.01/documents.parquet'").fetchall()]
+    for t, e in zip(texts, whole.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(own.ids(t), "<u4").tolist() == e.ids
+    for t in ("it's we'll _x_ a__b don't 's", "ÉCOLE e\u0301 ΣΑΣ", "<|endoftext|> <|ENDOFTEXT|>", "\x1c a\u00a0b 12ab34", "naïve, \u0130stanbul!? ß."):
+        assert np.frombuffer(own.ids(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, t
+
+
 def test_nnls_is_least_squares():
     r = np.random.default_rng(0)
     a, x = r.random((20, 30)), np.maximum(r.normal(size=30), 0)
