@@ -37,7 +37,7 @@ def unicode_tables() -> dict[str, dict[str, str]]:
 
 def lookup(table: dict[str, str]) -> Column:
     """A constant map column."""
-    sep = ""
+    sep = "\ue000"
     return F.map_from_arrays(F.split(F.lit(sep.join(table)), sep), F.split(F.lit(sep.join(table.values())), sep))
 
 
@@ -87,27 +87,41 @@ def composed_hangul(text: Column) -> Column:
     return F.array_join(F.transform(runs, join), "")
 
 
-def nfkc(text: Column) -> Column:
-    """The compatibility composition of a text. Texts of STABLE characters alone, nearly all, are passed through."""
+def nfkc_slow(t: Column) -> Column:
+    """The compatibility composition of a text that has characters outside STABLE."""
     changed = unicode_tables()["changed"]
     one = {c: d for c, d in changed.items() if len(d) == 1}
-    more = F.arrays_zip(F.split(F.lit("".join(c for c in changed if c not in one)), "").alias("c"), F.split(F.lit("".join(d for c, d in changed.items() if c not in one)), "").alias("d"))
+    more = F.arrays_zip(F.split(F.lit("\x01".join(c for c in changed if c not in one)), "\x01").alias("c"), F.split(F.lit("\x01".join(d for c, d in changed.items() if c not in one)), "\x01").alias("d"))
+    t = F.translate(t, "".join(one), "".join(one.values()))
+    t = let(t, lambda x: F.aggregate(F.filter(more, lambda p: x.contains(p["c"])), x, lambda s, p: F.replace(s, p["c"], p["d"])))
+    t = let(t, lambda x: F.when(x.rlike(r"\p{M}"), composed_marks(x)).otherwise(x))
+    return let(t, lambda x: F.when(x.rlike(r"[ᅡ-ᅵᆨ-ᇂ]"), composed_hangul(x)).otherwise(x))
+
+
+def is_plain(text: Column) -> Column:
+    """Whether a text is ASCII, or at least of STABLE characters: nearly all are, and take no more than this look."""
+    return (F.octet_length(text) == F.length(text)) | ~text.rlike(rf"(?![{STABLE}])[^\x00-\x7F]")
+
+
+def nfkc(text: Column) -> Column:
+    """The compatibility composition of a text."""
+    return let(text, lambda t: F.when(is_plain(t), t).otherwise(nfkc_slow(t)))
 
-    def slow(t: Column) -> Column:
-        t = F.translate(t, "".join(one), "".join(one.values()))
-        t = let(t, lambda x: F.aggregate(F.filter(more, lambda p: x.contains(p["c"])), x, lambda s, p: F.replace(s, p["c"], p["d"])))
-        t = let(t, lambda x: F.when(x.rlike(r"\p{M}"), composed_marks(x)).otherwise(x))
-        return let(t, lambda x: F.when(x.rlike(r"[ᅡ-ᅵᆨ-ᇂ]"), composed_hangul(x)).otherwise(x))
 
-    return F.when(text.rlike(f"[^{STABLE}]"), slow(text)).otherwise(text)
+#: White space besides blank, tabulator and line ends, in ASCII and beyond.
+RARE_SPACE = r"[\x0B\x0C\x1C-\x1F]"
+WIDE_SPACE = r"[\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
 def canonical(text: Column) -> Column:
-    """NFKC, then case and white space folded; null counts as empty."""
-    # the white space is folded between upper and lower, for the optimiser takes an upper right below a lower out, and with it the sharp s
-    upper = F.upper(nfkc(F.coalesce(text, F.lit(""))))
-    spaced = F.regexp_replace(upper, r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+", " ")
-    return F.trim(F.replace(F.lower(spaced), F.lit("ς"), F.lit("σ")))
+    """NFKC, then case and white space folded; null counts as empty. Each step is taken once, on the step before, and costly ones only where a look finds need."""
+    blank = F.lit(" ")
+    wide = lambda t: F.regexp_replace(nfkc_slow(t), WIDE_SPACE, " ")
+    t = let(F.coalesce(text, F.lit("")), lambda x: F.when(is_plain(x), x).otherwise(wide(x)))
+    t = F.replace(F.replace(F.replace(F.upper(t), F.lit("\n"), blank), F.lit("\t"), blank), F.lit("\r"), blank)
+    t = let(t, lambda x: F.when(x.rlike(RARE_SPACE), F.regexp_replace(x, RARE_SPACE, " ")).otherwise(x))
+    t = let(t, lambda x: F.when(x.contains("  "), F.regexp_replace(x, " {2,}", " ")).otherwise(x))
+    return let(F.lower(F.trim(t)), lambda x: F.when(x.contains("ς"), F.replace(x, F.lit("ς"), F.lit("σ"))).otherwise(x))
 
 
 def wide_hash(form: Column) -> Column:
@@ -115,8 +129,9 @@ def wide_hash(form: Column) -> Column:
     return F.lower(F.concat(F.lpad(F.hex(F.xxhash64(form)), 16, "0"), F.lpad(F.hex(F.xxhash64(F.lit("second half"), form)), 16, "0")))
 
 
-def suffix(form: Column) -> Column:
-    return F.substring(F.sha2(form, 256), 1, 16)
+def digest_of(text: Column) -> Column:
+    """Struct of a text's digest and the suffix that it gets if its bucket is uneven."""
+    return let(canonical(text), lambda f: F.struct(wide_hash(f).alias("digest"), F.substring(F.sha2(f, 256), 1, 16).alias("suffix")))
 
 
 def uneven_buckets(forms: DataFrame) -> DataFrame:
@@ -126,46 +141,49 @@ def uneven_buckets(forms: DataFrame) -> DataFrame:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint for each row: equal for texts of one canonical form, and for no others."""
-    d = docs.select(F.col(id_col).alias("doc_id"), canonical(F.col(text_col)).alias("form")).withColumn("digest", wide_hash(F.col("form"))).withColumn("suffix", suffix(F.col("form")))
-    uneven = uneven_buckets(d.select("digest", "form")).withColumn("uneven", F.lit(True))
-    return d.drop("form").join(uneven, "digest", "left").select("doc_id", named().alias("fingerprint"))
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), digest_of(F.col(text_col)).alias("own"))
+    uneven = uneven_buckets(d.select(F.col("own.digest").alias("digest"), canonical(F.col("text")).alias("form"))).withColumn("uneven", F.lit(True))
+    return d.select("doc_id", "own.*").join(uneven, "digest", "left").select("doc_id", named().alias("fingerprint"))
 
 
 def named() -> Column:
     return F.when(F.col("uneven"), F.concat("digest", F.lit("-"), "suffix")).otherwise(F.col("digest"))
 
 
+KEY = ["k0", "k1", "k2"]
+
+
 def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each row's fingerprint, that of its edited text (last third replaced by the start of the next document, in descending id order),
     and whether they, or it and the next document's, are alike (an exact digest: 1 or 0).
 
-    Texts move once, by id, and a third of them again; the order of ids comes from a range-partitioned table without texts.
+    Texts move once, by id, and a third of them again; digests and the order of ids are in a range-partitioned table without texts.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.col(id_col).isNull().alias("k0"), F.bitwise_not(F.coalesce(F.col(id_col), F.lit(0)).cast("long")).alias("k1"), F.xxhash64(text).alias("k2"))
-    key = ["k0", "k1", "k2"]
-    small = keyed.withColumn("form", canonical(F.col("text"))).select(*key, F.length("text").cast("long").alias("n"), wide_hash(F.col("form")).alias("digest")).groupBy(*key).agg(F.max("n").alias("n"), F.max("digest").alias("digest"), F.count("*").alias("times"))
-    small = staged(small.repartitionByRange(parts, *key).withColumn("part", F.spark_partition_id()))
-    at = F.struct(*key).alias("at")
-    heads = small.groupBy("part").agg(F.min(F.struct(*key)).alias("head"))
+    # ascending keys are descending ids, nulls last; the id comes back from the key, so all uses of the dealt texts are one exchange
+    keyed = docs.select(text.alias("text"), F.col(id_col).isNull().alias("k0"), F.bitwise_not(F.coalesce(F.col(id_col), F.lit(0)).cast("long")).alias("k1"), F.xxhash64(text).alias("k2"))
+    small = keyed.select(*KEY, F.length("text").cast("long").alias("n"), digest_of(F.col("text")).alias("own")).groupBy(*KEY).agg(F.max("n").alias("n"), F.max("own").alias("own"), F.count("*").alias("times"))
+    small = staged(small.repartitionByRange(parts, *KEY).withColumn("part", F.spark_partition_id()))
+    row = F.struct(*KEY, "own")
+    heads = small.groupBy("part").agg(F.min(row).alias("head"))
     after = heads.withColumn("follow", F.coalesce(F.lead("head").over(Window.orderBy("part")), F.min("head").over(Window.partitionBy()))).select("part", "follow")  # a row per partition
-    nexts = small.select(*key, "n", "part", F.lead(at).over(Window.partitionBy("part").orderBy(*key)).alias("own")).join(after, "part").withColumn("next", F.coalesce("own", "follow"))
-    wanted = nexts.select(*[F.col(f"next.{k}").alias(k) for k in key], *[F.col(k).alias(f"to_{k}") for k in key], F.floor(F.col("n") / 3).cast("int").alias("need"))
-
-    dealt = keyed.repartition(parts, *key)
-    given = dealt.join(wanted, key).withColumn("form", canonical(F.col("text")))
-    given = given.groupBy(*[F.col(f"to_{k}").alias(k) for k in key]).agg(F.min(F.struct(F.expr("substring(text, 1, need)").alias("head"), wide_hash(F.col("form")).alias("digest"), suffix(F.col("form")).alias("suffix"))).alias("next"))
-    rows = dealt.join(given, key)
-    n = F.length("text").cast("long")
-    rows = rows.withColumn("n_chars", n).withColumn("edited", F.concat(F.expr("substring(text, 1, cast(length(text) - length(text) div 3 as int))"), F.col("next.head")))
-    rows = rows.withColumn("form", canonical(F.col("text"))).withColumn("edited_form", canonical(F.col("edited")))
-    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), wide_hash(F.col("form")).alias("digest"), suffix(F.col("form")).alias("suffix"), wide_hash(F.col("edited_form")).alias("edited_fingerprint"), (F.col("form") == F.col("edited_form")).cast("double").alias("near_edited"), "next")
-
-    shared = small.groupBy("digest").agg(F.sum("times").alias("times")).where("times > 1").select("digest")
-    doubled = small.join(shared, "digest", "left_semi").select(*key)
-    uneven = uneven_buckets(dealt.join(doubled, key, "left_semi").select(canonical(F.col("text")).alias("form")).withColumn("digest", wide_hash(F.col("form")))).withColumn("uneven", F.lit(True))
+    nexts = small.select(*KEY, "n", "own", "part", F.lead(row).over(Window.partitionBy("part").orderBy(*KEY)).alias("here")).join(after, "part").withColumn("next", F.coalesce("here", "follow"))
+    wanted = nexts.select(*[F.col(f"next.{k}").alias(k) for k in KEY], F.struct(*KEY, "own", F.col("next.own").alias("follow")).alias("to"), F.floor(F.col("n") / 3).cast("int").alias("need"))
+
+    dealt = keyed.repartition(parts, *KEY)
+    given = dealt.join(wanted, KEY).select(F.expr("substring(text, 1, need)").alias("head"), "to")
+    given = given.groupBy(*[F.col(f"to.{k}").alias(k) for k in KEY]).agg(F.min(F.struct("head", F.col("to.own").alias("own"), F.col("to.follow").alias("follow"))).alias("g"))
+    rows = dealt.join(given, KEY)
+    edited = F.expr("concat(substring(text, 1, cast(length(text) - length(text) div 3 as int)), g.head)")
+    same = lambda f: F.when(wide_hash(f) == F.col("g.own.digest"), f == canonical(F.col("text"))).otherwise(F.lit(False))
+    seen = let(edited, lambda e: F.struct(F.sha2(e, 256).alias("sha"), let(canonical(e), lambda f: F.struct(wide_hash(f).alias("digest"), same(f).alias("same"))).alias("form")))
+    doc_id = F.when(~F.col("k0"), F.bitwise_not("k1")).alias("doc_id")
+    rows = rows.select(doc_id, F.length("text").cast("long").alias("n_chars"), seen.alias("e"), F.col("g.own.digest").alias("digest"), F.col("g.own.suffix").alias("suffix"), (F.col("g.own") == F.col("g.follow")).cast("double").alias("near_next"))
+
+    shared = small.groupBy("own.digest").agg(F.sum("times").alias("times")).where("times > 1").select("digest")
+    doubled = small.select(*KEY, F.col("own.digest").alias("digest")).join(shared, "digest", "left_semi")
+    uneven = uneven_buckets(dealt.join(doubled, KEY).select("digest", canonical(F.col("text")).alias("form"))).withColumn("uneven", F.lit(True))
     rows = rows.join(uneven, "digest", "left")
-    alike = (F.col("digest") == F.col("next.digest")) & (F.col("suffix") == F.col("next.suffix"))
-    return rows.select("doc_id", "n_chars", "edited_sha256", named().alias("fingerprint"), "edited_fingerprint", "near_edited", alike.cast("double").alias("near_next"))
+    return rows.select("doc_id", "n_chars", F.col("e.sha").alias("edited_sha256"), named().alias("fingerprint"), F.col("e.form.digest").alias("edited_fingerprint"), F.col("e.form.same").cast("double").alias("near_edited"), "near_next")
