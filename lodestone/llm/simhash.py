@@ -124,12 +124,14 @@ def links(fps: DataFrame, keys: Sequence[tuple[int, ...]], radius: int, matches:
 def likely_links(fps: DataFrame, keys: Sequence[tuple[int, ...]], radius: int, matches: int) -> DataFrame:
     """Links between wide fingerprints within `radius` bits that meet under one of the sampled byte groups.
 
-    In a posting list, in order of the members' hashes, each is compared with the first and the one before: a list of copies stays connected
-    over its many keys, and the comparisons stay proportional to the postings.
+    In a posting list, in an order of its own, each is compared with the first and with the three before: a list of copies stays connected over its
+    many keys, and the comparisons stay proportional to the postings.
     """
-    in_list = Window.partitionBy("key").orderBy("fp")
-    met = posted(fps, keys, True).select("fp", F.first("fp").over(in_list).alias("least"), F.lag("fp").over(in_list).alias("before")).where("before is not null")
-    pairs = met.select(F.explode(F.array_distinct(F.array("least", "before"))).alias("x"), F.col("fp").alias("y")).distinct()
+    in_list = Window.partitionBy("key").orderBy(F.xxhash64("key", "fp"), "fp")
+    before = [F.lag("fp", k).over(in_list) for k in (1, 2, 3)]
+    met = posted(fps, keys, True).select("fp", F.array(F.first("fp").over(in_list), *before).alias("others"), F.lag("fp").over(in_list).alias("before")).where("before is not null")
+    other = F.explode(F.array_distinct(F.filter("others", lambda x: x.isNotNull()))).alias("x")
+    pairs = met.select(other, "fp").select(F.least("x", "fp").alias("x"), F.greatest("x", "fp").alias("y")).where("x <> y").distinct()
     names = fps.select("fp").mapInArrow(with_hash, "x binary, fp binary")
     both = pairs.join(names.withColumnRenamed("fp", "a"), "x").join(names.withColumnRenamed("x", "y").withColumnRenamed("fp", "b"), "y")
     return verified(both.select("a", "b"), radius, matches)
@@ -199,7 +201,7 @@ def grouped(docs: DataFrame, shingle: int, lanes: int, radius: int, matches: int
     if lanes == 1:
         found = links(classes, keys or covering_keys(8, radius), radius, 8 - radius if matches is None else matches, posting)
     else:
-        found = likely_links(classes, keys or sampled_keys(8 * lanes, 3, 128), radius, 3 if matches is None else matches)
+        found = likely_links(classes, keys or sampled_keys(8 * lanes, 3, 256), radius, 3 if matches is None else matches)
     reach = components(found)
     return f, classes.join(reach, classes.fp == reach.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
 

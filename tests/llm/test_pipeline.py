@@ -40,7 +40,7 @@ def test_near_copies_stage(stages):
     rows = stages[1].collect()
     fp = {r.doc_id: np.frombuffer(simhash.fingerprint(r.text, 5, 4), np.uint8) for r in rows}
     ids, root = sorted(fp), {i: i for i in fp}
-    keys = np.array(simhash.sampled_keys(32, 3, 128))
+    keys = np.array(simhash.sampled_keys(32, 3, 256))
 
     def find(i):
         while root[i] != i:
