@@ -257,3 +257,17 @@ def quantization_error(v: Column | str, back: Column) -> Column:
 
 #: Bytes per element and compression over 32-bit floats, by format.
 FORMATS = {"int8": (1.0, 4.0), "int4": (0.5, 8.0), "float16": (2.0, 2.0), "binary": (0.125, 32.0)}
+
+
+# Flat buffers.
+
+
+def unflattened(flat: Column | str, dim: int) -> Column:
+    """Rows of `dim` elements of a row-major buffer; a rest that fills no row is left out."""
+    n = F.floor(F.size(col(flat)) / dim).cast("int")
+    return F.transform(F.slice(F.sequence(F.lit(0), n), F.lit(1), n), lambda i: F.slice(col(flat), i * dim + 1, F.lit(dim)))
+
+
+def all_normalized(v: Column | str, tolerance: float = 1e-4) -> Column:
+    """Aggregate: whether there are vectors, all of one length (dimension) and norm 1."""
+    return F.coalesce(F.bool_and(is_normalized(v, tolerance)) & (F.min(F.size(col(v))) == F.max(F.size(col(v)))), F.lit(False))

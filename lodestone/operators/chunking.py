@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
+from ..models import Embedder, embed
 
 CHUNK = "index int, total int, text string, start int, end int, overlap_previous int, overlap_next int"
 Splitter = Callable[[str], list[str]]
@@ -141,3 +142,15 @@ def aggregate_custom(chunks: DataFrame, function: Callable[[list[list[float]]],
         return pa.table({id_col: g.column(id_col).slice(0, 1), "vector": pa.array([function(g.column(vector_col).to_pylist())], pa.list_(pa.float64()))})
 
     return chunks.select(id_col, index_col, vector_col).groupBy(id_col).applyInArrow(run, f"`{id_col}` {kind}, vector array<double>")
+
+
+def embed_documents(docs: DataFrame, how: Chunking, model: Embedder, aggregated: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The chunks of each document with their vectors; with `aggregated` (mean, weighted by characters, first, last, concatenate) one vector for each document.
+
+    Chunks and vectors travel in one row: the chunk's place is part of the key under which its text is embedded.
+    """
+    key = F.struct(id_col, "index").alias("_key")
+    c = chunk(docs, how, id_col, text_col).select("*", key)
+    v = embed(c, model, "_key", "text").select(f"_key.{id_col}", "_key.index", "vector")
+    both = c.drop("_key").join(v, [id_col, "index"])
+    return both if aggregated is None else aggregate(both.withColumn("_w", F.length("text")), aggregated, id_col, weight_col="_w")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..errors import ProjectionError
 from ..functions.vectors import Metric
+from ..models import Embedder, embed
 from ..plans.config import ProjectionConfig
 from . import search as S
 
@@ -85,3 +86,8 @@ def project(rows: DataFrame, config: ProjectionConfig = ProjectionConfig(), id_c
             np.add.at(move, s, np.clip((2 * b / ((0.001 + d2) * (1 + a * d2**b)))[:, None] * d, -4, 4) * (o != s)[:, None])
         y += rate * np.clip(move, -10, 10)
     return spark.createDataFrame([(int(k), [float(v) for v in p]) for k, p in zip(ids, y, strict=True)], "id long, position array<double>")
+
+
+def project_texts(docs: DataFrame, model: Embedder, config: ProjectionConfig = ProjectionConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, position of each text: embedded, then projected."""
+    return project(embed(docs, model, id_col, text_col), config, id_col, "vector")

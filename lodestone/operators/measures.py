@@ -73,3 +73,13 @@ def stream_statistics(rows: DataFrame, outcome: str, seconds: str) -> DataFrame:
     n = F.count("*")
     dropped = F.count_if(F.col(outcome) == "dropped")
     return rows.agg(n.alias("submitted"), F.count_if(F.col(outcome) == "processed").alias("processed"), dropped.alias("dropped"), F.when(n > 0, dropped / n).otherwise(F.lit(0.0)).alias("drop_rate"), F.coalesce(F.avg(F.when(F.col(outcome) == "processed", F.col(seconds))), F.lit(0.0)).alias("mean_seconds"))
+
+
+def queue_counts(rows: DataFrame, priority: str, waiting: str) -> DataFrame:
+    """Requests and those that still wait, by priority."""
+    return rows.groupBy(priority).agg(F.count("*").alias("requests"), F.count_if(F.col(waiting)).alias("queued"))
+
+
+def report_json(rows: DataFrame) -> DataFrame:
+    """One JSON text for each row of a report."""
+    return rows.select(F.to_json(F.struct(*rows.columns)).alias("json"))

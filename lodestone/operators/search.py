@@ -273,3 +273,10 @@ def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     """query_id, recall: share of the exact hits that were found."""
     hit = exact.select("query_id", "id").join(found.select("query_id", "id").withColumn("hit", F.lit(1)), ["query_id", "id"], "left")
     return hit.groupBy("query_id").agg((F.coalesce(F.sum("hit"), F.lit(0)) / F.count("*")).alias("recall"))
+
+
+def distances_from(store: DataFrame, query: list[float], metric: Metric | str = Metric.COSINE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """id, distance of every vector of the store from one query, by the pairwise rule; a vector of another length raises."""
+    q = F.array(*[F.lit(float(x)) for x in query])
+    rows = same_length(store.where(F.col(vector_col).isNotNull()), vector_col, len(query))
+    return rows.select(F.col(id_col).alias("id"), V.distance(F.col(vector_col), q, Metric(metric)).alias("distance"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone import errors, models
 from lodestone.functions import text as T
+from lodestone.functions import vectors as V
 from lodestone.functions.vectors import Metric
 from lodestone.operators import batching, cache, chunking, graph, measures, rerank, search, store, tokenizers
 from lodestone.plans import config
@@ -360,6 +361,40 @@ def test_streams(spark, tmp_path):
     assert flow.progress(e)
 
 
+def test_permits(spark):
+    now = [0.0]
+    p = flow.Permits(limiters.TokenBucket(1, 0.5), lambda: now[0], lambda s: now.__setitem__(0, now[0] + s))
+    assert p.allow("a") and not p.allow("a") and p.allow("b")
+    p.wait("a")
+    assert now[0] == pytest.approx(2, abs=0.2)
+    with pytest.raises(errors.RateLimited):
+        flow.Permits(limiters.TokenBucket(0, 0), lambda: now[0], lambda s: now.__setitem__(0, now[0] + s)).wait("x", timeout=1)
+    now[0] += 100
+    assert p.cleanup(50) == 2 and p.states == {}
+    with flow.cancellable(spark, "own-tag") as cancel:
+        assert spark.range(5).count() == 5
+        cancel()
+
+
+def test_documents_and_small_parts(spark):
+    d = spark.createDataFrame([(i, f"word{i} " * 30) for i in range(20)], "doc_id long, text string")
+    m = models.HashEmbedder(16)
+    rows = chunking.embed_documents(d, chunking.Chunking("characters", 80, 10, 10), m)
+    assert rows.count() > 20 and len(rows.first().vector) == 16
+    one = chunking.embed_documents(d, chunking.Chunking("characters", 80, 10, 10), m, "weighted").collect()
+    assert len(one) == 20 and np.linalg.norm(one[0].vector) == pytest.approx(1)
+    assert graph.project_texts(d, m, ProjectionConfig(neighbours=5, iterations=5)).count() == 20
+    e = models.embed(d, m)
+    assert e.agg(V.all_normalized("vector")).first()[0] is True
+    assert e.limit(0).agg(V.all_normalized("vector")).first()[0] is False
+    assert spark.createDataFrame([([1.0, 2.0, 3.0, 4.0, 5.0],)], "f array<float>").select(V.unflattened("f", 2)).first()[0] == [[1, 2], [3, 4]]
+    dist = search.distances_from(e, [float(x) for x in e.where("doc_id = 3").first().vector], id_col="doc_id", vector_col="vector")
+    assert dist.orderBy("distance").first().id == 3
+    q = spark.createDataFrame([("high", True), ("low", False), ("high", False)], "p string, w boolean")
+    assert {r.p: (r.requests, r.queued) for r in measures.queue_counts(q, "p", "w").collect()} == {"high": (2, 1), "low": (1, 0)}
+    assert json.loads(measures.report_json(q).first().json) == {"p": "high", "w": True}
+
+
 def test_flow_policies(spark):
     d = spark.createDataFrame([(i,) for i in range(10)], "n long")
     for policy, want in (("suspend", 0), ("drop_oldest", 5), ("drop_newest", 5), ("error", 5)):
