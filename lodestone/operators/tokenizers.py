@@ -23,6 +23,10 @@ PRE_TOKENIZERS = {
 }
 
 
+#: Words whose tokens a worker keeps.
+KNOWN_WORDS = 200_000
+
+
 @dataclass(frozen=True)
 class Options:
     """What happens to the tokens of a text: special tokens, truncation, padding."""
@@ -50,16 +54,48 @@ class Tokenizer:
     lowercase: bool = True
     unknown_id: int = 100
 
-    def pieces(self, text: str) -> list[str]:
+    def pieces(self, text: str, enough: int = 0) -> list[str]:
+        """Tokens of a text, or its first ones once there are more than `enough` (0: all). Words come again and again, so each word's tokens are kept, in a table that starts anew when it is full."""
+        known, out = self.known_words, []
+        for w in self.words(text):
+            t = known.get(w)
+            if t is None:
+                if len(known) >= KNOWN_WORDS:
+                    known.clear()
+                t = known[w] = self.split(w)
+            out += t
+            if 0 < enough < len(out):
+                break
+        return out
+
+    def words(self, text: str) -> list[str]:
+        return (text.lower() if self.lowercase else text).split()
+
+    def split(self, word: str) -> list[str]:
         raise NotImplementedError
 
+    @functools.cached_property
+    def known_words(self) -> dict[str, list[str]]:
+        return {}
+
+    @functools.cached_property
+    def longest(self) -> int:
+        return max(map(len, self.vocabulary), default=1)
+
+    @functools.cached_property
+    def by_id(self) -> dict[int, str]:
+        return {i: t for t, i in self.vocabulary.items()}
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("known_words", "longest", "by_id")}
+
     def id_of(self, token: str) -> int:
         unknown = self.vocabulary.get(self.special.get("unk", ""), self.unknown_id)
         return self.vocabulary.get(token, unknown)
 
     def encode(self, text: str, options: Options = Options()) -> tuple[list[int], list[str], list[int]]:
         """Ids, tokens and attention mask."""
-        t = self.pieces(text)
+        t = self.pieces(text, options.max_length if options.truncation == "end" else 0)
         if options.special_tokens:
             first = self.special.get("cls", self.special.get("bos"))
             last = self.special.get("sep", self.special.get("eos"))
@@ -80,7 +116,7 @@ class Tokenizer:
 
     def known(self, ids: Sequence[int]) -> list[str]:
         """Tokens of the ids, without special ones (the unknown token stays)."""
-        by_id = {i: t for t, i in self.vocabulary.items()}
+        by_id = self.by_id
         hidden = {t for role, t in self.special.items() if role != "unk"}
         return [by_id[i] for i in ids if i in by_id and by_id[i] not in hidden]
 
@@ -91,8 +127,8 @@ class Tokenizer:
 class WordPiece(Tokenizer):
     """Greedy longest match inside words; parts after the first are marked with ##. A word with a part that is not in the vocabulary, or of over 200 characters, is unknown."""
 
-    def pieces(self, text: str) -> list[str]:
-        return [p for w in MARKS.findall(text.lower() if self.lowercase else text) for p in self.split(w)]
+    def words(self, text: str) -> list[str]:
+        return MARKS.findall(text.lower() if self.lowercase else text)
 
     def split(self, word: str) -> list[str]:
         unknown = [self.special.get("unk", "[UNK]")]
@@ -101,7 +137,7 @@ class WordPiece(Tokenizer):
         out, at = [], 0
         while at < len(word):
             mark = "##" if at else ""
-            end = next((e for e in range(len(word), at, -1) if mark + word[at:e] in self.vocabulary), None)
+            end = next((e for e in range(min(len(word), at + self.longest), at, -1) if mark + word[at:e] in self.vocabulary), None)
             if end is None:
                 return unknown
             out.append(mark + word[at:end])
@@ -115,12 +151,8 @@ class WordPiece(Tokenizer):
 class SentencePiece(Tokenizer):
     """Words behind a boundary mark: whole if known, else greedy longest prefixes; a character that is not known is the unknown token."""
 
-    @functools.cached_property
-    def longest(self) -> int:
-        return max(map(len, self.vocabulary), default=1)
-
-    def pieces(self, text: str) -> list[str]:
-        return [p for w in (text.lower() if self.lowercase else text).split() for p in self.split(SPACE_MARK + w)]
+    def words(self, text: str) -> list[str]:
+        return [SPACE_MARK + w for w in super().words(text)]
 
     def split(self, word: str) -> list[str]:
         out, at, longest = [], 0, self.longest
@@ -144,11 +176,13 @@ class ByteBPE(Tokenizer):
     prefix_space: bool = False
     unknown_id: int = 0
 
-    def pieces(self, text: str) -> list[str]:
+    def words(self, text: str) -> list[str]:
         t = unicodedata.normalize(self.normalization.upper(), text) if self.normalization else text
+        return regex.findall(PRE_TOKENIZERS.get(self.pattern, self.pattern), " " + t if self.prefix_space else t)
+
+    def split(self, word: str) -> list[str]:
         letters = byte_letters()
-        words = regex.findall(PRE_TOKENIZERS.get(self.pattern, self.pattern), " " + t if self.prefix_space else t)
-        return [p for w in words for p in self.merge([letters[b] for b in w.encode()])]
+        return self.merge([letters[b] for b in word.encode()])
 
     def merge(self, parts: list[str]) -> list[str]:
         """Merges by a heap of (rank, place) over a linked list; stale entries are skipped."""
@@ -184,16 +218,13 @@ class GreedyBPE(Tokenizer):
 
     merges: dict[tuple[str, str], str] = field(default_factory=dict)
 
-    def pieces(self, text: str) -> list[str]:
-        out = []
-        for w in (text.lower() if self.lowercase else text).split():
-            own: list[str] = []
-            for c in w:  # the part before the place is settled, so only its last piece can take the next character
-                if own and (own[-1], c) in self.merges:
-                    c = self.merges[own.pop(), c]
-                own.append(c)
-            out += own
-        return out
+    def split(self, word: str) -> list[str]:
+        own: list[str] = []
+        for c in word:  # the part before the place is settled, so only its last piece can take the next character
+            if own and (own[-1], c) in self.merges:
+                c = self.merges[own.pop(), c]
+            own.append(c)
+        return own
 
 
 TOKENS = "ids array<int>, tokens array<string>, mask array<int>"
