@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import vectors as V
 from ..functions.text import text_hash
+from ..functions.vectors import Metric
+from .search import distances, matrix
 
 SCHEMA = "text_hash string, text string, vector array<float>, model_id string, dimensions int, token_count int, created_at timestamp, accessed_at timestamp, access_count long"
 KEY = ["text_hash", "model_id"]
@@ -40,11 +45,28 @@ def recent(cache: DataFrame, model_id: str, size: int = 1000) -> DataFrame:
 
 
 def lookup_semantic(cache: DataFrame, requests: DataFrame, model_id: str, threshold: float = 0.9, size: int = 1000, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
-    """id, text_hash, similarity of the likest of the `size` most recent rows that reaches the threshold; of equal ones the most recent. Only those rows are broadcast."""
-    rows = recent(cache, model_id, size).select("text_hash", "accessed_at", F.col("vector").alias("_v"))
-    met = requests.select(id_col, F.col(vector_col).alias("_q")).join(F.broadcast(rows))  # at most `size` rows meet the requests
-    scored = met.withColumn("similarity", V.cosine("_q", "_v")).where(F.col("similarity") >= threshold)
-    return scored.groupBy(id_col).agg(F.max(F.struct("similarity", "accessed_at", "text_hash")).alias("b")).select(id_col, "b.text_hash", "b.similarity")
+    """id, text_hash, similarity of the likest of the `size` most recent rows that reaches the threshold; of equal ones the most recent.
+
+    Those rows, of bounded number, go to every task as one matrix; each batch of requests is one product, and no pairs are made.
+    """
+    rows = recent(cache, model_id, size).select("text_hash", F.unix_micros(F.col("accessed_at").cast("timestamp")).alias("at"), "vector").collect()
+    dim = max((len(r["vector"]) for r in rows), default=0)
+    rows = sorted((r for r in rows if len(r["vector"]) == dim), key=lambda r: (r["at"], r["text_hash"]), reverse=True)
+    own = cache.sparkSession.sparkContext.broadcast(([r["text_hash"] for r in rows], np.array([r["vector"] for r in rows], float).reshape(len(rows), dim)))
+    kind = requests.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, x = own.value
+        for b in batches:
+            if b.num_rows and len(hashes):
+                s = 1 - distances(matrix(b.column(1)), x, Metric.COSINE)
+                best = s.argmax(1)  # the first of equal ones, which is the most recent
+                top = s[np.arange(len(s)), best]
+                ok = np.flatnonzero(top >= threshold)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ok)), pa.array([hashes[i] for i in best[ok]], pa.string()), pa.array(top[ok])], names=[id_col, "text_hash", "similarity"])
+
+    asked = requests.where((F.size(vector_col) == dim) & F.col(vector_col).isNotNull()).select(id_col, vector_col)
+    return asked.mapInArrow(run, f"`{id_col}` {kind}, text_hash string, similarity double")
 
 
 def touch(cache: DataFrame, hits: DataFrame, now: Column) -> DataFrame:
@@ -82,9 +104,10 @@ def evict_over_size(cache: DataFrame, max_bytes: int, max_count: int | None = No
     per = c.groupBy("_b").agg(F.count("*").alias("_rows"))
     before = per.withColumn("_rank", F.sum("_rows").over(Window.orderBy("_b")) - F.col("_rows")).drop("_rows")  # at most `buckets` rows
     c = c.join(F.broadcast(before), "_b").withColumn("_block", F.floor((F.col("_rank") + F.row_number().over(Window.partitionBy("_b").orderBy(*order)) - 1) / block))
-    sizes = c.groupBy("_block").agg(F.sum("_size").alias("_s"))
-    left = sizes.withColumn("_left", F.sum("_s").over(Window.orderBy(F.desc("_block"))))  # bytes from this block on
-    kept = left.where(F.col("_left") <= max_bytes).select("_block")
+    sizes = c.groupBy("_block").agg(F.sum("_size").alias("_s"), F.min("_b").alias("_b"))
+    later = sizes.groupBy("_b").agg(F.sum("_s").alias("_all")).withColumn("_later", F.sum("_all").over(Window.orderBy(F.desc("_b"))) - F.col("_all")).drop("_all")  # at most `buckets` rows
+    own = F.sum("_s").over(Window.partitionBy("_b").orderBy(F.desc("_block")))
+    kept = sizes.withColumn("_own", own).join(F.broadcast(later), "_b").where(F.col("_own") + F.col("_later") <= max_bytes).select("_block")
     return c.join(kept, "_block", "left_semi").select(*cache.columns)
 
 
