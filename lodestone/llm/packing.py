@@ -245,24 +245,11 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = 4096, b
     pieces = pieces.withColumn("offset", F.coalesce(gapless, F.lit(0)))
     own = pieces.groupBy("part", "pos").agg(F.sort_array(F.collect_list(F.struct("start", "length", "sequence_id", "offset"))).alias("pieces"))
 
-    schema = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64()] * 6 + [pa.binary()]
-        names = [x.split()[0] for x in schema.split(", ")]
-        for b in batches:
-            rows: list[tuple] = []
-            held = 0
-            for k in range(b.num_rows):
-                doc, n, ids = b.column(0)[k].as_py(), b.column(1)[k].as_py(), b.column(2)[k].as_buffer()
-                for p in b.column(3)[k].as_py():
-                    rows.append((doc, p["start"], p["length"], n, p["sequence_id"], p["offset"], ids[4 * p["start"] : 4 * (p["start"] + p["length"])].to_pybytes()))
-                    held += 4 * p["length"]
-                if held > 16 << 20 or k == b.num_rows - 1:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
-                    rows, held = [], 0
-
-    return t.select("part", "pos", "doc_id", "n", "ids").join(own, ["part", "pos"]).select("doc_id", "n", "ids", "pieces").mapInArrow(cut, schema)
+    # each piece is cut out of its document's ids before the pieces become rows, so a long document is not copied for each
+    part = lambda p: F.substring("ids", (4 * p["start"] + 1).cast("int"), (4 * p["length"]).cast("int"))
+    cut = F.transform("pieces", lambda p: F.struct(*[p[c].alias(c) for c in ("start", "length", "sequence_id", "offset")], part(p).alias("ids")))
+    rows = t.select("part", "pos", "doc_id", "n", "ids").join(own, ["part", "pos"]).select("doc_id", F.col("n").alias("doc_tokens"), F.inline(cut))
+    return rows.select("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids")
 
 
 def with_crc(pieces: DataFrame) -> DataFrame:
