@@ -108,13 +108,19 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 5000, voters: int = 150,
     y = np.array([int(r[1] > 0) for r in got])
     if not len(y) or y.min() == y.max():
         return None
-    bags = [counts(r[0]) for r in got]
+    # entries are looked for in the toxic texts alone, and only those that enough of them hold are counted in the others: the driver holds no more than that
     stats: dict[str, list[int]] = {}
-    for bag, lab in zip(bags, y, strict=True):
-        for w, n in bag.items():
+    for t in (r[0] for r, lab in zip(got, y, strict=True) if lab):
+        for w, n in counts(t).items():
             s = stats.setdefault(w, [0, 0, 0, 0])
-            s[lab] += 1
-            s[2 + lab] += n >= 2
+            s[1] += 1
+            s[3] += n >= 2
+    stats = {w: s for w, s in stats.items() if s[1] >= 4}
+    for t in (r[0] for r, lab in zip(got, y, strict=True) if not lab):
+        for w, n in counts(t).items():
+            if w in stats:
+                stats[w][0] += 1
+                stats[w][2] += n >= 2
     pos, neg = int(y.sum()), int(len(y) - y.sum())
 
     def gain(hit: int, miss: int) -> float:
@@ -127,17 +133,16 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 5000, voters: int = 150,
 
     ranked = sorted(((max(gain(s[1], s[0]), gain(s[3], s[2])), w) for w, s in stats.items() if s[1] >= 4), key=lambda t: (-t[0], len(t[1]), t[1]))
     ranked = [x for x in ranked if x[0] >= 6][: 20 * voters]
+    held: dict[str, set[int]] = {w: set() for _, w in ranked}
+    for i, r in enumerate(got):
+        for w in held.keys() & counts(r[0]).keys():
+            held[w].add(i)
     names: dict[str, int] = {}
-    chosen: list[tuple[str, set[int]]] = []
     for _, w in ranked:
-        if len(names) >= voters:
-            break
-        held = {i for i, bag in enumerate(bags) if w in bag}
         # a longer or shorter form of a chosen entry that marks nearly the same texts would be the same voter again
-        if all(len(held & other) < 0.8 * len(held | other) for k, other in chosen if k[:4] == w[:4]):
+        if len(names) < voters and all(len(held[w] & held[k]) < 0.8 * len(held[w] | held[k]) for k in names if k[:4] == w[:4]):
             names[w] = len(names)
-            chosen.append((w, held))
-    x = np.array([features(r[0], names) for r in got]) if names else np.array([features(r[0], {}) for r in got])
+    x = np.array([features(r[0], names) for r in got])
     m = len(names)
     shown = x[:, 4 * m :]
     votes = np.column_stack([x[:, : 2 * m], shown > np.quantile(shown, 0.98, axis=0)]).astype(float)
