@@ -46,6 +46,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as it takes to be no column of df."""
+    out = []
+    for n in names:
+        while n in df.columns:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def release(df: DataFrame) -> None:
     """Delete the files behind a staged table that no later plan reads."""
     spark = df.sparkSession

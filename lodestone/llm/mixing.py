@@ -8,7 +8,7 @@ sequential pass. Cumulated sizes come in two levels: sums of (source, hash bucke
 inside each bucket, so that a source with a third of all rows is spread over `buckets` groups.
 
 Defined results: null text has size 0 and takes 0; a null source is a source of its own, last in order; repeated rows and equal
-ids queue one after another; empty tables give no rows; helper columns are prefixed and do not clash with the input's.
+ids queue one after another; empty tables give no rows; the input's columns travel in one struct, and those named like a result are replaced by it.
 """
 
 from __future__ import annotations
@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+RESULTS = ("size", "source_size", "target", "taken", "virtual_finish")
+
+
 def word_count(text: Column) -> Column:
     """Number of words (runs without ASCII white space); null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -52,15 +55,16 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), repeats: int = 3, s
     into which a source is split. The document on its source's cut is taken in part, so each source meets floor(target).
     """
     size = word_count(F.col("text")) if size is None else size
-    key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    d = docs.withColumn("size", size).withColumn("_null", F.col(source_col).isNull()).withColumn("_src", F.coalesce(F.col(source_col), F.lit(""))).withColumn("_key", key)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    d = docs.select(row, F.col(id_col).alias("_id"), F.col(source_col).isNull().alias("_null"), F.coalesce(F.col(source_col), F.lit("")).alias("_src"), size.alias("size"))
+    d = d.withColumn("_key", F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("_id").cast("string"), F.lit("")))))
     d = d.withColumn("_bucket", (F.conv(F.substring("_key", 1, 6), 16, 10).cast("long") * buckets / (1 << 24)).cast("int"))
     held = d.groupBy("_null", "_src", "_bucket").agg(F.sum("size").alias("_sum"))
     before = Window.partitionBy("_null", "_src").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = held.withColumn("_start", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
     sizes = held.groupBy("_null", "_src").agg(F.sum("_sum").alias("source_size"))
     starts = starts.join(source_targets(sizes, weights, repeats), ["_null", "_src"])
-    inside = Window.partitionBy("_null", "_src", "_bucket").orderBy("_key", F.col(id_col), "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("_null", "_src", "_bucket").orderBy("_key", "_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("_end", F.sum("size").over(inside)).join(starts, ["_null", "_src", "_bucket"])
     first = F.col("_start") + F.col("_end") - F.col("size")
     taken = F.lit(0)
@@ -68,21 +72,23 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), repeats: int = 3, s
         left = F.floor(F.col("target") + F.lit(1e-6)) - first - F.col("source_size") * k
         taken = taken + F.greatest(F.lit(0), F.least(left, F.col("size")))
     d = d.withColumn("taken", taken.cast("long")).withColumn("virtual_finish", (first + F.col("size")) / F.col("_weight"))
-    return d.select(*docs.columns, "size", "source_size", "target", "taken", "virtual_finish")
+    return d.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in RESULTS], *RESULTS)
 
 
-def mixed_rows(docs: DataFrame, **how) -> DataFrame:
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", **how) -> DataFrame:
     """The mixture itself, in order of virtual finish time: a row per time a document is taken, the last cut after its share of words.
 
-    A copy keeps the document's columns. Texts without a word are not taken.
+    A copy keeps the document's columns; text and n_chars are those of the copy. Texts without a word are not taken.
     """
-    m = mix(docs, **how).where("taken > 0").withColumn("_whole", F.expr("int(taken div size)")).withColumn("_part", F.expr("taken % size"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_doc"), F.col(id_col).alias("_i"), F.col(source_col).alias("_s"), F.col("text"))
+    m = mix(packed, id_col="_i", source_col="_s", **how).where("taken > 0")
     # word by word with the white space before each, so that what is cut keeps its form
     words = F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
-    head = F.when(F.col("_part") > 0, F.array(F.array_join(F.slice(words, F.lit(1), F.col("_part").cast("int")), ""))).otherwise(F.array().cast("array<string>"))
-    m = m.withColumn("_copy", F.explode(F.concat(F.array_repeat(F.col("text"), F.col("_whole")), head)))
-    cols = [F.col("_copy").alias("text") if c == "text" else F.length("_copy").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return m.orderBy("virtual_finish").select(*cols)
+    part = F.expr("cast(taken % size as int)")
+    head = F.when(part > 0, F.array(F.array_join(F.slice(words, F.lit(1), part), ""))).otherwise(F.array().cast("array<string>"))
+    m = m.select("_doc", "virtual_finish", F.explode(F.concat(F.array_repeat(F.col("text"), F.expr("cast(taken div size as int)")), head)).alias("_copy"))
+    own = {"text": F.col("_copy"), "n_chars": F.length("_copy").cast("long")}
+    return m.orderBy("virtual_finish").select(*[(own[c] if c in own else F.col(f"_doc.`{c}`")).alias(c) for c in docs.columns])
 
 
 def mix_sql(weights: Sequence[int], repeats: int, seed: str) -> str:

@@ -4,7 +4,8 @@ Validated numbers and dates are replaced by others of the same format: payment c
 social security numbers, calendar dates, and the letters and digits of mail addresses. Each format is a range 0..n-1 which the key permutes, so equal
 values get equal pseudonyms in all documents, and different values different ones. Numbers that fail validation stay as they are.
 
-Defined results: null text stays null with no spans; empty texts stay empty; repeated rows get equal results; whole texts are read; other columns are kept.
+Defined results: null text stays null with no spans; empty texts stay empty; repeated rows get equal results; whole texts are read; other columns are kept,
+but for one named pii_spans, which the result replaces.
 """
 
 from __future__ import annotations
@@ -62,8 +63,8 @@ FOUND = re.compile(
     r"|(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))"
     r"|(?P<date>(?<![\w-])(?:\d{4}-\d\d-\d\d|\d{4}/\d\d/\d\d|\d\d\.\d\d\.\d{4}|\d\d/\d\d/\d{4})(?![\w-]))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d\d-\d{4}(?![\w-]))"
-    r"|(?P<phone>(?<!\w)\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<!\w)\(\d{3}\) ?\d{3}-\d{4}(?!\w)|(?<![\w-])\d{3}[-.]\d{3}[-.]\d{4}(?![\w-]))"
-    r"|(?P<card>(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-]))",
+    r"|(?P<phone>(?<!\w)\+\d{1,3}[ .-]?(?:\(\d{2,4}\)(?:[ .-]?\d{3,4}){2}|(?:[ .-]?(?!\d{1,3}(?:\.\d{1,3}){3})\d{2,4}){2,4})(?!\w)|(?<!\w)\(\d{3}\) ?\d{3}-\d{4}(?!\w)|(?<![\w-])\d{3}[-.]\d{3}[-.]\d{4}(?![\w-]))"
+    r"|(?P<card>(?<![\w-])(?:\d{13,19}|\d{4}(?P<s>[ -])\d{4}(?P=s)\d{4}(?P=s)\d{1,7}|\d{4}(?P<r>[ -])\d{6}(?P=r)\d{5})(?![\w-]))",
     re.ASCII,
 )
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
@@ -148,19 +149,20 @@ SPAN = "array<struct<kind: string, start: long, end: long, pseudonym: string>>"
 
 def pseudonymised(text: str, permute: Permutation) -> tuple[str, list[dict]]:
     """The text with pseudonyms, and what was replaced: kind, start and end in the text as it was (code points), pseudonym."""
-    out, at, spans = [], 0, []
-    for m in FOUND.finditer(text):
+    out, at, spans, m = [], 0, [], FOUND.search(text)
+    while m:
         new = KINDS[m.lastgroup](m[0], permute)
         if new is not None:
             out += [text[at : m.start()], new]
             at = m.end()
             spans.append({"kind": m.lastgroup, "start": m.start(), "end": m.end(), "pseudonym": new})
+        m = FOUND.search(text, m.start() + 1 if new is None else at)  # what is not valid as a whole may hold something that is
     return "".join([*out, text[at:]]), spans
 
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """docs with the text's personal data replaced, and a column pii_spans."""
-    kept = [c for c in docs.columns if c != text_col]
+    kept = [c for c in docs.columns if c not in (text_col, "pii_spans")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         permute = Permutation(key.encode())
@@ -171,4 +173,4 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
 
     d = docs.select(*kept, text_col)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields) + f", pii_spans {SPAN}"
-    return d.mapInArrow(run, schema).select(*docs.columns, "pii_spans")
+    return d.mapInArrow(run, schema).select(*[c for c in docs.columns if c != "pii_spans"], "pii_spans")
