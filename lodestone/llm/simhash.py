@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import release, staged
+from .common import fresh, release, staged
 
 #: Odd factors from which wider fingerprints derive their lanes beyond the first.
 LANE = 0x9E3779B97F4A7C15
@@ -81,27 +81,27 @@ def sampled_keys(bytes_: int, width: int, count: int, seed: int = 7) -> list[tup
 
 
 def posted(fps: DataFrame, keys: Sequence[tuple[int, ...]], named: bool) -> DataFrame:
-    """(key, fp) for each fingerprint and byte group; with named, an 8-byte hash stands for the fingerprint."""
+    """(key, fp) for each fingerprint and byte group; with named, (key, fp, root), in which 8-byte hashes stand for the fingerprint and its root."""
     import xxhash
 
     n, wide = len(keys), max(map(len, keys)) + 2
+    columns = ["fp", "root"] if named else ["fp"]
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take = [np.array(k) for k in keys]
         for b in batches:
-            raw = b.column(0).to_pylist()
-            for at in range(0, len(raw), 500):
-                part = raw[at : at + 500]
-                m = np.frombuffer(b"".join(part), np.uint8).reshape(len(part), -1)
-                packed = np.zeros((len(part), n, wide), np.uint8)
+            for at in range(0, b.num_rows, 500):
+                raw = [c.slice(at, 500).to_pylist() for c in b.columns]
+                m = np.frombuffer(b"".join(raw[0]), np.uint8).reshape(len(raw[0]), -1)
+                packed = np.zeros((len(m), n, wide), np.uint8)
                 for j, t in enumerate(take):
                     packed[:, j, 0], packed[:, j, 1] = j >> 8, j & 255
                     packed[:, j, 2 : 2 + len(t)] = m[:, t]
                 flat = packed.reshape(-1, wide).tobytes()
-                own = [xxhash.xxh64_digest(x) for x in part] if named else part
-                yield pa.RecordBatch.from_arrays([pa.array([flat[i : i + wide] for i in range(0, len(flat), wide)], pa.binary()), pa.array([x for x in own for _ in range(n)], pa.binary())], names=["key", "fp"])
+                own = [[xxhash.xxh64_digest(x) for x in c] for c in raw] if named else raw
+                yield pa.RecordBatch.from_arrays([pa.array([flat[i : i + wide] for i in range(0, len(flat), wide)], pa.binary()), *[pa.array([x for x in c for _ in range(n)], pa.binary()) for c in own]], names=["key", *columns])
 
-    return fps.select("fp").mapInArrow(post, "key binary, fp binary")
+    return fps.select(*columns).mapInArrow(post, "key binary, " + ", ".join(f"{c} binary" for c in columns))
 
 
 def links(fps: DataFrame, keys: Sequence[tuple[int, ...]], radius: int, matches: int, posting: int = 32) -> DataFrame:
@@ -122,26 +122,37 @@ def links(fps: DataFrame, keys: Sequence[tuple[int, ...]], radius: int, matches:
 
 
 def likely_links(fps: DataFrame, keys: Sequence[tuple[int, ...]], radius: int, matches: int) -> DataFrame:
-    """Links between wide fingerprints within `radius` bits that meet under one of the sampled byte groups.
+    """Links between wide fingerprints (columns fp and root) of different roots within `radius` bits that meet under one of the sampled byte groups.
 
-    In a posting list, in an order of its own, each is compared with the first and with the three before: a list of copies stays connected over its
-    many keys, and the comparisons stay proportional to the postings.
+    In a posting list, in an order of its own, each is compared with the one before: a list of copies is a path, and over its many keys the paths hold a
+    group together, while comparisons and links stay fewer than the postings.
     """
     in_list = Window.partitionBy("key").orderBy(F.xxhash64("key", "fp"), "fp")
-    before = [F.lag("fp", k).over(in_list) for k in (1, 2, 3)]
-    met = posted(fps, keys, True).select("fp", F.array(F.first("fp").over(in_list), *before).alias("others"), F.lag("fp").over(in_list).alias("before")).where("before is not null")
-    other = F.explode(F.array_distinct(F.filter("others", lambda x: x.isNotNull()))).alias("x")
-    pairs = met.select(other, "fp").select(F.least("x", "fp").alias("x"), F.greatest("x", "fp").alias("y")).where("x <> y").distinct()
+    met = posted(fps, keys, True).select("fp", "root", F.lag(F.struct("fp", "root")).over(in_list).alias("before")).where("before.root <> root")
+    pairs = met.select(F.least("before.fp", "fp").alias("x"), F.greatest("before.fp", "fp").alias("y")).distinct()
     names = fps.select("fp").mapInArrow(with_hash, "x binary, fp binary")
-    both = pairs.join(names.withColumnRenamed("fp", "a"), "x").join(names.withColumnRenamed("x", "y").withColumnRenamed("fp", "b"), "y")
+    both = pairs.join(names.toDF("x", "a"), "x").join(names.toDF("y", "b"), "y")
     return verified(both.select("a", "b"), radius, matches)
 
 
+def likely_groups(classes: DataFrame, keys: Sequence[tuple[int, ...]], radius: int, matches: int, first: int = 32) -> DataFrame:
+    """fp and root of each class. The first keys link most of a group of copies; under the others only what is not yet in one group is verified and linked, so
+    that a large group does not bring a link for each of its many keys."""
+    found = likely_links(classes.select("fp", F.col("fp").alias("root")), keys[:first], radius, matches)
+    named = staged(rooted(classes, components(found)))
+    more = likely_links(named, keys[first:], radius, matches)
+    return rooted(classes, components(named.where("fp <> root").select(F.col("root").alias("a"), F.col("fp").alias("b")).unionByName(more)))
+
+
+def rooted(classes: DataFrame, reach: DataFrame) -> DataFrame:
+    return classes.join(reach, classes.fp == reach.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def with_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
 
     for b in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh64_digest(x.as_py()) for x in b.column(0)], pa.binary()), b.column(0)], names=["x", "fp"])
+        yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh64_digest(x.as_py()) for x in b.column(0)], pa.binary()), *b.columns], names=["x", "fp"])
 
 
 def one_bit_away(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,12 +209,10 @@ def grouped(docs: DataFrame, shingle: int, lanes: int, radius: int, matches: int
     """The rows' fingerprints, and root of each distinct fingerprint."""
     f = staged(fingerprints(docs, shingle, lanes, id_col, text_col))
     classes = f.select("fp").distinct()
-    if lanes == 1:
-        found = links(classes, keys or covering_keys(8, radius), radius, 8 - radius if matches is None else matches, posting)
-    else:
-        found = likely_links(classes, keys or sampled_keys(8 * lanes, 3, 256), radius, 3 if matches is None else matches)
-    reach = components(found)
-    return f, classes.join(reach, classes.fp == reach.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    if lanes > 1:
+        return f, likely_groups(classes, keys or sampled_keys(8 * lanes, 3, 256), radius, 3 if matches is None else matches)
+    found = links(classes, keys or covering_keys(8, radius), radius, 8 - radius if matches is None else matches, posting)
+    return f, rooted(classes, components(found))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, lanes: int = 1, radius: int = 2, matches: int | None = None, keys: Sequence[tuple[int, ...]] | None = None, posting: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -223,7 +232,7 @@ def representatives(docs: DataFrame, shingle: int = 5, lanes: int = 4, radius: i
     """The rows of docs of which one stays for each component: that with the least id."""
     f, roots = grouped(docs, shingle, lanes, radius, matches, keys, posting, id_col, text_col)
     least = f.groupBy("fp").agg(F.min(F.struct("k0", "k1", "k2")).alias("k")).join(roots, "fp").groupBy("root").agg(F.min("k").alias("k")).select("k.*")
-    keyed = docs.select("*", *[c.alias(f"_{n}") for c, n in zip(row_key(id_col, text_col), ("k0", "k1", "k2"), strict=True)])
-    names = {f"_{k}": k for k in ("k0", "k1", "k2")}
-    kept = keyed.join(least.select(*[F.col(k).alias(n) for n, k in names.items()]), list(names), "left_semi")
-    return kept.dropDuplicates(list(names)).select(*docs.columns)
+    names = fresh(docs, "k0", "k1", "k2")
+    keyed = docs.select("*", *[c.alias(n) for c, n in zip(row_key(id_col, text_col), names, strict=True)])
+    kept = keyed.join(least.toDF(*names), names, "left_semi")
+    return kept.dropDuplicates(names).select(*docs.columns)
