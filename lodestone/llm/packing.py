@@ -32,7 +32,7 @@ CACHED_WORDS = 250_000
 WHOLE = 1 << 36
 
 
-#: Letters, and ASCII punctuation behind them: what the quick engine may encode.
+#: Letters, and ASCII punctuation behind them: what the quick engine may encode (what is matched as letters may still be numbers that aren't digits).
 PLAIN = re.compile(r"([^\W\d_]*)([!-/:-@\[-`{-~]*)")
 
 
@@ -68,7 +68,7 @@ class WordTokenizer:
         for w in words:
             t = w.decode()
             m = PLAIN.fullmatch(t)
-            if m and (t.isascii() or unicodedata.is_normalized("NFC", t)) and t == t.lower() and "<|" not in t:
+            if m and (not m[1] or m[1].isalpha()) and (t.isascii() or unicodedata.is_normalized("NFC", t)) and t == t.lower() and "<|" not in t:
                 ids = [i for part in m.groups() if part for i in self.piece(part.encode() + b"\xff")]
                 self.young[w] = array.array("I", ids).tobytes()
             else:

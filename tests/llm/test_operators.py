@@ -85,7 +85,7 @@ def test_packing_odd_rows(odd, empty):
     assert packing.pack(empty, **how).count() == 0
 
 
-@settings(max_examples=60, deadline=None)
+@settings(max_examples=600, deadline=None)
 @given(st.text(max_size=60))
 def test_word_tokenizer_is_the_tokenizer(text):
     from tokenizers import Tokenizer
@@ -105,7 +105,7 @@ def test_word_tokenizer_on_all_words_of_a_table():
     texts = [r[0] for r in duckdb.sql("select text from '/root/testdata/sf0.01/documents.parquet'").fetchall()]
     for t, e in zip(texts, whole.encode_batch(texts, add_special_tokens=False), strict=True):
         assert np.frombuffer(own.ids(t), "<u4").tolist() == e.ids
-    for t in ("it's we'll _x_ a__b don't 's", "ÉCOLE e\u0301 ΣΑΣ", "<|endoftext|> <|ENDOFTEXT|>", "\x1c a\u00a0b 12ab34", "naïve, \u0130stanbul!? ß."):
+    for t in ("it's we'll _x_ a__b don't 's", "ÉCOLE e\u0301 ΣΑΣ", "<|endoftext|> <|ENDOFTEXT|>", "\x1c a\u00a0b 12ab34", "naïve, \u0130stanbul!? ß.", "A¼ ½x ²ⅷ Ⅷ"):
         assert np.frombuffer(own.ids(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, t
 
 
