@@ -180,10 +180,11 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same = lambda f: F.when(wide_hash(f) == F.col("g.own.digest"), f == canonical(F.col("text"))).otherwise(F.lit(False))
     seen = let(edited, lambda e: F.struct(F.sha2(e, 256).alias("sha"), let(canonical(e), lambda f: F.struct(wide_hash(f).alias("digest"), same(f).alias("same"))).alias("form")))
     doc_id = F.when(~F.col("k0"), F.bitwise_not("k1")).alias("doc_id")
-    rows = rows.select(doc_id, F.length("text").cast("long").alias("n_chars"), seen.alias("e"), F.col("g.own.digest").alias("digest"), F.col("g.own.suffix").alias("suffix"), (F.col("g.own") == F.col("g.follow")).cast("double").alias("near_next"))
-
+    # the few uneven digests are looked up by key: a digest that a third of all texts share stays dealt over its rows
     shared = small.groupBy("own.digest").agg(F.sum("times").alias("times")).where("times > 1").select("digest")
     doubled = small.select(*KEY, F.col("own.digest").alias("digest")).join(shared, "digest", "left_semi")
-    uneven = uneven_buckets(dealt.join(doubled, KEY).select("digest", canonical(F.col("text")).alias("form"))).withColumn("uneven", F.lit(True))
-    rows = rows.join(uneven, "digest", "left")
+    uneven = uneven_buckets(dealt.join(doubled, KEY).select("digest", canonical(F.col("text")).alias("form")))
+    marked = doubled.join(uneven, "digest", "left_semi").select(*KEY, F.lit(True).alias("uneven"))
+    rows = rows.select(*KEY, doc_id, F.length("text").cast("long").alias("n_chars"), seen.alias("e"), F.col("g.own.digest").alias("digest"), F.col("g.own.suffix").alias("suffix"), (F.col("g.own") == F.col("g.follow")).cast("double").alias("near_next"))
+    rows = rows.join(marked, KEY, "left")
     return rows.select("doc_id", "n_chars", F.col("e.sha").alias("edited_sha256"), named().alias("fingerprint"), F.col("e.form.digest").alias("edited_fingerprint"), F.col("e.form.same").cast("double").alias("near_edited"), "near_next")
