@@ -3,8 +3,7 @@
 A fingerprint bit is 1 if it is set in over half the hashes of a document's word shingles. Distinct fingerprints are posted under keys of
 several positional bytes each; two that meet under a key are a candidate pair, whose shared positional bytes are tallied. Pairs that reach the
 minimum number of matches go on to verification by the number of differing bits. With 8 bytes and at most 2 differing bits at least 6 bytes
-match, so one of the six keys of two byte pairs must: no link is lost. Wide fingerprints, for texts that are merely alike, are posted under
-sampled groups of 3 of their bytes: no number of matches is guaranteed there, and links are found with a probability. Posting lists longer than `posting` are not paired: their members
+match, so one of the six keys of two byte pairs must: no link is lost. Posting lists longer than `posting` are not paired: their members
 are linked through all points one bit away (two fingerprints within 2 bits share such a point, others never do), so work stays linear.
 Links are contracted to components by alternating star steps, each written to the shared folder.
 
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, release, staged
+from .common import release, staged
 
 #: Odd factors from which wider fingerprints derive their lanes beyond the first.
 LANE = 0x9E3779B97F4A7C15
@@ -80,28 +79,24 @@ def sampled_keys(bytes_: int, width: int, count: int, seed: int = 7) -> list[tup
     return [tuple(sorted(r.sample(range(bytes_), width))) for _ in range(count)]
 
 
-def posted(fps: DataFrame, keys: Sequence[tuple[int, ...]], named: bool) -> DataFrame:
-    """(key, fp) for each fingerprint and byte group; with named, (key, fp, root), in which 8-byte hashes stand for the fingerprint and its root."""
-    import xxhash
-
+def posted(fps: DataFrame, keys: Sequence[tuple[int, ...]]) -> DataFrame:
+    """(key, fp) for each fingerprint and byte group."""
     n, wide = len(keys), max(map(len, keys)) + 2
-    columns = ["fp", "root"] if named else ["fp"]
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take = [np.array(k) for k in keys]
         for b in batches:
             for at in range(0, b.num_rows, 500):
-                raw = [c.slice(at, 500).to_pylist() for c in b.columns]
-                m = np.frombuffer(b"".join(raw[0]), np.uint8).reshape(len(raw[0]), -1)
+                raw = b.column(0).slice(at, 500).to_pylist()
+                m = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)
                 packed = np.zeros((len(m), n, wide), np.uint8)
                 for j, t in enumerate(take):
                     packed[:, j, 0], packed[:, j, 1] = j >> 8, j & 255
                     packed[:, j, 2 : 2 + len(t)] = m[:, t]
                 flat = packed.reshape(-1, wide).tobytes()
-                own = [[xxhash.xxh64_digest(x) for x in c] for c in raw] if named else raw
-                yield pa.RecordBatch.from_arrays([pa.array([flat[i : i + wide] for i in range(0, len(flat), wide)], pa.binary()), *[pa.array([x for x in c for _ in range(n)], pa.binary()) for c in own]], names=["key", *columns])
+                yield pa.RecordBatch.from_arrays([pa.array([flat[i : i + wide] for i in range(0, len(flat), wide)], pa.binary()), pa.array([x for x in raw for _ in range(n)], pa.binary())], names=["key", "fp"])
 
-    return fps.select(*columns).mapInArrow(post, "key binary, " + ", ".join(f"{c} binary" for c in columns))
+    return fps.select("fp").mapInArrow(post, "key binary, fp binary")
 
 
 def links(fps: DataFrame, keys: Sequence[tuple[int, ...]], radius: int, matches: int, posting: int = 32) -> DataFrame:
@@ -110,7 +105,7 @@ def links(fps: DataFrame, keys: Sequence[tuple[int, ...]], radius: int, matches:
     keys: positional bytes under which a fingerprint is posted, from covering_keys(); matches: shared positional bytes that a pair needs.
     The members of a posting list longer than `posting` are linked where they meet in a point at most one bit away instead.
     """
-    p = posted(fps, keys, False)
+    p = posted(fps, keys)
     lists = p.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     shared = staged(p.join(lists, "key"))
     small = shared.where(F.col("size") <= posting)
@@ -121,40 +116,10 @@ def links(fps: DataFrame, keys: Sequence[tuple[int, ...]], radius: int, matches:
     return verified(pairs.distinct(), radius, matches).unionByName(near.distinct())
 
 
-def likely_links(fps: DataFrame, keys: Sequence[tuple[int, ...]], radius: int, matches: int) -> DataFrame:
-    """Links between wide fingerprints (columns fp and root) of different roots within `radius` bits that meet under one of the sampled byte groups.
-
-    In a posting list, in an order of its own, each is compared with the one before: a list of copies is a path, and over its many keys the paths hold a
-    group together, while comparisons and links stay fewer than the postings.
-    """
-    in_list = Window.partitionBy("key").orderBy(F.xxhash64("key", "fp"), "fp")
-    met = posted(fps, keys, True).select("fp", "root", F.lag(F.struct("fp", "root")).over(in_list).alias("before")).where("before.root <> root")
-    pairs = met.select(F.least("before.fp", "fp").alias("x"), F.greatest("before.fp", "fp").alias("y")).distinct()
-    names = fps.select("fp").mapInArrow(with_hash, "x binary, fp binary")
-    both = pairs.join(names.toDF("x", "a"), "x").join(names.toDF("y", "b"), "y")
-    return verified(both.select("a", "b"), radius, matches)
-
-
-def likely_groups(classes: DataFrame, keys: Sequence[tuple[int, ...]], radius: int, matches: int, first: int = 32) -> DataFrame:
-    """fp and root of each class. The first keys link most of a group of copies; under the others only what is not yet in one group is verified and linked, so
-    that a large group does not bring a link for each of its many keys."""
-    found = likely_links(classes.select("fp", F.col("fp").alias("root")), keys[:first], radius, matches)
-    named = staged(rooted(classes, components(found)))
-    more = likely_links(named, keys[first:], radius, matches)
-    return rooted(classes, components(named.where("fp <> root").select(F.col("root").alias("a"), F.col("fp").alias("b")).unionByName(more)))
-
-
 def rooted(classes: DataFrame, reach: DataFrame) -> DataFrame:
     return classes.join(reach, classes.fp == reach.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
-def with_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import xxhash
-
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh64_digest(x.as_py()) for x in b.column(0)], pa.binary()), *b.columns], names=["x", "fp"])
-
-
 def one_bit_away(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each fingerprint with itself and its 64 neighbours; a point's name is 9 bytes long."""
     flips = np.concatenate([[0], np.uint64(1) << np.arange(64, dtype=np.uint64)]).astype(np.uint64)
@@ -205,34 +170,22 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return e.toDF("node", "root").union(e.select("v", "v").distinct())
 
 
-def grouped(docs: DataFrame, shingle: int, lanes: int, radius: int, matches: int | None, keys: Sequence[tuple[int, ...]] | None, posting: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """The rows' fingerprints, and root of each distinct fingerprint."""
-    f = staged(fingerprints(docs, shingle, lanes, id_col, text_col))
-    classes = f.select("fp").distinct()
-    if lanes > 1:
-        return f, likely_groups(classes, keys or sampled_keys(8 * lanes, 3, 256), radius, 3 if matches is None else matches)
-    found = links(classes, keys or covering_keys(8, radius), radius, 8 - radius if matches is None else matches, posting)
-    return f, rooted(classes, components(found))
-
-
-def near_duplicates(docs: DataFrame, shingle: int = 3, lanes: int = 1, radius: int = 2, matches: int | None = None, keys: Sequence[tuple[int, ...]] | None = None, posting: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, matches: int | None = None, keys: Sequence[tuple[int, ...]] | None = None, posting: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (hex) and component_id, the least doc_id that links reach.
 
-    shingle: words of a shingle; lanes: 64-bit lanes of a fingerprint; radius: bits that linked fingerprints may differ in. One lane with radius
-    1 or 2 loses no link; more lanes, with sampled byte groups, find a link with a probability that grows with the likeness.
+    shingle: words of a shingle; radius: bits that linked fingerprints may differ in, 1 or 2; no link is lost.
     """
-    f, roots = grouped(docs, shingle, lanes, radius, matches, keys, posting, id_col, text_col)
+    f = staged(fingerprints(docs, shingle, 1, id_col, text_col))
+    classes = f.select("fp").distinct()
+    roots = rooted(classes, components(links(classes, keys or covering_keys(8, radius), radius, 8 - radius if matches is None else matches, posting)))
     firsts = f.groupBy("fp").agg(F.min("doc_id").alias("first")).join(roots, "fp")
     least = firsts.groupBy("root").agg(F.min("first").alias("component_id"))
     named = firsts.join(least, "root").select("fp", "component_id")
     return f.join(named, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame, shingle: int = 5, lanes: int = 4, radius: int = 48, matches: int | None = None, keys: Sequence[tuple[int, ...]] | None = None, posting: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs of which one stays for each component: that with the least id."""
-    f, roots = grouped(docs, shingle, lanes, radius, matches, keys, posting, id_col, text_col)
-    least = f.groupBy("fp").agg(F.min(F.struct("k0", "k1", "k2")).alias("k")).join(roots, "fp").groupBy("root").agg(F.min("k").alias("k")).select("k.*")
-    names = fresh(docs, "k0", "k1", "k2")
-    keyed = docs.select("*", *[c.alias(n) for c, n in zip(row_key(id_col, text_col), names, strict=True)])
-    kept = keyed.join(least.toDF(*names), names, "left_semi")
-    return kept.dropDuplicates(names).select(*docs.columns)
+def representatives(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs of which one stays for each group of near copies, by the exact likeness of their shingles."""
+    from . import near_copies  # takes components() from here
+
+    return near_copies.representatives(docs, shingle, id_col=id_col, text_col=text_col)
