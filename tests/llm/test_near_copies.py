@@ -63,3 +63,11 @@ def test_sketches_are_bounds():
         a = np.unique(r.integers(0, 1 << 63, r.integers(1, 900)).astype(np.uint64))
         b = np.unique(np.concatenate([a[r.random(len(a)) < 0.8], r.integers(0, 1 << 63, r.integers(0, 900)).astype(np.uint64)]))
         assert near_copies.differing(near_copies.sketch(a), near_copies.sketch(b)) <= len(np.setxor1d(a, b))
+
+
+def test_less_alike_texts_stay(spark):
+    """Two changed words in 60 leave a likeness of 0.70, though only 44 of 256 fingerprint bits differ; one leaves 0.84."""
+    base = [f"w{i}" for i in range(60)]
+    twice, once = list(base), list(base)
+    twice[5] = twice[11] = once[30] = "x"
+    assert kept(spark, [(1, " ".join(base)), (2, " ".join(twice)), (3, " ".join(once))]) == [1, 2]
