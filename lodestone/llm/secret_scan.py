@@ -66,12 +66,13 @@ def random_strings(count: int = 4000, seed: int = 11) -> list[str]:
     return ["".join(r.choices(kinds[k % 4], k=r.randint(20, 64))) for k in range(count)]
 
 
-def identifiers(docs: DataFrame, rows: int = 1000, text_col: str = "text") -> list[str]:
-    """Labelled samples of ordinary identifiers: the distinct words without digits, and the short ones with, in at most `rows` texts chosen by hash; with joined forms
-    of them, as in code and addresses."""
-    chosen = docs.select(F.col(text_col).alias("t")).where(F.col("t").isNotNull()).orderBy(F.xxhash64("t")).limit(rows)
-    words = chosen.select(F.explode(F.array_distinct(F.regexp_extract_all(F.substring("t", 1, 20000), F.lit(r"[A-Za-z0-9]{2,15}"), F.lit(0)))).alias("w")).distinct().orderBy("w").limit(50_000)
-    ws = [x[0] for x in words.collect()]
+def identifiers(docs: DataFrame, rows: int = 1000, text_col: str = "text", words: int = 200_000) -> list[str]:
+    """Labelled samples of ordinary identifiers: the distinct words without digits, and the short ones with, in at most `rows` distinct texts chosen by hash, whole; with
+    joined forms of them, as in code and addresses. More than `words` words are sampled by hash."""
+    texts = docs.select(F.col(text_col).alias("t")).where(F.col("t").isNotNull()).withColumn("h", F.xxhash64("t"))
+    chosen = texts.where(F.col("h").isin([x[0] for x in texts.select("h").distinct().orderBy("h").limit(rows).collect()]))
+    found = chosen.select(F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(r"[A-Za-z0-9]{2,15}"), F.lit(0)))).alias("w")).distinct().orderBy(F.xxhash64("w"), "w").limit(words)
+    ws = sorted(x[0] for x in found.collect())
     r = random.Random(5)
     joined = [sep.join(r.choices(ws, k=3)) for sep in "_-/=" for _ in range(300)] if ws else []
     return ws + joined + [f"{w}{r.randint(1, 9999)}" for w in ws[:: max(1, len(ws) // 500)]]
