@@ -8,12 +8,15 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch_path(spark: SparkSession) -> str:
-    """A fresh path below spark.checkpoint.dir; only where that is unset (tests), below a temporary folder."""
+    """A fresh path below spark.checkpoint.dir; only where that is unset in local mode (tests), below a temporary folder. On a cluster it must be set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "lodestone-checkpoints")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/lodestone-{uuid.uuid4().hex}"
@@ -46,6 +49,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def joined_by_key(rows: DataFrame, small: DataFrame, keys: list[str], count_col: str, total: int, share: int = 512) -> DataFrame:
+    """rows joined with small, a staged table with a row per key and, in count_col, the number of that key's rows among all `total`.
+
+    At most `share` keys can hold more than total / share rows each; those meet their rows by broadcast, so no task gets all rows of a hot key.
+    """
+    cut = max(total // share, 1000)
+    hot = small.where(F.col(count_col) > cut)
+    if hot.isEmpty():
+        return rows.join(small.drop(count_col), keys)
+    plain = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(small.where(F.col(count_col) <= cut).drop(count_col), keys)
+    return rows.join(F.broadcast(hot.drop(count_col)), keys).unionByName(plain)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores behind it as it takes to be no column of df."""
     out = []
