@@ -13,9 +13,7 @@ rows; columns besides the id and the text are ignored; very long texts span many
 from __future__ import annotations
 
 import array
-import json
 import re
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,49 +30,37 @@ CACHED_WORDS = 250_000
 WHOLE = 1 << 36
 
 
-#: Letters, and ASCII punctuation behind them: what the quick engine may encode (what is matched as letters may still be numbers that aren't digits).
-PLAIN = re.compile(r"([^\W\d_]*)([!-/:-@\[-`{-~]*)")
+#: ASCII letters, and ASCII punctuation behind them: the tokenizer's normalizer leaves such words alone, and its pre-tokenizer cuts them in these two.
+PLAIN = re.compile(r"([a-z]*)([!-/:-@\[-`{-~]*)")
 
 
 class WordTokenizer:
     """Ids of a tokenizer that lower-cases, never merges over ASCII white space and marks each word's last id, with the ids of each word kept.
 
-    The table has two generations: what is asked for moves to the young one, which becomes the old one when it is full, so frequent words stay. Words of letters, or of
-    letters and then punctuation, go to a second engine with the same merges, in which a byte that UTF-8 never has stands for the end of a word; all others go to the tokenizer.
+    A word goes through the tokenizer's own normalizer, pre-tokenizer and model one by one, which saves what a whole encoding costs besides; words that may hold a
+    special token are encoded as a whole. The table has two generations: what is asked for moves to the young one, which becomes the old one when it is full, so
+    frequent words stay.
     """
 
     def __init__(self, path: str):
-        import tiktoken
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode_batch_fast
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-        byte = {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(own)))}
-        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        merged = [model["vocab"][a + b] for a, b in pairs]
-        letters = [i for t, i in model["vocab"].items() if len(t.removesuffix("</w>")) == 1]
-        if merged != sorted(merged) or max(letters) > merged[0]:
-            raise ValueError(f"ids in {path} are not in the order of the merges")
-        made = set(merged) | set(letters)
-        ranks = {bytes(byte[c] for c in t.removesuffix("</w>")) + b"\xff" * t.endswith("</w>"): i for t, i in model["vocab"].items() if i in made}
-        self.piece = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        self.tokenizer = Tokenizer.from_file(path)
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
     def learn(self, words: list[bytes]) -> None:
-        hard = []
+        t = self.tokenizer
+        norm, cut, tokenize = t.normalizer.normalize_str, t.pre_tokenizer.pre_tokenize_str, t.model.tokenize
         for w in words:
-            t = w.decode()
-            m = PLAIN.fullmatch(t)
-            if m and (not m[1] or m[1].isalpha()) and (t.isascii() or unicodedata.is_normalized("NFC", t)) and t == t.lower() and "<|" not in t:
-                ids = [i for part in m.groups() if part for i in self.piece(part.encode() + b"\xff")]
-                self.young[w] = array.array("I", ids).tobytes()
+            text = w.decode()
+            if "<|" in text:
+                ids = t.encode(text, add_special_tokens=False).ids
+            elif m := PLAIN.fullmatch(text):
+                ids = [x.id for part in m.groups() if part for x in tokenize(part)]
             else:
-                hard.append(w)
-        for w, e in zip(hard, self.encode([w.decode() for w in hard], add_special_tokens=False), strict=True):
-            self.young[w] = array.array("I", e.ids).tobytes()
+                ids = [x.id for part, _ in cut(norm(text)) for x in tokenize(part)]
+            self.young[w] = array.array("I", ids).tobytes()
 
     def ids(self, text: str | None) -> bytes:
         """The text's ids as little-endian unsigned 32-bit numbers."""
