@@ -46,27 +46,42 @@ def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     return at, n[at]
 
 
-def proportions(like: np.ndarray, counts: np.ndarray, rounds: int = 12) -> tuple[np.ndarray, float]:
-    """Mixture proportions by expectation-maximisation over likelihoods (languages by trigrams), and the log-likelihood."""
-    share = np.full(len(like), 1 / len(like))
+def proportions(like: np.ndarray, counts: np.ndarray, start: np.ndarray | None = None, rounds: int = 200, close: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Mixture proportions by expectation-maximisation over likelihoods (languages by trigrams), until none moves by more than `close`, and the log-likelihood."""
+    share = np.full(len(like), 1 / len(like)) if start is None else start
     total = counts.sum()
     for _ in range(rounds):
-        mixed = share @ like
-        share = share * (like @ (counts / mixed)) / total
+        after = share * (like @ (counts / (share @ like))) / total
+        moved = np.abs(after - share).max()
+        share = after
+        if moved <= close:
+            break
     return share, float(counts @ np.log(share @ like))
 
 
-def infer(likelihood: np.ndarray, at: np.ndarray, counts: np.ndarray, tried: int = 4) -> tuple[dict[int, float], float]:
-    """Proportions of the selected languages, and the certainty of the first against all others on its own."""
+def infer(likelihood: np.ndarray, at: np.ndarray, counts: np.ndarray) -> tuple[dict[int, float], float]:
+    """Proportions of the selected languages, and the certainty of the first against all others on its own.
+
+    The set grows from the likeliest single language. Each step tries every language that is not in it yet: first by what a small share of it would gain, which
+    bounds the rest (the log-likelihood is concave in the shares), then the most promising ones in full, until no other can gain more than the best found.
+    """
     like = likelihood[:, at]
     alone = np.log(like) @ counts
-    order = np.argsort(-alone, kind="stable")
-    chosen, share, best = [int(order[0])], np.ones(1), float(alone[order[0]])
+    first = int(np.argmax(alone))
+    chosen, share, best = [first], np.ones(1), float(alone[first])
     certainty = 1 / np.exp(np.maximum(alone - best, -700)).sum()
     penalty = 0.5 * np.log(counts.sum() + 1)
     while len(chosen) < len(likelihood):
-        found = max(((*proportions(like[[*chosen, int(k)]], counts), int(k)) for k in order[: tried + len(chosen)] if int(k) not in chosen), key=lambda x: x[1])
-        if found[1] <= best + penalty:
+        mixed = share @ like[chosen]
+        slope = like @ (counts / mixed) - counts.sum()  # of the log-likelihood towards each language: no mixture with it gains more than this
+        found = None
+        for k in np.argsort(-slope, kind="stable").tolist():
+            if slope[k] <= max(penalty, found[1] - best if found else 0.0):
+                break
+            if k not in chosen:
+                own = (*proportions(like[[*chosen, k]], counts, np.append(share * 0.9, 0.1)), k)
+                found = own if found is None or own[1] > found[1] else found
+        if found is None or found[1] <= best + penalty:
             break
         share, best = found[0], found[1]
         chosen.append(found[2])
@@ -85,16 +100,20 @@ def fit(labelled: DataFrame, per_language: int = 1500, smoothing: float = 0.2, t
         odds = F.when(F.col(lang_col) == lang, F.lit(min(1.0, per_language / n))).otherwise(odds)
     sample = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(key, F.lit(1 << 20)).alias("h")).where(F.col("h") < odds * (1 << 20))
 
-    def count(group: pa.Table) -> pa.Table:
-        total = np.zeros(BUCKETS, "<i8")
-        for t in group.column("text"):
-            at, n = trigrams(t.as_py())
-            total[at] += n
-        return pa.table({"lang": pa.array([group.column("lang")[0].as_py()]), "counts": pa.array([total.tobytes()], pa.binary())})
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}  # a fixed table for each language, whatever the texts
+        for b in batches:
+            for lang, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                at, n = trigrams(t.as_py())
+                held.setdefault(lang, np.zeros(BUCKETS, np.int64))[at] += n
+        for lang, total in held.items():
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(total[at])], names=["lang", "at", "n"])
 
     totals = {x: np.zeros(BUCKETS) for x in sizes}
-    for lang, raw in sample.groupBy("lang", (F.col("h") % 8).alias("salt")).applyInArrow(count, "lang string, counts binary").collect():
-        totals[lang] += np.frombuffer(raw, "<i8")
+    met = sample.select("lang", "text").mapInArrow(count, "lang string, at long, n long").groupBy("lang", "at").agg(F.sum("n").alias("n"))
+    for lang, at, n in met.collect():  # at most BUCKETS rows a language
+        totals[lang][at] = n
     langs = sorted(totals)
     table = np.array([totals[x] for x in langs]) + smoothing
     return langs, table / table.sum(1, keepdims=True)
