@@ -2,10 +2,11 @@
 
 Validated numbers and dates are replaced by others of the same format: payment cards (issuer prefix and Luhn digit stay valid), phone numbers, IPv4 addresses,
 social security numbers, calendar dates, and the letters and digits of mail addresses. Each format is a range 0..n-1 which the key permutes, so equal
-values get equal pseudonyms in all documents, and different values different ones. Numbers that fail validation stay as they are.
+values get equal pseudonyms in all documents, and different values different ones. Numbers that fail validation stay as they are. A date with slashes is read
+month first, or day first if its first number is over 12; mail addresses have at most 64 characters before the sign, as their standard says.
 
-Defined results: null text stays null with no spans; empty texts stay empty; repeated rows get equal results; whole texts are read; other columns are kept,
-but for one named pii_spans, which the result replaces.
+Defined results: null text stays null with no spans; empty texts stay empty; repeated rows get equal results; whole texts are read, in time proportional to
+their length; an empty table gives no rows; other columns are kept, but for one named pii_spans, which the result replaces.
 """
 
 from __future__ import annotations
@@ -59,7 +60,7 @@ def luhn_digit(digits: str) -> str:
 CARD = re.compile(r"(?:(4)\d{12}(?:\d{3}){0,2}|(5[1-5])\d{14}|(2(?:22[1-9]|2[3-9]\d|[3-6]\d\d|7[01]\d|720))\d{12}|(3[47])\d{13}|(6011|65\d\d)\d{12})")
 #: What is looked at, by kind; each is validated before it is replaced.
 FOUND = re.compile(
-    r"(?P<mail>[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
+    r"(?:(?<![A-Za-z0-9._%+-])[._%+-]*+(?P<mail>[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,10}\.[A-Za-z]{2,63}))"
     r"|(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))"
     r"|(?P<date>(?<![\w-])(?:\d{4}-\d\d-\d\d|\d{4}/\d\d/\d\d|\d\d\.\d\d\.\d{4}|\d\d/\d\d/\d{4})(?![\w-]))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d\d-\d{4}(?![\w-]))"
@@ -68,7 +69,7 @@ FOUND = re.compile(
     re.ASCII,
 )
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
-DATE_FORM = {"-": "%Y-%m-%d", "/": "%Y/%m/%d", ".": "%d.%m.%Y", "//": "%m/%d/%Y"}
+DATE_FORM = {"-": "%Y-%m-%d", "/": "%Y/%m/%d", ".": "%d.%m.%Y", "//": "%m/%d/%Y", "d": "%d/%m/%Y"}
 
 
 def relaid(layout: str, digits: str) -> str:
@@ -114,7 +115,7 @@ def ssn(s: str, permute: Permutation) -> str | None:
 
 
 def date(s: str, permute: Permutation) -> str | None:
-    form = DATE_FORM["-" if "-" in s else "." if "." in s else "/" if s[4] == "/" else "//"]
+    form = DATE_FORM["-" if "-" in s else "." if "." in s else "/" if s[4] == "/" else "//" if int(s[:2]) <= 12 else "d"]
     try:
         day = datetime.datetime.strptime(s, form).date().toordinal()
     except ValueError:
@@ -122,6 +123,8 @@ def date(s: str, permute: Permutation) -> str | None:
     if not FIRST_DAY <= day <= LAST_DAY:
         return None
     new = datetime.date.fromordinal(FIRST_DAY + permute("date", day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1))
+    while form == DATE_FORM["d"] and new.day <= 12:  # walked on to a day that is read day first again
+        new = datetime.date.fromordinal(FIRST_DAY + permute("date", new.toordinal() - FIRST_DAY, LAST_DAY - FIRST_DAY + 1))
     return form.replace("%Y", f"{new.year:04d}").replace("%m", f"{new.month:02d}").replace("%d", f"{new.day:02d}")
 
 
@@ -151,12 +154,14 @@ def pseudonymised(text: str, permute: Permutation) -> tuple[str, list[dict]]:
     """The text with pseudonyms, and what was replaced: kind, start and end in the text as it was (code points), pseudonym."""
     out, at, spans, m = [], 0, [], FOUND.search(text)
     while m:
-        new = KINDS[m.lastgroup](m[0], permute)
+        kind = m.lastgroup
+        start, end = m.span(kind)
+        new = KINDS[kind](m[kind], permute)
         if new is not None:
-            out += [text[at : m.start()], new]
-            at = m.end()
-            spans.append({"kind": m.lastgroup, "start": m.start(), "end": m.end(), "pseudonym": new})
-        m = FOUND.search(text, m.start() + 1 if new is None else at)  # what is not valid as a whole may hold something that is
+            out += [text[at:start], new]
+            at = end
+            spans.append({"kind": kind, "start": start, "end": end, "pseudonym": new})
+        m = FOUND.search(text, start + 1 if new is None else at)  # what is not valid as a whole may hold something that is
     return "".join([*out, text[at:]]), spans
 
 
