@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import mixing, near_copies, packing, pseudonyms, queries, toxicity
+from lodestone.llm import mixing, packing, pseudonyms, queries, simhash, toxicity
 from lodestone.llm.common import staged, table
 
 
@@ -20,7 +20,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the least id, of each group of likeness 0.8 or more in shingles of five words."""
     queries.small_batches(spark)
-    return near_copies.representatives(docs, shingle=5)
+    return simhash.representatives(docs, shingle=5, likeness=0.8)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,12 +1,15 @@
-"""Near copies by the Jaccard likeness of word shingles, exact: a prefix index finds every pair that can be alike enough, shingle sets verify it.
+"""What completes the SimHash near-dedup to a likeness of word shingles: links that differ in too many bits for the index of the fingerprints' bytes.
 
-Texts with the same set of shingles are one class. Shingles have a global order, those common in a sample of texts last, which decides what the work costs
+Texts with the same set of shingles are one class. Pairs of classes that simhash.links() finds are candidates like others. Shingles have a global order, those common in a sample of texts last, which decides what the work costs
 and not what is found. Two sets of likeness t share one of the first n - ceil(t n) + 1 of each, so all pairs of each posting list of these are candidates.
 Sets are first compared by sketches, parities of shingle counts in buckets: they differ in no more bits than the sets differ in shingles, so no pair is
 lost. What remains is verified by the sets themselves.
 
-First each member of a list meets two leaders of the list; then all pairs of a list that are not in one group yet are compared, long lists by pairs of
+First come the fingerprints' pairs, and each member of a list with two leaders of the list; then all pairs of a list that are not in one group yet are compared, long lists by pairs of
 blocks, so that a large group of copies brings no link for each of its pairs. Shingles and classes are known by 64-bit hashes.
+
+Defined results: null and empty texts are one class without shingles; of rows with equal id and text one stays, that of the least hash of its other columns; rows with
+a null id come last; empty tables give no rows; all columns of docs are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh, staged
-from .simhash import components, row_key
+from .simhash import bits_set, components, covering_keys, links, row_key
 
 #: Bits of the filter by which texts to read again are chosen; others that it lets through are joined away.
 FILTER = 1 << 24
@@ -83,24 +86,25 @@ def common_shingles(docs: DataFrame, size: int, text_col: str, texts: int = 10_0
 
 
 def classes_of(docs: DataFrame, size: int, likeness: float, id_col: str, text_col: str) -> DataFrame:
-    """c, n, sketch and prefix of each distinct set of shingles, and k, the least key of its rows."""
+    """c, n, sketch, prefix and fingerprint (fp) of each distinct set of shingles, and k, the least key of its rows."""
     import xxhash
 
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, size, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            c, n, bits, first = [], [], [], []
+            c, n, bits, first, fp = [], [], [], [], []
             for t in b.column(3):
                 s = shingles(t.as_py(), size)
                 c.append(xxhash.xxh64_intdigest(s.tobytes(), 1))
                 n.append(len(s))
                 bits.append(sketch(s))
                 first.append(prefix(s, likeness, common.value).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(np.array(c, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(bits, pa.binary()), pa.array(first, pa.list_(pa.int64()))], names=["k0", "k1", "k2", "c", "n", "sketch", "prefix"])
+                fp.append(np.packbits(2 * bits_set(s) > len(s)).tobytes())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(np.array(c, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(bits, pa.binary()), pa.array(first, pa.list_(pa.int64())), pa.array(fp, pa.binary())], names=["k0", "k1", "k2", "c", "n", "sketch", "prefix", "fp"])
 
-    rows = docs.select(*row_key(id_col, text_col), F.col(text_col)).mapInArrow(run, "k0 boolean, k1 long, k2 long, c long, n int, sketch binary, prefix array<long>")
-    return staged(rows.groupBy("c").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"), F.min(F.struct("k0", "k1", "k2")).alias("k")))
+    rows = docs.select(*row_key(id_col, text_col), F.col(text_col)).mapInArrow(run, "k0 boolean, k1 long, k2 long, c long, n int, sketch binary, prefix array<long>, fp binary")
+    return staged(rows.groupBy("c").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"), F.first("fp").alias("fp"), F.min(F.struct("k0", "k1", "k2")).alias("k")))
 
 
 def posting_lists(classes: DataFrame, block: int) -> DataFrame:
@@ -113,8 +117,19 @@ def posting_lists(classes: DataFrame, block: int) -> DataFrame:
     return staged(rows.where("size > 1").withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).drop("size"))
 
 
+def fingerprint_pairs(classes: DataFrame, likeness: float) -> DataFrame:
+    """Pairs (a, b) of classes whose fingerprints the byte index links, one class standing for all of a fingerprint, and of those with the class that stands for them."""
+    own = classes.groupBy("fp").agg(F.min("c").alias("m"))
+    same = classes.join(own, "fp").where("c <> m").select(F.col("m").alias("a"), F.col("c").alias("b"))
+    met = links(own, covering_keys(8, 2), 2, 6)
+    other = met.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    sizes = classes.select("c", "n")
+    both = same.unionByName(other).join(sizes.toDF("a", "n"), "a").join(sizes.toDF("b", "m"), "b")
+    return both.where(F.least("n", "m") >= likeness * F.greatest("n", "m") - 1e-6).select("a", "b")
+
+
 def led(lists: DataFrame, classes: DataFrame, likeness: float) -> DataFrame:
-    """Pairs (a, b) of members and leaders of lists that sketches don't rule out."""
+    """Pairs (a, b) of the fingerprints' index, and of members and leaders of lists, that sketches don't rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -123,7 +138,8 @@ def led(lists: DataFrame, classes: DataFrame, likeness: float) -> DataFrame:
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     pairs = lists.select("c", "n", F.explode(F.array("first", "last")).alias("l")).where("c <> l.c").where(F.least("n", "l.n") >= likeness * F.greatest("n", "l.n") - 1e-6)
-    pairs = pairs.select(F.least("c", "l.c").alias("a"), F.greatest("c", "l.c").alias("b")).distinct()
+    pairs = pairs.select(F.least("c", "l.c").alias("a"), F.greatest("c", "l.c").alias("b"))
+    pairs = pairs.unionByName(fingerprint_pairs(classes, likeness)).distinct()
     own = classes.select("c", "n", "sketch")
     both = pairs.join(own.toDF("a", "n", "x"), "a").join(own.toDF("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
     return staged(both.mapInArrow(run, "a long, b long"))
@@ -233,6 +249,8 @@ def representatives(docs: DataFrame, shingle: int = 5, likeness: float = 0.8, bl
     roots = components(found.unionByName(alike(staged(more), classes, docs, shingle, likeness, id_col, text_col)))
     least = classes.join(roots, classes.c == roots.node, "left").groupBy(F.coalesce("root", "c").alias("root")).agg(F.min("k").alias("k")).select("k.*")
     names = fresh(docs, "k0", "k1", "k2")
-    keyed = docs.select("*", *[c.alias(n) for c, n in zip(row_key(id_col, text_col), names, strict=True)])
-    kept = keyed.join(least.toDF(*names), names, "left_semi")
-    return kept.dropDuplicates(names).select(*docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(*[c.alias(n) for c, n in zip(row_key(id_col, text_col), names, strict=True)], row.alias("_row"))
+    once = keyed.groupBy(*names).agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))  # before the shuffle too, so a row repeated very often moves once a partition
+    kept = once.join(least.toDF(*names), names, "left_semi")
+    return kept.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])

@@ -1,68 +1,61 @@
 """SimHash near-dedup by an inverted index over the bytes of the fingerprints.
 
-A fingerprint bit is 1 if it is set in over half the hashes of a document's word shingles. Distinct fingerprints are posted under keys of
-several positional bytes each; two that meet under a key are a candidate pair, whose shared positional bytes are tallied. Pairs that reach the
-minimum number of matches go on to verification by the number of differing bits. With 8 bytes and at most 2 differing bits at least 6 bytes
-match, so one of the six keys of two byte pairs must: no link is lost. Posting lists longer than `posting` are not paired: their members
-are linked through all points one bit away (two fingerprints within 2 bits share such a point, others never do), so work stays linear.
-Links are contracted to components by alternating star steps, each written to the shared folder.
-
-Defined results: null and empty texts have fingerprint zero and are linked like others; repeated rows share a component; empty tables give
-no rows; other columns are kept aside.
+A fingerprint bit is 1 if it is set in over half the hashes of a document's word shingles. Distinct fingerprints are posted under keys of several positional
+bytes each. For each pair that meets in posting lists, the positional bytes that its lists share are tallied; pairs that reach the guaranteed minimum go on to
+verification, by the count of all equal bytes and the number of differing bits. With 8 bytes and at most 2 differing bits at least 6 bytes match, and of
+four blocks of two bytes at least two, so one of the six keys of two blocks finds the pair: no link is lost. Members of lists longer than `posting` are posted
+again under all keys of the 6 bytes that must match; such a list has at most 65,536 members, which are looked up in a table of the other two bytes
+instead of being paired. Links are contracted to components by alternating star steps, each written to the shared folder.
+
+Defined results: null and empty texts have fingerprint zero and are linked like others; repeated rows share a component; rows with a null id are linked, and
+a component of such rows alone has a null id; empty tables give no rows; other columns are kept aside.
 """
 
 from __future__ import annotations
 
 import itertools
-import random
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import release, staged
+from .common import joined_by_key, release, staged
 
-#: Odd factors from which wider fingerprints derive their lanes beyond the first.
-LANE = 0x9E3779B97F4A7C15
-
-
-def fingerprint(text: str | None, shingle: int = 3, lanes: int = 1, seed: int = 42) -> bytes:
-    """8 * lanes bytes, most significant first. Words are runs without ASCII white space, lower-cased in A-Z."""
+def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> bytes:
+    """8 bytes, most significant first. Words are runs without ASCII white space, lower-cased in A-Z."""
     import xxhash
 
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
-        return bytes(8 * lanes)
+        return bytes(8)
     joined, size, digest = b" ".join(words), np.fromiter(map(len, words), np.int64, len(words)), xxhash.xxh64_intdigest
     end = np.cumsum(size + 1) - 1
-    k, ones = min(shingle, len(words)), np.zeros(64 * lanes, np.int64)
+    k, ones = min(shingle, len(words)), np.zeros(64, np.int64)
     begin, stop = (end - size)[: len(words) - k + 1], end[k - 1 :]
     for at in range(0, len(begin), 1 << 16):
         h = np.array([digest(joined[a:b], seed) for a, b in zip(begin[at : at + (1 << 16)].tolist(), stop[at : at + (1 << 16)].tolist(), strict=True)], np.uint64)
-        for lane in range(lanes):
-            x = h
-            if lane:
-                x = h * np.uint64(LANE * (2 * lane + 1) % (1 << 64) | 1)
-                x ^= x >> np.uint64(29)
-                x *= np.uint64(0xBF58476D1CE4E5B9)
-                x ^= x >> np.uint64(32)
-            ones[64 * lane : 64 * lane + 64] += np.unpackbits(x.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        ones += bits_set(h)
     return np.packbits(2 * ones > len(begin)).tobytes()
 
 
+def bits_set(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes set each of the 64 bits, the most significant first."""
+    return np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+
+
 def row_key(id_col: str, text_col: str) -> list:
     """What tells rows apart: id (nulls last) and text; rows repeated whole are one."""
     return [F.col(id_col).isNull().alias("k0"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("k1"), F.xxhash64(F.col(text_col).isNull(), text_col).alias("k2")]
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Row key (k0, k1, k2), doc_id and fingerprint (fp, binary) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([fingerprint(x.as_py(), shingle, lanes) for x in b.column(4)], pa.binary())], names=["k0", "k1", "k2", "doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([fingerprint(x.as_py(), shingle) for x in b.column(4)], pa.binary())], names=["k0", "k1", "k2", "doc_id", "fp"])
 
     return docs.select(*row_key(id_col, text_col), F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "k0 boolean, k1 long, k2 long, doc_id long, fp binary")
 
@@ -73,18 +66,13 @@ def covering_keys(bytes_: int = 8, radius: int = 2) -> list[tuple[int, ...]]:
     return [tuple(int(i) for k in keep for i in cut[k]) for keep in itertools.combinations(range(radius + 2), 2)]
 
 
-def sampled_keys(bytes_: int, width: int, count: int, seed: int = 7) -> list[tuple[int, ...]]:
-    """`count` seeded groups of `width` byte positions."""
-    r = random.Random(seed)
-    return [tuple(sorted(r.sample(range(bytes_), width))) for _ in range(count)]
-
-
 def posted(fps: DataFrame, keys: Sequence[tuple[int, ...]]) -> DataFrame:
-    """(key, fp) for each fingerprint and byte group."""
+    """(key, at, fp) for each fingerprint and byte group; at: the group's positions as bits."""
     n, wide = len(keys), max(map(len, keys)) + 2
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take = [np.array(k) for k in keys]
+        masks = np.array([sum(1 << i for i in k) for k in keys], np.int64)
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 raw = b.column(0).slice(at, 500).to_pylist()
@@ -94,42 +82,65 @@ def posted(fps: DataFrame, keys: Sequence[tuple[int, ...]]) -> DataFrame:
                     packed[:, j, 0], packed[:, j, 1] = j >> 8, j & 255
                     packed[:, j, 2 : 2 + len(t)] = m[:, t]
                 flat = packed.reshape(-1, wide).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([flat[i : i + wide] for i in range(0, len(flat), wide)], pa.binary()), pa.array([x for x in raw for _ in range(n)], pa.binary())], names=["key", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array([flat[i : i + wide] for i in range(0, len(flat), wide)], pa.binary()), pa.array(np.tile(masks, len(raw))), pa.array([x for x in raw for _ in range(n)], pa.binary())], names=["key", "at", "fp"])
 
-    return fps.select("fp").mapInArrow(post, "key binary, fp binary")
+    return fps.select("fp").mapInArrow(post, "key binary, at long, fp binary")
 
 
 def links(fps: DataFrame, keys: Sequence[tuple[int, ...]], radius: int, matches: int, posting: int = 32) -> DataFrame:
-    """All links (a, b), a < b, between distinct 8-byte fingerprints (column fp) that differ in at most `radius` (1 or 2) bits.
+    """Links (a, b) between distinct 8-byte fingerprints (column fp) that differ in at most `radius` (1 or 2) bits: all of them, but of the members of a posting
+    list longer than `posting` as many as connect what all of them connect.
 
     keys: positional bytes under which a fingerprint is posted, from covering_keys(); matches: shared positional bytes that a pair needs.
-    The members of a posting list longer than `posting` are linked where they meet in a point at most one bit away instead.
     """
     p = posted(fps, keys)
     lists = p.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     shared = staged(p.join(lists, "key"))
-    small = shared.where(F.col("size") <= posting)
-    pairs = small.select("key", F.col("fp").alias("a")).join(small.select("key", F.col("fp").alias("b")), "key").where("a < b").select("a", "b")
-    points = shared.where(F.col("size") > posting).select("fp").distinct().mapInArrow(one_bit_away, "a binary, b binary")
-    least = points.groupBy("b").agg(F.count("*").alias("n"), F.min("a").alias("m")).where("n > 1").select("b", "m")
-    near = points.join(least, "b").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))  # at most 65 meet in a point
-    return verified(pairs.distinct(), radius, matches).unionByName(near.distinct())
+    short = shared.where(F.col("size") <= posting)
+    met = short.select("key", "at", F.col("fp").alias("a")).join(short.select("key", F.col("fp").alias("b")), "key").where("a < b")
+    tallied = met.groupBy("a", "b").agg(F.bit_count(F.bit_or("at")).alias("tally")).where(F.col("tally") >= min(map(len, keys)))
+    long = shared.where(F.col("size") > posting).select("fp").distinct()
+    deep = posted(long, list(itertools.combinations(range(8), 8 - radius))).groupBy("key").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
+    return verified(tallied.select("a", "b"), radius, matches).unionByName(deep.select("fps").mapInArrow(looked_up(radius), "a binary, b binary").distinct())
 
 
-def rooted(classes: DataFrame, reach: DataFrame) -> DataFrame:
-    return classes.join(reach, classes.fp == reach.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+def looked_up(radius: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From lists of fingerprints that agree in all but `radius` bytes, links that connect what is within `radius` bits. Each looks up the numbers that differ
+    in so few bits from that of its free bytes; the least reached so far is handed on until nothing changes."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flips = [sum(1 << i for i in c) for k in range(1, radius + 1) for c in itertools.combinations(range(8 * radius), k)]
+        for b in batches:
+            for members in b.column(0).to_pylist():
+                members.sort()
+                m = np.frombuffer(b"".join(members), np.uint8).reshape(-1, 8)
+                free = np.flatnonzero((m != m[0]).any(0))  # at most radius bytes; those beside them are alike
+                value = np.zeros(len(m), np.int64)
+                for i in free:
+                    value = value << 8 | m[:, i]
+                place = np.full(1 << 8 * radius, -1)
+                place[value] = np.arange(len(m))
+                pairs = []
+                for f in flips:
+                    if f < 1 << 8 * len(free):
+                        other = place[value ^ f]
+                        at = np.flatnonzero(other >= 0)
+                        pairs.append((at, other[at]))
+                least, before = np.arange(len(m)), None
+                while before is None or (least != before).any():
+                    before = least.copy()
+                    for x, y in pairs:
+                        np.minimum.at(least, x, least[y])
+                    least = least[least]
+                at = np.flatnonzero(least != np.arange(len(m)))
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array([members[i] for i in least[at].tolist()], pa.binary()), pa.array([members[i] for i in at.tolist()], pa.binary())], names=["a", "b"])
+
+    return run
 
-def one_bit_away(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each fingerprint with itself and its 64 neighbours; a point's name is 9 bytes long."""
-    flips = np.concatenate([[0], np.uint64(1) << np.arange(64, dtype=np.uint64)]).astype(np.uint64)
-    for b in batches:
-        raw = b.column(0).to_pylist()
-        for at in range(0, len(raw), 1000):
-            part = raw[at : at + 1000]
-            x = np.frombuffer(b"".join(part), ">u8").astype(np.uint64)
-            y = (x[:, None] ^ flips[None, :]).astype(">u8").tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([p for p in part for _ in range(65)], pa.binary()), pa.array([b"~" + y[i : i + 8] for i in range(0, len(y), 8)], pa.binary())], names=["a", "b"])
+
+def rooted(classes: DataFrame, reach: DataFrame) -> DataFrame:
+    return classes.join(reach, classes.fp == reach.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
 def verified(pairs: DataFrame, radius: int, matches: int) -> DataFrame:
@@ -140,8 +151,8 @@ def verified(pairs: DataFrame, radius: int, matches: int) -> DataFrame:
             if not b.num_rows:
                 continue
             x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(b.num_rows, -1) for i in (0, 1))
-            tally = (x == y).sum(1)
-            ok = tally >= matches
+            equal = (x == y).sum(1)
+            ok = equal >= matches
             ok[ok] = np.bitwise_count(x[ok] ^ y[ok]).sum(1) <= radius
             yield b.filter(pa.array(ok))
 
@@ -149,19 +160,21 @@ def verified(pairs: DataFrame, radius: int, matches: int) -> DataFrame:
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, root (the least node that it reaches) for the nodes of the edges (a, b), by alternating large-star and small-star steps."""
+    """node, root (the least node that it reaches) for the nodes of the edges (a, b), by alternating large-star and small-star steps. Nodes with very many edges
+    meet these by broadcast."""
     e = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    seen = None
+    seen, size = None, e.count()
     for _ in range(rounds):
         both = e.union(e.select("v", "u")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = staged(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("edges")).withColumn("m", F.least("u", "m")))
+        large = joined_by_key(both.where("v > u"), least, ["u"], "edges", 2 * size).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select("v", "m").where("v <> m").union(low.select("u", "m")).toDF("u", "v").distinct()
         after = staged(small)
         now = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         release(e)
-        e = after
+        release(least)
+        e, size = after, now[0]
         if now == seen:
             break
         seen = now
@@ -175,7 +188,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, matches:
 
     shingle: words of a shingle; radius: bits that linked fingerprints may differ in, 1 or 2; no link is lost.
     """
-    f = staged(fingerprints(docs, shingle, 1, id_col, text_col))
+    f = staged(fingerprints(docs, shingle, id_col, text_col))
     classes = f.select("fp").distinct()
     roots = rooted(classes, components(links(classes, keys or covering_keys(8, radius), radius, 8 - radius if matches is None else matches, posting)))
     firsts = f.groupBy("fp").agg(F.min("doc_id").alias("first")).join(roots, "fp")
@@ -184,8 +197,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, matches:
     return f.join(named, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs of which one stays for each group of near copies, by the exact likeness of their shingles."""
-    from . import near_copies  # takes components() from here
+def representatives(docs: DataFrame, shingle: int = 5, likeness: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs of which one stays, that with the least id, for each group that links connect: pairs whose sets of shingles have the likeness.
+
+    Pairs found by the fingerprints are verified by their shingles. Fingerprints of texts of likeness 0.8 differ in about 10 of 64 bits, for which no byte need
+    match, so near_copies completes the links by the shingles themselves; null and empty texts are one group, rows repeated whole are one row.
+    """
+    from . import near_copies  # takes this module's index and components
 
-    return near_copies.representatives(docs, shingle, id_col=id_col, text_col=text_col)
+    return near_copies.representatives(docs, shingle, likeness, id_col=id_col, text_col=text_col)
