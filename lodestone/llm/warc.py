@@ -2,10 +2,12 @@
 
 The writer makes a record per page: an HTTP response in chunked transfer framing, or a revisit where a page of smaller id has the same payload.
 Blocks longer than `segment` bytes go on in continuation records that name their origin and number. The reader parses archives by their content
-lengths, groups segments by origin, orders them by number, verifies the total length and takes the chunked framing off.
+lengths, once, groups segments by origin, orders them by number, verifies the total length and takes the chunked framing off. Segments are dealt and
+sorted by origin and walked in batches, so a task holds one record's segments at a time.
 
 Defined results: null html counts as an empty payload, null url as an empty one; a null page_id is written as `null` and read back as null; rows
-repeated whole share their record type; an empty table gives empty archives and no rows; other columns are ignored. Damaged records raise.
+repeated whole are archived each (a header of their own, X-Copy, tells their segments apart) and share their record type; an empty table gives empty archives
+and no rows; other columns are ignored. Damaged records raise.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import joined_by_key, staged
+
 DATE = "2024-01-01T00:00:00Z"
 CHUNK = 16384
 
@@ -53,7 +57,7 @@ def record(headers: list[tuple[str, object]], block: bytes) -> bytes:
     return "\r\n".join(lines).encode() + block + b"\r\n"
 
 
-def records_of(page_id: int | None, ordinal: str, url: str, html: str, refers_to: int | None, segment: int) -> list[bytes]:
+def records_of(page_id: int | None, ordinal: str, url: str, html: str, refers_to: int | None, segment: int, copy: int = 0) -> list[bytes]:
     payload = html.encode("utf-8", "replace")
     rid = f"<urn:page:{'null' if page_id is None else page_id}:{ordinal}>"
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
@@ -66,18 +70,29 @@ def records_of(page_id: int | None, ordinal: str, url: str, html: str, refers_to
     if len(block) <= segment:
         return [record([*kind, *head, ("Content-Type", "application/http;msgtype=response")], block)]
     parts = [block[i : i + segment] for i in range(0, len(block), segment)]
-    out = [record([*kind, *head, ("WARC-Segment-Number", 1), ("Content-Type", "application/http;msgtype=response")], parts[0])]
+    out = [record([*kind, *head, ("X-Copy", copy), ("WARC-Segment-Number", 1), ("Content-Type", "application/http;msgtype=response")], parts[0])]
     for k, p in enumerate(parts[1:], 2):
-        own: list[tuple[str, object]] = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"{rid[:-1]}:{k}>"), ("WARC-Date", DATE), ("WARC-Segment-Origin-ID", rid), ("WARC-Segment-Number", k)]
+        own: list[tuple[str, object]] = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"{rid[:-1]}:{k}>"), ("WARC-Date", DATE), ("WARC-Segment-Origin-ID", rid), ("X-Copy", copy), ("WARC-Segment-Number", k)]
         out.append(record(own + ([("WARC-Segment-Total-Length", len(block))] if k == len(parts) else []), p))
     return out
 
 
-def first_of_payload(pages: DataFrame, least: int) -> DataFrame:
-    """page_id, sha of each page's payload, and the smallest page_id of that payload where the page is not it (else null)."""
-    d = pages.select("page_id", F.sha1(F.encode(F.coalesce("html", F.lit("")), "utf-8")).alias("sha"), (F.octet_length(F.coalesce("html", F.lit(""))) >= least).alias("counts")).distinct()
-    firsts = d.where("counts").groupBy("sha").agg(F.min("page_id").alias("first"))
-    return d.join(firsts, "sha", "left").select("page_id", "sha", F.when(F.col("counts") & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+KEY = ["_null", "_id", "_sha"]
+
+
+def keyed(pages: DataFrame) -> DataFrame:
+    """page_id (null told apart), digest, url and html of the payload of each page."""
+    html = F.coalesce("html", F.lit(""))
+    return pages.select(F.col("page_id").isNull().alias("_null"), F.coalesce(F.col("page_id").cast("long"), F.lit(0)).alias("_id"), F.sha1(F.encode(html, "utf-8")).alias("_sha"), F.coalesce("url", F.lit("")).alias("url"), html.alias("html"))
+
+
+def first_of_payload(pages: DataFrame, least: int) -> tuple[DataFrame, int]:
+    """For each page and payload refers_to, the smallest page_id of that payload where the page is not it (else null), and the number of its rows; and that of all rows."""
+    own = staged(keyed(pages).groupBy(*KEY).agg(F.max(F.octet_length("html")).alias("_n"), F.count("*").alias("_rows")))
+    firsts = staged(own.groupBy("_sha").agg(F.min(F.when(~F.col("_null") & (F.col("_n") >= least), F.col("_id"))).alias("first"), F.count("*").alias("_pages")))
+    joined = joined_by_key(own, firsts, ["_sha"], "_pages", own.count())
+    total = own.agg(F.sum("_rows")).first()[0] or 0
+    return staged(joined.select(*KEY, F.when((F.col("_n") >= least) & (F.col("_null") | (F.col("_id") != F.col("first"))), F.col("first")).alias("refers_to"), "_rows")), total
 
 
 def write(pages: DataFrame, path: str, dedupe_from: int = 0, segment: int = 131072, per_file: int = 1024) -> None:
@@ -86,29 +101,25 @@ def write(pages: DataFrame, path: str, dedupe_from: int = 0, segment: int = 1310
     dedupe_from: payloads of that many bytes at least are revisits after their first page; segment: most bytes of a record's block; per_file: most
     records in an archive, which bounds its size by segment * per_file.
     """
-    html = F.coalesce("html", F.lit(""))
-    p = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), F.sha1(F.encode(html, "utf-8")).alias("sha"))
-    p = p.join(first_of_payload(pages, dedupe_from).select(F.col("page_id").alias("_id"), F.col("sha").alias("_sha"), "refers_to"), F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha")), "left")
+    firsts, total = first_of_payload(pages, dedupe_from)
+    p = joined_by_key(keyed(pages), firsts, KEY, "_rows", total)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[bytes] = []
             held = 0
             for k in range(b.num_rows):
-                page, url, text, sha, first = (b.column(i)[k].as_py() for i in range(5))
-                out += (own := records_of(page, sha, url, text, first, segment))
+                page, url, text, sha, first, copy = (b.column(i)[k].as_py() for i in range(6))
+                out += (own := records_of(page, sha, url, text, first, segment, copy))
                 held += sum(map(len, own))
                 if held > 16 << 20 or k == b.num_rows - 1:
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
                     out, held = [], 0
 
-    lines = p.select("page_id", "url", "html", "sha", "refers_to").mapInArrow(run, "value binary")
+    lines = p.select(F.when(~F.col("_null"), F.col("_id")).alias("page_id"), "url", "html", "_sha", "refers_to", F.monotonically_increasing_id()).mapInArrow(run, "value binary")
     lines.select(F.col("value").cast("string")).write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
-RECORD = "record_id string, origin string, segment int, total long, type string, page_id long, refers_to long, digest string, payload_length long, block binary"
-
-
 def parsed(raw: bytes) -> Iterator[tuple]:
     """Records of an archive, gzip or plain."""
     if raw[:2] == b"\x1f\x8b":
@@ -130,7 +141,8 @@ def parsed(raw: bytes) -> Iterator[tuple]:
         block = raw[begin : begin + n]
         if len(block) != n or raw[begin + n : begin + n + 4] != b"\r\n\r\n":
             raise ValueError(f"record {h.get('WARC-Record-ID')} is cut short")
-        yield h.get("WARC-Record-ID"), h.get("WARC-Segment-Origin-ID"), whole_number(h.get("WARC-Segment-Number")), whole_number(h.get("WARC-Segment-Total-Length")), h["WARC-Type"], whole_number(h.get("X-Page-Id")), whole_number(h.get("X-Refers-To-Page-Id")), h.get("WARC-Payload-Digest", "").removeprefix("sha1:"), whole_number(h.get("X-Payload-Length")), block
+        copy = h.get("X-Copy", "")
+        yield h.get("WARC-Record-ID"), f"{h.get('WARC-Segment-Origin-ID', h.get('WARC-Record-ID'))} {copy}", whole_number(h.get("WARC-Segment-Number")), whole_number(h.get("WARC-Segment-Total-Length")), h["WARC-Type"], whole_number(h.get("X-Page-Id")), whole_number(h.get("X-Refers-To-Page-Id")), h.get("WARC-Payload-Digest", "").removeprefix("sha1:"), whole_number(h.get("X-Payload-Length")), block
         at = begin + n + 4
 
 
@@ -154,39 +166,54 @@ def batch_of(rows: list[tuple], names: str, kinds: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=[x.split()[0] for x in names.split(", ")])
 
 
+#: What moves from the parser to the reassembly: whole pages (segment 0) as they come out, segments of others with their blocks.
+PART = "origin string, segment int, total long, " + PAGE
+PART_KINDS = [pa.string(), pa.int32(), pa.int64(), *PAGE_KINDS]
+
+
 def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     """The pages in the archives below path: page_id, payload_bytes, payload_digest, record_type, refers_to and, if asked for, payload."""
     files = spark.read.format("binaryFile").load(path).select("content")
-    kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for raw in b.column(0):
                 rows: list[tuple] = []
+                held = 0
                 for rec in parsed(raw.as_buffer().to_pybytes()):
                     if rec[2] is None:
-                        rows.append(page_of(rec, payload))
-                    if len(rows) >= 500:
-                        yield batch_of(rows, PAGE, PAGE_KINDS)
-                        rows = []
-                yield batch_of(rows, PAGE, PAGE_KINDS)
-
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                        rows.append((rec[0], 0, None, *page_of(rec, payload)))
+                    else:
+                        rows.append((rec[1], rec[2], rec[3], rec[5], rec[8], rec[7], rec[4], rec[6], rec[9]))
+                        held += len(rec[9])
+                    if len(rows) >= 500 or held > 16 << 20:
+                        yield batch_of(rows, PART, PART_KINDS)
+                        rows, held = [], 0
+                yield batch_of(rows, PART, PART_KINDS)
+
+    def assembled(origin: str, recs: list[tuple]) -> tuple:
+        block = b"".join(r[8] for r in recs)
+        if [r[1] for r in recs] != list(range(1, len(recs) + 1)) or recs[-1][2] != len(block):
+            raise ValueError(f"segments of {origin} are missing")
+        _, _, _, page, length, digest, kind, first, _ = recs[0]
+        return page_of((origin, None, None, None, kind, page, first, digest, length, block), payload)
+
+    def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches come sorted by origin and segment."""
+        recs: list[tuple] = []
         for b in batches:
-            for raw in b.column(0):
-                rows = [rec for rec in parsed(raw.as_buffer().to_pybytes()) if rec[2] is not None]
-                for at in range(0, len(rows), 50):
-                    yield batch_of(rows[at : at + 50], RECORD, kinds)
-
-    def assembled(group: pa.Table) -> pa.Table:
-        recs = sorted((tuple(r.values()) for r in group.to_pylist()), key=lambda r: r[2])
-        recs = list({r[2]: r for r in recs}.values())  # rows repeated whole were archived each
-        block = b"".join(r[9] for r in recs)
-        if [r[2] for r in recs] != list(range(1, len(recs) + 1)) or recs[-1][3] != len(block):
-            raise ValueError(f"segments of {recs[0][0]} are missing")
-        times = sum(r["segment"] == 1 for r in group.to_pylist())
-        return pa.Table.from_batches([batch_of([page_of((*recs[0][:9], block), payload)] * times, PAGE, PAGE_KINDS)])
-
-    segments = files.mapInArrow(pieces, RECORD).withColumn("origin", F.coalesce("origin", "record_id"))
-    rows = files.mapInArrow(whole, PAGE).unionByName(segments.groupBy("origin").applyInArrow(assembled, PAGE))
+            out = []
+            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if recs and (r[0] != recs[0][0] or not r[1]):
+                    out.append(assembled(recs[0][0], recs))
+                    recs = []
+                if r[1]:
+                    recs.append(r)
+                else:
+                    out.append(r[3:])
+            yield batch_of(out, PAGE, PAGE_KINDS)
+        if recs:
+            yield batch_of([assembled(recs[0][0], recs)], PAGE, PAGE_KINDS)
+
+    rows = files.mapInArrow(parts, PART).repartition("origin").sortWithinPartitions("origin", "segment").mapInArrow(pages, PAGE)
     return rows if payload else rows.drop("payload")
