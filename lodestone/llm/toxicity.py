@@ -1,24 +1,29 @@
 """Toxicity by weak supervision.
 
-Voters are lexicon entries (words and word beginnings, seen once or twice) and surface patterns. A generative label model estimates from their votes how
-often each fires on toxic and on clean texts, by expectation-maximisation that the labels start and join as one more, noisy voter; votes that correlate within
-a class are weighed down by their correlations. A logistic classifier is trained on the posterior labels and scores every whole text.
+Voters are lexicon entries (words and word beginnings, seen once or twice) and surface patterns; labels choose which entries may vote. A generative label model
+estimates from the votes how often each fires on toxic and on clean texts, by expectation-maximisation that the labels start and join as one more, noisy voter,
+whose rates are estimated like the others'; votes that correlate within a class are weighed down by their correlations. A logistic classifier is trained on
+the posterior labels and scores every whole text. Without the labels' vote the estimate settles on the voters of one language (see the README).
 
-Defined results: null and empty texts get the score of a text without features; without labelled rows every score is 0; labels with null ids or null toxic teach
-nothing; repeated rows each get their row; other columns are ignored.
+All that is counted in texts is counted by Spark; the driver takes bounded tables: at most 20 * voters entries, and a row of features for each of `rows` texts.
+
+Defined results: null and empty texts get the score of a text without features; without labelled rows of both kinds every score is 0; labels with null ids or
+null toxic teach nothing, and of rows of one id the least text teaches, with the greatest label; repeated rows each get their row; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import staged
+
 WORDS = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6, 7)
 SHOUT, BANG, DRAWN = re.compile(r"\b[A-Z]{4,}\b"), re.compile(r"!{2,}"), re.compile(r"([^\W\d_])\1{3,}")
@@ -94,55 +99,82 @@ def features(text: str, names: dict[str, int]) -> np.ndarray:
     return np.concatenate([seen >= 1, seen >= 2, seen >= 3, np.minimum(100 * seen / max(total, 1), 3), np.log1p(patterns(text)) * 0.2])
 
 
-def sample(docs: DataFrame, labels: DataFrame, rows: int, id_col: str, text_col: str, label_col: str) -> list:
-    """At most `rows` labelled texts, chosen by hash."""
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("_y"))
-    chosen = known.orderBy(F.xxhash64(id_col), id_col).limit(rows)  # a bounded number of ids
-    d = docs.select(F.col(id_col), F.coalesce(text_col, F.lit("")).alias("_t"))
-    return d.join(F.broadcast(chosen), id_col).select(id_col, "_t", "_y").dropDuplicates([id_col]).orderBy(id_col).select("_t", "_y").collect()
+def sample(docs: DataFrame, labels: DataFrame, rows: int, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """t and y (0 or 1) of at most `rows` labelled texts, chosen by hash, with nr, their order."""
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_i")).agg(F.max(F.col(label_col) > 0).cast("int").alias("y"))
+    chosen = known.orderBy(F.xxhash64("_i"), "_i").limit(rows)  # a bounded number of ids
+    d = docs.select(F.col(id_col).alias("_i"), F.coalesce(text_col, F.lit("")).alias("t"))
+    return staged(d.join(F.broadcast(chosen), "_i").groupBy("_i").agg(F.min("t").alias("t"), F.max("y").alias("y")).select(F.col("_i").cast("long").alias("nr"), "t", "y"))
+
+
+def entry_counts(texts: DataFrame, most: int = 300_000) -> DataFrame:
+    """For each word and word beginning the numbers of clean (c1) and toxic (t1) texts that hold it, and that hold it twice (c2, t2)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[int]] = {}
+
+        def rows() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), *(pa.array([x[i] for x in held.values()], pa.int64()) for i in range(4))], names=["w", "c1", "t1", "c2", "t2"])
+            held.clear()
+            return out
+
+        for b in batches:
+            for t, y in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                for w, n in counts(t.as_py()).items():
+                    x = held.setdefault(w, [0, 0, 0, 0])
+                    x[y] += 1
+                    x[2 + y] += n >= 2
+                if len(held) > most:
+                    yield rows()
+        yield rows()
+
+    sums = texts.select("t", "y").mapInArrow(run, "w string, c1 long, t1 long, c2 long, t2 long")
+    return sums.groupBy("w").agg(*[F.sum(c).alias(c) for c in ("c1", "t1", "c2", "t2")])
+
+
+def gain(hit: Column, miss: Column, pos: int, neg: int) -> Column:
+    """Log-likelihood that knowing a vote adds, for votes that speak for toxic; else 0."""
+    part = lambda k, n, p: F.when(k > 0, k * F.log(k / n / p)).otherwise(0.0)
+    base, n, m = pos / (pos + neg), hit + miss, pos + neg - hit - miss
+    return F.when((hit >= 4) & (hit * neg > 3 * miss * pos), part(hit, n, base) + part(miss, n, 1 - base) + part(pos - hit, m, base) + part(neg - miss, m, 1 - base)).otherwise(0.0)
+
+
+def per_text(texts: DataFrame, make: Callable[[str], bytes]) -> list[bytes]:
+    """make(text) of each text, in their order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([make(t.as_py()) for t in b.column(1)], pa.binary())], names=["nr", "x"])
+
+    return [bytes(r[1]) for r in sorted(texts.select("nr", "t").mapInArrow(run, "nr long, x binary").collect())]
+
+
+def lexicon(texts: DataFrame, pos: int, neg: int, voters: int) -> dict[str, int]:
+    """At most `voters` entries that speak for toxic, each marking other texts than those before it."""
+    best = F.greatest(gain(F.col("t1"), F.col("c1"), pos, neg), gain(F.col("t2"), F.col("c2"), pos, neg))
+    ranked = [r[0] for r in entry_counts(texts).where("t1 >= 4").withColumn("gain", best).where("gain >= 6").orderBy(F.desc("gain"), F.length("w"), "w").limit(20 * voters).collect()]
+    place = {w: i for i, w in enumerate(ranked)}
+    held: list[set[int]] = [set() for _ in ranked]
+    for nr, raw in enumerate(per_text(texts, lambda t: np.array([place[w] for w in counts(t) if w in place], "<i4").tobytes())):
+        for i in np.frombuffer(raw, "<i4").tolist():
+            held[i].add(nr)
+    names: dict[str, int] = {}
+    for w in ranked:
+        # a longer or shorter form of a chosen entry that marks nearly the same texts would be the same voter again
+        own = held[place[w]]
+        if len(names) < voters and all(len(own & held[place[k]]) < 0.8 * len(own | held[place[k]]) for k in names if k[:4] == w[:4]):
+            names[w] = len(names)
+    return names
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = 5000, voters: int = 150, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict | None:
     """The classifier learned from at most `rows` labelled texts with at most `voters` lexicon entries; None without both labels."""
-    got = sample(docs, labels, rows, id_col, text_col, label_col)
-    y = np.array([int(r[1] > 0) for r in got])
+    texts = sample(docs, labels, rows, id_col, text_col, label_col)
+    y = np.array([r[1] for r in sorted(texts.select("nr", "y").collect())], int)
     if not len(y) or y.min() == y.max():
         return None
-    # entries are looked for in the toxic texts alone, and only those that enough of them hold are counted in the others: the driver holds no more than that
-    stats: dict[str, list[int]] = {}
-    for t in (r[0] for r, lab in zip(got, y, strict=True) if lab):
-        for w, n in counts(t).items():
-            s = stats.setdefault(w, [0, 0, 0, 0])
-            s[1] += 1
-            s[3] += n >= 2
-    stats = {w: s for w, s in stats.items() if s[1] >= 4}
-    for t in (r[0] for r, lab in zip(got, y, strict=True) if not lab):
-        for w, n in counts(t).items():
-            if w in stats:
-                stats[w][0] += 1
-                stats[w][2] += n >= 2
-    pos, neg = int(y.sum()), int(len(y) - y.sum())
-
-    def gain(hit: int, miss: int) -> float:
-        """Log-likelihood that knowing the vote adds, for votes that speak for toxic."""
-        if hit < 4 or hit / pos <= 3 * miss / neg:
-            return 0.0
-        part = lambda k, n, p: k * np.log(max(k / n, 1e-12) / p) if k else 0.0
-        base, n, m = pos / (pos + neg), hit + miss, pos + neg - hit - miss
-        return part(hit, n, base) + part(miss, n, 1 - base) + part(pos - hit, m, base) + part(neg - miss, m, 1 - base)
-
-    ranked = sorted(((max(gain(s[1], s[0]), gain(s[3], s[2])), w) for w, s in stats.items() if s[1] >= 4), key=lambda t: (-t[0], len(t[1]), t[1]))
-    ranked = [x for x in ranked if x[0] >= 6][: 20 * voters]
-    held: dict[str, set[int]] = {w: set() for _, w in ranked}
-    for i, r in enumerate(got):
-        for w in held.keys() & counts(r[0]).keys():
-            held[w].add(i)
-    names: dict[str, int] = {}
-    for _, w in ranked:
-        # a longer or shorter form of a chosen entry that marks nearly the same texts would be the same voter again
-        if len(names) < voters and all(len(held[w] & held[k]) < 0.8 * len(held[w] | held[k]) for k in names if k[:4] == w[:4]):
-            names[w] = len(names)
-    x = np.array([features(r[0], names) for r in got])
+    names = lexicon(texts, int(y.sum()), int(len(y) - y.sum()), voters)
+    x = np.array([np.frombuffer(raw, "<f4") for raw in per_text(texts, lambda t: features(t, names).astype("<f4").tobytes())], float)
     m = len(names)
     shown = x[:, 4 * m :]
     votes = np.column_stack([x[:, : 2 * m], shown > np.quantile(shown, 0.98, axis=0)]).astype(float)
