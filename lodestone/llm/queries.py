@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +12,8 @@ from pyspark.sql import functions as F
 from . import digests, languages, mixing, neighbours, packing, pseudonyms, secret_scan, simhash, toxicity, warc
 from .common import scratch_path, ship, table
 
-PII_KEY = "a key that production takes from its secret store"
+#: The key of the pseudonyms: from the environment, so that runs agree; else drawn anew for this process, and links hold within its runs alone.
+PII_KEY = os.environ.get("LODESTONE_PII_KEY") or secrets.token_hex(32)
 WEIGHTS, REPEATS, SEED = (5, 2, 1), 3, "mix"
 ASSIGN = secret_scan.PATTERNS[0][1]
 
@@ -70,7 +73,7 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     path = scratch_path(spark)
-    warc.write(table(spark, sf_dir, "pages"), path)
+    warc.write(table(spark, sf_dir, "pages"), path, segment=4096)
     return warc.read(spark, path, payload=False)
 
 
@@ -83,8 +86,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = secret_scan.train(secret_scan.random_strings(), secret_scan.identifiers(docs))
-    return secret_scan.report(secret_scan.scan(docs, model))
+    ordinary = secret_scan.identifiers(docs)
+    model = secret_scan.train(secret_scan.random_strings(), ordinary)
+    threshold = secret_scan.threshold_of(model, secret_scan.random_strings(1400, seed=3), secret_scan.joined_forms(ordinary, 1000, seed=99))
+    return secret_scan.report(secret_scan.scan(docs, model, threshold))
 
 
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
