@@ -508,6 +508,6 @@ def test_top_k(spark, block):
     rows = duckdb.sql(f"select vec_id, embedding from '{D}/embeddings.parquet'").fetchall()
     rows += [(1000 + i, rows[7][1]) for i in range(60)] + [(2000, None), (2001, [None] * 64), (2002, [float("nan")] * 64), (2050, [float("inf")] * 64), (2100, [1.0, 2.0]), (2101, [3.0, 4.0]), (2150, []), (2200, [0.0] * 64)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as label", "2 as v", "3 as score")
-    got = neighbours.top_k(df, F.col("vec_id") % 50 == 0, block=block, query_block=8, together=2, pivots=8).collect()
+    got = neighbours.top_k(df, F.col("vec_id") % 50 == 0, block=block, query_block=8, group=4 * block, pivots=8).collect()
     assert {tuple(r) for r in got} == brute_top(rows)
     assert neighbours.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
