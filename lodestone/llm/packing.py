@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import array
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +31,11 @@ CACHED_WORDS = 250_000
 WHOLE = 1 << 36
 
 
-#: ASCII letters, and ASCII punctuation behind them: the tokenizer's normalizer leaves such words alone, and its pre-tokenizer cuts them in these two.
-PLAIN = re.compile(r"([a-z]*)([!-/:-@\[-`{-~]*)")
+#: Letters, and ASCII punctuation behind them: lower-case words of this form the normalizer leaves alone and the pre-tokenizer cuts in these two.
+PLAIN = re.compile(r"([^\W\d_]*)([!-/:-@\[-`{-~]*)")
+#: The byte alphabet of the pre-tokenizer: printable bytes stand for themselves, the others for characters from 256 on.
+PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+LETTERS = {b: (b if b in PRINTED else 256 + sum(x not in PRINTED for x in range(b))) for b in range(256)}
 
 
 class WordTokenizer:
@@ -56,8 +60,8 @@ class WordTokenizer:
             text = w.decode()
             if "<|" in text:
                 ids = t.encode(text, add_special_tokens=False).ids
-            elif m := PLAIN.fullmatch(text):
-                ids = [x.id for part in m.groups() if part for x in tokenize(part)]
+            elif (m := PLAIN.fullmatch(text)) and (text.isascii() or (m[1].isalpha() and unicodedata.is_normalized("NFC", text))) and text == text.lower():
+                ids = [x.id for part in m.groups() if part for x in tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(LETTERS))]
             else:
                 ids = [x.id for part, _ in cut(norm(text)) for x in tokenize(part)]
             self.young[w] = array.array("I", ids).tobytes()
