@@ -5,8 +5,9 @@ and not what is found. Two sets of likeness t share one of the first n - ceil(t
 Sets are first compared by sketches, parities of shingle counts in buckets: they differ in no more bits than the sets differ in shingles, so no pair is
 lost. What remains is verified by the sets themselves.
 
-First come the fingerprints' pairs, and each member of a list with two leaders of the list; then all pairs of a list that are not in one group yet are compared, long lists by pairs of
-blocks, so that a large group of copies brings no link for each of its pairs. Shingles and classes are known by 64-bit hashes.
+First come the fingerprints' pairs, and each member of a list with three leaders of the list, the same ones in most lists of a group; then, in lists that
+still hold several groups, all pairs that are not in one group yet are compared, long lists by pairs of blocks, so that a large group of copies brings no
+link for each of its pairs. Shingles and classes are known by 64-bit hashes.
 
 Defined results: null and empty texts are one class without shingles; of rows with equal id and text one stays, that of the least hash of its other columns; rows with
 a null id come last; empty tables give no rows; all columns of docs are kept, whatever their names.
@@ -43,8 +44,8 @@ def shingles(text: str | None, size: int = 5) -> np.ndarray:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Parities of the numbers of shingles in a power of two of buckets, between half as many and as many as shingles, 64 at least."""
-    m = max(64, (1 << max(len(s) - 1, 1).bit_length()) // 2)
+    """Parities of the numbers of shingles in a power of two of buckets, between twice and four times as many as shingles, 64 at least."""
+    m = max(64, 1 << max(2 * len(s) - 1, 1).bit_length())
     return np.packbits((np.bincount((s & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
@@ -108,13 +109,19 @@ def classes_of(docs: DataFrame, size: int, likeness: float, id_col: str, text_co
 
 
 def posting_lists(classes: DataFrame, block: int) -> DataFrame:
-    """Rows of the posting lists of two members at least: key, c, n, first and last (leaders by hash), block (of members in order of size) and blocks."""
+    """Rows of the posting lists of two members at least: key, c, n, root (c itself yet), shared (lists that hold c), block (of members in order of size) and blocks."""
     own = Window.partitionBy("key")
     posts = classes.select(F.explode("prefix").alias("key"), "c", "n")
-    by_hash = F.struct(F.xxhash64("c", "key").alias("h"), "c", "n")
     at = (F.row_number().over(own.orderBy("n", "c")) - 1) / block
-    rows = posts.select("key", "c", "n", F.count("*").over(own).alias("size"), F.min(by_hash).over(own).alias("first"), F.max(by_hash).over(own).alias("last"), at.cast("int").alias("block"))
-    return staged(rows.where("size > 1").withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).drop("size"))
+    rows = posts.select("key", "c", "n", F.count("*").over(own).alias("size"), at.cast("int").alias("block"))
+    return staged(rows.where("size > 1").withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).drop("size").withColumn("root", F.col("c")).withColumn("shared", F.count("*").over(Window.partitionBy("c"))))
+
+
+def of_several(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """The lists whose members are of several roots, with these."""
+    own = Window.partitionBy("key")
+    named = lists.drop("root").join(roots, lists.c == roots.node, "left").withColumn("root", F.coalesce("root", "c")).drop("node")
+    return staged(named.withColumn("least", F.min("root").over(own)).withColumn("most", F.max("root").over(own)).where("least <> most").drop("least", "most"))
 
 
 def fingerprint_pairs(classes: DataFrame, likeness: float) -> DataFrame:
@@ -129,7 +136,19 @@ def fingerprint_pairs(classes: DataFrame, likeness: float) -> DataFrame:
 
 
 def led(lists: DataFrame, classes: DataFrame, likeness: float) -> DataFrame:
-    """Pairs (a, b) of the fingerprints' index, and of members and leaders of lists, that sketches don't rule out."""
+    """Pairs (a, b) of different roots, of members and leaders of lists, that may be alike enough by their sizes.
+
+    The leaders are the members of the least and the greatest hash, and that whose prefix shares most: of texts that edits of one made, the one without edits."""
+    own = Window.partitionBy("key")
+    by_hash = F.struct(F.xxhash64("c").alias("h"), "c", "n", "root")
+    by_shared = F.max(F.struct("shared", by_hash.alias("of"))).over(own)["of"]
+    rows = lists.select("c", "n", "root", F.array(F.min(by_hash).over(own), F.max(by_hash).over(own), by_shared).alias("leaders"))
+    pairs = rows.select("c", "n", "root", F.explode("leaders").alias("l")).where("root <> l.root").where(F.least("n", "l.n") >= likeness * F.greatest("n", "l.n") - 1e-6)
+    return pairs.select(F.least("c", "l.c").alias("a"), F.greatest("c", "l.c").alias("b")).distinct()
+
+
+def sketched(pairs: DataFrame, classes: DataFrame, likeness: float) -> DataFrame:
+    """The pairs that sketches don't rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -137,9 +156,6 @@ def led(lists: DataFrame, classes: DataFrame, likeness: float) -> DataFrame:
             ok = [differing(p, q) <= near(i, j, likeness) for i, j, p, q in zip(n, m, x, y, strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    pairs = lists.select("c", "n", F.explode(F.array("first", "last")).alias("l")).where("c <> l.c").where(F.least("n", "l.n") >= likeness * F.greatest("n", "l.n") - 1e-6)
-    pairs = pairs.select(F.least("c", "l.c").alias("a"), F.greatest("c", "l.c").alias("b"))
-    pairs = pairs.unionByName(fingerprint_pairs(classes, likeness)).distinct()
     own = classes.select("c", "n", "sketch")
     both = pairs.join(own.toDF("a", "n", "x"), "a").join(own.toDF("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
     return staged(both.mapInArrow(run, "a long, b long"))
@@ -174,7 +190,7 @@ def compared(c: np.ndarray, n: np.ndarray, root: np.ndarray, block: np.ndarray,
                 yield from ((c[i], c[j]) for j in at[near_by].tolist())
 
 
-def unled(lists: DataFrame, classes: DataFrame, roots: DataFrame, likeness: float) -> DataFrame:
+def unled(lists: DataFrame, classes: DataFrame, likeness: float) -> DataFrame:
     """All pairs (a, b) of lists that are of different roots and that sketches don't rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,8 +222,7 @@ def unled(lists: DataFrame, classes: DataFrame, roots: DataFrame, likeness: floa
         xs = list(found)
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in xs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    named = classes.select("c", "sketch").join(roots, classes.c == roots.node, "left").select("c", "sketch", F.coalesce("root", "c").alias("root"))
-    rows = lists.join(named, "c").select("key", "c", "n", "root", "block", "sketch", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = lists.join(classes.select("c", "sketch"), "c").select("key", "c", "n", "root", "block", "sketch", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rows = rows.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "c", "n", "root", "block", "sketch")
     return staged(rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "n", "c").mapInArrow(run, "a long, b long").distinct())
 
@@ -243,10 +258,11 @@ def representatives(docs: DataFrame, shingle: int = 5, likeness: float = 0.8, bl
     """The rows of docs of which one stays for each group that links of the likeness connect: that with the least id."""
     classes = classes_of(docs, shingle, likeness, id_col, text_col)
     lists = posting_lists(classes, block)
-    met = led(lists, classes, likeness)
-    found = alike(met, classes, docs, shingle, likeness, id_col, text_col)
-    more = unled(lists, classes, components(found), likeness).join(met, ["a", "b"], "left_anti")
-    roots = components(found.unionByName(alike(staged(more), classes, docs, shingle, likeness, id_col, text_col)))
+    verified = lambda pairs: alike(pairs, classes, docs, shingle, likeness, id_col, text_col)
+    met = sketched(led(lists, classes, likeness).unionByName(fingerprint_pairs(classes, likeness)).distinct(), classes, likeness)
+    found = verified(met)
+    rest = staged(unled(of_several(lists, components(found)), classes, likeness).join(met, ["a", "b"], "left_anti"))
+    roots = components(found.unionByName(verified(rest)))
     least = classes.join(roots, classes.c == roots.node, "left").groupBy(F.coalesce("root", "c").alias("root")).agg(F.min("k").alias("k")).select("k.*")
     names = fresh(docs, "k0", "k1", "k2")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
