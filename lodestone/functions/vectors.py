@@ -271,3 +271,13 @@ def unflattened(flat: Column | str, dim: int) -> Column:
 def all_normalized(v: Column | str, tolerance: float = 1e-4) -> Column:
     """Aggregate: whether there are vectors, all of one length (dimension) and norm 1."""
     return F.coalesce(F.bool_and(is_normalized(v, tolerance)) & (F.min(F.size(col(v))) == F.max(F.size(col(v)))), F.lit(False))
+
+
+#: Bits of an element in each stored format, and bytes of the scale beside the elements.
+FORMATS = {"float32": (32, 0), "float16": (16, 0), "int8": (8, 4), "int4": (4, 4), "binary": (1, 0)}
+
+
+def stored_bytes(elements: Column, form: str) -> Column:
+    """Bytes of a vector of so many elements in a format, its scale included."""
+    bits, scale = FORMATS[form]
+    return (F.floor((elements * bits + 7) / 8) + scale).cast("long")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import text_hash
 from ..functions.vectors import Metric
+from ..models import Embedder, embed
 from .search import distances, matrix
 
 SCHEMA = "text_hash string, text string, vector array<float>, model_id string, dimensions int, token_count int, created_at timestamp, accessed_at timestamp, access_count long"
@@ -115,3 +116,21 @@ def rates(lookups: DataFrame) -> DataFrame:
     from .measures import hit_rates
 
     return hit_rates(lookups, "outcome")
+
+
+def remove(cache: DataFrame, texts: DataFrame, model_id: str, text_col: str = "text") -> DataFrame:
+    """The cache without the entries of the texts for a model."""
+    gone = texts.select(text_hash(text_col).alias("text_hash"), F.lit(model_id).alias("model_id")).distinct()
+    return cache.join(gone, KEY, "left_anti")
+
+
+def clear(cache: DataFrame, model_id: str | None = None) -> DataFrame:
+    """The cache without the entries of a model, or without any."""
+    return cache.where(F.lit(False)) if model_id is None else cache.where(~F.col("model_id").eqNullSafe(F.lit(model_id)))
+
+
+def warm(cache: DataFrame, texts: DataFrame, model: Embedder, now: Column, text_col: str = "text") -> DataFrame:
+    """The cache with entries for those texts that it does not hold yet, each distinct one embedded once."""
+    missing = texts.select(F.col(text_col).alias("text")).where(F.col("text").isNotNull()).distinct().withColumn("text_hash", text_hash("text"))
+    missing = missing.join(cache.where(F.col("model_id") == model.name).select("text_hash"), "text_hash", "left_anti").groupBy("text_hash").agg(F.min("text").alias("text"))
+    return insert_absent(cache, entries(missing.join(embed(missing, model, "text_hash"), "text_hash"), now, model.name))

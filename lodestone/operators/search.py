@@ -231,7 +231,7 @@ def train_centroids(rows: DataFrame, lists: int, rounds: int = 10, seed: int = 0
         for b in batches:
             if b.num_rows:
                 x = matrix(b.column(0))
-                at = distances(x, c, Metric.EUCLIDEAN if len(c) < 8 else Metric.EUCLIDEAN).argmin(1)
+                at = distances(x, c, Metric.EUCLIDEAN).argmin(1)
                 np.add.at(total, at, x)
                 n += np.bincount(at, minlength=len(c))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(c), dtype=np.int32)), pa.array(list(total)), pa.array(n)], names=["cell", "total", "n"])
@@ -254,19 +254,31 @@ def ivf_assign(store: DataFrame, centroids: np.ndarray, metric: Metric | str = M
     return nearest_lists(store, centroids, 1, metric, **cols).drop("order")
 
 
-def ivf_search(assigned: DataFrame, queries: DataFrame, centroids: np.ndarray, probes: int, k: int = 10, metric: Metric | str = Metric.EUCLIDEAN, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """The k nearest among the vectors of each query's `probes` nearest cells; may be fewer than k."""
-    metric = Metric(metric)
-    probed = nearest_lists(queries, centroids, probes, metric, id_col, vector_col).select(F.col("id").alias("query_id"), F.col("v").alias("q"), "cell")
-    met = assigned.join(probed, "cell")  # AQE splits a large cell
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                q, x = matrix(b.column("q")), matrix(b.column("v"))
-                yield pa.RecordBatch.from_arrays([b.column("query_id"), b.column("id"), pa.array(np.concatenate([distances(q[i : i + 1], x[i : i + 1], metric)[0] for i in range(len(q))]))], names=["query_id", "id", "distance"])
+def ivf_search(assigned: DataFrame, queries: DataFrame, centroids: np.ndarray, probes: int, k: int = 10, metric: Metric | str = Metric.EUCLIDEAN, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 16_384) -> DataFrame:
+    """The k nearest among the vectors of each query's `probes` nearest cells; may be fewer than k.
 
-    return ranked(met.select("query_id", "q", "id", "v").mapInArrow(score, HITS), k, metric)
+    Cells meet their queries as blocks of `block` vectors at most, each a matrix product that keeps k rows a query; no pairs are made.
+    """
+    metric = Metric(metric)
+    sizes = {r[0]: r[1] for r in assigned.groupBy("cell").count().collect()}  # a row for each list
+    if not sizes:
+        return ranked(queries.sparkSession.createDataFrame([], HITS), k, metric)
+    parts = F.element_at(F.create_map(*[F.lit(x) for c, n in sizes.items() for x in (c, -(-n // block))]), F.col("cell"))
+    held = assigned.select("id", "v", "cell", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"))
+    probed = nearest_lists(queries, centroids, probes, metric, id_col, vector_col).select("id", "v", "cell", parts.alias("n")).where("n > 0")
+    probed = probed.select("id", "v", "cell", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part"))
+
+    def meet(q: pa.Table, x: pa.Table) -> pa.Table:
+        found: list[tuple] = []
+        if q.num_rows and x.num_rows:
+            ids, v = x.column("id").to_numpy(), matrix(x.column("v"))
+            for at in range(0, q.num_rows, 1024):
+                some = q.slice(at, 1024).combine_chunks()
+                found.append(nearest(some.column("id").to_numpy(), matrix(some.column("v")), ids, v, metric, k, False))
+        out = [np.concatenate([f[i] for f in found]) if found else np.empty(0, t) for i, t in enumerate((np.int64, np.int64, float))]
+        return pa.table(dict(zip(("query_id", "id", "distance"), map(pa.array, out), strict=True)))
+
+    return ranked(probed.groupBy("cell", "part").cogroup(held.groupBy("cell", "part")).applyInArrow(meet, HITS), k, metric)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
