@@ -145,9 +145,13 @@ def contains_similar(store: DataFrame, queries: DataFrame, threshold: float = 0.
     return knn(store, queries, 1, **how).select("query_id", (F.col("similarity") >= threshold).alias("found"))
 
 
-def find_similar(store: DataFrame, queries: DataFrame, threshold: float = 0.5, limit: int = 100, **how) -> DataFrame:
-    """The nearest `limit`, of which those at least that similar stay."""
-    return min_similarity(knn(store, queries, limit, **how), threshold)
+def find_similar(store: DataFrame, queries: DataFrame, threshold: float = 0.5, limit: int = 100, text_col: str | None = None, **how) -> DataFrame:
+    """The nearest `limit`, of which those at least that similar stay; with a text column, also their text, and those without a text go."""
+    hits = min_similarity(knn(store, queries, limit, **how), threshold)
+    if text_col is None:
+        return hits
+    texts = store.select(F.col(how.get("id_col", "vec_id")).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    return hits.join(texts, "id").select(*hits.columns, "text")
 
 
 def pairwise(a: DataFrame, b: DataFrame, on: str, vector_col: str = "embedding") -> DataFrame:

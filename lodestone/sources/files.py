@@ -94,12 +94,14 @@ def is_embedding_model(name: Column) -> Column:
 
 
 def models(spark: SparkSession, path: str, least: int = 1024, embedding_only: bool = False) -> DataFrame:
-    """Model files below path: path, name, type, size, modified, family, dimensions, is_embedding, by name. File contents are not read."""
+    """Model files and package folders below path: path, name, type, size (of a folder: of all its files), modified, family, dimensions, is_embedding, by name. File contents are not read."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    folder = F.regexp_extract("path", r"^(.*?\.mlpackage)/", 1)
+    f = f.groupBy(F.when(folder != "", folder).otherwise(F.col("path")).alias("path")).agg(F.sum("size").alias("size"), F.max("modified").alias("modified"))
     name = F.regexp_extract("path", r"([^/]+)\.(mlpackage|mlmodel|onnx)$", 1)
     f = f.withColumn("name", name).withColumn("type", F.regexp_extract("path", r"\.(mlpackage|mlmodel|onnx)$", 1)).where((F.col("name") != "") & (F.col("size") >= least))
     f = f.withColumn("family", model_family(F.col("name"))).withColumn("dimensions", model_dimensions(F.col("name"))).withColumn("is_embedding", is_embedding_model(F.col("name")))
-    return (f.where("is_embedding") if embedding_only else f).dropDuplicates(["path"]).orderBy("name", "path")
+    return (f.where("is_embedding") if embedding_only else f).orderBy("name", "path")
 
 
 def matching(found: DataFrame, part: str) -> DataFrame:

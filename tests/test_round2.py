@@ -8,6 +8,7 @@ from lodestone import models
 from lodestone.functions import vectors as V
 from lodestone.operators import cache, search
 from lodestone.plans import catalogue
+from lodestone.sources import files
 
 
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
@@ -50,3 +51,18 @@ def test_cache_warm_remove_clear(spark):
 @pytest.mark.parametrize(("form", "n", "want"), [("float32", 5, 20), ("float16", 5, 10), ("int8", 5, 9), ("int4", 5, 7), ("binary", 9, 2)])
 def test_stored_bytes(spark, form, n, want):
     assert spark.range(1).select(V.stored_bytes(F.lit(n), form)).first()[0] == want
+
+
+def test_similar_texts_without_nulls(spark):
+    store = spark.createDataFrame([(1, [1.0, 0.0], "a"), (2, [1.0, 0.1], None), (3, [0.9, 0.2], "c"), (4, [-1.0, 0.0], "d")], "vec_id long, embedding array<double>, body string")
+    found = search.find_similar(store, store.where("vec_id = 1"), 0.5, 3, text_col="body", metric="cosine")
+    assert sorted((r.id, r.text) for r in found.collect()) == [(1, "a"), (3, "c")]
+
+
+def test_model_folders(spark, tmp_path):
+    inside = tmp_path / "bert-embed.mlpackage" / "Data"
+    inside.mkdir(parents=True)
+    (inside / "weights.bin").write_bytes(b"x" * 1500)
+    (inside / "model.mlmodel").write_bytes(b"x" * 500)
+    found = files.models(spark, str(tmp_path)).collect()
+    assert [(r.name, r.type, r.size) for r in found] == [("bert-embed", "mlpackage", 2000)]
