@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -48,44 +52,87 @@ def gradient(edges: DataFrame, layout: DataFrame, config: ProjectionConfig = Pro
     return sums.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("d", "v"))).alias("c")).select("id", F.transform("c", lambda s: s["v"]).alias("gradient"))
 
 
-def project(rows: DataFrame, config: ProjectionConfig = ProjectionConfig(), id_col: str = "vec_id", vector_col: str = "embedding", most: int = 200_000) -> DataFrame:
-    """id, position: a layout of the neighbour graph by sampled attraction and repulsion.
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder below spark.checkpoint.dir; only where that is unset in local mode (tests), a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ProjectionError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + os.path.join(tempfile.gettempdir(), "lodestone-checkpoints")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, read back: cuts lineage, survives lost executors."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(ids: DataFrame) -> DataFrame:
+    """id, num: gapless numbers in order of id, from counts of range partitions."""
+    parts = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = written(ids.repartitionByRange(parts, "id").withColumn("part", F.spark_partition_id()), shared_folder(ids.sparkSession, "numbers"))
+    counts = placed.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n"))  # a row per partition
+    return placed.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("id"))).join(F.broadcast(counts), "part").select("id", (F.col("before") + F.col("r") - 1).alias("num"))
+
 
-    The graph is made in Spark; the layout, a picture of at most `most` points, is optimised on the driver. Vectors must have one length and finite elements.
+def epoch_layout(edges: DataFrame, layout: DataFrame, epoch: int, n: int, config: ProjectionConfig, ab: tuple[float, float]) -> DataFrame:
+    """The layout (num, p0, p1, ...) after one round over the edges (s, t, w) with w at most 1.
+
+    An edge takes part with probability w and pulls its ends together. Each node is pushed from `negatives` others, found by shifting all
+    numbers by a drawn step, once for each of its edges that take part. Pulls, pushes and positions are summed by node in one aggregation.
+    """
+    a, b = ab
+    dims = range(config.dimensions)
+    at = lambda x: [F.col(f"p{d}").alias(f"{x}{d}") for d in dims]
+    diffs = [F.col(f"x{d}") - F.col(f"y{d}") for d in dims]
+    d2 = sum((x * x for x in diffs[1:]), diffs[0] * diffs[0])
+    within = lambda c: F.greatest(F.lit(-4.0), F.least(F.lit(4.0), c))
+    draw = F.pmod(F.xxhash64("s", "t", F.lit(epoch), F.lit(config.seed)), F.lit(1 << 30)) / float(1 << 30)
+    pull = F.when(d2 > 0, -2 * a * b * F.pow(F.greatest(d2, F.lit(1e-12)), F.lit(b - 1)) / (1 + a * F.pow(d2, F.lit(b)))).otherwise(F.lit(0.0))
+    on = edges.where(draw < F.col("w")).join(layout.select(F.col("num").alias("s"), *at("x")), "s").join(layout.select(F.col("num").alias("t"), *at("y")), "t")
+    on = on.select("s", "t", *[within(pull * x).alias(f"g{d}") for d, x in zip(dims, diffs, strict=True)])
+    zero = lambda x: [F.lit(0.0).alias(f"{x}{d}") for d in dims]
+    ends = F.explode(F.array(F.struct(F.col("s").alias("num"), F.lit(1.0).alias("sign")), F.struct(F.col("t").alias("num"), F.lit(-1.0).alias("sign")))).alias("end")
+    pulls = on.select(ends, *[f"g{d}" for d in dims]).select("end.num", F.greatest("end.sign", F.lit(0.0)).alias("c"), *[(F.col("end.sign") * F.col(f"g{d}")).alias(f"g{d}") for d in dims], *zero("r"), *zero("p"))
+    steps = np.random.default_rng([config.seed, epoch]).integers(1, n, config.negatives) if n > 1 else []
+    push = 2 * b / ((0.001 + d2) * (1 + a * F.pow(d2, F.lit(b))))
+    here = layout.select("num", F.lit(0.0).alias("c"), *zero("g"), *zero("r"), *[f"p{d}" for d in dims])
+    moves = pulls.unionByName(here)
+    if len(steps):
+        away = layout.select("num", F.explode(F.array(*[F.pmod(F.col("num") + F.lit(int(k)), F.lit(n)) for k in steps])).alias("o"), *at("x"))
+        away = away.join(layout.select(F.col("num").alias("o"), *at("y")), "o")
+        moves = moves.unionByName(away.select("num", F.lit(0.0).alias("c"), *zero("g"), *[within(push * x).alias(f"r{d}") for d, x in zip(dims, diffs, strict=True)], *zero("p")))
+    sums = moves.groupBy("num").agg(*[F.sum(f"{x}").alias(x) for x in ["c", *(f"{k}{d}" for k in "grp" for d in dims)]])
+    rate = config.learning_rate * max(1 - epoch / config.iterations, 0.01)
+    move = lambda d: F.greatest(F.lit(-10.0), F.least(F.lit(10.0), F.col(f"g{d}") + F.col("c") * F.col(f"r{d}")))
+    return sums.select("num", *[(F.col(f"p{d}") + rate * move(d)).alias(f"p{d}") for d in dims])
+
+
+def project(rows: DataFrame, config: ProjectionConfig = ProjectionConfig(), id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """id, position: a layout of the neighbour graph by sampled attraction and repulsion, a Spark job for each round.
+
+    Graph and layouts are Parquet tables in spark.checkpoint.dir (which a cluster must set); nothing of them passes the driver, whatever the
+    number of vectors. Vectors must have one length and finite elements; rows of one id count as one node.
     """
     spark: SparkSession = rows.sparkSession
     bad = F.exists(vector_col, lambda x: F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
     n, low, high, wrong = rows.agg(F.count("*"), F.min(F.size(vector_col)), F.max(F.size(vector_col)), F.count_if(bad)).first()
     if not n or n <= config.neighbours or low != high or wrong:
         raise ProjectionError(f"{n} vectors of {low} to {high} elements, {wrong} of them not finite, for {config.neighbours} neighbours")
-    if n > most:
-        raise ProjectionError(f"{n} vectors are too many for one picture; the limit is {most}")
-    edges = knn_graph(rows, config.neighbours, id_col, vector_col).select("src", "dst", "weight").toPandas()  # n times neighbours rows, n at most `most`
-    ids = np.sort(edges["src"].unique())
-    i, j, w = np.searchsorted(ids, edges["src"]), np.searchsorted(ids, edges["dst"]), edges["weight"].to_numpy()
-    order = np.lexsort((j, i))
-    i, j, w = i[order], j[order], w[order]
-    a, b = curve(config)
-    r = np.random.default_rng(config.seed)
-    y = r.uniform(-10, 10, (len(ids), config.dimensions))
+    folder = shared_folder(spark, "projection")
+    graph = written(knn_graph(rows, config.neighbours, id_col, vector_col).select("src", "dst", "weight"), f"{folder}/graph")
+    nodes = written(numbered(graph.select(F.col("src").alias("id")).distinct()), f"{folder}/nodes")
+    n, most = nodes.count(), graph.agg(F.max("weight")).first()[0]
+    number = lambda end, name: nodes.select(F.col("id").alias(end), F.col("num").alias(name))
+    edges = graph.join(number("src", "s"), "src").join(number("dst", "t"), "dst").select("s", "t", (F.col("weight") / most).alias("w"))
+    edges = written(edges, f"{folder}/edges")
+    start = [(F.pmod(F.xxhash64("num", F.lit(d), F.lit(config.seed)), F.lit(1 << 30)) / float(1 << 30) * 20 - 10).alias(f"p{d}") for d in range(config.dimensions)]
+    layout = written(nodes.select("num", *start), f"{folder}/layout")
+    ab = curve(config)
     for epoch in range(config.iterations):
-        rate = config.learning_rate * max(1 - epoch / config.iterations, 0.01)
-        on = r.random(len(w)) < w / w.max()
-        s, t = i[on], j[on]
-        d = y[s] - y[t]
-        d2 = (d * d).sum(1)
-        c = np.where(d2 > 0, -2 * a * b * np.maximum(d2, 1e-12) ** (b - 1) / (1 + a * d2**b), 0)
-        g = np.clip(c[:, None] * d, -4, 4)
-        move = np.zeros_like(y)
-        np.add.at(move, s, g)
-        np.add.at(move, t, -g)
-        for _ in range(config.negatives):
-            o = r.integers(len(ids), size=len(s))
-            d = y[s] - y[o]
-            d2 = (d * d).sum(1)
-            np.add.at(move, s, np.clip((2 * b / ((0.001 + d2) * (1 + a * d2**b)))[:, None] * d, -4, 4) * (o != s)[:, None])
-        y += rate * np.clip(move, -10, 10)
-    return spark.createDataFrame([(int(k), [float(v) for v in p]) for k, p in zip(ids, y, strict=True)], "id long, position array<double>")
+        layout = written(epoch_layout(edges, layout, epoch, n, config, ab), f"{folder}/layout{epoch}")
+    return nodes.join(layout, "num").select(F.col("id").cast("long").alias("id"), F.array(*[f"p{d}" for d in range(config.dimensions)]).alias("position"))
 
 
 def project_texts(docs: DataFrame, model: Embedder, config: ProjectionConfig = ProjectionConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import glob
 import json
+import os
 import sqlite3
 import struct
+import uuid
+from contextlib import closing
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, FloatType
+from pyspark.sql.types import ArrayType, BinaryType, FloatType, StringType, StructType
 
 from ..operators.tokenizers import ByteBPE, GreedyBPE, SentencePiece, WordPiece
 
@@ -148,24 +154,83 @@ def float16(v: pd.Series) -> pd.Series:
 # Relational files.
 
 
-def read_sqlite(spark: SparkSession, path: str, query: str, chunk: int = 50_000) -> DataFrame:
-    """Rows of a query on a local database file, read in chunks on the driver: for imports; keep large data in Parquet."""
-    with sqlite3.connect(path) as con:
-        parts = [spark.createDataFrame(p) for p in pd.read_sql_query(query, con, chunksize=chunk) if len(p)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+#: What SQLite calls the storage classes, and the types they become.
+STORED = {"integer": "bigint", "real": "double", "text": "string", "blob": "binary"}
+
+
+def sqlite_files(path: str) -> list[str]:
+    return sorted(glob.glob(os.path.join(path, "*.db"))) if os.path.isdir(path) else [path]
+
+
+def sqlite_schema(paths: list[str], query: str) -> str:
+    """The query's columns as DDL: SQLite itself tells which classes each column holds, one row a file; mixed numbers become double, other mixtures text."""
+    seen: dict[str, set] = {}
+    for path in paths:
+        with closing(sqlite3.connect(f"file:{path}?mode=ro", uri=True)) as con:
+            names = [c[0] for c in con.execute(f"select * from ({query}) limit 0").description]
+            classes = con.execute("select " + ", ".join(f'group_concat(distinct typeof("{c}"))' for c in names) + f" from ({query})").fetchone()
+        for c, found in zip(names, classes, strict=True):
+            seen.setdefault(c, set()).update((found or "").split(","))
+    kind = lambda k: STORED[min(k)] if len(k) == 1 else "double" if k == {"integer", "real"} else "string"
+    return ", ".join(f"`{c}` {kind(k - {'', 'null'})}" for c, k in seen.items())
+
+
+def read_sqlite(spark: SparkSession, path: str, query: str, key: str | None = None, schema: str | None = None, step: int = 50_000) -> DataFrame:
+    """Rows of a query on a database file, or on every *.db file of a folder (write_sqlite), read by tasks; the path must be shared with the executors.
+
+    With an integer column `key` of the query, each `step` of its values is read by a task of its own (keys that are null or no integer with the first);
+    without, a task streams a file's rows in batches. Column types come from the file unless a schema is given. No rows give an empty table.
+    """
+    paths = sqlite_files(path)
+    schema = schema or sqlite_schema(paths, query)
+    ranges = []
+    for p in paths:
+        low, high = None, None
+        if key:
+            with closing(sqlite3.connect(f"file:{p}?mode=ro", uri=True)) as con:
+                low, high = con.execute(f"select min(\"{key}\"), max(\"{key}\") from ({query}) where typeof(\"{key}\") = 'integer'").fetchone()
+        ranges += [(p, None, None, True)] if low is None else [(p, k, min(k + step - 1, high), k == low) for k in range(low, high + 1, step)]
+    fields = StructType.fromDDL(schema)
+    texts = [f.name for f in fields if f.dataType == StringType()]
+
+    def read(batches):
+        for batch in batches:
+            for p, low, high, first in batch.itertuples(index=False):
+                bounds = "" if low is None or pd.isna(low) else f"where \"{key}\" between {int(low)} and {int(high)} and typeof(\"{key}\") = 'integer'" + (f" or \"{key}\" is null or typeof(\"{key}\") <> 'integer'" if first else "")
+                with closing(sqlite3.connect(f"file:{p}?mode=ro", uri=True)) as con:
+                    cursor = con.execute(f"select * from ({query}) {bounds}")
+                    while rows := cursor.fetchmany(10_000):
+                        out = pd.DataFrame(rows, columns=fields.names, dtype=object)
+                        for c in texts:
+                            out[c] = out[c].map(lambda x: x if x is None or isinstance(x, str) else str(x))
+                        yield out
+
+    tasks = spark.createDataFrame(ranges, "path string, low long, high long, first boolean")
+    return tasks.repartition(max(len(ranges), 1)).mapInPandas(read, fields)
 
 
 def write_sqlite(df: DataFrame, path: str, table: str) -> int:
-    """The rows into a table of a local database file, streamed through the driver a partition at a time. Arrays and maps are written as JSON."""
-    plain = df.select(*[F.to_json(c).alias(c) if t.startswith(("array", "map", "struct")) else F.col(c) for c, t in df.dtypes])
-    names = ", ".join(f'"{c}"' for c in plain.columns)
-    n = 0
-    with sqlite3.connect(path) as con:
-        con.execute(f'create table if not exists "{table}" ({names})')
-        for row in plain.toLocalIterator():
-            con.execute(f'insert into "{table}" values ({", ".join("?" * len(row))})', [str(x) if hasattr(x, "isoformat") else x for x in row])
-            n += 1
-    return n
+    """The rows into a table of database files, one for each partition, below the folder `path` that driver and executors share; gives the number of rows.
+
+    A task builds its file under another name and renames it when whole, so a lost or repeated task leaves no half file. Arrays, maps and
+    structs are written as JSON, dates and decimals as text.
+    """
+    plain = df.select(*[F.to_json(c).alias(c) if t.startswith(("array", "map", "struct")) else F.col(c).cast("string").alias(c) if t.startswith(("date", "timestamp", "decimal")) else F.col(c) for c, t in df.dtypes])
+    names, marks = ", ".join(f'"{c}"' for c in plain.columns), ", ".join("?" * len(plain.columns))
+    os.makedirs(path, exist_ok=True)
+
+    def write(batches):
+        part = TaskContext.get().partitionId()
+        draft = os.path.join(path, f".part-{part:05d}-{uuid.uuid4().hex}")
+        n = 0
+        with closing(sqlite3.connect(draft)) as con:
+            con.execute(f'create table "{table}" ({names})')
+            for batch in batches:
+                rows = zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True)
+                con.executemany(f'insert into "{table}" values ({marks})', rows)
+                n += batch.num_rows
+            con.commit()
+        os.replace(draft, os.path.join(path, f"part-{part:05d}.db"))
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    return plain.mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
