@@ -46,30 +46,69 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def char_class(chars) -> str:
+    """The characters as ranges inside a regular expression's brackets."""
+    points, out = sorted(map(ord, chars)), []
+    for p in points:
+        if out and out[-1][1] == p - 1:
+            out[-1][1] = p
+        else:
+            out.append([p, p])
+    return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in out)
+
+
 def composed_marks(text: Column) -> Column:
-    """Canonical order and composition of each run of a character and its marks."""
+    """Canonical order and composition of each run of a character and its marks, in time that grows with a run as sorting does.
+
+    No character is composed of more than `depth` + 1. So of the marks of one class behind a starter only the first `depth` can join it, and of
+    the starters behind it likewise; where that many have been passed, a run is cut into pieces that are composed on their own.
+    """
     t = unicode_tables()
-    split, pairs, order = lookup(t["split"]), lookup(t["pairs"]), lookup(t["class"])
+    split, pairs = lookup(t["split"]), lookup(t["pairs"])
+    depth = max(map(len, t["split"].values())) - 1
+    marks, joining = char_class(t["class"]), char_class({p[1] for p in t["pairs"]} - set(t["class"]))
+    ranks = "".join(chr(0x100 + int(k)) for k in t["class"].values())
+    none = F.lit("")
+
+    def decomposed(run: Column) -> Column:
+        known = F.filter(F.array_distinct(F.split(run, "")), lambda c: F.map_contains_key(split, c))
+        return F.aggregate(known, run, lambda s, c: F.replace(s, c, F.try_element_at(split, c)))
 
-    def compose(run: Column) -> Column:
-        chars = F.split(F.concat_ws("", F.transform(F.split(run, ""), lambda c: F.coalesce(F.try_element_at(split, c), c))), "")
-        ranked = F.transform(chars, lambda c: F.struct(F.coalesce(F.try_element_at(order, c), F.lit("0")).cast("int").alias("k"), c.alias("c")))
-        # block: how many starters came up to here, so that marks are sorted only behind their own starter
-        blocks = F.transform(ranked, lambda x, i: F.struct(F.size(F.filter(F.slice(ranked, F.lit(1), i + 1), lambda y: y["k"] == 0)).alias("b"), x["k"].alias("k"), i.alias("i"), x["c"].alias("c")))
-        start = F.struct(F.lit("").alias("done"), F.lit("").alias("base"), F.lit("").alias("rest"), F.lit(0).alias("last"))
+    def ordered(m: Column) -> Column:
+        """k, i, c of marks in canonical order: by class, equal ones as they came."""
+        return let(F.split(F.translate(m, "".join(t["class"]), ranks), ""), lambda k: F.sort_array(F.transform(F.split(m, ""), lambda c, i: F.struct(F.get(k, i).alias("k"), i.alias("i"), c.alias("c")))))
+
+    def attach(base: Column, m: Column) -> Column:
+        """base with what joins it of its marks, and the rest of them in order."""
 
         def step(s: Column, x: Column) -> Column:
-            joined = F.try_element_at(pairs, F.concat(s["base"], x["c"]))
-            free = (s["base"] != "") & ((s["rest"] == "") | ((x["k"] > 0) & (s["last"] < x["k"])))
-            added = F.struct(s["done"].alias("done"), joined.alias("base"), s["rest"].alias("rest"), s["last"].alias("last"))
-            fresh = F.struct(F.concat(s["done"], s["base"], s["rest"]).alias("done"), x["c"].alias("base"), F.lit("").alias("rest"), F.lit(0).alias("last"))
-            kept = F.struct(s["done"].alias("done"), s["base"].alias("base"), F.concat(s["rest"], x["c"]).alias("rest"), x["k"].alias("last"))
-            return F.when(free & joined.isNotNull(), added).when(x["k"] == 0, fresh).otherwise(kept)
+            joined = F.when(s["last"] < x["k"], F.try_element_at(pairs, F.concat(s["base"], x["c"])))
+            return let(joined, lambda j: F.when(j.isNotNull(), F.struct(j.alias("base"), s["last"].alias("last"), F.array_append(s["used"], x["i"]).alias("used"))).otherwise(F.struct(s["base"].alias("base"), x["k"].alias("last"), s["used"].alias("used"))))
+
+        def joined(o: Column) -> Column:
+            start = F.struct(base.alias("base"), none.alias("last"), F.array().cast("array<int>").alias("used"))
+            first = F.filter(o, lambda x, i: (i < depth) | (F.get(o, i - depth)["k"] != x["k"]))
+            rest = lambda s: F.array_join(F.transform(F.filter(o, lambda x: ~F.array_contains(s["used"], x["i"])), lambda x: x["c"]), "")
+            return let(F.aggregate(first, start, step), lambda s: F.struct(s["base"].alias("base"), rest(s).alias("rest")))
+
+        return F.when(m == "", F.struct(base.alias("base"), none.alias("rest"))).otherwise(let(ordered(m), joined))
+
+    def compose(piece: Column) -> Column:
+        def step(s: Column, part: Column) -> Column:
+            def added(z: Column) -> Column:
+                one = F.when(s["rest"] == "", F.try_element_at(pairs, F.concat(s["base"], z)))
+                behind = F.concat(s["done"], s["base"], s["rest"])
+                return let(one, lambda j: let(attach(F.coalesce(j, z), F.substring(part, F.length(z) + 1, F.length(part))), lambda a: F.struct(F.when(j.isNotNull(), s["done"]).otherwise(behind).alias("done"), a["base"].alias("base"), a["rest"].alias("rest"))))
+
+            return let(F.regexp_extract(part, rf"(?s)^[^{marks}]?", 0), added)
 
-        return F.aggregate(F.array_sort(blocks), start, step, lambda s: F.concat(s["done"], s["base"], s["rest"]))
+        parts = F.filter(F.regexp_extract_all(piece, F.lit(rf"(?s)[^{marks}]?[{marks}]*"), F.lit(0)), lambda x: x != "")
+        return F.aggregate(parts, F.struct(none.alias("done"), none.alias("base"), none.alias("rest")), step, lambda s: F.concat(s["done"], s["base"], s["rest"]))
 
+    cut = F.lit(rf"(?s)[^{marks}]?[{marks}]*(?:[{joining}][{marks}]*){{0,{depth}}}")
+    pieces = lambda r: F.array_join(F.transform(F.regexp_extract_all(decomposed(r), cut, F.lit(0)), compose), "")
     runs = F.regexp_extract_all(text, F.lit(r"(?s)[^\p{M}]?\p{M}+|[^\p{M}]+?(?=[^\p{M}]\p{M})|[^\p{M}]+"), F.lit(0))
-    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike(r"\p{M}"), compose(r)).otherwise(r)), "")
+    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike(r"\p{M}"), pieces(r)).otherwise(r)), "")
 
 
 def composed_hangul(text: Column) -> Column:
