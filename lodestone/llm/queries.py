@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, each over its whole table, and their SQL."""
+"""The registered queries of the operators, each over its whole table, and their SQL."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import digests, languages, mixing, neighbours, packing, pseudonyms, secret_scan, simhash, toxicity, warc
+from . import codes, digests, language_model, languages, manifest, mixing, neighbours, packing, pseudonyms, secret_scan, simhash, toxicity, warc
 from .common import scratch_path, ship, table
 
 #: The key of the pseudonyms: from the environment, so that runs agree; else drawn anew for this process, and links hold within its runs alone.
@@ -97,7 +97,32 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_mixing, op3_language, op4_pseudonyms, op5_simhash, op6_fingerprints, op7_warc, op8_toxicity, op9_secrets, op10_neighbours)}
+def op11_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents")
+    scored = language_model.scores(docs, F.col("text"), remainder(7) != 2, keep=[F.col("doc_id"), (remainder(7) == 2).alias("held_out")], order=4)
+    exact = [F.round(c, 6).alias(c) for c in ("base_score", "score")]
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", *exact, "n_bytes")
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents")
+    leaf = lambda n_chars: manifest.leaf_of(F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text"))
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0  # a null id is not hit
+    shown = F.when(hit, leaf(F.col("n_chars") + 1)).alias("shown")
+    proved = manifest.prove(docs, leaf(F.col("n_chars")), F.col("lang"), F.col("doc_id"), [F.col("doc_id"), shown])
+    folded = proved.withColumn("folded_root", manifest.folded(F.coalesce("shown", "leaf"), F.col("path")))
+    proof = manifest.digest_of(F.col("path")).alias("proof_sha256")
+    return folded.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return codes.compress(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_mixing, op3_language, op4_pseudonyms, op5_simhash, op6_fingerprints, op7_warc, op8_toxicity, op9_secrets, op10_neighbours, op11_lm_scores, op12_manifest, op13_codes)}
 
 NEIGHBOURS_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS v FROM embeddings
