@@ -69,9 +69,13 @@ class WordTokenizer:
     def ids(self, text: str | None) -> bytes:
         """The text's ids as little-endian unsigned 32-bit numbers."""
         text = text or ""
-        if "<|" not in text and "Σ" not in text:  # special tokens are not to come about, and a final sigma depends on its place
-            text = text.lower()
-        words = text.encode("utf-8", "replace").split()
+        words = text.encode("utf-8", "replace")
+        if "<|" in text:  # special tokens are not to come about
+            words = words.split()
+        elif text.isascii():
+            words = words.lower().split()
+        else:  # other letters are lower-cased after they are composed, by the normalizer
+            words = [w.lower() if w.isascii() else w for w in words.split()]
         if new := set(words).difference(self.young):
             unknown = []
             for w in new:

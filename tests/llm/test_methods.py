@@ -29,6 +29,19 @@ def test_tokenizer_on_the_whole_vocabulary():
         assert np.frombuffer(own.ids(t), "<u4").tolist() == e.ids, t
 
 
+def test_tokenizer_on_hostile_strings():
+    """Marks, letters whose lower case is longer or composed, final sigmas, Hangul, ligatures, spaces of other kinds, and special tokens in capitals."""
+    from tokenizers import Tokenizer
+
+    whole, own, r = Tokenizer.from_file(queries.tokenizer_path()), packing.WordTokenizer(queries.tokenizer_path()), random.Random(5)
+    pool = [*"aAbIiKsSzZ09.,!'-_<|>  \t\n\x0b\x1c\x85", *map(chr, (0x130, 0x131, 0x345, 0x300, 0x301, 0x307, 0x308, 0x327, 0x328, 0x342, 0x94D, 0x391, 0x397, 0x3A3, 0x3C3, 0x3C2, 0x3B1, 0x1FB3, 0x1FBC, 0xC5, 0x212B, 0x212A, 0xDF, 0x1E9E, 0xFB01, 0x1C5, 0x10D0, 0x1C90, 0x13A0, 0xAB70, 0x1100, 0x1161, 0x11A8, 0xAC00, 0xA0, 0x2028, 0x3000, 0x200D, 0xFE0F, 0x1F600, 0xE0041, 0x10400, 0xFFFD))]
+    texts = ["".join(r.choices(pool, k=r.randrange(1, 9))) for _ in range(250_000)] + [chr(0x391) + chr(0x301) + chr(0x345), chr(0x130) + chr(0x94D), "<|ENDOFTEXT|> A"]
+    for at in range(0, len(texts), 10_000):
+        some = texts[at : at + 10_000]
+        for t, e in zip(some, whole.encode_batch(some, add_special_tokens=False), strict=True):
+            assert np.frombuffer(own.ids(t), "<u4").tolist() == e.ids, ascii(t)
+
+
 def test_proportions_are_the_plain_loop():
     r = np.random.default_rng(0)
     like, n = r.random((4, 50)) + 1e-3, r.integers(1, 9, 50).astype(float)
