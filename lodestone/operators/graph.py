@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,6 +10,7 @@ from ..errors import ProjectionError
 from ..functions.vectors import Metric
 from ..models import Embedder, embed
 from ..plans.config import ProjectionConfig
+from ..sources.shared import shared_folder, written
 from . import search as S
 
 
@@ -52,22 +49,6 @@ def gradient(edges: DataFrame, layout: DataFrame, config: ProjectionConfig = Pro
     return sums.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("d", "v"))).alias("c")).select("id", F.transform("c", lambda s: s["v"]).alias("gradient"))
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below spark.checkpoint.dir; only where that is unset in local mode (tests), a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ProjectionError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = "file://" + os.path.join(tempfile.gettempdir(), "lodestone-checkpoints")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, path: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back: cuts lineage, survives lost executors."""
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def numbered(ids: DataFrame) -> DataFrame:
     """id, num: gapless numbers in order of id, from counts of range partitions."""
     parts = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -8,7 +8,7 @@ and is applied before the top k, where Catalyst pushes it into the scan.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -113,10 +113,10 @@ def blocked(store: DataFrame, queries: DataFrame, groups: int, metric: Metric, k
     return q.groupBy("qg", "sb").cogroup(s.groupBy("qg", "sb")).applyInArrow(meet, HITS)
 
 
-def ranked(hits: DataFrame, k: int, metric: Metric | None) -> DataFrame:
+def ranked(hits: DataFrame, k: int, metric: Metric | None, extra: Sequence[str] = ()) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy("distance", "id")
     top = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return top.select("query_id", "rank", "id", "distance", V.similarity(F.col("distance"), metric).alias("similarity"))
+    return top.select("query_id", "rank", "id", "distance", V.similarity(F.col("distance"), metric).alias("similarity"), *extra)
 
 
 def search(store: DataFrame, query: list[float], k: int = 10, **how) -> DataFrame:
@@ -267,9 +267,19 @@ def ivf_search(assigned: DataFrame, queries: DataFrame, centroids: np.ndarray, p
     sizes = {r[0]: r[1] for r in assigned.groupBy("cell").count().collect()}  # a row for each list
     if not sizes:
         return ranked(queries.sparkSession.createDataFrame([], HITS), k, metric)
-    parts = F.element_at(F.create_map(*[F.lit(x) for c, n in sizes.items() for x in (c, -(-n // block))]), F.col("cell"))
-    held = assigned.select("id", "v", "cell", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"))
-    probed = nearest_lists(queries, centroids, probes, metric, id_col, vector_col).select("id", "v", "cell", parts.alias("n")).where("n > 0")
+    probed = nearest_lists(queries, centroids, probes, metric, id_col, vector_col).select("id", "v", "cell")
+    return ranked(meet_cells(probed, assigned.select("id", "v", "cell"), [sizes.get(c, 0) for c in range(max(sizes) + 1)], metric, k, block), k, metric)
+
+
+def meet_cells(probed: DataFrame, held: DataFrame, sizes, metric: Metric, k: int, block: int = 16_384) -> DataFrame:
+    """query_id, id, distance: the k nearest of each block of at most `block` vectors (held: id, v, cell) of the cells that queries (probed: id, v, cell) go to.
+
+    sizes: vectors by cell. A block meets its queries in a matrix product that keeps k rows a query; no pairs are made.
+    """
+    blocks = F.array(*[F.lit(int(-(-int(n) // block))) for n in sizes])
+    parts = F.get(blocks, F.col("cell"))
+    held = held.withColumn("part", F.pmod(F.xxhash64("id"), F.greatest(parts, F.lit(1))).cast("int"))
+    probed = probed.withColumn("n", F.coalesce(parts, F.lit(0))).where("n > 0")
     probed = probed.select("id", "v", "cell", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part"))
 
     def meet(q: pa.Table, x: pa.Table) -> pa.Table:
@@ -282,7 +292,13 @@ def ivf_search(assigned: DataFrame, queries: DataFrame, centroids: np.ndarray, p
         out = [np.concatenate([f[i] for f in found]) if found else np.empty(0, t) for i, t in enumerate((np.int64, np.int64, float))]
         return pa.table(dict(zip(("query_id", "id", "distance"), map(pa.array, out), strict=True)))
 
-    return ranked(probed.groupBy("cell", "part").cogroup(held.groupBy("cell", "part")).applyInArrow(meet, HITS), k, metric)
+    return probed.groupBy("cell", "part").cogroup(held.groupBy("cell", "part")).applyInArrow(meet, HITS)
+
+
+def top_of(hits: DataFrame, k: int) -> DataFrame:
+    """Each query's k best hits, ties to the smaller id."""
+    w = Window.partitionBy("query_id").orderBy("distance", "id")
+    return hits.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= k).drop("_k")
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

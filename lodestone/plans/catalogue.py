@@ -16,8 +16,9 @@ from ..functions import text as T
 from ..functions import vectors as V
 from ..functions.vectors import Metric
 from ..operators import batching, cache, chunking, graph, measures, rerank, search, store, tokenizers
-from ..plans.config import ProjectionConfig
+from ..plans.config import IndexConfig, ProjectionConfig
 from ..sources import files
+from ..sources.shared import shared_folder
 from ..streaming import limiters
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -634,6 +635,49 @@ def store_contains(spark, d):
     return store.contains(vectors(spark, d), table(spark, d, "labels").select(F.col("doc_id").alias("vec_id")), "vec_id")
 
 
+def stored(spark: SparkSession, d: str, config: IndexConfig) -> store.VectorStore:
+    """A new store with all vectors but every fifth, in a snapshot."""
+    s = store.VectorStore.create(spark, shared_folder(spark, "store"), config)
+    e = vectors(spark, d).where("vec_id % 5 <> 4")
+    s.append(e.select(F.lpad(F.col("vec_id").cast("string"), 12, "0").alias("id"), F.col("embedding").alias("vector"), F.create_map(F.lit("label"), F.col("label").cast("string")).alias("metadata"), F.col("vec_id").alias("seq")))
+    s.checkpoint()
+    return s
+
+
+def logged(spark: SparkSession, d: str, s: store.VectorStore) -> None:
+    """Three commits behind the snapshot: the other vectors, new labels for every seventh id, and every eleventh id deleted."""
+    e = vectors(spark, d).select(F.lpad(F.col("vec_id").cast("string"), 12, "0").alias("id"), F.col("embedding").alias("vector"), "vec_id", "label")
+    labelled = lambda rows, label: rows.select("id", "vector", F.create_map(F.lit("label"), label.cast("string")).alias("metadata"), F.col("vec_id").alias("seq"))
+    s.append(labelled(e.where("vec_id % 5 = 4"), F.col("label")))
+    s.append(labelled(e.where("vec_id % 7 = 0"), F.col("label") + 100))
+    s.delete(e.where("vec_id % 11 = 0").select("id"))
+
+
+_STORED = "SELECT vec_id, embedding, CASE WHEN vec_id % 7 = 0 THEN label + 100 ELSE label END AS label FROM embeddings WHERE vec_id % 11 <> 0"
+
+
+@query(f"SELECT lpad(vec_id::VARCHAR, 12, '0') AS id, label::VARCHAR AS label, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM ({_STORED})")
+def store_recover(spark, d):
+    """The rows of a store that is opened anew after a crash: snapshot and log, without a segment whose writer died before its commit."""
+    s = stored(spark, d, IndexConfig(64))
+    logged(spark, d, s)
+    lost = s.rows().limit(10).select(F.lit("delete").alias("op"), *store.NAMES)
+    lost.withColumns({"_part": F.lit(0), "_row": F.lit(0).cast("long")}).write.parquet(f"{s.path}/log/segments/{'0' * 32}")
+    again = store.VectorStore.load(spark, s.path)
+    again.recover(grace=0)
+    return again.rows().select("id", F.col("metadata")["label"].alias("label"), F.round(V.total("vector"), 4).alias("total"))
+
+
+@query(f"WITH s AS ({_STORED}), p AS (SELECT q.vec_id AS query_id, s.vec_id AS id, {distance_sql(Metric.EUCLIDEAN, 'q.embedding', 's.embedding')} AS d FROM embeddings q JOIN s ON true WHERE q.vec_id % 50 = 0), r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY d, id)::INT AS rank, id, d FROM p QUALIFY rank <= 10) SELECT query_id, rank, lpad(id::VARCHAR, 12, '0') AS id, round(d, 6) AS distance FROM r")
+def store_ivf_search(spark, d):
+    """Searches a store kept by cells, with commits behind its snapshot, by cells in reach: exact."""
+    s = stored(spark, d, IndexConfig(64, "ivf", lists=16, probes=4))
+    s.train(rounds=5)
+    logged(spark, d, s)
+    q = asked(vectors(spark, d)).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return rounded(s.search_many(q, 10), "distance").select("query_id", "rank", "id", "distance")
+
+
 # Batches
 
 _LEN = f"WITH l AS (SELECT doc_id, len({_SIMPLE}) AS n FROM documents), b AS (SELECT doc_id, n, least(512, ((greatest(1, n) + 15) // 16) * 16) AS k FROM l)"
