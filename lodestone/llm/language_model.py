@@ -32,7 +32,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from .common import staged
 
 BITS, END, SYMBOLS = 9, 257, 257
-SLICE = 4 << 20
+SLICE = 1 << 20
 #: word: null in rows of packed symbols; n: how often training texts of the batch hold it.
 UNITS = "batch long, word binary, gram long, n long"
 SCORES = "n_tokens long, n_known long, n_bytes long, word_sum double, score double"
@@ -70,7 +70,7 @@ def packed(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(texts: list[bytes], order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """packed(), for a few million symbols at a time; a longer text goes through in parts that know what came before."""
+    """packed(), for about a million symbols at a time; a longer text goes through in parts that know what came before."""
     start = 0
     while start < len(texts):
         stop, held = start, 0
@@ -124,7 +124,7 @@ def counter(order: int):
                 if len(keys) > 8:
                     keys, counts = merged(keys, counts)
             (keys,), (counts,) = merged(keys, counts)
-            names = [*words, *(seen - words.keys())]
+            names = sorted(words.keys() | seen)
             rows = len(names) + len(keys)
             arrays = [
                 pa.array(np.full(rows, number)),
@@ -188,7 +188,8 @@ def scorer(order: int, keep: list[str], total: float):
             sums += np.bincount(text, weights=value[np.searchsorted(known, distinct)][code], minlength=len(whole))
         tokens, hits, base = [], [], []
         for t in whole:
-            c = np.array([found[w] for w in t.split()])
+            own = t.split()
+            c = np.fromiter(map(found.__getitem__, own), float, len(own))
             tokens.append(len(c) + 1)
             hits.append(int((c > 0).sum()))
             base.append(float(np.log10((c + 1) / total).sum()))
@@ -198,7 +199,7 @@ def scorer(order: int, keep: list[str], total: float):
     return score
 
 
-def scores(docs: DataFrame, text: Column, train: Column, keep: list[Column], order: int = 4, batch_bytes: int = 16 << 20) -> DataFrame:
+def scores(docs: DataFrame, text: Column, train: Column, keep: list[Column], order: int = 4, batch_bytes: int = 32 << 20) -> DataFrame:
     """The columns `keep` of every row with n_tokens, n_known, train_tokens, base_score (the word model's log10 probability), score (that of partial matching)
     and n_bytes. train: which rows the models learn from; order: symbols of context, 6 at most.
     """
