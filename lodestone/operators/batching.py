@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
+
 #: Batch size up to each memory pressure; the larger size holds where ranges meet.
 BY_PRESSURE = ((0.3, 128), (0.6, 64), (0.8, 32), (1.0, 16))
 #: Share of the latency that a request of each priority waits at most, and its order.
@@ -66,8 +68,8 @@ def should_flush(size: Column, oldest_age: Column, high_age: Column, urgent: Col
 def priority_order(rows: DataFrame, priority: str, seq: str, size: int, key: str | None = None) -> DataFrame:
     """The rows with position and batch when higher priorities go first, each in order of seq; per `key` if given."""
     rank = F.coalesce(*[F.when(F.col(priority) == n, F.lit(v)) for n, v in PRIORITY.items()], F.lit(PRIORITY["normal"]))
-    w = Window.partitionBy(*([key] if key else [])).orderBy(F.desc("_rank"), seq)
-    return rows.withColumn("_rank", rank).withColumn("position", F.row_number().over(w)).withColumn("batch", F.floor((F.col("position") - 1) / size).cast("int")).drop("_rank")
+    ordered = ranks.numbered(rows.withColumn("_rank", rank), [key] if key else [], [F.desc("_rank"), F.col(seq)])
+    return ordered.withColumn("batch", F.floor((F.col("position") - 1) / size).cast("int")).withColumn("position", F.col("position").cast("int")).drop("_rank")
 
 
 def effective_batch_size(base: int, memory: str, least: int = 1) -> int:

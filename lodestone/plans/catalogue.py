@@ -18,7 +18,7 @@ from ..functions.vectors import Metric
 from ..operators import batching, cache, chunking, graph, measures, rerank, search, store, tokenizers
 from ..plans.config import IndexConfig, ProjectionConfig
 from ..sources import files
-from ..sources.shared import shared_folder
+from ..sources.shared import shared_folder, written
 from ..streaming import limiters
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -756,6 +756,33 @@ def model_throughput(spark, d):
     return rounded(measures.throughput(table(spark, d, "events"), "user_id", "value", ["event_type"]).withColumn("tokens_per_second", F.round("tokens_per_second", 4)), "mean_latency")
 
 
+@query("WITH t AS (SELECT unnest([50.0, 90.0, 99.0]::DOUBLE[]) AS percentile) SELECT event_type, percentile, count(value) AS n, true AS within FROM events, t GROUP BY ALL")
+def latency_sketch(spark, d):
+    """Sketches by hour and type, stored and merged: whether each estimate's true rank is within the bound."""
+    e = table(spark, d, "events").where("value IS NOT NULL")
+    hourly = written(measures.sketches(e, "value", ["event_type"], "ts"))
+    found = measures.sketched_percentiles(measures.merged_sketches(hourly, ["event_type"]), ["event_type"], [50.0, 90.0, 99.0])
+    below = e.join(F.broadcast(found), "event_type").groupBy("event_type", "percentile", "n", found["value"]).agg(F.count_if(e["value"] < found["value"]).alias("less"), F.count_if(e["value"] <= found["value"]).alias("upto"))
+    off = F.greatest(F.col("less") - F.col("n") * F.col("percentile") / 100, F.col("n") * F.col("percentile") / 100 - F.col("upto"), F.lit(0.0))
+    return below.select("event_type", "percentile", "n", (off <= 1 + measures.SKETCH_ERROR * F.col("n")).alias("within"))
+
+
+_SPANS = "WITH s AS (SELECT event_type, epoch_us(ts) AS b, epoch_us(ts) + floor(value * 60000000)::BIGINT AS e FROM events WHERE value >= 0), x AS (SELECT event_type, b AS t, 1 AS d FROM s UNION ALL SELECT event_type, e, -1 FROM s), g AS (SELECT event_type, t, sum(d) AS d FROM x GROUP BY ALL), l AS (SELECT event_type, t, sum(d) OVER (PARTITION BY event_type ORDER BY t) AS level, lead(t) OVER (PARTITION BY event_type ORDER BY t) - t AS lasts FROM g)"
+
+
+@query(_SPANS + " SELECT event_type, any_value(n) AS spans, max(level)::BIGINT AS peak, round(sum(level * lasts)::DOUBLE / (max(t) - min(t)), 6) AS mean, sum(CASE WHEN level > 0 THEN lasts END)::BIGINT AS busy, max(t) - min(t) AS whole FROM l JOIN (SELECT event_type, count(*) AS n FROM s GROUP BY event_type) USING (event_type) GROUP BY event_type")
+def stage_concurrency(spark, d):
+    """Events as spans of `value` minutes."""
+    e = table(spark, d, "events").where("value >= 0").withColumn("b", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("e", F.col("b") + F.floor(F.col("value") * 60_000_000))
+    return rounded(measures.concurrency(e, "b", "e", ["event_type"]), "mean")
+
+
+@query("SELECT event_type, count(*) AS runs, sum(user_id)::BIGINT AS items, round(sum(value), 4) AS total_seconds, round(avg(value), 6) AS mean_seconds, round(min(value), 6) AS least_seconds, round(max(value), 6) AS most_seconds, round(avg(user_id), 6) AS mean_batch, round(CASE WHEN sum(value) > 0 THEN sum(user_id) / sum(value) ELSE 0 END, 4) AS items_per_second FROM events GROUP BY event_type")
+def stage_metrics(spark, d):
+    m = measures.stage_metrics(table(spark, d, "events"), "value", "user_id", ["event_type"])
+    return rounded(m, "mean_seconds", "least_seconds", "most_seconds", "mean_batch").withColumns({c: F.round(c, 4) for c in ("total_seconds", "items_per_second")})
+
+
 # Limiters
 
 _EV = "WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events)"

@@ -198,3 +198,92 @@ def test_texts_are_stored_found_and_reranked(spark, tmp_path):
 @pytest.mark.parametrize("name", ["store_recover", "store_ivf_search"])
 def test_queries_are_their_sql(spark, name):
     same(spark, name)
+
+
+# Ranks and measures
+
+
+def skewed(spark, n=4000):
+    r = np.random.default_rng(1)
+    rows = [("hot" if i % 4 else (None if i % 8 else f"g{i % 5}"), float(r.integers(0, 50)) if i % 11 else None, i) for i in range(n)]
+    return spark.createDataFrame(rows, "g string, v double, seq long"), rows
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_positions_of_a_skewed_group(spark):
+    from lodestone.operators import ranks
+
+    df, rows = skewed(spark)
+    got = ranks.numbered(df, ["g"], [F.col("v").desc_nulls_last(), F.col("seq")])
+    assert "part" in plan_of(got) and got.columns == ["g", "v", "seq", "position"]
+    want = {}
+    for g in {r[0] for r in rows}:
+        for i, r in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: (-(r[1] if r[1] is not None else -1), r[2]))):
+            want[r[2]] = i + 1
+    assert {r["seq"]: r["position"] for r in got.collect()} == want
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    parts = ranks.placed(df.repartition(8), ["g"], ["seq"]).where("g = 'hot'").select("part").distinct().count()
+    assert parts > 2  # one group lies in many partitions
+    assert ranks.placed(df.withColumn("seq", F.lit(1)), ["g"], ["seq"]).where("g = 'hot'").select("part").distinct().count() > 2
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert ranks.numbered(df.limit(0), ["g"], ["seq"]).count() == 0
+
+
+def test_percentiles_of_a_skewed_group(spark):
+    from lodestone.operators import measures
+
+    df, rows = skewed(spark)
+    got = {(r["g"], r["percentile"]): r["value"] for r in measures.percentiles(df, "v", ["g"], [0.0, 37.5, 50.0, 99.9, 100.0]).collect()}
+    want = {}
+    for g in {r[0] for r in rows}:
+        vs = sorted(r[1] for r in rows if r[0] == g and r[1] is not None)
+        for p in (0.0, 37.5, 50.0, 99.9, 100.0):
+            want[g, p] = vs[int((len(vs) - 1) * p / 100)]
+    assert got == want
+    whole = measures.percentiles(df, "v", [], [50.0]).first()
+    assert whole["value"] == sorted(r[1] for r in rows if r[1] is not None)[(sum(r[1] is not None for r in rows) - 1) // 2]
+
+
+def test_concurrency_is_the_plain_sweep(spark):
+    from lodestone.operators import measures
+
+    r = np.random.default_rng(2)
+    spans = [("a" if i % 3 else "b", int(s), int(s + r.integers(0, 40))) for i, s in enumerate(r.integers(0, 500, 300))]
+    df = spark.createDataFrame([*spans, ("a", None, 3), ("a", 9, 2), ("c", 5, 5)], "g string, s long, e long")
+    got = {x["g"]: x for x in measures.concurrency(df, "s", "e", ["g"]).collect()}
+    for g in "ab":
+        mine = [x for x in spans if x[0] == g]
+        at = range(min(x[1] for x in mine), max(x[2] for x in mine))
+        level = [sum(s <= t < e for _, s, e in mine) for t in at]
+        assert (got[g]["spans"], got[g]["peak"], got[g]["busy"], got[g]["whole"]) == (len(mine), max(level), sum(x > 0 for x in level), len(at))
+        assert got[g]["mean"] == pytest.approx(sum(level) / len(at))
+    assert (got["c"]["peak"], got["c"]["mean"], got["c"]["busy"]) == (0, 0.0, 0)
+    assert measures.concurrency(df.where("g <> 'c'"), "s", "e").first()["spans"] == 300
+
+
+def test_sketches_merge_in_any_order(spark):
+    from lodestone.operators import measures
+
+    r = np.random.default_rng(3)
+    values = np.sort(r.gamma(2, 10, 20_000))
+    rows = spark.createDataFrame([(float(v), int(i) * 7) for i, v in enumerate(r.permutation(values))], "v double, t long").withColumn("ts", F.timestamp_seconds("t"))
+    hourly = measures.sketches(rows, "v", [], "ts").cache()
+    assert hourly.count() == 39 and hourly.agg(F.max(F.length("sketch"))).first()[0] < 10_000
+    for order in (F.col("start"), F.desc("start"), F.rand(1)):
+        merged = measures.merged_sketches(hourly.orderBy(order), [])
+        for x in measures.sketched_percentiles(merged, []).collect():
+            assert x["n"] == 20_000
+            rank = np.searchsorted(values, x["value"]) / len(values)
+            assert abs(rank - x["percentile"] / 100) <= measures.SKETCH_ERROR + 1e-3
+    moving = measures.moving_sketches(hourly, [], 3).orderBy("start").collect()
+    counts = [x["n"] for x in hourly.orderBy("start").collect()]
+    assert [x["n"] for x in moving] == [sum(counts[max(0, i - 2) : i + 1]) for i in range(39)]
+    hourly.unpersist()
+
+
+@pytest.mark.parametrize("name", ["latency_sketch", "stage_concurrency", "stage_metrics", "latency_percentiles", "priority_batches", "latest_window"])
+def test_measures_are_their_sql(spark, name):
+    same(spark, name)
