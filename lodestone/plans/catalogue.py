@@ -16,7 +16,7 @@ from ..functions import text as T
 from ..functions import vectors as V
 from ..functions.vectors import Metric
 from ..operators import batching, cache, chunking, graph, measures, rerank, search, store, tokenizers
-from ..plans.config import IndexConfig, ProjectionConfig
+from ..plans.config import BatchConfig, EmbeddingConfig, IndexConfig, ProjectionConfig
 from ..sources import files
 from ..sources.shared import shared_folder, written
 from ..streaming import limiters
@@ -530,6 +530,28 @@ def bpe_encode(spark, d):
     return tokenizers.encode(docs(spark, d), t, tokenizers.Options(max_length=0, special_tokens=False))
 
 
+_IDS = f"SELECT doc_id, list_transform({_SIMPLE}, lambda t: (ascii(t) * 64 + length(t)) % 30000) AS ids FROM documents"
+_ELEMENTS = ", ".join(f"avg((id * {j + 1} + pos) % 1000)::DOUBLE / 1000 AS m{j}" for j in range(8))
+_LENGTH = "sqrt(" + " + ".join(f"m{j} * m{j}" for j in range(8)) + ")"
+
+
+@query(f"""WITH i AS ({_IDS}), t AS (SELECT doc_id, unnest(ids) AS id, generate_subscripts(ids, 1) - 1 AS pos FROM i), m AS (SELECT doc_id, {_ELEMENTS} FROM t GROUP BY doc_id)
+SELECT i.doc_id, len(ids)::INT AS tokens, (greatest(1, ceil(len(ids) / 16.0)) * 16)::INT AS padded, {", ".join(f"coalesce(round(m{j} / {_LENGTH}, 6), 0) AS v{j}" for j in range(8))} FROM i LEFT JOIN m USING (doc_id)""")
+def model_run(spark, d):
+    """Whole texts through a model of token matrices: ids, micro-batches by length, pooling, normalization."""
+    ids = F.transform(T.simple_tokens("text"), lambda t: (F.ascii(t) * 64 + F.length(t)) % 30000)
+    run = models.run_model(docs(spark, d).select("doc_id", ids.alias("ids")), models.ModularModel(8), config=EmbeddingConfig(2**31 - 1), batches=BatchConfig(max_tokens=16_384))
+    return run.select("doc_id", "tokens", "padded", *[F.round(F.col("vector")[j], 6).alias(f"v{j}") for j in range(8)])
+
+
+@query(f"WITH i AS ({_IDS}), p AS (SELECT least(len(ids), 512) AS n, (greatest(1, ceil(least(len(ids), 512) / 16.0)) * 16)::INT AS padded FROM i) SELECT padded, count(*) AS rows, sum(n)::BIGINT AS tokens, sum(padded - n)::BIGINT AS padding, round(sum(padded - n) / sum(padded), 6) AS share FROM p GROUP BY padded")
+def model_padding(spark, d):
+    """How much of what a model of 512 tokens at most runs over is padding, by padded length."""
+    ids = F.transform(T.simple_tokens("text"), lambda t: (F.ascii(t) * 64 + F.length(t)) % 30000)
+    run = models.run_model(docs(spark, d).select("doc_id", ids.alias("ids")), models.ModularModel(8))
+    return rounded(models.padding_shares(run), "share")
+
+
 @query()
 def hash_embed(spark, d):
     return models.embed_once(docs(spark, d), models.HashEmbedder(64))

@@ -43,19 +43,95 @@ EMBEDDING = {
 
 @dataclass(frozen=True)
 class BatchConfig:
+    """timeout: seconds that a batch may take, of which it waits a tenth, half a second at most, for more rows. dynamic: whether it waits at all."""
+
     max_batch: int = 32
     min_batch: int = 1
     bucket: int = 16
     max_tokens: int | None = None
     padding_ratio: float | None = None
     sort_by_length: bool = True
+    dynamic: bool = True
+    timeout: float | None = None
 
     def __post_init__(self) -> None:
         need(self.max_batch > 0 and self.bucket > 0, "batch and bucket sizes must be positive")
+        need(0 < self.min_batch <= self.max_batch, "the least batch must be between 1 and the largest")
+        need(self.max_tokens is None or self.max_tokens > 0, "max_tokens must be positive")
+        need(self.padding_ratio is None or 0 <= self.padding_ratio <= 1, "padding_ratio must be between 0 and 1")
+
+    def wait(self, default: float = 0.1) -> float:
+        """Seconds that a row waits for others at most."""
+        return default if self.timeout is None else min(self.timeout / 10, 0.5)
 
 
 #: Batch presets.
-BATCH = {"default": BatchConfig(), "high_throughput": BatchConfig(128, bucket=32, max_tokens=16384, padding_ratio=0.5)}
+BATCH = {"default": BatchConfig(), "high_throughput": BatchConfig(64, bucket=32), "low_latency": BatchConfig(8, sort_by_length=False, dynamic=False)}
+
+
+@dataclass(frozen=True)
+class CacheConfig:
+    """dedup: the similarity from which texts share an entry, None for equal texts alone; ttl: seconds, 0 for ever."""
+
+    max_entries: int = 100_000
+    max_bytes: int = 500 << 20
+    dedup: float | None = None
+    auto_evict: bool = True
+    ttl: float = 0.0
+    log: bool = True
+
+    def __post_init__(self) -> None:
+        need(self.max_entries > 0 and self.max_bytes > 0 and self.ttl >= 0, "cache limits must be positive")
+        need(self.dedup is None or 0 <= self.dedup <= 1, "dedup must be between 0 and 1")
+
+
+@dataclass(frozen=True)
+class PipelineConfig:
+    embedding: EmbeddingConfig = EmbeddingConfig()
+    batch: BatchConfig = BatchConfig()
+    cache: CacheConfig | None = None
+    memory_budget: int | None = None
+
+    def with_cache(self, cache: CacheConfig = CacheConfig()) -> PipelineConfig:
+        return replace(self, cache=cache)
+
+    def with_memory_budget(self, megabytes: int) -> PipelineConfig:
+        need(megabytes > 0, "the budget must be positive")
+        return replace(self, memory_budget=megabytes << 20)
+
+    def batch_by_pressure(self) -> tuple[tuple[float, int], ...]:
+        """The batch size up to each memory pressure: halved from range to range, and never over the budget's megabytes divided by 4, 8, 16 and 32."""
+        from ..operators.batching import BY_PRESSURE
+
+        if self.memory_budget is None:
+            return tuple((top, min(size, self.batch.max_batch)) for top, size in BY_PRESSURE)
+        budget, most = self.memory_budget >> 20, self.batch.max_batch
+        sizes = (min(most, budget // 4), min(most // 2, budget // 8), min(most // 4, budget // 16), min(16, budget // 32))
+        return tuple((top, max(1, size)) for (top, _), size in zip(BY_PRESSURE, sizes, strict=True))
+
+
+def large_model(dimension: int = 1024, max_tokens: int = 512) -> PipelineConfig:
+    """Fewer rows a batch for longer vectors, eight at least."""
+    most = max(8, 32 - dimension // 128)
+    return PipelineConfig(EmbeddingConfig(max_tokens, padding="batch"), BatchConfig(most, max_tokens=max_tokens * most, timeout=120.0))
+
+
+#: Pipeline presets, by resource, task and model.
+PIPELINE = {
+    "default": PipelineConfig(),
+    "high_throughput": PipelineConfig(EmbeddingConfig(512, padding="batch"), BatchConfig(128, 8, 32, 16_384, 0.5, timeout=60.0)),
+    "low_latency": PipelineConfig(EmbeddingConfig(256), BatchConfig(8, bucket=8, sort_by_length=False, dynamic=False, timeout=5.0)),
+    "large_batches": PipelineConfig(EmbeddingConfig(512, padding="batch"), BatchConfig(64, bucket=32, max_tokens=32_768, timeout=30.0)),
+    "memory_efficient": PipelineConfig(EmbeddingConfig(256), BatchConfig(8, bucket=8, max_tokens=1024), memory_budget=128 << 20),
+    "battery_efficient": PipelineConfig(EmbeddingConfig(256, padding="batch"), BatchConfig(16)),
+    "semantic_search": PipelineConfig(EmbeddingConfig(512), BatchConfig(timeout=10.0)),
+    "rag": PipelineConfig(EmbeddingConfig(256), BatchConfig(64, bucket=32, max_tokens=256 * 64, timeout=30.0), CacheConfig(50_000, 250 << 20)),
+    "real_time": PipelineConfig(EmbeddingConfig(128), BatchConfig(4, sort_by_length=False, dynamic=False, timeout=2.0), CacheConfig(10_000, 50 << 20, 0.95, ttl=3600.0, log=False)),
+    "batch_indexing": PipelineConfig(EmbeddingConfig(512, padding="batch"), BatchConfig(128, 32, 64, 65_536, 0.4, timeout=120.0), CacheConfig(1_000_000, 2 << 30)),
+    "mini": PipelineConfig(EmbeddingConfig(512), BatchConfig(64, timeout=30.0)),
+    "bert": PipelineConfig(EmbeddingConfig(512), BatchConfig(bucket=32, max_tokens=8192, timeout=60.0)),
+    "large": large_model(),
+}
 
 
 @dataclass(frozen=True)

@@ -287,3 +287,93 @@ def test_sketches_merge_in_any_order(spark):
 @pytest.mark.parametrize("name", ["latency_sketch", "stage_concurrency", "stage_metrics", "latency_percentiles", "priority_batches", "latest_window"])
 def test_measures_are_their_sql(spark, name):
     same(spark, name)
+
+
+# Model runs
+
+
+class Watched(models.ModularModel):
+    """Fails where a batch is too large, and gives nonsense where the mask is False."""
+
+    def run(self, ids, mask):
+        assert ids.shape[1] % 4 == 0 and len(ids) <= 5 and ids.size <= 80 or len(ids) == 1
+        return np.where(mask[:, :, None], super().run(ids, mask), np.nan)
+
+
+@pytest.mark.parametrize("pooling", ["mean", "max", "cls", "attention"])
+def test_padding_takes_no_part(spark, pooling):
+    from lodestone.plans.config import BatchConfig, EmbeddingConfig
+
+    r = np.random.default_rng(5)
+    rows = [(f"k{i}", [int(x) for x in r.integers(0, 3000, int(n))]) for i, n in enumerate(r.integers(0, 60, 120))] + [("null", None)]
+    df = spark.createDataFrame(rows, "k string, ids array<int>").repartition(3)
+    run = models.run_model(df, Watched(5), "ids", "k", EmbeddingConfig(40, "middle", pooling=pooling, normalize=False), BatchConfig(5, bucket=4, max_tokens=80))
+    got = {x["k"]: x for x in run.collect()}
+    assert len(got) == len(rows)
+    for k, ids in rows:
+        ids = ids or []
+        own = ids if len(ids) <= 40 else ids[:20] + ids[-20:]
+        out = models.ModularModel(5).run(np.array([own or [0]]), None)[0]
+        want = {"max": out.max(0), "cls": out[0]}.get(pooling, out.mean(0)) if own else np.zeros(5)
+        assert np.allclose(got[k]["vector"], want)
+        assert (got[k]["tokens"], got[k]["truncated"], got[k]["padded"]) == (len(own), len(ids) > 40, max(4, -(-len(own) // 4) * 4))
+    assert max(x["batch_rows"] for x in got.values()) > 1
+
+
+def test_model_runs_fail_plainly(spark):
+    from lodestone.plans.config import EmbeddingConfig
+
+    class Wrong(models.ModularModel):
+        def run(self, ids, mask):
+            return np.zeros((1, 1, 1))
+
+    df = spark.createDataFrame([(1, [1, 2, 3])], "doc_id long, ids array<int>")
+    with pytest.raises(Exception, match="InferenceFailed"):
+        models.run_model(df, Wrong()).collect()
+    with pytest.raises(Exception, match="InputTooLong"):
+        models.run_model(df, models.ModularModel(), config=EmbeddingConfig(2, "none")).collect()
+    assert models.run_model(df.limit(0), models.ModularModel()).count() == 0
+
+
+def test_what_waits_is_bounded():
+    from lodestone.plans.config import BatchConfig
+
+    gather, out, most = models.MicroBatches(BatchConfig(1000, bucket=8), hold=200), [], 0
+    for i in range(300):
+        out += list(gather.add(i % 50, i))
+        most = max(most, gather.held)
+    out += list(gather.rest())
+    assert most <= 200 and sorted(x for _, rows in out for x in rows) == list(range(300))
+
+
+def test_presets():
+    from lodestone import errors
+    from lodestone.plans import config
+
+    assert len(config.PIPELINE) == 13 and config.PIPELINE["large"].batch.max_batch == 24 and config.large_model(8192).batch.max_batch == 8
+    assert config.PIPELINE["memory_efficient"].batch_by_pressure() == ((0.3, 8), (0.6, 4), (0.8, 2), (1.0, 4))
+    assert config.PIPELINE["default"].with_memory_budget(1).batch_by_pressure()[-1] == (1.0, 1)
+    assert config.PIPELINE["real_time"].batch.wait() == 0.2 and config.PIPELINE["default"].with_cache().cache.max_entries == 100_000
+    for bad in ({"max_batch": 4, "min_batch": 5}, {"max_tokens": 0}, {"padding_ratio": 1.5}):
+        with pytest.raises(errors.InvalidConfiguration):
+            config.BatchConfig(**bad)
+
+
+def test_managed_models_count_what_they_embed(spark):
+    from lodestone import errors
+
+    r = models.Registry()
+    r.register("broken", lambda: 1 / 0)
+    with pytest.raises(errors.ModelLoadFailed):
+        r.load("broken")
+    df = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id long, text string")
+    assert r.metrics("hash")["runs"] == 0
+    assert len(r.embed("hash", df).collect()) == 20 and len(r.embed("hash", df.limit(5)).collect()) == 5
+    assert r.metrics("hash") == {"runs": 2, "rows": 25, "mean_length": pytest.approx(1, abs=1e-6), "zeros": 0}
+    r.unload_all()
+    assert not r.loaded
+
+
+@pytest.mark.parametrize("name", ["model_run", "model_padding"])
+def test_model_queries_are_their_sql(spark, name):
+    same(spark, name)
