@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +13,8 @@ from ..errors import ProjectionError
 from ..functions.vectors import Metric
 from ..models import Embedder, embed
 from ..plans.config import ProjectionConfig
-from ..sources.shared import shared_folder, written
+from ..sources.shared import Files, shared_folder, written
+from . import ranks
 from . import search as S
 
 
@@ -22,6 +26,130 @@ def knn_graph(rows: DataFrame, k: int, id_col: str = "vec_id", vector_col: str =
     return hits.withColumn("n", n).withColumn("sigma", sigma).select(F.col("query_id").alias("src"), F.col("id").alias("dst"), F.col("d").alias("distance"), F.exp(-F.col("d") / F.col("sigma")).alias("weight"))
 
 
+EDGES = "src long, dst long, d double"
+
+
+def met(groups: DataFrame, keys: list[str], pool: int) -> DataFrame:
+    """src, dst, d: of each group's members (id, v, and far: the distance up to which it wants to know others) the `pool` nearest others of the group.
+
+    A group is a few dozen vectors, compared in one matrix product.
+    """
+
+    def meet(group: pa.Table) -> pa.Table:
+        ids, first = np.unique(group.column("id").to_numpy(), return_index=True)
+        far = group.column("far").to_numpy()[first]
+        d = S.distances(x := S.matrix(group.column("v"))[first], x, Metric.EUCLIDEAN)
+        np.fill_diagonal(d, np.inf)
+        near = np.argsort(d, axis=1, kind="stable")[:, :pool]
+        value = np.take_along_axis(d, near, 1)
+        r, c = np.nonzero((value < far[:, None]) & np.isfinite(value))
+        return pa.table({"src": ids[r], "dst": ids[near[r, c]], "d": value[r, c]})
+
+    return groups.select(*keys, "id", "v", "far").groupBy(*keys).applyInArrow(meet, EDGES)
+
+
+def nearest_edges(edges: DataFrame, pool: int) -> DataFrame:
+    """The `pool` nearest distinct ends of each node; a node has a few hundred candidates at most."""
+    w = Window.partitionBy("src").orderBy("d", "dst")
+    return edges.groupBy("src", "dst").agg(F.min("d").alias("d")).withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= pool).drop("_k")
+
+
+def descended(rows: DataFrame, k: int, pool: int | None = None, rounds: int = 12, starts: int = 6, close: float = 0.001, seed: int = 0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """src, rank, dst, distance: about the k nearest others of each vector, by descent over neighbours of neighbours; rows shuffled are linear in vectors.
+
+    The start: vectors are sorted along `starts` drawn directions and each stretch of 2 * pool compared among itself. A round gathers around every node its
+    `pool` neighbours and about as many of those that have it as one (where there are more, as around a hub, a share of them drawn by hash), compares them with each
+    other, and keeps for each the nearest; only pairs nearer than a node's farthest neighbour are sent on. It ends when a round changes fewer than `close` of
+    all edges. Null vectors take no part; rows of one id must have one vector.
+    """
+    pool = pool or 3 * k
+    spark, folder = rows.sparkSession, shared_folder(rows.sparkSession, "descent")
+    nodes = rows.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
+    nodes = written(nodes, f"{folder}/nodes")
+    dim, draw, files = nodes.agg(F.max(F.size("v"))).first()[0] or 0, np.random.default_rng(seed), Files(spark)
+    edges = spark.createDataFrame([], EDGES)
+    for _ in range(starts):
+        direction = F.array(*[F.lit(float(x)) for x in draw.normal(size=dim)]).cast("array<double>")
+        along = nodes.withColumn("along", F.aggregate(F.zip_with("v", direction, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x))
+        stretch = ranks.numbered(along, [], ["along"]).select(F.floor(F.col("position") / (2 * pool)).alias("stretch"), "id", "v", F.lit(float("inf")).alias("far"))
+        edges = edges.unionByName(met(stretch, ["stretch"], pool))
+    edges = written(nearest_edges(edges, pool), f"{folder}/edges")
+    for n in range(rounds):
+        far = edges.groupBy("src").agg(F.when(F.count(F.lit(1)) >= pool, F.max("d")).otherwise(F.lit(float("inf"))).alias("far"))
+        members = nodes.join(far.withColumnRenamed("src", "id"), "id", "left").withColumn("far", F.coalesce("far", F.lit(float("inf"))))
+        held = edges.groupBy(F.col("dst").alias("mid")).agg(F.count(F.lit(1)).alias("held"))
+        share = F.pmod(F.xxhash64("src", "dst", F.lit(n), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30) * F.col("held")
+        behind = edges.join(held, edges["dst"] == held["mid"]).where(share < pool).select("mid", F.col("src").alias("id"))
+        around = edges.select(F.col("src").alias("mid"), F.col("dst").alias("id")).unionByName(behind).unionByName(nodes.select(F.col("id").alias("mid"), "id"))
+        found = met(around.join(members, "id"), ["mid"], pool)
+        better = written(nearest_edges(edges.unionByName(found), pool), f"{folder}/edges{n}")
+        changed, all_edges = better.join(edges, ["src", "dst"], "left_anti").count(), better.count()
+        files.delete(f"{folder}/edges{n - 1}" if n else f"{folder}/edges")
+        edges = better
+        if changed < close * all_edges:
+            break
+    w = Window.partitionBy("src").orderBy("d", "dst")
+    top = edges.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return top.select("src", "rank", "dst", F.sqrt("d").alias("distance"))
+
+
+def memberships(edges: DataFrame) -> DataFrame:
+    """src, dst, w of edges (src, dst, distance): exp(-(distance - nearest) / sigma), with sigma such that a node's weights sum up to log2 of their number; then the
+    union of both directions, a + b - a b, as an edge each way."""
+    own = edges.groupBy("src").agg(F.collect_list(F.struct("dst", "distance")).alias("e"))  # a node's neighbours, k at most
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            flat, sizes = b.column("e").flatten(), np.diff(b.column("e").offsets.to_numpy())
+            node = np.repeat(np.arange(b.num_rows), sizes)
+            dst, d = flat.field("dst").to_numpy(), flat.field("distance").to_numpy()
+            least = np.full(b.num_rows, np.inf)
+            np.minimum.at(least, node, d)
+            d = d - least[node]
+            goal, low, high = np.log2(np.maximum(sizes, 1)), np.zeros(b.num_rows), np.full(b.num_rows, np.inf)
+            sigma = np.ones(b.num_rows)
+            for _ in range(64):
+                total = np.bincount(node, np.exp(-d / np.maximum(sigma, 1e-12)[node]), b.num_rows)
+                high, low = np.where(total > goal, sigma, high), np.where(total > goal, low, sigma)
+                sigma = np.where(np.isinf(high), sigma * 2, (low + np.where(np.isinf(high), 0, high)) / 2)
+            mean = np.bincount(node, d, b.num_rows) / np.maximum(sizes, 1)
+            sigma = np.maximum(np.minimum(sigma, 1e6), np.maximum(1e-3 * mean, 1e-12))
+            yield pa.RecordBatch.from_arrays([b.column("src").take(pa.array(node)), pa.array(dst), pa.array(np.exp(-d / sigma[node]))], ["src", "dst", "w"])
+
+    w = own.mapInArrow(weigh, "src long, dst long, w double")
+    both = w.unionByName(w.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
+    return both.groupBy("src", "dst").agg((F.sum("w") - F.when(F.count(F.lit(1)) > 1, F.product("w")).otherwise(F.lit(0.0))).alias("w"))
+
+
+def spectral(edges: DataFrame, nodes: DataFrame, dims: int, steps: int = 20, seed: int = 0, scale: float = 10.0) -> DataFrame:
+    """num, p0, p1, ...: the first eigenvectors of the graph (s, t, w: each edge both ways) after the trivial one, by `steps` of power iteration, a join and a sum each.
+
+    Between steps the vectors are made orthogonal to the trivial one and to each other by their inner products, (dims + 1)^2 sums over all nodes.
+    """
+    folder, files = shared_folder(edges.sparkSession, "spectral"), Files(edges.sparkSession)
+    degree = edges.groupBy(F.col("s").alias("num")).agg(F.sum("w").alias("degree"))
+    base = nodes.select("num").join(degree, "num", "left").select("num", F.sqrt(F.greatest(F.coalesce("degree", F.lit(0.0)), F.lit(1e-12))).alias("x0"))
+    cols = [f"x{d}" for d in range(dims + 1)]
+    x = written(base.select("num", "x0", *[(F.pmod(F.xxhash64("num", F.lit(d), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30) - 0.5).alias(f"x{d}") for d in range(1, dims + 1)]), f"{folder}/x")
+    for step in range(steps + 1):
+        g = x.agg(*[F.sum(F.col(a) * F.col(b)).alias(f"{a}{b}") for a in cols for b in cols]).first()
+        gram = np.array([[g[f"{a}{b}"] for b in cols] for a in cols])
+        turn = np.linalg.inv(np.linalg.cholesky(gram + 1e-12 * np.trace(gram) * np.eye(dims + 1))).T  # Gram and Schmidt's, x0 first
+        ortho = [sum(F.col(cols[i]) * float(turn[i, j]) for i in range(j + 1)).alias(f"o{j}") for j in range(1, dims + 1)]
+        if step == steps:
+            most = x.select(*ortho).agg(*[F.max(F.abs(f"o{j}")).alias(f"m{j}") for j in range(1, dims + 1)]).first()
+            return x.select("num", *ortho).select("num", *[(F.col(f"o{j}") / max(most[f"m{j}"], 1e-300) * scale).alias(f"p{j - 1}") for j in range(1, dims + 1)])
+        o = x.select("num", "x0", *ortho)
+        sent = edges.join(o.withColumnRenamed("num", "t"), "t").groupBy(F.col("s").alias("num")).agg(*[F.sum(F.col("w") * F.col(f"o{j}") / F.col("x0")).alias(f"y{j}") for j in range(1, dims + 1)])
+        # half of each vector stays, so that all eigenvalues are positive and the largest ones are the wanted ones
+        moved = o.join(sent, "num", "left").select("num", "x0", *[(F.col(f"o{j}") + F.coalesce(F.col(f"y{j}"), F.lit(0.0)) / F.col("x0")).alias(f"x{j}") for j in range(1, dims + 1)])
+        after = written(moved, f"{folder}/x{step}")
+        files.delete(f"{folder}/x{step - 1}" if step else f"{folder}/x")
+        x = after
+
+
 def curve(config: ProjectionConfig) -> tuple[float, float]:
     """a and b of 1 / (1 + a x^(2b)) that fit the membership wanted by min_distance and spread, by Gauss-Newton steps."""
     x = np.linspace(1e-3, config.spread * 3, 300)
@@ -49,14 +177,6 @@ def gradient(edges: DataFrame, layout: DataFrame, config: ProjectionConfig = Pro
     return sums.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("d", "v"))).alias("c")).select("id", F.transform("c", lambda s: s["v"]).alias("gradient"))
 
 
-def numbered(ids: DataFrame) -> DataFrame:
-    """id, num: gapless numbers in order of id, from counts of range partitions."""
-    parts = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = written(ids.repartitionByRange(parts, "id").withColumn("part", F.spark_partition_id()), shared_folder(ids.sparkSession, "numbers"))
-    counts = placed.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n"))  # a row per partition
-    return placed.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("id"))).join(F.broadcast(counts), "part").select("id", (F.col("before") + F.col("r") - 1).alias("num"))
-
-
 def epoch_layout(edges: DataFrame, layout: DataFrame, epoch: int, n: int, config: ProjectionConfig, ab: tuple[float, float]) -> DataFrame:
     """The layout (num, p0, p1, ...) after one round over the edges (s, t, w) with w at most 1.
 
@@ -90,32 +210,49 @@ def epoch_layout(edges: DataFrame, layout: DataFrame, epoch: int, n: int, config
     return sums.select("num", *[(F.col(f"p{d}") + rate * move(d)).alias(f"p{d}") for d in dims])
 
 
-def project(rows: DataFrame, config: ProjectionConfig = ProjectionConfig(), id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def project(rows: DataFrame, config: ProjectionConfig = ProjectionConfig(), id_col: str = "vec_id", vector_col: str = "embedding", approximate: bool = False, start: str = "spectral") -> DataFrame:
     """id, position: a layout of the neighbour graph by sampled attraction and repulsion, a Spark job for each round.
 
-    Graph and layouts are Parquet tables in spark.checkpoint.dir (which a cluster must set); nothing of them passes the driver, whatever the
-    number of vectors. Vectors must have one length and finite elements; rows of one id count as one node.
+    approximate: takes the graph from descended() instead of comparing all pairs. start: spectral or random positions. Graph and layouts are Parquet tables in
+    spark.checkpoint.dir (which a cluster must set), of which the newest layout alone is kept; nothing of them passes the driver, whatever the number of vectors.
+    Vectors must have one length and finite elements; rows of one id count as one node.
     """
     spark: SparkSession = rows.sparkSession
     bad = F.exists(vector_col, lambda x: F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
     n, low, high, wrong = rows.agg(F.count("*"), F.min(F.size(vector_col)), F.max(F.size(vector_col)), F.count_if(bad)).first()
     if not n or n <= config.neighbours or low != high or wrong:
         raise ProjectionError(f"{n} vectors of {low} to {high} elements, {wrong} of them not finite, for {config.neighbours} neighbours")
-    folder = shared_folder(spark, "projection")
-    graph = written(knn_graph(rows, config.neighbours, id_col, vector_col).select("src", "dst", "weight"), f"{folder}/graph")
-    nodes = written(numbered(graph.select(F.col("src").alias("id")).distinct()), f"{folder}/nodes")
-    n, most = nodes.count(), graph.agg(F.max("weight")).first()[0]
+    folder, files = shared_folder(spark, "projection"), Files(spark)
+    find = descended if approximate else knn_graph
+    graph = written(memberships(find(rows, config.neighbours, id_col=id_col, vector_col=vector_col)), f"{folder}/graph")
+    nodes = ranks.numbered(graph.select(F.col("src").alias("id")).distinct(), [], ["id"], "num").select("id", (F.col("num") - 1).alias("num"))
+    nodes = written(nodes, f"{folder}/nodes")
+    n = nodes.count()
     number = lambda end, name: nodes.select(F.col("id").alias(end), F.col("num").alias(name))
-    edges = graph.join(number("src", "s"), "src").join(number("dst", "t"), "dst").select("s", "t", (F.col("weight") / most).alias("w"))
-    edges = written(edges, f"{folder}/edges")
-    start = [(F.pmod(F.xxhash64("num", F.lit(d), F.lit(config.seed)), F.lit(1 << 30)) / float(1 << 30) * 20 - 10).alias(f"p{d}") for d in range(config.dimensions)]
-    layout = written(nodes.select("num", *start), f"{folder}/layout")
-    ab = curve(config)
+    edges = written(graph.join(number("src", "s"), "src").join(number("dst", "t"), "dst").select("s", "t", "w"), f"{folder}/edges")
+    noise = lambda d, width: (F.pmod(F.xxhash64("num", F.lit(d), F.lit(config.seed)), F.lit(1 << 30)) / float(1 << 30) - 0.5) * width
+    if start == "spectral":
+        first = spectral(edges, nodes, config.dimensions, seed=config.seed)
+        first = first.select("num", *[(F.col(f"p{d}") + noise(d, 1e-3)).alias(f"p{d}") for d in range(config.dimensions)])
+    else:
+        first = nodes.select("num", *[noise(d, 20).alias(f"p{d}") for d in range(config.dimensions)])
+    layout = written(first, f"{folder}/layout")
+    ab, pulls = curve(config), edges.where("s < t")
     for epoch in range(config.iterations):
-        layout = written(epoch_layout(edges, layout, epoch, n, config, ab), f"{folder}/layout{epoch}")
+        layout = written(epoch_layout(pulls, layout, epoch, n, config, ab), f"{folder}/layout{epoch}")
+        files.delete(f"{folder}/layout{epoch - 1}" if epoch else f"{folder}/layout")
     return nodes.join(layout, "num").select(F.col("id").cast("long").alias("id"), F.array(*[f"p{d}" for d in range(config.dimensions)]).alias("position"))
 
 
+def trustworthiness(rows: DataFrame, layout: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> float:
+    """How much the k neighbours of each node in a layout (id, position) are those of its vector: 1 where all are. Compares all pairs: for measuring, on samples."""
+    ours = S.knn(layout.withColumnsRenamed({"id": id_col, "position": vector_col}), layout.withColumnsRenamed({"id": id_col, "position": vector_col}), k, Metric.EUCLIDEAN, skip_self=True, id_col=id_col, vector_col=vector_col)
+    n = layout.count()
+    theirs = S.knn(rows, rows, n - 1, Metric.EUCLIDEAN, skip_self=True, id_col=id_col, vector_col=vector_col).select("query_id", "id", F.col("rank").alias("far"))
+    over = ours.join(theirs, ["query_id", "id"]).agg(F.sum(F.greatest(F.col("far") - k, F.lit(0)))).first()[0] or 0
+    return 1 - 2 * over / (n * k * (2 * n - 3 * k - 1))
+
+
 def project_texts(docs: DataFrame, model: Embedder, config: ProjectionConfig = ProjectionConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, position of each text: embedded, then projected."""
     return project(embed(docs, model, id_col, text_col), config, id_col, "vector")

@@ -392,6 +392,16 @@ def knn_graph(spark, d):
     return rounded(graph.knn_graph(vectors(spark, d), 10), "distance", "weight")
 
 
+@query("SELECT count(*) AS vectors, 10 * count(*) AS edges, true AS recalled FROM embeddings")
+def knn_graph_descent(spark, d):
+    """The graph by descent over neighbours of neighbours, and whether it has 0.95 or more of the exact one's edges."""
+    e = vectors(spark, d)
+    found = written(graph.descended(e, 10).select("src", "dst"))
+    shared = F.count_if("hit").alias("shared")
+    both = found.join(graph.knn_graph(e, 10).select("src", "dst", F.lit(True).alias("hit")), ["src", "dst"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    return both.agg(F.count_distinct("src").alias("vectors"), F.count("*").alias("edges"), shared).select("vectors", "edges", (F.col("shared") >= 0.95 * F.col("edges")).alias("recalled"))
+
+
 @query()
 def umap_2d(spark, d):
     return graph.project(vectors(spark, d), ProjectionConfig(neighbours=10, iterations=50))

@@ -377,3 +377,73 @@ def test_managed_models_count_what_they_embed(spark):
 @pytest.mark.parametrize("name", ["model_run", "model_padding"])
 def test_model_queries_are_their_sql(spark, name):
     same(spark, name)
+
+
+# Neighbour graphs and projection
+
+
+def test_descent_finds_the_neighbours(spark):
+    from lodestone.operators import graph
+
+    e = spark.read.parquet(f"{D}/embeddings.parquet")
+    exact = {(r["src"], r["dst"]) for r in graph.knn_graph(e, 10).collect()}
+    got = graph.descended(e, 10).collect()
+    assert len(got) == len(exact) and sum((r["src"], r["dst"]) in exact for r in got) >= 0.95 * len(exact)
+    few = spark.createDataFrame([(1, [0.0]), (2, [1.0]), (3, [3.0]), (4, None)], "vec_id long, embedding array<double>")
+    assert sorted((r["src"], r["rank"], r["dst"], r["distance"]) for r in graph.descended(few, 1).collect()) == [(1, 1, 2, 1.0), (2, 1, 1, 1.0), (3, 1, 2, 2.0)]
+    assert graph.descended(few.limit(0), 3).count() == 0
+
+
+def test_memberships_are_a_fuzzy_union(spark):
+    from lodestone.operators import graph
+
+    r = np.random.default_rng(6)
+    x = r.normal(size=(40, 3))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    near = [(i, int(j), float(d[i, j])) for i in range(40) for j in np.argsort(d[i])[1:9]]
+    w = {(a["src"], a["dst"]): a["w"] for a in graph.memberships(spark.createDataFrame(near, "src long, dst long, distance double")).collect()}
+    own = {}
+    for i in range(40):
+        e = [(j, v) for a, j, v in near if a == i]
+        low, high, least = 1e-9, 1e9, min(v for _, v in e)
+        for _ in range(200):
+            sigma = (low * high) ** 0.5
+            low, high = (low, sigma) if sum(np.exp(-(v - least) / sigma) for _, v in e) > 3 else (sigma, high)
+        own |= {(i, j): float(np.exp(-(v - least) / sigma)) for j, v in e}
+    pairs = {*own, *((b, a) for a, b in own)}
+    assert set(w) == pairs
+    for a, b in pairs:
+        u, v = own.get((a, b), 0), own.get((b, a), 0)
+        assert w[a, b] == pytest.approx(u + v - u * v, abs=1e-6)
+
+
+def test_spectral_vectors_are_the_graphs(spark):
+    from lodestone.operators import graph
+
+    r = np.random.default_rng(7)
+    n = 30
+    a = np.zeros((n, n))
+    for i in range(n):
+        for j in range(i + 1, n):
+            if (i < n // 2) == (j < n // 2) and r.random() < 0.4 or abs(i - j) == 1:
+                a[i, j] = a[j, i] = 0.2 + r.random() if (i < n // 2) == (j < n // 2) else 0.05
+    edges = spark.createDataFrame([(i, j, float(a[i, j])) for i in range(n) for j in range(n) if a[i, j]], "s long, t long, w double")
+    got = np.array([[x["p0"]] for x in graph.spectral(edges, edges.select(F.col("s").alias("num")).distinct(), 1, steps=60).orderBy("num").collect()])[:, 0]
+    s = np.sqrt(a.sum(1))
+    value, vector = np.linalg.eigh(a / s[:, None] / s[None])
+    assert abs(np.corrcoef(got, vector[:, -2])[0, 1]) > 0.99
+
+
+def test_a_spectral_start_is_better_than_a_random_one(spark):
+    from lodestone.operators import graph
+    from lodestone.plans.config import ProjectionConfig
+
+    x = clustered(200, 8, 6, seed=3)
+    rows = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    config = ProjectionConfig(neighbours=8, iterations=12)
+    spectral, drawn = (graph.trustworthiness(rows, graph.project(rows, config, start=s, approximate=s == "spectral")) for s in ("spectral", "random"))
+    assert spectral > drawn + 0.1
+
+
+def test_descent_query_is_its_sql(spark):
+    same(spark, "knn_graph_descent")
