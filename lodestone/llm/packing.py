@@ -69,13 +69,14 @@ class WordTokenizer:
     def ids(self, text: str | None) -> bytes:
         """The text's ids as little-endian unsigned 32-bit numbers."""
         text = text or ""
-        words = text.encode("utf-8", "replace")
         if "<|" in text:  # special tokens are not to come about
-            words = words.split()
+            words = text.encode("utf-8", "replace").split()
         elif text.isascii():
-            words = words.lower().split()
-        else:  # other letters are lower-cased after they are composed, by the normalizer
-            words = [w.lower() if w.isascii() else w for w in words.split()]
+            words = text.lower().encode().split()
+        elif "Σ" not in text and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low := text.lower()):
+            words = low.encode("utf-8", "replace").split()  # there is nothing to compose before or after
+        else:  # the normalizer composes words before it lower-cases them, and a final sigma depends on its place
+            words = [w.lower() if w.isascii() else w for w in text.encode("utf-8", "replace").split()]
         if new := set(words).difference(self.young):
             unknown = []
             for w in new:
