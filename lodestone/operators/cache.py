@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
+from ..errors import CacheError
 from ..functions.text import text_hash
 from ..functions.vectors import Metric
 from ..models import Embedder, embed
+from ..sources.shared import Files, written
+from . import ranks
 from .search import distances, matrix
 
 SCHEMA = "text_hash string, text string, vector array<float>, model_id string, dimensions int, token_count int, created_at timestamp, accessed_at timestamp, access_count long"
@@ -88,28 +95,19 @@ def evict_least_recent(cache: DataFrame, count: int) -> DataFrame:
     return cache.join(gone, KEY, "left_anti")
 
 
-def evict_over_size(cache: DataFrame, max_bytes: int, max_count: int | None = None, block: int = 100, buckets: int = 1024) -> DataFrame:
+def evict_over_size(cache: DataFrame, max_bytes: int, max_count: int | None = None, block: int = 100) -> DataFrame:
     """Least recently accessed rows go in blocks until at most max_bytes are left; before that, count - max_count + block rows if there are max_count rows.
 
-    Sizes of blocks come from ranks that are counted in time buckets first, so no task sorts the whole cache.
+    Rows are numbered and blocks summed up by range partitions, so no task sorts the whole cache, however its accesses lie in time.
     """
     n = cache.count()
     if max_count is not None and n >= max_count:
         cache = evict_least_recent(cache, n - max_count + block)
-    order = ["accessed_at", *KEY]
-    span = cache.agg(F.min("accessed_at").cast("timestamp").cast("double"), F.max("accessed_at").cast("timestamp").cast("double")).first()
-    if span[0] is None:
-        return cache
-    wide = max(span[1] - span[0], 1e-6)
-    c = cache.withColumn("_b", F.least(F.lit(buckets - 1), F.floor((F.col("accessed_at").cast("timestamp").cast("double") - span[0]) / wide * buckets)).cast("int")).withColumn("_size", entry_size().cast("long"))
-    per = c.groupBy("_b").agg(F.count("*").alias("_rows"))
-    before = per.withColumn("_rank", F.sum("_rows").over(Window.orderBy("_b")) - F.col("_rows")).drop("_rows")  # at most `buckets` rows
-    c = c.join(F.broadcast(before), "_b").withColumn("_block", F.floor((F.col("_rank") + F.row_number().over(Window.partitionBy("_b").orderBy(*order)) - 1) / block))
-    sizes = c.groupBy("_block").agg(F.sum("_size").alias("_s"), F.min("_b").alias("_b"))
-    later = sizes.groupBy("_b").agg(F.sum("_s").alias("_all")).withColumn("_later", F.sum("_all").over(Window.orderBy(F.desc("_b"))) - F.col("_all")).drop("_all")  # at most `buckets` rows
-    own = F.sum("_s").over(Window.partitionBy("_b").orderBy(F.desc("_block")))
-    kept = sizes.withColumn("_own", own).join(F.broadcast(later), "_b").where(F.col("_own") + F.col("_later") <= max_bytes).select("_block")
-    return c.join(kept, "_block", "left_semi").select(*cache.columns)
+    keys = cache.select(*KEY, "accessed_at", entry_size().cast("long").alias("_size"))
+    placed = written(ranks.numbered(keys, [], ["accessed_at", *KEY]).select(*KEY, F.floor((F.col("position") - 1) / block).alias("_block"), "_size"))
+    later = ranks.running(placed.withColumn("_back", -F.col("_block")), [], "_back", "_size")  # a block and all that are more recent
+    kept = later.where(F.col("level") <= max_bytes).select((-F.col("_back")).alias("_block"))
+    return cache.join(placed.join(kept, "_block", "left_semi").select(*KEY), KEY, "left_semi")
 
 
 def rates(lookups: DataFrame) -> DataFrame:
@@ -134,3 +132,62 @@ def warm(cache: DataFrame, texts: DataFrame, model: Embedder, now: Column, text_
     missing = texts.select(F.col(text_col).alias("text")).where(F.col("text").isNotNull()).distinct().withColumn("text_hash", text_hash("text"))
     missing = missing.join(cache.where(F.col("model_id") == model.name).select("text_hash"), "text_hash", "left_anti").groupBy("text_hash").agg(F.min("text").alias("text"))
     return insert_absent(cache, entries(missing.join(embed(missing, model, "text_hash"), "text_hash"), now, model.name))
+
+
+class CacheTable:
+    """A cache at a path, as versions of which each names the batches it has taken, for one writer that may repeat a batch after a failure.
+
+    A version is a folder, and a small record that is put where none is; it carries, for each stream, the number of the last batch. A batch that is not
+    above it changes nothing, so a repeated one counts no hit twice.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, model: Embedder, ttl: float | None = None, max_bytes: int | None = None, keep: int = 2):
+        self.spark, self.path, self.model, self.ttl, self.max_bytes, self.keep, self.files = spark, path.rstrip("/"), model, ttl, max_bytes, keep, Files(spark)
+
+    def state(self) -> dict:
+        names = self.files.names(f"{self.path}/versions")
+        return json.loads(self.files.read(f"{self.path}/versions/{max(names)}")) if names else {"version": -1, "folder": None, "batches": {}}
+
+    def rows(self) -> DataFrame:
+        folder = self.state()["folder"]
+        return self.spark.createDataFrame([], SCHEMA) if folder is None else self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{folder}")
+
+    def take(self, requests: DataFrame, batch: int, stream: str = "requests", text_col: str = "text", at_col: str = "at") -> bool:
+        """A batch of requests (a text, and its time): hits are counted and their access time set, missing texts are embedded, each once, and put; then what is
+        over the time to live before the batch's last request, and over the size, goes. False if the batch was taken before.
+        """
+        state = self.state()
+        if batch <= state["batches"].get(stream, -1):
+            return False
+        asked = written(requests.select(text_hash(text_col).alias("text_hash"), F.lit(self.model.name).alias("model_id"), F.col(text_col).alias("text"), F.col(at_col).cast("timestamp").alias("at")).where("text IS NOT NULL"))
+        uses = asked.groupBy(*KEY).agg(F.count("*").alias("_n"), F.max("at").alias("_at"), F.min("at").alias("_first"), F.min("text").alias("_text"))
+        cache = self.rows()
+        held = cache.join(uses, KEY, "left")
+        held = held.withColumns({"accessed_at": F.greatest("accessed_at", "_at"), "access_count": F.col("access_count") + F.coalesce("_n", F.lit(0))}).select(*cache.columns)
+        missing = written(uses.join(cache.select(*KEY), KEY, "left_anti"))
+        vectors = embed(missing, self.model, "text_hash", "_text").join(missing, "text_hash")
+        new = entries(vectors.withColumn("text", F.col("_text")), F.col("_first"), self.model.name)
+        new = new.join(missing.select(*KEY, "_n", "_at"), KEY).withColumns({"accessed_at": F.col("_at"), "access_count": F.col("_n")}).select(*cache.columns)
+        merged = held.unionByName(new)
+        if self.ttl is not None:
+            now = asked.agg(F.max("at")).first()[0]
+            merged = merged if now is None else evict_expired(merged, F.lit(now) - F.make_dt_interval(secs=F.lit(float(self.ttl))))
+        if self.max_bytes is not None:
+            merged = evict_over_size(written(merged), self.max_bytes)
+        return self._put(merged, state, state["batches"] | {stream: batch})
+
+    def _put(self, rows: DataFrame, state: dict, batches: dict) -> bool:
+        version, folder = state["version"] + 1, f"data-{uuid.uuid4().hex}"
+        rows.select(*[f.name for f in StructType.fromDDL(SCHEMA)]).write.parquet(f"{self.path}/{folder}")
+        if not self.files.put(f"{self.path}/versions/{version:010d}.json", json.dumps({"version": version, "folder": folder, "batches": batches})):
+            self.files.delete(f"{self.path}/{folder}")
+            raise CacheError(f"another writer put version {version} of {self.path}")
+        for name in sorted(self.files.names(f"{self.path}/versions"))[: -self.keep]:
+            self.files.delete(f"{self.path}/{json.loads(self.files.read(f'{self.path}/versions/{name}'))['folder']}")
+            self.files.delete(f"{self.path}/versions/{name}")
+        return True
+
+    def follow(self, stream: DataFrame, checkpoint: str, name: str = "requests", once: bool = True, **cols: str) -> StreamingQuery:
+        """Takes each micro-batch of a stream of requests."""
+        writer = stream.writeStream.foreachBatch(lambda df, batch: self.take(df, batch, name, **cols) and None).option("checkpointLocation", checkpoint)
+        return (writer.trigger(availableNow=True) if once else writer).start()

@@ -640,6 +640,17 @@ def cache_remove(spark, d):
     return cache.remove(cached(spark, d), gone, "m").select("text_hash")
 
 
+@query(f"WITH c AS (SELECT {_HASH} AS text_hash, count(*) AS access_count, count(*) FILTER (turn < 2) AS early FROM (SELECT text, turn FROM conversations WHERE text IS NOT NULL) GROUP BY text_hash) SELECT text_hash, access_count FROM c")
+def cache_stream(spark, d):
+    """A cache that follows requests in two batches, the texts of conversations before their third turn and the others; the first one comes twice."""
+    c = table(spark, d, "conversations").withColumn("at", F.timestamp_seconds(F.col("turn")))
+    t = cache.CacheTable(spark, shared_folder(spark, "cache"), models.HashEmbedder(16))
+    t.take(c.where("turn < 2"), 0)
+    t.take(c.where("turn < 2"), 0)
+    t.take(c.where("turn >= 2"), 1)
+    return t.rows().select("text_hash", "access_count")
+
+
 # Store: events are changes to a store of users.
 
 

@@ -12,8 +12,10 @@ from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 
 @dataclass(frozen=True)
@@ -106,20 +108,73 @@ def aligned_window(events: DataFrame, most: int, width: str, id_col: str, ts_col
     return events.groupBy(id_col, F.window(ts_col, width).alias("window")).agg(n.alias("requests"), F.greatest(F.lit(0), n - most).alias("denied"))
 
 
-def limit_stream(events: DataFrame, limiter: Limiter, id_col: str, ts_col: str, order_col: str) -> DataFrame:
-    """The same as `limit` for a streaming DataFrame: states are kept in the state store from batch to batch."""
-    kinds = ", ".join(f"{c} {events.schema[c].dataType.simpleString()}" for c in (id_col, order_col))
+def ordered(frames: Iterator[pd.DataFrame], rows: int = 10_000) -> Iterator[pd.DataFrame]:
+    """The frames' rows in order of time and order, in frames of at most `rows`. A batch's events of one identifier are held, as numbers."""
+    whole = pd.concat(list(frames), ignore_index=True).sort_values(["t", "order"], kind="stable", ignore_index=True)
+    for k in range(0, len(whole), rows):
+        yield whole.iloc[k : k + rows]
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(frames)).sort_values(["_t", order_col])
-        now = state.get if state.exists else None
-        out = []
-        for t in pdf["_t"]:
-            now = limiter.start(t) if now is None else now
-            now, ok = limiter.step(now, t, 1.0)
-            out.append(ok)
-        state.update(tuple(map(float, now)))
-        yield pd.DataFrame({id_col: pdf[id_col], order_col: pdf[order_col], "allowed": out})
 
-    d = events.select(id_col, order_col, (F.unix_micros(F.col(ts_col).cast("timestamp")) / 1e6).alias("_t"))
-    return d.groupBy(id_col).applyInPandasWithState(run, f"{kinds}, allowed boolean", "a double, b double", "append", "NoTimeout")
+STATE = StructType([StructField(n, DoubleType()) for n in ("a", "b", "last")])
+
+
+class _Walker(StatefulProcessor):
+    """One identifier's state in a stream: two numbers of the limiter and the time of its last event."""
+
+    def __init__(self, limiter: Limiter, idle: float | None):
+        self.limiter, self.idle = limiter, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.held = handle, handle.getValueState("limiter", STATE)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        """A batch's events of the identifier in order: they are sorted by time and order first."""
+        now = self.held.get()
+        state, last = (now[:2], now[2]) if now is not None else (None, None)
+        for pdf in ordered(rows):
+            out = []
+            for t, cost, gone in zip(pdf["t"], pdf["cost"], pdf["reset"], strict=True):
+                if state is None or gone or (self.idle is not None and t - last > self.idle):
+                    state = self.limiter.start(t)
+                state, ok = self.limiter.step(state, t, cost)
+                out.append(ok)
+                last = t if last is None else max(last, t)
+            yield pd.DataFrame({"who": pdf["who"], "order": pdf["order"], "allowed": out})
+        if state is not None:
+            self.held.update((float(state[0]), float(state[1]), float(last)))
+            if self.idle is not None:
+                for timer in self.handle.listTimers():
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(int((last + self.idle) * 1000) + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """The identifier was idle for so long that the watermark has passed: it leaves the state."""
+        self.held.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def limit_stream(events: DataFrame, limiter: Limiter, id_col: str, ts_col: str, order_col: str, cost_col: str | None = None, reset_col: str | None = None, idle: float | None = None, delay: str = "0 seconds") -> DataFrame:
+    """The same as `limit` for a streaming DataFrame: states are kept in the state store (RocksDB, which the session must be set to) from batch to batch.
+
+    Events of a batch are walked in order of time, then order_col; batches as they come, so an event that comes in a later batch than one behind it is walked
+    after that. reset_col: events that begin a new state, as after a reset. idle: seconds after which an identifier without events starts anew; once the
+    watermark, `delay` behind the latest event, has passed that, its state is removed. Without idle, states stay.
+    """
+    kinds = ", ".join(f"{n} {events.schema[c].dataType.simpleString()}" for n, c in (("who", id_col), ("order", order_col)))
+    cost = F.col(cost_col).cast("double") if cost_col else F.lit(1.0)
+    reset = F.coalesce(F.col(reset_col).cast("boolean"), F.lit(False)) if reset_col else F.lit(False)
+    ts = F.col(ts_col).cast("timestamp")
+    d = events.where(ts.isNotNull()).select(F.col(id_col).alias("who"), F.col(order_col).alias("order"), (F.unix_micros(ts) / 1e6).alias("t"), cost.alias("cost"), reset.alias("reset"), ts.alias("at"))
+    d = d.withWatermark("at", delay) if idle is not None else d
+    out = d.groupBy("who").transformWithStateInPandas(_Walker(limiter, idle), f"{kinds}, allowed boolean", "append", "EventTime" if idle is not None else "None")
+    return out.select(F.col("who").alias(id_col), F.col("order").alias(order_col), "allowed")
+
+
+def limiter_states(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """id, level, since, last: what a stream of limit_stream holds for each identifier, read from its checkpoint: the two numbers of its limiter (tokens and
+    time, begin and count, or level and time) and the time of its last event."""
+    held = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "limiter").load()
+    return held.select(held["key"].getField(held.schema["key"].dataType.fieldNames()[0]).alias("id"), F.col("value.a").alias("level"), F.col("value.b").alias("since"), F.col("value.last").alias("last"))

@@ -447,3 +447,91 @@ def test_a_spectral_start_is_better_than_a_random_one(spark):
 
 def test_descent_query_is_its_sql(spark):
     same(spark, "knn_graph_descent")
+
+
+# Limiters in streams
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@pytest.fixture
+def rocks(spark):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, ROCKS)
+    yield spark
+    spark.conf.unset(key)
+
+
+def streamed(spark, path, events, parts, name, limiter, **how):
+    """What a stream of the events gives that come in `parts` batches."""
+    from lodestone.streaming import flow, limiters
+
+    schema = "n long, who string, ts timestamp, c double, r boolean"
+    for k, some in enumerate(np.array_split(np.arange(len(events)), parts)):
+        rows = spark.createDataFrame([events[i] for i in some], "n long, who string, t double, c double, r boolean")
+        rows.select("n", "who", F.timestamp_micros((F.col("t") * 1e6).cast("long")).alias("ts"), "c", "r").coalesce(1).write.mode("append").parquet(f"{path}/in")
+    out = limiters.limit_stream(flow.texts(spark, f"{path}/in", schema, 1), limiter, "who", "ts", "n", **how)
+    q = out.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"{path}/c").trigger(availableNow=True).start()
+    q.awaitTermination(300)
+    assert q.exception() is None
+    return {r["n"]: r["allowed"] for r in spark.sql(f"select * from {name}").collect()}
+
+
+@pytest.mark.parametrize("kind", ["bucket", "fixed", "leaky"])
+def test_a_stream_in_batches_is_the_batch(rocks, tmp_path, kind):
+    from lodestone.streaming import limiters
+
+    limiter = {"bucket": limiters.TokenBucket(3, 0.2), "fixed": limiters.FixedWindow(3, 20.0), "leaky": limiters.LeakyBucket(2, 7.0)}[kind]
+    r = np.random.default_rng(8)
+    times = np.sort(r.integers(0, 200, 60)).astype(float)
+    events = [(i, "abc"[int(r.integers(0, 3))], float(t), float(r.integers(1, 4)), False) for i, t in enumerate(times)]
+    got = streamed(rocks, str(tmp_path), events, 3, f"limited_{kind}", limiter, cost_col="c")
+    df = rocks.createDataFrame(events, "n long, who string, t double, c double, r boolean").withColumn("ts", F.timestamp_micros((F.col("t") * 1e6).cast("long")))
+    want = {x["n"]: x["allowed"] for x in limiters.limit(df, limiter, "who", "ts", "n", "c").collect()}
+    assert got == want and len(set(want.values())) == 2
+    states = {x["id"]: x["last"] for x in limiters.limiter_states(rocks, f"{tmp_path}/c").collect()}
+    assert states == {w: max(e[2] for e in events if e[1] == w) for w in "abc"}
+
+
+def test_idle_identifiers_leave_the_state_and_resets_start_anew(rocks, tmp_path):
+    from lodestone.streaming import limiters
+
+    events = [(0, "a", 0.0, 1.0, False), (1, "a", 1.0, 1.0, False), (2, "b", 1.0, 1.0, False), (3, "a", 2.0, 1.0, True), (4, "a", 3.0, 1.0, False), (5, "b", 90.0, 1.0, False), (6, "b", 91.0, 1.0, False), (7, "c", 200.0, 1.0, False), (8, "c", 201.0, 1.0, False)]
+    events = [(n, who, 1000 + t, c, r) for n, who, t, c, r in events]  # a watermark begins at 0
+    got = streamed(rocks, str(tmp_path), events, 9, "limited_idle", limiters.TokenBucket(1, 0.0), reset_col="r", idle=60.0)
+    assert got == {0: True, 1: False, 2: True, 3: True, 4: False, 5: True, 6: False, 7: True, 8: False}
+    assert [x["id"] for x in limiters.limiter_states(rocks, f"{tmp_path}/c").collect()] == ["c"]
+
+
+# Cache in a stream
+
+
+def test_a_repeated_batch_changes_nothing(spark, tmp_path):
+    from lodestone.operators import cache
+    from lodestone.streaming import flow
+
+    t = cache.CacheTable(spark, f"file://{tmp_path}/cache", models.HashEmbedder(8))
+    made = lambda *rows: spark.createDataFrame([(x, s) for x, s in rows], "text string, s long").withColumn("at", F.timestamp_seconds("s"))
+    assert t.rows().count() == 0
+    assert t.take(made(("a", 1), ("A ", 3), ("b", 2), (None, 9)), 0)
+    assert not t.take(made(("a", 1), ("A ", 3), ("b", 2)), 0)
+    before = sorted(map(tuple, t.rows().select("text", "access_count", "accessed_at").collect()))
+    assert [(x[0], x[1]) for x in before] == [("A ", 2), ("b", 1)] or [(x[0], x[1]) for x in before] == [("a", 2), ("b", 1)]
+    assert t.take(made(("a", 50), ("c", 60)), 1) and t.take(made(("c", 5)), 0, stream="other")
+    got = {r["text"].strip().lower(): (r["access_count"], r["accessed_at"].timestamp()) for r in t.rows().collect()}
+    assert got == {"a": (3, 50.0), "b": (1, 2.0), "c": (2, 60.0)}
+    old = t.state()
+    with pytest.raises(cache.CacheError):
+        t._put(t.rows(), old | {"version": old["version"] - 1}, {})
+    small = cache.CacheTable(spark, f"file://{tmp_path}/cache", models.HashEmbedder(8), ttl=30.0)
+    small.take(made(("d", 70)), 2)
+    assert sorted(r["text"].strip().lower() for r in small.rows().collect()) == ["a", "c", "d"]
+    made(("e", 80), ("e", 81)).coalesce(1).write.parquet(f"{tmp_path}/in")
+    q = t.follow(flow.texts(spark, f"{tmp_path}/in", "text string, s long, at timestamp"), f"{tmp_path}/check", "follower")
+    q.awaitTermination(200)
+    assert t.rows().where("text = 'e'").first()["access_count"] == 2 and t.state()["batches"]["follower"] == 0
+
+
+@pytest.mark.parametrize("name", ["cache_stream", "cache_size_evict"])
+def test_cache_queries_are_their_sql(spark, name):
+    same(spark, name)
