@@ -13,6 +13,7 @@ rows; columns besides the id and the text are ignored; very long texts span many
 from __future__ import annotations
 
 import array
+import functools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -92,6 +93,12 @@ class WordTokenizer:
         return out
 
 
+@functools.lru_cache(maxsize=1)
+def worker_tokenizer(path: str) -> WordTokenizer:
+    """A Python worker's own, which keeps its words from task to task."""
+    return WordTokenizer(path)
+
+
 TOKENS = "doc_id long, n long, ids binary, part int, pos int, rem int, rank int, whole long"
 
 
@@ -99,7 +106,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, window: int, id_col:
     """A row per document: its ids, its place in the partition and its rank among remainders of its length there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, part, pos, whole, seen = WordTokenizer(tokenizer), TaskContext.get().partitionId(), 0, 0, {}
+        own, part, pos, whole, seen = worker_tokenizer(tokenizer), TaskContext.get().partitionId(), 0, 0, {}
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
