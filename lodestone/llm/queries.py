@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import codes, digests, language_model, languages, manifest, mixing, neighbours, packing, pseudonyms, secret_scan, simhash, toxicity, warc
+from . import codes, digests, language_model, languages, manifest, mixing, neighbours, oracles, packing, pseudonyms, secret_scan, simhash, toxicity, warc
 from .common import scratch_path, ship, table
 
 #: The key of the pseudonyms: from the environment, so that runs agree; else drawn anew for this process, and links hold within its runs alone.
@@ -119,16 +119,16 @@ def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    return codes.compress(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024)
+    coded = codes.compress(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024)
+    return coded.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_mixing, op3_language, op4_pseudonyms, op5_simhash, op6_fingerprints, op7_warc, op8_toxicity, op9_secrets, op10_neighbours, op11_lm_scores, op12_manifest, op13_codes)}
 
-NEIGHBOURS_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
-p AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM p)
-SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
-
-ORACLES: dict[str, str] = {"op2_mixing": mixing.mix_sql(WEIGHTS, REPEATS, SEED), "op10_neighbours": NEIGHBOURS_SQL}
+ORACLES: dict[str, str] = {
+    "op2_mixing": mixing.mix_sql(WEIGHTS, REPEATS, SEED),
+    "op10_neighbours": oracles.NEIGHBOURS,
+    "op11_lm_scores": oracles.language_model(order=4),
+    "op12_manifest": oracles.MANIFEST,
+    "op13_codes": oracles.codes(parts=4, entries=256, rounds=4, scale=1024, dimension=64),
+}

@@ -311,3 +311,19 @@ def test_codes_of_few_rows(spark, rows):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label long")
     got = codes.compress(df, 4, 256, 4, 1024).collect()
     assert [(g["vec_id"], g["code"], g["error"]) for g in got] == [(i, "00000000", 0) for i, v, _ in rows if v is not None]
+
+
+# ---- SQL
+
+
+@pytest.mark.parametrize("name", ["op11_lm_scores", "op12_manifest", "op13_codes"])
+def test_queries_are_their_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{D}/{t}.parquet'")
+    want = con.execute(queries.ORACLES[name]).fetchall()
+    names = [x[0] for x in con.description]
+    df = queries.QUERIES[name](spark, D)
+    assert sorted(df.columns) == sorted(names)
+    got = [tuple(r[n] for n in names) for r in df.collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
