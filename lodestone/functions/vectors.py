@@ -60,6 +60,33 @@ def normalize_with(v: Column | str, length: Column) -> Column:
     return let(length, lambda n: F.transform(col(v), lambda x: F.when(n > TINY, x.cast("double") / n).otherwise(x.cast("double"))))
 
 
+def stable_total(values: Column) -> Column:
+    """Sum by Neumaier's rule: what each addition rounds off is carried in a second sum, so large elements that cancel out leave the small ones whole."""
+    zero = F.lit(0.0)
+
+    def step(s: Column, x: Column) -> Column:
+        add = lambda t: F.struct(t.alias("sum"), (s["carry"] + F.when(F.abs(s["sum"]) >= F.abs(x), (s["sum"] - t) + x).otherwise((x - t) + s["sum"])).alias("carry"))
+        return let(s["sum"] + x, add)
+
+    return F.aggregate(values, F.struct(zero.alias("sum"), zero.alias("carry")), step, lambda s: s["sum"] + s["carry"])
+
+
+def stable_norm(v: Column | str) -> Column:
+    """Norm of a vector of any magnitude: elements are scaled by the largest before they are squared, and their squares summed with a carry."""
+    x = F.transform(col(v), lambda e: e.cast("double"))
+    top = F.coalesce(F.array_max(F.transform(x, lambda e: F.abs(e))), F.lit(0.0))
+    return let(F.struct(x.alias("x"), top.alias("m")), lambda s: F.when(s["m"] > 0, s["m"] * F.sqrt(stable_total(F.transform(s["x"], lambda e: (e / s["m"]) * (e / s["m"]))))).otherwise(F.lit(0.0)))
+
+
+def normalize_stable(v: Column | str, zero: str = "keep") -> Column:
+    """Unit vector by the stable norm, whatever the magnitude. A vector of zeros stays as it is (keep), becomes null (null) or the first unit vector (first)."""
+    x = F.transform(col(v), lambda e: e.cast("double"))
+    none = {"keep": lambda: x, "null": lambda: F.lit(None).cast("array<double>"), "first": lambda: F.transform(x, lambda e, i: F.when(i == 0, F.lit(1.0)).otherwise(F.lit(0.0)))}[zero]()
+    top = F.coalesce(F.array_max(F.transform(x, lambda e: F.abs(e))), F.lit(0.0))
+    scaled = let(top, lambda m: F.when(m > 0, F.transform(x, lambda e: e / m)))  # first by the largest, as the norm itself may not fit a double
+    return let(scaled, lambda y: F.when(y.isNotNull(), let(F.sqrt(stable_total(F.transform(y, lambda e: e * e))), lambda n: F.transform(y, lambda e: e / n))).otherwise(none))
+
+
 def cosine(a: Column | str, b: Column | str) -> Column:
     """Cosine similarity; 0 if either norm is (nearly) 0."""
     return let(
@@ -255,10 +282,6 @@ def quantization_error(v: Column | str, back: Column) -> Column:
     return let(back, lambda w: F.struct(chebyshev(v, w).alias("max_abs"), (manhattan(v, w) / n).alias("mean_abs"), F.sqrt(squared_euclidean(v, w) / n).alias("rmse"), cosine(v, w).alias("cosine")))
 
 
-#: Bytes per element and compression over 32-bit floats, by format.
-FORMATS = {"int8": (1.0, 4.0), "int4": (0.5, 8.0), "float16": (2.0, 2.0), "binary": (0.125, 32.0)}
-
-
 # Flat buffers.
 
 
@@ -268,6 +291,23 @@ def unflattened(flat: Column | str, dim: int) -> Column:
     return F.transform(F.slice(F.sequence(F.lit(0), n), F.lit(1), n), lambda i: F.slice(col(flat), i * dim + 1, F.lit(dim)))
 
 
+def extracted(flat: Column | str, shape: str, *sizes: int) -> Column:
+    """What a flat row-major buffer holds, by its shape: vector (all of it), scalar (its only element, else null), matrix (rows, columns), tensor (batches, rows,
+    columns), similarities (a square matrix of so many rows) or concatenated (vectors of these lengths, one after the other). Null where the size does not fit."""
+    v = col(flat)
+    need = {"vector": lambda: None, "scalar": lambda: 1, "matrix": lambda: sizes[0] * sizes[1], "tensor": lambda: sizes[0] * sizes[1] * sizes[2], "similarities": lambda: sizes[0] ** 2, "concatenated": lambda: sum(sizes)}[shape]()
+    starts = [1 + sum(sizes[:i]) for i in range(len(sizes))]
+    out = {
+        "vector": lambda: v,
+        "scalar": lambda: F.get(v, F.lit(0)),
+        "matrix": lambda: unflattened(v, sizes[1]),
+        "tensor": lambda: F.transform(unflattened(v, sizes[1] * sizes[2]), lambda m: unflattened(m, sizes[2])),
+        "similarities": lambda: unflattened(v, sizes[0]),
+        "concatenated": lambda: F.array(*[F.slice(v, F.lit(at), F.lit(n)) for at, n in zip(starts, sizes, strict=True)]),
+    }[shape]()
+    return out if need is None else F.when(F.size(v) == need, out)
+
+
 def all_normalized(v: Column | str, tolerance: float = 1e-4) -> Column:
     """Aggregate: whether there are vectors, all of one length (dimension) and norm 1."""
     return F.coalesce(F.bool_and(is_normalized(v, tolerance)) & (F.min(F.size(col(v))) == F.max(F.size(col(v)))), F.lit(False))
@@ -277,6 +317,15 @@ def all_normalized(v: Column | str, tolerance: float = 1e-4) -> Column:
 FORMATS = {"float32": (32, 0), "float16": (16, 0), "int8": (8, 4), "int4": (4, 4), "binary": (1, 0)}
 
 
+def bytes_per_element(form: str) -> float:
+    return FORMATS[form][0] / 8
+
+
+def compression_ratio(form: str) -> float:
+    """How many times smaller a format's elements are than 32-bit floats, scales left aside."""
+    return 32 / FORMATS[form][0]
+
+
 def stored_bytes(elements: Column, form: str) -> Column:
     """Bytes of a vector of so many elements in a format, its scale included."""
     bits, scale = FORMATS[form]

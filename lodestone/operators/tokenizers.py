@@ -1,4 +1,8 @@
-"""Subword tokenizers over text columns. A tokenizer is a small picklable object on the driver that each task's Arrow batches use."""
+"""Subword tokenizers over text columns.
+
+Texts are cut into words by an expression, the distinct words of the table are split into tokens once each (by a tokenizer's `split`, a small function of one word),
+and the words of each text are joined with their tokens and put together in order; special tokens, truncation and padding are expressions again.
+"""
 
 from __future__ import annotations
 
@@ -8,14 +12,18 @@ import unicodedata
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
+import pandas as pd
 import pyarrow as pa
-import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from ..errors import InputTooLong, InvalidConfiguration
+from ..errors import InvalidConfiguration
+from ..functions.text import basic_tokens, truncate
+from ..sources.shared import written
 
 SPACE_MARK = "▁"
-MARKS = regex.compile(r"[\p{P}\p{S}]|[^\s\p{P}\p{S}]+")
+MARKS = r"(?U)[\p{P}\p{S}]|[^\s\p{P}\p{S}]+"
 #: Pre-tokenizer patterns by name; the first differs from its namesake in taking digits in groups of one to three.
 PRE_TOKENIZERS = {
     "gpt2": r"'(?i:[sdmt])|'(?i:ll|ve|re)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+",
@@ -23,10 +31,6 @@ PRE_TOKENIZERS = {
 }
 
 
-#: Words whose tokens a worker keeps.
-KNOWN_WORDS = 200_000
-
-
 @dataclass(frozen=True)
 class Options:
     """What happens to the tokens of a text: special tokens, truncation, padding."""
@@ -54,30 +58,13 @@ class Tokenizer:
     lowercase: bool = True
     unknown_id: int = 100
 
-    def pieces(self, text: str, enough: int = 0) -> list[str]:
-        """Tokens of a text, or its first ones once there are more than `enough` (0: all). Words come again and again, so each word's tokens are kept, in a table that starts anew when it is full."""
-        known, out = self.known_words, []
-        for w in self.words(text):
-            t = known.get(w)
-            if t is None:
-                if len(known) >= KNOWN_WORDS:
-                    known.clear()
-                t = known[w] = self.split(w)
-            out += t
-            if 0 < enough < len(out):
-                break
-        return out
-
-    def words(self, text: str) -> list[str]:
-        return (text.lower() if self.lowercase else text).split()
+    def words(self, text: Column) -> Column:
+        """The words of a text, as an array."""
+        return F.regexp_extract_all(F.lower(text) if self.lowercase else text, F.lit(r"(?U)\S+"), F.lit(0))
 
     def split(self, word: str) -> list[str]:
         raise NotImplementedError
 
-    @functools.cached_property
-    def known_words(self) -> dict[str, list[str]]:
-        return {}
-
     @functools.cached_property
     def longest(self) -> int:
         return max(map(len, self.vocabulary), default=1)
@@ -87,32 +74,16 @@ class Tokenizer:
         return {i: t for t, i in self.vocabulary.items()}
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("known_words", "longest", "by_id")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("longest", "by_id")}
 
     def id_of(self, token: str) -> int:
         unknown = self.vocabulary.get(self.special.get("unk", ""), self.unknown_id)
         return self.vocabulary.get(token, unknown)
 
-    def encode(self, text: str, options: Options = Options()) -> tuple[list[int], list[str], list[int]]:
-        """Ids, tokens and attention mask."""
-        t = self.pieces(text, options.max_length if options.truncation == "end" else 0)
-        if options.special_tokens:
-            first = self.special.get("cls", self.special.get("bos"))
-            last = self.special.get("sep", self.special.get("eos"))
-            t = [first] * (first is not None) + t + [last] * (last is not None)
-        n = options.max_length
-        if n > 0 and len(t) > n:
-            if options.truncation == "none":
-                raise InputTooLong(f"{len(t)} tokens, at most {n}")
-            head = n // 2
-            t = {"end": t[:n], "start": t[-n:], "middle": t[:head] + t[len(t) - (n - head) :]}[options.truncation]
-        ids, mask = [self.id_of(x) for x in t], [1] * len(t)
-        if options.padding == "max" and len(t) < n:
-            if "pad" not in self.special:
-                raise InvalidConfiguration("padding needs a pad token")
-            more = n - len(t)
-            t, ids, mask = t + [self.special["pad"]] * more, ids + [self.id_of(self.special["pad"])] * more, mask + [0] * more
-        return ids, t, mask
+    def ends(self) -> tuple[list[str], list[str]]:
+        """The special tokens before and behind a text."""
+        first, last = self.special.get("cls", self.special.get("bos")), self.special.get("sep", self.special.get("eos"))
+        return [first] * (first is not None), [last] * (last is not None)
 
     def known(self, ids: Sequence[int]) -> list[str]:
         """Tokens of the ids, without special ones (the unknown token stays)."""
@@ -127,8 +98,8 @@ class Tokenizer:
 class WordPiece(Tokenizer):
     """Greedy longest match inside words; parts after the first are marked with ##. A word with a part that is not in the vocabulary, or of over 200 characters, is unknown."""
 
-    def words(self, text: str) -> list[str]:
-        return MARKS.findall(text.lower() if self.lowercase else text)
+    def words(self, text: Column) -> Column:
+        return F.regexp_extract_all(F.lower(text) if self.lowercase else text, F.lit(MARKS), F.lit(0))
 
     def split(self, word: str) -> list[str]:
         unknown = [self.special.get("unk", "[UNK]")]
@@ -151,8 +122,8 @@ class WordPiece(Tokenizer):
 class SentencePiece(Tokenizer):
     """Words behind a boundary mark: whole if known, else greedy longest prefixes; a character that is not known is the unknown token."""
 
-    def words(self, text: str) -> list[str]:
-        return [SPACE_MARK + w for w in super().words(text)]
+    def words(self, text: Column) -> Column:
+        return F.transform(super().words(text), lambda w: F.concat(F.lit(SPACE_MARK), w))
 
     def split(self, word: str) -> list[str]:
         out, at, longest = [], 0, self.longest
@@ -176,9 +147,9 @@ class ByteBPE(Tokenizer):
     prefix_space: bool = False
     unknown_id: int = 0
 
-    def words(self, text: str) -> list[str]:
-        t = unicodedata.normalize(self.normalization.upper(), text) if self.normalization else text
-        return regex.findall(PRE_TOKENIZERS.get(self.pattern, self.pattern), " " + t if self.prefix_space else t)
+    def words(self, text: Column) -> Column:
+        t = normalized(text, F.lit(self.normalization.upper())) if self.normalization else text
+        return F.regexp_extract_all(F.concat(F.lit(" "), t) if self.prefix_space else t, F.lit("(?U)" + PRE_TOKENIZERS.get(self.pattern, self.pattern)), F.lit(0))
 
     def split(self, word: str) -> list[str]:
         letters = byte_letters()
@@ -227,20 +198,64 @@ class GreedyBPE(Tokenizer):
         return own
 
 
-TOKENS = "ids array<int>, tokens array<string>, mask array<int>"
+@F.pandas_udf(StringType())
+def normalized(text: pd.Series, form: pd.Series) -> pd.Series:
+    """Unicode normalization, which no expression has."""
+    return text.map(lambda t: unicodedata.normalize(form.iat[0], t), na_action="ignore")
 
 
-def encode(rows: DataFrame, tokenizer: Tokenizer, options: Options = Options(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, ids, tokens, mask of each row; null text counts as empty."""
-    own = rows.sparkSession.sparkContext.broadcast(tokenizer)  # a vocabulary, of fixed size
-    kind = rows.schema[id_col].dataType.simpleString()
+SPLIT = "word string, n long, ids array<int>, tokens array<string>"
+
+
+def split_words(words: DataFrame, tokenizer: Tokenizer) -> DataFrame:
+    """(word, n, ids, tokens) of distinct words (word, n), written once."""
+    own = words.sparkSession.sparkContext.broadcast(tokenizer)  # a vocabulary, of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = own.value
         for b in batches:
-            got = [own.value.encode(t.as_py() or "", options) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.list_(pa.string())), pa.array([g[2] for g in got], pa.list_(pa.int32()))], names=[id_col, "ids", "tokens", "mask"])
+            parts = [t.split(w) for w in b.column("word").to_pylist()]
+            ids = [[t.id_of(p) for p in some] for some in parts]
+            yield pa.RecordBatch.from_arrays([b.column("word"), b.column("n"), pa.array(ids, pa.list_(pa.int32())), pa.array(parts, pa.list_(pa.string()))], ["word", "n", "ids", "tokens"])
+
+    return written(words.mapInArrow(run, SPLIT))
 
-    return rows.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, {TOKENS}")
+
+def joined_words(occurrences: DataFrame, split: DataFrame, share: int = 512) -> DataFrame:
+    """Occurrences of words with their tokens. A word that makes up more than 1 / share of all, of which there are `share` at most, meets its occurrences by
+    broadcast, so that no task gets all of a frequent one; Spark broadcasts the others too if they are few."""
+    cut = max((split.agg(F.sum("n")).first()[0] or 0) // share, 1000)
+    hot = split.where(F.col("n") > cut)
+    plain = occurrences.join(F.broadcast(hot.select("word")), "word", "left_anti").join(split.where(F.col("n") <= cut), "word", "left")
+    return occurrences.join(F.broadcast(hot), "word").unionByName(plain) if not hot.isEmpty() else occurrences.join(split, "word", "left")
+
+
+def encode(rows: DataFrame, tokenizer: Tokenizer, options: Options = Options(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, ids, tokens, mask of each row; null text counts as empty. max_length 0: no truncation or padding."""
+    if options.padding == "max" and options.max_length and "pad" not in tokenizer.special:
+        raise InvalidConfiguration("padding needs a pad token")
+    source = rows.select(F.col(id_col).alias("id"), tokenizer.words(F.coalesce(F.col(text_col), F.lit(""))).alias("words"))
+    # rows of one id stay apart; written once, as the row's number must not change between the jobs
+    source = written(source.withColumn("row", F.monotonically_increasing_id()))
+    words = source.select("id", "row", F.posexplode_outer("words").alias("at", "word"))
+    split = split_words(words.where("word IS NOT NULL").groupBy("word").agg(F.count("*").alias("n")), tokenizer)
+    put = F.sort_array(F.collect_list(F.struct("at", "ids", "tokens")))
+    whole = joined_words(words.where("word IS NOT NULL"), split).groupBy("row", "id").agg(put.alias("parts"))
+    empty = source.where(F.size("words") == 0).select("row", "id", F.lit(None).cast(whole.schema["parts"].dataType).alias("parts"))
+    kind = {"ids": "array<int>", "tokens": "array<string>"}
+    array = lambda values, k: F.array(*[F.lit(v) for v in values]).cast(kind[k])
+    before, behind = tokenizer.ends() if options.special_tokens else ([], [])
+    ends = {"tokens": (before, behind), "ids": ([tokenizer.id_of(t) for t in before], [tokenizer.id_of(t) for t in behind])}
+    pad = {"tokens": tokenizer.special.get("pad"), "ids": tokenizer.id_of(tokenizer.special.get("pad", ""))}
+    out = whole.unionByName(empty)
+    for k in ("ids", "tokens"):
+        t = F.concat(array(ends[k][0], k), F.coalesce(F.flatten(F.col(f"parts.{k}")), array([], k)), array(ends[k][1], k))
+        out = out.withColumn(k, truncate(t, options.max_length, options.truncation) if options.max_length else t)
+    out = out.withColumn("mask", F.array_repeat(F.lit(1), F.size("ids")))
+    if options.padding == "max" and options.max_length:
+        more = F.lit(options.max_length) - F.size("mask")
+        out = out.select("id", *[F.concat(k, F.array_repeat(F.lit(v), more)).alias(k) for k, v in (*pad.items(), ("mask", 0))])
+    return out.select(F.col("id").alias(id_col), "ids", "tokens", "mask")
 
 
 def decode(rows: DataFrame, tokenizer: Tokenizer, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -256,10 +271,6 @@ def decode(rows: DataFrame, tokenizer: Tokenizer, id_col: str = "doc_id", ids_co
 
 def learned_vocabulary(rows: DataFrame, size: int, special: Sequence[str], text_col: str = "text") -> dict[str, int]:
     """Special tokens, then the `size` most frequent basic tokens (ties in order of the token), then single characters, plain and marked, seen in them."""
-    from pyspark.sql import functions as F
-
-    from ..functions.text import basic_tokens
-
     top = rows.select(F.explode(basic_tokens(text_col)).alias("t")).groupBy("t").count().orderBy(F.desc("count"), "t").limit(size).collect()
     words = [r[0] for r in top]
     letters = sorted({c for w in words for c in w})

@@ -6,6 +6,7 @@ Queries take whole tables. Searches ask with every vector whose id is divisible
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -320,6 +321,23 @@ def quantization_sizes(spark, d):
     return e.select("vec_id", "format", "bytes", r6(4 * F.col("n") / F.col("bytes")).alias("ratio"))
 
 
+@query("SELECT format, bytes::DOUBLE AS bytes, round(32.0 / bits, 6) AS ratio, round(sum(len(embedding) * bits) / 8, 6) AS total FROM embeddings, (VALUES ('float32', 32, 4.0), ('float16', 16, 2.0), ('int8', 8, 1.0), ('int4', 4, 0.5), ('binary', 1, 0.125)) f(format, bits, bytes) GROUP BY format, bits, bytes")
+def quantization_ratios(spark, d):
+    """Bytes an element, compression over 32-bit floats and bytes of all elements, by format."""
+    n = vectors(spark, d).agg(F.sum(F.size("embedding")).alias("n"))
+    forms = F.explode(F.array(*[F.struct(F.lit(f).alias("format"), F.lit(V.bytes_per_element(f)).alias("bytes"), F.lit(V.compression_ratio(f)).alias("ratio")) for f in V.FORMATS])).alias("f")
+    return n.select("n", forms).select("f.*", (F.col("n") * F.col("f.bytes")).alias("total"))
+
+
+@query("WITH t AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: (x::DECIMAL(18,12) * x::DECIMAL(18,12))))::DOUBLE) AS n, list_sum(list_transform(embedding, lambda x: x::DECIMAL(38,15)))::DOUBLE AS s FROM embeddings) SELECT vec_id, round(s, 6) AS total, round(embedding[1] / n, 6) AS large, round(embedding[1] / n, 6) AS small, round(n, 6) AS norm FROM t")
+def normalize_stable(spark, d):
+    """Sums with 1e20 and -1e20 around the elements, and unit vectors of 1e200 and 1e-200 times the elements."""
+    e = vectors(spark, d).select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    around = F.concat(F.array(F.lit(1e20)), "e", F.array(F.lit(-1e20)))
+    times = lambda k: F.get(V.normalize_stable(F.transform("e", lambda x: x * k)), F.lit(0))
+    return e.select("vec_id", r6(V.stable_total(around)).alias("total"), r6(times(1e200)).alias("large"), r6(times(1e-200)).alias("small"), r6(V.stable_norm("e")).alias("norm"))
+
+
 @query()
 def quantize_float16(spark, d):
     return errors_of(vectors(spark, d), F.transform(files.float16("embedding"), lambda x: x.cast("double")))
@@ -520,24 +538,47 @@ def learned(spark: SparkSession, d: str) -> dict[str, int]:
     return tokenizers.learned_vocabulary(docs(spark, d), 2000, list(SPECIAL.values()))
 
 
-@query()
+def token_digests(encoded: DataFrame) -> DataFrame:
+    joined = lambda c: F.sha2(F.array_join(F.transform(c, lambda x: x.cast("string")), "\n"), 256)
+    return encoded.select("doc_id", F.size("tokens").alias("n_tokens"), joined("ids").alias("ids"), joined("tokens").alias("tokens"))
+
+
+#: The vocabulary in SQL: special tokens, words by frequency, letters, marked letters, the boundary mark and marked words; the first place of a token counts.
+_VOCABULARY = f"""a AS (SELECT unnest({_BASIC}) AS t FROM documents), top AS (SELECT t, row_number() OVER (ORDER BY count(*) DESC, t) AS k FROM a GROUP BY t ORDER BY k LIMIT 2000),
+letters AS (SELECT DISTINCT unnest(string_split(t, '')) AS c FROM top), placed AS (SELECT '[PAD]' AS t, 0 AS part, 0 AS k UNION ALL SELECT '[CLS]', 0, 1 UNION ALL SELECT '[SEP]', 0, 2 UNION ALL SELECT '[UNK]', 0, 3 UNION ALL SELECT '[MASK]', 0, 4
+UNION ALL SELECT t, 1, k FROM top UNION ALL SELECT c, 2, row_number() OVER (ORDER BY c) FROM letters UNION ALL SELECT '##' || c, 3, row_number() OVER (ORDER BY c) FROM letters UNION ALL SELECT '{tokenizers.SPACE_MARK}', 4, 0 UNION ALL SELECT '{tokenizers.SPACE_MARK}' || t, 5, k FROM top),
+v AS (SELECT t, row_number() OVER (ORDER BY min((part, k))) - 1 AS id FROM placed GROUP BY t), deep AS (SELECT max(length(t)) AS n FROM v)"""
+#: Greedy splits of the distinct words w of d: a row for each step, with the tokens so far.
+_GREEDY = """steps AS (SELECT w, 0 AS pos, []::VARCHAR[] AS toks, false AS bad FROM d UNION ALL
+SELECT s.w, s.pos + greatest(1, coalesce(max(CASE WHEN v.t IS NOT NULL THEN l END), 0)), list_append(s.toks, coalesce(arg_max({mark} || substr(s.w, s.pos + 1, l), l) FILTER (v.t IS NOT NULL), '[UNK]')), s.bad OR max(CASE WHEN v.t IS NOT NULL THEN l END) IS NULL
+FROM (SELECT *, unnest(range(1, least(length(w) - pos, (SELECT n FROM deep)) + 1)) AS l FROM steps WHERE pos < length(w)) s LEFT JOIN v ON v.t = {mark} || substr(s.w, s.pos + 1, l) GROUP BY s.w, s.pos, s.toks, s.bad)"""
+_ENCODED = """o AS (SELECT doc_id, unnest(words) AS w, generate_subscripts(words, 1) AS pos FROM x), e AS (SELECT doc_id, flatten(list(toks ORDER BY pos)) AS toks FROM o JOIN f USING (w) GROUP BY doc_id),
+g AS (SELECT x.doc_id, list_concat(['[CLS]'], coalesce(toks, []), ['[SEP]']) AS toks FROM x LEFT JOIN e USING (doc_id)), i AS (SELECT doc_id, list(v.id ORDER BY pos) AS ids FROM (SELECT doc_id, unnest(toks) AS t, generate_subscripts(toks, 1) AS pos FROM g) u JOIN v USING (t) GROUP BY doc_id)
+SELECT g.doc_id, len(toks)::INT AS n_tokens, sha256(array_to_string(ids, chr(10))) AS ids, sha256(array_to_string(toks, chr(10))) AS tokens FROM g JOIN i USING (doc_id)"""
+
+
+@query(f"WITH RECURSIVE {_VOCABULARY}, x AS (SELECT doc_id, {_BASIC} AS words FROM documents), d AS (SELECT DISTINCT unnest(words) AS w FROM x), " + _GREEDY.format(mark="(CASE WHEN s.pos > 0 THEN '##' ELSE '' END)") + ", f AS (SELECT w, CASE WHEN bad OR length(w) > 200 THEN ['[UNK]'] ELSE toks END AS toks FROM steps WHERE pos >= length(w)), " + _ENCODED)
 def wordpiece_encode(spark, d):
-    return tokenizers.encode(docs(spark, d), tokenizers.WordPiece(learned(spark, d), SPECIAL), tokenizers.Options(max_length=0))
+    """Whole texts: digests of ids and tokens."""
+    return token_digests(tokenizers.encode(docs(spark, d), tokenizers.WordPiece(learned(spark, d), SPECIAL), tokenizers.Options(max_length=0)))
 
 
-@query()
+@query(f"WITH RECURSIVE {_VOCABULARY}, x AS (SELECT doc_id, list_transform(regexp_extract_all(lower(text), '\S+'), lambda w: '{tokenizers.SPACE_MARK}' || w) AS words FROM documents), d AS (SELECT DISTINCT unnest(words) AS w FROM x), " + _GREEDY.format(mark="''") + ", f AS (SELECT w, toks FROM steps WHERE pos >= length(w)), " + _ENCODED)
 def sentencepiece_encode(spark, d):
-    return tokenizers.encode(docs(spark, d), tokenizers.SentencePiece(learned(spark, d), SPECIAL), tokenizers.Options(max_length=0))
+    return token_digests(tokenizers.encode(docs(spark, d), tokenizers.SentencePiece(learned(spark, d), SPECIAL), tokenizers.Options(max_length=0)))
+
+
+def public_bpe(spark: SparkSession) -> tokenizers.ByteBPE:
+    """The byte-level tokenizer of 50,257 tokens."""
+    import public_tokenizers
+
+    return replace(files.tokenizer_file(spark, "file://" + public_tokenizers.path("byte_bpe_50k.json")), pattern=public_tokenizers.PATTERN)
 
 
 @query()
 def bpe_encode(spark, d):
-    """Merges of the English articles' kind: enough to show ranks at work."""
-    pairs = [("t", "h"), ("th", "e"), ("Ġ", "the"), ("e", "r"), ("o", "n"), ("i", "n"), ("in", "g"), ("Ġ", "a"), ("Ġa", "n"), ("Ġan", "d")]
-    letters = list(tokenizers.byte_letters().values())
-    vocab = {t: i for i, t in enumerate(dict.fromkeys([*letters, *("".join(p) for p in pairs)]))}
-    t = tokenizers.ByteBPE(vocab, {}, lowercase=False, ranks={p: i for i, p in enumerate(pairs)})
-    return tokenizers.encode(docs(spark, d), t, tokenizers.Options(max_length=0, special_tokens=False))
+    """Whole texts by a public vocabulary; tests hold its ids against those of the library that it was made for."""
+    return token_digests(tokenizers.encode(docs(spark, d), public_bpe(spark), tokenizers.Options(max_length=0, special_tokens=False)))
 
 
 _IDS = f"SELECT doc_id, list_transform({_SIMPLE}, lambda t: (ascii(t) * 64 + length(t)) % 30000) AS ids FROM documents"
@@ -567,19 +608,25 @@ def hash_embed(spark, d):
     return models.embed_once(docs(spark, d), models.HashEmbedder(64))
 
 
-_NAMES = ["acme/all-MiniLM-L6-v2@1", "org/bert-base@2.0", "x/plain@3", "y/e5-large-1024@1", "z/distilbert-sentence@0", "q/gte-small@1"]
+#: Names of model families, from which ids are made with the sources and languages of the documents.
+_FAMILIES = ("MiniLM-L6", "distilbert", "all-mpnet-base", "roberta", "bert-large", "e5", "x-gte", "plain")
+_IDS_SQL = f"i AS (SELECT DISTINCT coalesce(source, 'none') || '/' || {list(_FAMILIES)}[doc_id % 8 + 1] || CASE WHEN n_chars % 3 > 0 THEN '-' || lang ELSE '' END || '@' || n_chars % 10 AS id FROM documents)"
 
 
-@query("SELECT id, regexp_extract(id, '^([^/]*)/', 1) AS provider, CASE WHEN contains(f, '-') THEN regexp_extract(f, '^(.*)-[^-]*$', 1) ELSE f END AS name, CASE WHEN contains(f, '-') THEN regexp_extract(f, '-([^-]*)$', 1) END AS variant, regexp_extract(id, '@([^@]*)$', 1) AS version FROM (SELECT id, regexp_extract(id, '^[^/]*/(.*)@[^@]*$', 1) AS f FROM (VALUES " + ", ".join(f"('{n}')" for n in _NAMES) + ") v(id))")
+def model_ids(spark: SparkSession, d: str) -> DataFrame:
+    family = F.get(F.array(*map(F.lit, _FAMILIES)), (F.col("doc_id") % 8).cast("int"))
+    variant = F.when(F.col("n_chars") % 3 > 0, F.concat(F.lit("-"), "lang")).otherwise(F.lit(""))
+    return docs(spark, d).select(F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), family, variant, F.lit("@"), (F.col("n_chars") % 10).cast("string")).alias("id")).distinct()
+
+
+@query(f"WITH {_IDS_SQL} SELECT id, regexp_extract(id, '^([^/]*)/', 1) AS provider, CASE WHEN contains(f, '-') THEN regexp_extract(f, '^(.*)-[^-]*$', 1) ELSE f END AS name, CASE WHEN contains(f, '-') THEN regexp_extract(f, '-([^-]*)$', 1) END AS variant, regexp_extract(id, '@([^@]*)$', 1) AS version FROM (SELECT id, regexp_extract(id, '^[^/]*/(.*)@[^@]*$', 1) AS f FROM i)")
 def model_id_parse(spark, d):
-    ids = spark.createDataFrame([(n,) for n in _NAMES], "id string")
-    return ids.select("id", T.parse_model_id("id").alias("p")).select("id", "p.*")
+    return model_ids(spark, d).select("id", T.parse_model_id("id").alias("p")).select("id", "p.*")
 
 
-@query("SELECT id, CASE WHEN regexp_matches(n, 'minilm|mini-lm') THEN 'minilm' WHEN contains(n, 'distilbert') THEN 'distilbert' WHEN contains(n, 'mpnet') THEN 'mpnet' WHEN contains(n, 'roberta') THEN 'roberta' WHEN contains(n, 'bert') THEN 'bert' WHEN regexp_matches(n, '-e5-|^e5-') THEN 'e5' WHEN regexp_matches(n, '-gte-|^gte-') THEN 'gte' END AS family FROM (SELECT id, lower(regexp_extract(id, '^[^/]*/(.*)@', 1)) AS n FROM (VALUES " + ", ".join(f"('{n}')" for n in _NAMES) + ") v(id))")
+@query(f"WITH {_IDS_SQL} SELECT id, CASE WHEN regexp_matches(n, 'minilm|mini-lm') THEN 'minilm' WHEN contains(n, 'distilbert') THEN 'distilbert' WHEN contains(n, 'mpnet') THEN 'mpnet' WHEN contains(n, 'roberta') THEN 'roberta' WHEN contains(n, 'bert') THEN 'bert' WHEN regexp_matches(n, '-e5-|^e5-') THEN 'e5' WHEN regexp_matches(n, '-gte-|^gte-') THEN 'gte' END AS family FROM (SELECT id, lower(regexp_extract(id, '^[^/]*/(.*)@', 1)) AS n FROM i)")
 def model_family(spark, d):
-    ids = spark.createDataFrame([(n,) for n in _NAMES], "id string")
-    return ids.select("id", files.model_family(F.regexp_extract("id", r"^[^/]*/(.*)@", 1)).alias("family"))
+    return model_ids(spark, d).select("id", files.model_family(F.regexp_extract("id", r"^[^/]*/(.*)@", 1)).alias("family"))
 
 
 # Cache: English documents are cached with the vector of their id; the clock of an entry is the event of its id.
@@ -858,3 +905,10 @@ def rate_leaky_bucket(spark, d):
 def rate_aligned_window(spark, d):
     w = limiters.aligned_window(table(spark, d, "events"), 2, "1 day", "user_id", "ts")
     return w.select("user_id", F.date_format("window.start", "yyyy-MM-dd").alias("day"), "requests", "denied")
+
+
+@query(_EV + ", s AS (SELECT user_id, event_id, k, t, 1.0::DOUBLE AS left_ FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.event_id, e.k, e.t, CASE WHEN least(2.0::DOUBLE, s.left_ + (e.t - s.t) * (1.0::DOUBLE / 86400)) >= 1 THEN least(2.0::DOUBLE, s.left_ + (e.t - s.t) * (1.0::DOUBLE / 86400)) - 1 ELSE least(2.0::DOUBLE, s.left_ + (e.t - s.t) * (1.0::DOUBLE / 86400)) END FROM s JOIN e ON e.user_id = s.user_id AND e.k = s.k + 1), f AS (SELECT user_id, arg_max(left_, k) AS l, arg_max(t, k) AS t FROM s GROUP BY user_id), r AS (SELECT user_id, least(2.0::DOUBLE, l + greatest(0, epoch_us(TIMESTAMP '2024-01-30') / 1e6 - t) * (1.0::DOUBLE / 86400)) AS r FROM f) SELECT user_id, round(r, 6) AS remaining, r < 1 AS limited FROM r")
+def rate_status(spark, d):
+    """Tokens that each user has left at a time."""
+    s = limiters.status(table(spark, d, "events"), limiters.TokenBucket(2, 1 / 86_400), "user_id", "ts", "event_id", at="2024-01-30 00:00:00")
+    return rounded(s.drop("last"), "remaining")

@@ -1,19 +1,13 @@
-"""Streams of texts: sources, micro-batch embedding, back-pressure policies, progress."""
+"""Streams of texts: sources, micro-batch embedding, progress."""
 
 from __future__ import annotations
 
-import time
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ..errors import RateLimited
 from ..models import Embedder, embed
-from ..plans.config import FlowConfig
-from .limiters import Limiter
 
 
 def texts(spark: SparkSession, path: str, schema: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -28,70 +22,6 @@ def embed_stream(stream: DataFrame, model: Embedder, sink: Callable[[DataFrame,
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def admitted(waiting: DataFrame, running: int, flow: FlowConfig, order: str, key: str | None = None) -> DataFrame:
-    """Waiting requests with outcome: run (a place is free), wait, dropped or error, by the policy once the queue is `depth` long.
-
-    drop_oldest drops the oldest that wait, never those that run; drop_newest and error turn the newest away; suspend lets all wait. With `key`, each key has its own queue.
-    """
-    by = [key] if key else []
-    number = F.row_number().over(Window.partitionBy(*by).orderBy(order))
-    d = waiting.withColumn("_n", number).withColumn("_all", F.count("*").over(Window.partitionBy(*by)))
-    free = max(0, flow.concurrency - running)
-    place, queued = F.col("_n") - free, F.greatest(F.lit(0), F.col("_all") - free)
-    over = {
-        "suspend": F.lit("wait"),
-        "drop_oldest": F.when(place <= queued - flow.depth, "dropped").otherwise("wait"),
-        "drop_newest": F.when(place > flow.depth, "dropped").otherwise("wait"),
-        "error": F.when(place > flow.depth, "error").otherwise("wait"),
-    }[flow.policy]
-    return d.withColumn("outcome", F.when(place <= 0, "run").otherwise(over)).drop("_n", "_all")
-
-
 def progress(query: StreamingQuery) -> list[dict]:
     """Rows, rows a second and duration of each recent micro-batch."""
     return [{"batch": p["batchId"], "rows": p["numInputRows"], "rows_per_second": p["processedRowsPerSecond"], "milliseconds": p["durationMs"].get("triggerExecution")} for p in query.recentProgress]
-
-
-class Permits:
-    """A limiter on the driver, for calls that it makes itself: asks by identifier, waits, tells its state."""
-
-    def __init__(self, limiter: Limiter, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
-        self.limiter, self.clock, self.sleep = limiter, clock, sleep
-        self.states: dict[str, tuple] = {}
-        self.seen: dict[str, float] = {}
-
-    def allow(self, who: str = "", cost: float = 1.0) -> bool:
-        now = self.clock()
-        state = self.states[who] if who in self.states else self.limiter.start(now)
-        self.states[who], ok = self.limiter.step(state, now, cost)
-        self.seen[who] = now
-        return ok
-
-    def wait(self, who: str = "", cost: float = 1.0, timeout: float = 30.0, poll: float = 0.1) -> None:
-        """Until the request is admitted; RateLimited after the timeout."""
-        end = self.clock() + timeout
-        while not self.allow(who, cost):
-            if self.clock() >= end:
-                raise RateLimited(f"no permit for {who!r} in {timeout} seconds")
-            self.sleep(min(poll, max(0.0, end - self.clock())))
-
-    def reset(self, who: str | None = None) -> None:
-        for held in (self.states, self.seen):
-            held.clear() if who is None else held.pop(who, None)
-
-    def cleanup(self, older_than: float) -> int:
-        """Forgets identifiers that were not seen for so many seconds; their number."""
-        gone = [w for w, t in self.seen.items() if self.clock() - t > older_than]
-        for w in gone:
-            self.reset(w)
-        return len(gone)
-
-
-@contextmanager
-def cancellable(spark: SparkSession, tag: str) -> Iterator[Callable[[], None]]:
-    """Jobs started inside carry the tag; the function that is yielded cancels them from any thread."""
-    spark.addTag(tag)
-    try:
-        yield lambda: spark.interruptTag(tag)
-    finally:
-        spark.removeTag(tag)

@@ -14,6 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -96,6 +97,47 @@ def limit(events: DataFrame, limiter: Limiter, id_col: str, ts_col: str, order_c
     return d.mapInArrow(run, f"{kinds}, allowed boolean")
 
 
+def left(limiter: Limiter, state: tuple, t: float) -> float:
+    """Requests of cost 1 (for a bucket: cost) that a limiter would admit at time t, without making any."""
+    if isinstance(limiter, TokenBucket):
+        return min(limiter.capacity, state[0] + (t - state[1]) * limiter.refill)
+    if isinstance(limiter, FixedWindow):
+        return float(max(0, limiter.most - (state[1] if t - state[0] < limiter.seconds else 0)))
+    return float(max(0, limiter.capacity - max(0, state[0] - int((t - state[1]) / limiter.every))))
+
+
+def status(events: DataFrame, limiter: Limiter, id_col: str, ts_col: str, order_col: str, cost_col: str | None = None, at: str | None = None) -> DataFrame:
+    """id_col, last (time of the last event, in seconds), remaining and limited of each identifier after its events, at the time `at` (a timestamp as text), else at
+    its own last event. Identifiers are walked in sorted partitions, with one state held."""
+    cost = F.col(cost_col).cast("double") if cost_col else F.lit(1.0)
+    now = F.unix_micros(F.lit(at).cast("timestamp")) / 1e6 if at else F.lit(None).cast("double")
+    d = events.select(F.col(id_col), F.col(order_col), (F.unix_micros(F.col(ts_col).cast("timestamp")) / 1e6).alias("_t"), cost.alias("_c"), now.alias("_now")).where(F.col("_t").isNotNull())
+    d = d.repartition(F.col(id_col)).sortWithinPartitions(id_col, "_t", order_col)
+    kind = events.schema[id_col].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, state, last, end = object(), (), 0.0, None
+        done: list[tuple] = []
+        for b in batches:
+            for who, t, c, n in zip(*(b.column(k).to_pylist() for k in (0, 2, 3, 4)), strict=True):
+                if who != held:
+                    if state:
+                        done.append((held, last, left(limiter, state, last if end is None else max(last, end))))
+                    held, state = who, limiter.start(t)
+                state, _ = limiter.step(state, t, c)
+                last, end = t, n
+            yield table(done)
+            done = []
+        if state:
+            yield table([(held, last, left(limiter, state, last if end is None else max(last, end)))])
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        whos, lasts, lefts = zip(*rows, strict=True) if rows else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(whos, to_arrow_type(kind)), pa.array(lasts, pa.float64()), pa.array(lefts, pa.float64()), pa.array([x < 1 for x in lefts], pa.bool_())], [id_col, "last", "remaining", "limited"])
+
+    return d.mapInArrow(run, f"`{id_col}` {kind.simpleString()}, last double, remaining double, limited boolean")
+
+
 def sliding_window(events: DataFrame, most: int, seconds: int, id_col: str, ts_col: str, order_col: str) -> DataFrame:
     """id_col, order_col, allowed: at most `most` requests, denied ones among them, in the `seconds` up to and with each."""
     w = Window.partitionBy(id_col).orderBy(F.unix_micros(F.col(ts_col).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)

@@ -1,5 +1,6 @@
 """Reranking, tokenizers, chunking, store, cache, graph, batching, limiters, streams and sources."""
 
+import dataclasses
 import json
 import math
 import random
@@ -56,36 +57,51 @@ VOCAB = {t: i for i, t in enumerate("[PAD] [CLS] [SEP] [UNK] [MASK] hello world
 SPECIAL = {"pad": "[PAD]", "cls": "[CLS]", "sep": "[SEP]", "unk": "[UNK]", "mask": "[MASK]"}
 
 
-def test_wordpiece_golden():
+def encoded(spark, tokenizer, texts, options=tokenizers.Options()):
+    """ids, tokens and mask of each text."""
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.ids, r.tokens, r["mask"]) for r in tokenizers.encode(df, tokenizer, options).collect()}
+    return [got[i] for i in range(len(texts))]
+
+
+def test_wordpiece_golden(spark):
     t = tokenizers.WordPiece(VOCAB, SPECIAL)
-    assert t.encode("Hello world embedding") == ([1, 5, 6, 7, 8, 2], "[CLS] hello world embed ##ding [SEP]".split(), [1] * 6)
-    assert t.encode("Hello world embedding", tokenizers.Options(5))[0] == [1, 5, 6, 7, 8]
-    assert t.encode("hello", tokenizers.Options(5, padding="max"))[::2] == ([1, 5, 2, 0, 0], [1, 1, 1, 0, 0])
-    assert t.encode("hello xyz " + "h" * 201, tokenizers.Options(special_tokens=False))[0] == [5, 3, 3]
+    whole, nothing = encoded(spark, t, ["Hello world embedding", None])
+    assert whole == ([1, 5, 6, 7, 8, 2], "[CLS] hello world embed ##ding [SEP]".split(), [1] * 6) and nothing == ([1, 2], ["[CLS]", "[SEP]"], [1, 1])
+    assert encoded(spark, t, ["Hello world embedding"], tokenizers.Options(5))[0][0] == [1, 5, 6, 7, 8]
+    assert encoded(spark, t, ["hello"], tokenizers.Options(5, padding="max"))[0] == ([1, 5, 2, 0, 0], ["[CLS]", "hello", "[SEP]", "[PAD]", "[PAD]"], [1, 1, 1, 0, 0])
+    assert encoded(spark, t, ["hello xyz " + "h" * 201], tokenizers.Options(special_tokens=False))[0][0] == [5, 3, 3]
     assert t.decode([1, 5, 7, 8, 3, 2, 0]) == "hello embedding [UNK]"
-    assert t.encode("a b c d e f", tokenizers.Options(4, "middle"))[1] == ["[CLS]", "[UNK]", "[UNK]", "[SEP]"]
-    assert t.encode("a b hello", tokenizers.Options(2, "start"))[1] == ["hello", "[SEP]"]
-    with pytest.raises(errors.InputTooLong):
-        t.encode("hello world", tokenizers.Options(2, "none"))
+    assert encoded(spark, t, ["a b c d e f"], tokenizers.Options(4, "middle"))[0][1] == ["[CLS]", "[UNK]", "[UNK]", "[SEP]"]
+    assert encoded(spark, t, ["a b hello"], tokenizers.Options(2, "start"))[0][1] == ["hello", "[SEP]"]
+    with pytest.raises(Exception, match="longer than 2"):
+        encoded(spark, t, ["hello world"], tokenizers.Options(2, "none"))
     with pytest.raises(errors.InvalidConfiguration):
-        tokenizers.WordPiece(VOCAB, {}).encode("hello", tokenizers.Options(5, padding="max"))
+        encoded(spark, tokenizers.WordPiece(VOCAB, {}), ["hello"], tokenizers.Options(5, padding="max"))
+
+
+def test_frequent_words_and_repeated_ids(spark):
+    """A word that most texts hold, rows of one id, and extra columns of the names used inside."""
+    t = tokenizers.WordPiece(VOCAB, SPECIAL)
+    df = spark.range(3000).select((F.col("id") % 2).alias("doc_id"), F.when(F.col("id") % 3 > 0, "hello world hello").otherwise("").alias("text"), F.lit("x").alias("word"), F.lit(1).alias("row"))
+    got = tokenizers.encode(df, t, tokenizers.Options(special_tokens=False)).groupBy("doc_id", "ids").count().collect()
+    assert sorted((r.doc_id, r.ids, r["count"]) for r in got) == [(0, [], 500), (0, [5, 6, 5], 1000), (1, [], 500), (1, [5, 6, 5], 1000)]
+    assert tokenizers.encode(df.limit(0), t).count() == 0
 
 
-def test_byte_bpe_round_trip_and_rank_order():
+def test_byte_bpe_round_trip_and_rank_order(spark):
     letters = list(tokenizers.byte_letters().values())
     assert len(set(letters)) == 256
     pairs = [("l", "o"), ("lo", "w"), ("e", "r"), ("Ġ", "low"), ("n", "e"), ("a", "a")]
     vocab = {t: i for i, t in enumerate([*letters, *("".join(p) for p in pairs)])}
     t = tokenizers.ByteBPE(vocab, {}, ranks={p: i for i, p in enumerate(pairs)})
     o = tokenizers.Options(0, special_tokens=False)
-    assert t.encode("low lower", o)[1] == ["low", "Ġlow", "er"] and t.encode("aaa", o)[1] == ["aa", "a"]
+    t = dataclasses.replace(t, lowercase=False)
     r = random.Random(1)
-    for s in ["it's 12345 ok", "héllo 👋\n\n x", "", *("".join(r.choices("lower naé \n1'", k=30)) for _ in range(50))]:
-        ids, parts, _ = t.encode(s, o)
-        assert t.decode(ids) == s
-        whole = list(parts)
-        for w in range(len(whole)):  # no merge is left to be made inside a word
-            assert whole[w]
+    texts = ["low lower", "aaa", "it's 12345 ok", "héllo 👋\n\n x", "", *("".join(r.choices("lower naé \n1'", k=30)) for _ in range(50))]
+    got = encoded(spark, t, texts, o)
+    assert got[0][1] == ["low", "Ġlow", "er"] and got[1][1] == ["aa", "a"]
+    assert [t.decode(ids) for ids, _, _ in got] == texts
 
     def slow(parts):
         while True:
@@ -101,10 +117,10 @@ def test_byte_bpe_round_trip_and_rank_order():
 
 def test_other_tokenizers(spark):
     sp = tokenizers.SentencePiece({"▁hello": 0, "▁wor": 1, "ld": 2, "▁": 3, "[UNK]": 4, "x": 5}, {"unk": "[UNK]"})
-    ids, parts, _ = sp.encode("Hello world xq", tokenizers.Options(special_tokens=False))
+    parts = encoded(spark, sp, ["Hello world xq"], tokenizers.Options(special_tokens=False))[0][1]
     assert parts == ["▁hello", "▁wor", "ld", "▁", "x", "[UNK]"] and sp.decode([0, 1, 2]) == "hello world"
     g = tokenizers.GreedyBPE({"ab": 0, "abc": 1, "c": 2, "bc": 3}, {}, merges={("a", "b"): "ab", ("ab", "c"): "abc", ("b", "c"): "bc"})
-    assert g.encode("abc bc", tokenizers.Options(special_tokens=False))[1] == ["abc", "bc"]
+    assert encoded(spark, g, ["abc bc"], tokenizers.Options(special_tokens=False))[0][1] == ["abc", "bc"]
     df = spark.createDataFrame([(1, "Hello (world), it's!"), (2, None)], "doc_id long, text string")
     r = df.select(T.simple_tokens("text", True).alias("s"), T.basic_tokens("text").alias("b"), T.djb2_id(F.lit("hello")).alias("i")).first()
     assert r.s == ["[CLS]", "Hello", "(", "world", ")", ",", "it", "'", "s", "!", "[SEP]"] and r.b == ["hello", "(", "world", ")", ",", "it", "'", "s", "!"]
@@ -125,7 +141,7 @@ def test_tokenizer_files(spark, tmp_path):
     assert files.merges(spark, str(tmp_path / "m.txt")) == {("a", "b"): 0, ("ab", "c"): 1}
     (tmp_path / "t.json").write_text(json.dumps({"model": {"vocab": {"a": 0, "b": 1, "ab": 2}, "merges": ["a b"]}, "added_tokens": [{"id": 3, "content": "</s>"}], "normalizer": {"type": "NFC"}}))
     t = files.tokenizer_file(spark, str(tmp_path / "t.json"))
-    assert t.encode("ab")[1] == ["ab", "</s>"] and t.normalization == "nfc"
+    assert encoded(spark, t, ["ab"])[0][1] == ["ab", "</s>"] and t.normalization == "nfc"
 
 
 # Chunking
@@ -361,21 +377,6 @@ def test_streams(spark, tmp_path):
     assert flow.progress(e)
 
 
-def test_permits(spark):
-    now = [0.0]
-    p = flow.Permits(limiters.TokenBucket(1, 0.5), lambda: now[0], lambda s: now.__setitem__(0, now[0] + s))
-    assert p.allow("a") and not p.allow("a") and p.allow("b")
-    p.wait("a")
-    assert now[0] == pytest.approx(2, abs=0.2)
-    with pytest.raises(errors.RateLimited):
-        flow.Permits(limiters.TokenBucket(0, 0), lambda: now[0], lambda s: now.__setitem__(0, now[0] + s)).wait("x", timeout=1)
-    now[0] += 100
-    assert p.cleanup(50) == 2 and p.states == {}
-    with flow.cancellable(spark, "own-tag") as cancel:
-        assert spark.range(5).count() == 5
-        cancel()
-
-
 def test_documents_and_small_parts(spark):
     d = spark.createDataFrame([(i, f"word{i} " * 30) for i in range(20)], "doc_id long, text string")
     m = models.HashEmbedder(16)
@@ -395,17 +396,6 @@ def test_documents_and_small_parts(spark):
     assert json.loads(measures.report_json(q).first().json) == {"p": "high", "w": True}
 
 
-def test_flow_policies(spark):
-    d = spark.createDataFrame([(i,) for i in range(10)], "n long")
-    for policy, want in (("suspend", 0), ("drop_oldest", 5), ("drop_newest", 5), ("error", 5)):
-        rows = {r.n: r.outcome for r in flow.admitted(d, 2, config.FlowConfig(4, 3, policy), "n").collect()}
-        assert rows[0] == rows[1] == "run" and sum(x in ("dropped", "error") for x in rows.values()) == want
-        if policy == "drop_oldest":
-            assert rows[2] == "dropped" and rows[9] == "wait"
-        if policy == "drop_newest":
-            assert rows[2] == "wait" and rows[9] == "dropped"
-
-
 # Sources
 
 

@@ -535,3 +535,67 @@ def test_a_repeated_batch_changes_nothing(spark, tmp_path):
 @pytest.mark.parametrize("name", ["cache_stream", "cache_size_evict"])
 def test_cache_queries_are_their_sql(spark, name):
     same(spark, name)
+
+
+# Tokenizers
+
+
+@pytest.mark.parametrize("name", ["wordpiece_encode", "sentencepiece_encode"])
+def test_tokenizer_queries_are_their_sql(spark, name):
+    same(spark, name)
+
+
+def test_byte_bpe_is_the_librarys(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from lodestone.operators import tokenizers
+
+    theirs = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    theirs.encode_special_tokens = True
+    docs = spark.read.parquet(f"{D}/documents.parquet").select("doc_id", "text")
+    odd = ["it's we'LL 12345 \n\n  x\t ", "\U0001f600é́ ‍ 漢字かな", "<|endoftext|> def f(x):\n    return x", "", "a" * 3000, "\x00\x1f\x7f\xa0 \x85", "١٢٣ ½ Ⅷ"]
+    docs = docs.unionByName(spark.createDataFrame([(-i - 1, t) for i, t in enumerate(odd)], "doc_id long, text string"))
+    got = {r["doc_id"]: r["ids"] for r in tokenizers.encode(docs, catalogue.public_bpe(spark), tokenizers.Options(0, special_tokens=False)).collect()}
+    rows = docs.collect()
+    for r, e in zip(rows, theirs.encode_batch([r["text"] for r in rows], add_special_tokens=False), strict=True):
+        assert got[r["doc_id"]] == e.ids, r["doc_id"]
+
+
+# Vectors, names and limits
+
+
+def test_buffers_are_extracted_by_shape(spark):
+    from lodestone.functions import vectors as V
+
+    df = spark.createDataFrame([([float(i) for i in range(12)],)], "f array<float>")
+    get = lambda *how: df.select(V.extracted("f", *how)).first()[0]
+    assert get("vector") == list(range(12)) and get("scalar") is None and get("matrix", 3, 4)[2] == [8, 9, 10, 11]
+    assert get("tensor", 2, 3, 2)[1] == [[6, 7], [8, 9], [10, 11]] and get("similarities", 3) is None and get("concatenated", 5, 7)[1] == [5, 6, 7, 8, 9, 10, 11]
+    assert df.select(V.extracted(F.slice("f", 1, 9), "similarities", 3)).first()[0][1] == [3, 4, 5]
+    assert df.select(V.extracted(F.slice("f", 2, 1), "scalar")).first()[0] == 1
+
+
+def test_stable_norms(spark):
+    from lodestone.functions import vectors as V
+
+    df = spark.createDataFrame([([1e200, 1e200],), ([3e-200, 4e-200],), ([0.0, 0.0],), ([],), ([1e20, 1.0, -1e20, 1e-3],)], "v array<double>")
+    assert [r[0] for r in df.select(V.stable_norm("v")).collect()][:4] == [pytest.approx(2**0.5 * 1e200), pytest.approx(5e-200), 0.0, 0.0]
+    assert [r[0] for r in df.select(V.normalize_stable("v", "first")).collect()][:4] == [pytest.approx([0.5**0.5] * 2), pytest.approx([0.6, 0.8]), [1.0, 0.0], []]
+    assert [r[0] for r in df.select(V.normalize_stable("v", "null")).collect()][2] is None and [r[0] for r in df.select(V.normalize_stable("v")).collect()][2] == [0.0, 0.0]
+    assert df.select(V.stable_total("v")).collect()[4][0] == 1.001
+
+
+def test_status_of_every_limiter(spark):
+    from lodestone.streaming import limiters
+
+    df = spark.createDataFrame([("a", 0, 1), ("a", 1, 2), ("b", 0, 3)], "who string, t long, n long").withColumn("ts", F.timestamp_seconds("t"))
+    get = lambda limiter, at=None: {r["who"]: (r["remaining"], r["limited"]) for r in limiters.status(df, limiter, "who", "ts", "n", at=at).collect()}
+    assert get(limiters.TokenBucket(2, 0.0)) == {"a": (0.0, True), "b": (1.0, False)}
+    assert get(limiters.FixedWindow(2, 10.0)) == {"a": (0.0, True), "b": (1.0, False)} and get(limiters.FixedWindow(2, 10.0), "1970-01-01 00:00:10")["a"] == (2.0, False)
+    assert get(limiters.LeakyBucket(2, 5.0)) == {"a": (0.0, True), "b": (1.0, False)} and get(limiters.LeakyBucket(2, 5.0), "1970-01-01 00:00:06")["a"] == (1.0, False)
+
+
+@pytest.mark.parametrize("name", ["normalize_stable", "quantization_ratios", "rate_status", "model_id_parse", "model_family"])
+def test_small_queries_are_their_sql(spark, name):
+    same(spark, name)
