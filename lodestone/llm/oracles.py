@@ -23,19 +23,19 @@ def leaf(n_chars: str) -> str:
 
 MANIFEST = f"""
 WITH RECURSIVE l AS (SELECT doc_id, lang, {leaf("n_chars")} AS leaf, CASE WHEN {crc32("doc_id::VARCHAR")} % 7 = 0 THEN {leaf("(n_chars + 1)")} ELSE {leaf("n_chars")} END AS shown FROM documents),
-n AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS at, row_number() OVER () AS row FROM l),
-t AS (SELECT lang, 0 AS level, list(leaf ORDER BY at) AS nodes FROM n GROUP BY lang
+n AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, row_number() OVER () AS row FROM l),
+t AS (SELECT lang, 0 AS level, list(leaf ORDER BY pos) AS nodes FROM n GROUP BY lang
   UNION ALL SELECT lang, level + 1, list_transform(range(1, len(nodes) + 1, 2), lambda i: sha256(nodes[i] || coalesce(nodes[i + 1], ''))) FROM t WHERE len(nodes) > 1),
-s AS (SELECT lang, max(level) AS h, arg_max(nodes, level)[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS at FROM t GROUP BY lang),
-u AS (SELECT 0 AS level, list(subroot ORDER BY at) AS nodes FROM s
+s AS (SELECT lang, max(level) AS h, arg_max(nodes, level)[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos FROM t GROUP BY lang),
+u AS (SELECT 0 AS level, list(subroot ORDER BY pos) AS nodes FROM s
   UNION ALL SELECT level + 1, list_transform(range(1, len(nodes) + 1, 2), lambda i: sha256(nodes[i] || coalesce(nodes[i + 1], ''))) FROM u WHERE len(nodes) > 1),
 top AS (SELECT max(level) AS h, arg_max(nodes, level)[1] AS root FROM u),
 f AS (SELECT lang, level, unnest(nodes) AS node, generate_subscripts(nodes, 1) - 1 AS idx FROM t),
 g AS (SELECT level, unnest(nodes) AS node, generate_subscripts(nodes, 1) - 1 AS idx FROM u),
-a AS (SELECT n.row, n.lang, n.at, unnest(range(0, s.h)) AS level FROM n JOIN s ON n.lang IS NOT DISTINCT FROM s.lang),
-b AS (SELECT n.row, s.h, s.at, unnest(range(0, top.h)) AS level FROM n JOIN s ON n.lang IS NOT DISTINCT FROM s.lang, top),
-p AS (SELECT a.row, a.level AS k, (a.at >> a.level) & 1 AS lft, f.node FROM a LEFT JOIN f ON a.lang IS NOT DISTINCT FROM f.lang AND a.level = f.level AND f.idx = xor(a.at >> a.level, 1::BIGINT)
-  UNION ALL SELECT b.row, b.h + b.level, (b.at >> b.level) & 1, g.node FROM b LEFT JOIN g ON b.level = g.level AND g.idx = xor(b.at >> b.level, 1::BIGINT)),
+a AS (SELECT n.row, n.lang, n.pos, unnest(range(0, s.h)) AS level FROM n JOIN s ON n.lang IS NOT DISTINCT FROM s.lang),
+b AS (SELECT n.row, s.h, s.pos, unnest(range(0, top.h)) AS level FROM n JOIN s ON n.lang IS NOT DISTINCT FROM s.lang, top),
+p AS (SELECT a.row, a.level AS k, (a.pos >> a.level) & 1 AS lft, f.node FROM a LEFT JOIN f ON a.lang IS NOT DISTINCT FROM f.lang AND a.level = f.level AND f.idx = xor(a.pos >> a.level, 1::BIGINT)
+  UNION ALL SELECT b.row, b.h + b.level, (b.pos >> b.level) & 1, g.node FROM b LEFT JOIN g ON b.level = g.level AND g.idx = xor(b.pos >> b.level, 1::BIGINT)),
 q AS (SELECT row, list({{'lft': lft, 'node': node}} ORDER BY k) AS path FROM p GROUP BY row),
 r AS (SELECT n.doc_id, n.leaf, s.subroot, top.root, coalesce(q.path, []) AS path, n.shown FROM n JOIN s ON n.lang IS NOT DISTINCT FROM s.lang JOIN top ON true LEFT JOIN q USING (row)),
 d AS (SELECT doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(list_filter(list_transform(path, lambda x: x.node), lambda x: x IS NOT NULL), ''), '')) AS proof_sha256,
