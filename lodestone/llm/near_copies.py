@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh, staged
-from .simhash import bits_set, components, covering_keys, links, row_key
+from .simhash import bits_set, components, links, row_key
 
 #: Bits of the filter by which texts to read again are chosen; others that it lets through are joined away.
 FILTER = 1 << 24
@@ -128,7 +128,7 @@ def fingerprint_pairs(classes: DataFrame, likeness: float) -> DataFrame:
     """Pairs (a, b) of classes whose fingerprints the byte index links, one class standing for all of a fingerprint, and of those with the class that stands for them."""
     own = classes.groupBy("fp").agg(F.min("c").alias("m"))
     same = classes.join(own, "fp").where("c <> m").select(F.col("m").alias("a"), F.col("c").alias("b"))
-    met = links(own, covering_keys(8, 2), 2, 6)
+    met = links(own, 2)
     other = met.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     sizes = classes.select("c", "n")
     both = same.unionByName(other).join(sizes.toDF("a", "n"), "a").join(sizes.toDF("b", "m"), "b")
@@ -230,14 +230,17 @@ def unled(lists: DataFrame, classes: DataFrame, likeness: float) -> DataFrame:
 def alike(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, likeness: float, id_col: str, text_col: str) -> DataFrame:
     """The pairs whose sets of shingles have the likeness."""
     ids = staged(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(classes.select("c", "k"), "c").select("c", "k.*"))
-    bits = np.zeros(FILTER, bool)
-    bits[[r[0] for r in ids.select(F.pmod("k2", F.lit(FILTER)).cast("int")).distinct().collect()]] = True  # at most FILTER numbers
-    wanted = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    place = ids.select((F.pmod("k2", F.lit(FILTER)) + 1).alias("at"))
+    built = place.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
+    bits = np.zeros(FILTER // 8, np.uint8)  # 2 MB, of which each bucket has 4096 bytes
+    for r in built:
+        bits[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    wanted = docs.sparkSession.sparkContext.broadcast(bits)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = b.column(2).to_numpy() % FILTER
-            b = b.filter(pa.array((wanted.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)))
+            b = b.filter(pa.array((wanted.value[at >> 3] >> (at & 7) & 1).astype(bool)))
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([shingles(t.as_py(), size).tobytes() for t in b.column(3)], pa.binary())], names=["k0", "k1", "k2", "s"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

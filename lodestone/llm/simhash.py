@@ -1,11 +1,12 @@
 """SimHash near-dedup by an inverted index over the bytes of the fingerprints.
 
-A fingerprint bit is 1 if it is set in over half the hashes of a document's word shingles. Distinct fingerprints are posted under keys of several positional
-bytes each. For each pair that meets in posting lists, the positional bytes that its lists share are tallied; pairs that reach the guaranteed minimum go on to
-verification, by the count of all equal bytes and the number of differing bits. With 8 bytes and at most 2 differing bits at least 6 bytes match, and of
-four blocks of two bytes at least two, so one of the six keys of two blocks finds the pair: no link is lost. Members of lists longer than `posting` are posted
-again under all keys of the 6 bytes that must match; such a list has at most 65,536 members, which are looked up in a table of the other two bytes
-instead of being paired. Links are contracted to components by alternating star steps, each written to the shared folder.
+A fingerprint bit is 1 if it is set in over half the hashes of a document's word shingles. Distinct fingerprints are posted under positional bytes; as lists of a
+single byte would be long, they are split by further bytes from the start: a list holds the fingerprints that agree in a set of positions, of `start` positions at
+first. For each pair that meets in lists of `posting` members at most, the positions of all its lists are united: that is the tally of the bytes it shares. A
+longer list is split by each further position into lists of its own, whatever its length, so the tally stays whole. With 8 bytes and at most 2 differing bits
+at least 6 bytes match; pairs with a lower tally go, and the differing bits of the others are counted. Where 6 bytes agree and a list is still longer, its
+members (65,536 at most) all share what the tally asks for: they are not paired, but looked up by the two bytes that are left, with up to two bits flipped.
+Links are contracted to components by alternating star steps, each written to the shared folder.
 
 Defined results: null and empty texts have fingerprint zero and are linked like others; repeated rows share a component; rows with a null id are linked, and
 a component of such rows alone has a null id; empty tables give no rows; other columns are kept aside.
@@ -14,15 +15,16 @@ a component of such rows alone has a null id; empty tables give no rows; other c
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import joined_by_key, release, staged
 
+
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> bytes:
     """8 bytes, most significant first. Words are runs without ASCII white space, lower-cased in A-Z."""
     import xxhash
@@ -60,48 +62,64 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     return docs.select(*row_key(id_col, text_col), F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "k0 boolean, k1 long, k2 long, doc_id long, fp binary")
 
 
-def covering_keys(bytes_: int = 8, radius: int = 2) -> list[tuple[int, ...]]:
-    """Byte groups one of which must be equal in fingerprints that differ in `radius` bits at most: all but `radius` of radius + 2 blocks."""
-    cut = np.array_split(np.arange(bytes_), radius + 2)
-    return [tuple(int(i) for k in keep for i in cut[k]) for keep in itertools.combinations(range(radius + 2), 2)]
+BYTES = 8
+#: A list's key: the number of its set of positions in these bits and above, below them its bytes, the first position's lowest.
+KEY_BITS = 56
+LINK = "a long, b long"
 
 
-def posted(fps: DataFrame, keys: Sequence[tuple[int, ...]]) -> DataFrame:
-    """(key, at, fp) for each fingerprint and byte group; at: the group's positions as bits."""
-    n, wide = len(keys), max(map(len, keys)) + 2
+def position_sets(size: int) -> list[tuple[int, ...]]:
+    return list(itertools.combinations(range(BYTES), size))
 
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        take = [np.array(k) for k in keys]
-        masks = np.array([sum(1 << i for i in k) for k in keys], np.int64)
-        for b in batches:
-            for at in range(0, b.num_rows, 500):
-                raw = b.column(0).slice(at, 500).to_pylist()
-                m = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)
-                packed = np.zeros((len(m), n, wide), np.uint8)
-                for j, t in enumerate(take):
-                    packed[:, j, 0], packed[:, j, 1] = j >> 8, j & 255
-                    packed[:, j, 2 : 2 + len(t)] = m[:, t]
-                flat = packed.reshape(-1, wide).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([flat[i : i + wide] for i in range(0, len(flat), wide)], pa.binary()), pa.array(np.tile(masks, len(raw))), pa.array([x for x in raw for _ in range(n)], pa.binary())], names=["key", "at", "fp"])
 
-    return fps.select("fp").mapInArrow(post, "key binary, at long, fp binary")
+def keys(fp: Column, size: int) -> Column:
+    """The keys of a fingerprint (a long) under all sets of so many positions, by number of the set."""
+    byte = lambda p: F.shiftright(fp, 8 * (BYTES - 1 - p)).bitwiseAND(255)
+    return F.array(*[sum((F.shiftleft(byte(p), 8 * i) for i, p in enumerate(some)), F.lit(j << KEY_BITS)) for j, some in enumerate(position_sets(size))])
 
 
-def links(fps: DataFrame, keys: Sequence[tuple[int, ...]], radius: int, matches: int, posting: int = 32) -> DataFrame:
-    """Links (a, b) between distinct 8-byte fingerprints (column fp) that differ in at most `radius` (1 or 2) bits: all of them, but of the members of a posting
-    list longer than `posting` as many as connect what all of them connect.
+def by_set(values: list) -> Callable[[Column], Column]:
+    """Looks up a value by the number of a set."""
+    return lambda number: F.get(F.array(*[F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v) for v in values]), number)
+
+
+def met(fps: DataFrame, deepest: int, start: int, posting: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b, mask): pairs of fingerprints (longs, column fp), for each list of `posting` members at most in which they meet, with the list's positions as bits;
+    and (members): the lists of `deepest` positions that are longer."""
+    own, pairs = fps.select("fp", F.posexplode(keys(F.col("fp"), start)).alias("number", "key")).select("fp", "key"), None
+    for size in range(start, deepest + 1):
+        sets = position_sets(size)
+        number = F.shiftright("key", KEY_BITS).cast("int")
+        mask = by_set([sum(1 << p for p in some) for some in sets])(number).cast("long").alias("mask")
+        lists = staged(own.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
+        members = staged(own.join(lists.where("n > 2").select("key", "n"), "key"))
+        short = members.where(F.col("n") <= posting).select("key", "fp")
+        some = lists.where("n = 2").select("a", "b", "key").unionByName(short.withColumnRenamed("fp", "a").join(short.withColumnRenamed("fp", "b"), "key").where("a < b").select("a", "b", "key"))
+        pairs = some.select("a", "b", mask) if pairs is None else pairs.unionByName(some.select("a", "b", mask))
+        long = members.where(F.col("n") > posting)
+        if size == deepest or long.isEmpty():
+            break
+        place = {s: i for i, s in enumerate(position_sets(size + 1))}
+        wider = by_set([[place[tuple(sorted((*some, p)))] for p in range(BYTES) if p not in some] for some in sets])
+        split = long.select("fp", F.explode(wider(number)).alias("number")).distinct()
+        own = staged(split.select("fp", F.get(keys(F.col("fp"), size + 1), F.col("number")).alias("key")))
+    return pairs, long.groupBy("key").agg(F.collect_set("fp").alias("members")).select("members")
+
+
+def tallied(pairs: DataFrame, matches: int) -> DataFrame:
+    """(a, b, tally) of the pairs that share at least so many positional bytes, counted over all lists in which they meet."""
+    return pairs.groupBy("a", "b").agg(F.bit_count(F.bit_or("mask")).alias("tally")).where(F.col("tally") >= matches)
 
-    keys: positional bytes under which a fingerprint is posted, from covering_keys(); matches: shared positional bytes that a pair needs.
-    """
-    p = posted(fps, keys)
-    lists = p.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    shared = staged(p.join(lists, "key"))
-    short = shared.where(F.col("size") <= posting)
-    met = short.select("key", "at", F.col("fp").alias("a")).join(short.select("key", F.col("fp").alias("b")), "key").where("a < b")
-    tallied = met.groupBy("a", "b").agg(F.bit_count(F.bit_or("at")).alias("tally")).where(F.col("tally") >= min(map(len, keys)))
-    long = shared.where(F.col("size") > posting).select("fp").distinct()
-    deep = posted(long, list(itertools.combinations(range(8), 8 - radius))).groupBy("key").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
-    return verified(tallied.select("a", "b"), radius, matches).unionByName(deep.select("fps").mapInArrow(looked_up(radius), "a binary, b binary").distinct())
+
+def links(fps: DataFrame, radius: int, start: int = 3, posting: int = 16) -> DataFrame:
+    """Links (a, b) between distinct 8-byte fingerprints (column fp, binary) that differ in at most `radius` (1 or 2) bits: all of them, but of the members of a
+    list that agree in all but `radius` bytes and are more than `posting` as many as connect what all of them connect."""
+    numbers = staged(fps.select(F.conv(F.hex("fp"), 16, -10).cast("long").alias("fp")))
+    pairs, long = met(numbers, BYTES - radius, start, posting)
+    near = tallied(pairs, BYTES - radius).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).select("a", "b")
+    found = near.unionByName(long.mapInArrow(looked_up(radius), LINK).distinct())
+    binary = lambda c: F.unhex(F.lpad(F.hex(c), 2 * BYTES, "0")).alias(c)
+    return found.select(binary("a"), binary("b"))
 
 
 def looked_up(radius: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -113,7 +131,7 @@ def looked_up(radius: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
         for b in batches:
             for members in b.column(0).to_pylist():
                 members.sort()
-                m = np.frombuffer(b"".join(members), np.uint8).reshape(-1, 8)
+                m = np.array(members, np.int64).astype(">i8").view(np.uint8).reshape(-1, BYTES)
                 free = np.flatnonzero((m != m[0]).any(0))  # at most radius bytes; those beside them are alike
                 value = np.zeros(len(m), np.int64)
                 for i in free:
@@ -134,7 +152,7 @@ def looked_up(radius: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
                     least = least[least]
                 at = np.flatnonzero(least != np.arange(len(m)))
                 if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array([members[i] for i in least[at].tolist()], pa.binary()), pa.array([members[i] for i in at.tolist()], pa.binary())], names=["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array([members[i] for i in some.tolist()], pa.int64()) for some in (least[at], at)], names=["a", "b"])
 
     return run
 
@@ -143,22 +161,6 @@ def rooted(classes: DataFrame, reach: DataFrame) -> DataFrame:
     return classes.join(reach, classes.fp == reach.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
-def verified(pairs: DataFrame, radius: int, matches: int) -> DataFrame:
-    """Pairs with enough shared positional bytes and few enough differing bits."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(b.num_rows, -1) for i in (0, 1))
-            equal = (x == y).sum(1)
-            ok = equal >= matches
-            ok[ok] = np.bitwise_count(x[ok] ^ y[ok]).sum(1) <= radius
-            yield b.filter(pa.array(ok))
-
-    return pairs.mapInArrow(run, "a binary, b binary")
-
-
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, root (the least node that it reaches) for the nodes of the edges (a, b), by alternating large-star and small-star steps. Nodes with very many edges
     meet these by broadcast."""
@@ -183,14 +185,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return e.toDF("node", "root").union(e.select("v", "v").distinct())
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, matches: int | None = None, keys: Sequence[tuple[int, ...]] | None = None, posting: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, posting: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (hex) and component_id, the least doc_id that links reach.
 
-    shingle: words of a shingle; radius: bits that linked fingerprints may differ in, 1 or 2; no link is lost.
+    shingle: words of a shingle; radius: bits that linked fingerprints may differ in, 1 or 2; no link is lost. posting: members up to which a list is paired before it
+    is split by further bytes.
     """
     f = staged(fingerprints(docs, shingle, id_col, text_col))
     classes = f.select("fp").distinct()
-    roots = rooted(classes, components(links(classes, keys or covering_keys(8, radius), radius, 8 - radius if matches is None else matches, posting)))
+    roots = rooted(classes, components(links(classes, radius, posting=posting)))
     firsts = f.groupBy("fp").agg(F.min("doc_id").alias("first")).join(roots, "fp")
     least = firsts.groupBy("root").agg(F.min("first").alias("component_id"))
     named = firsts.join(least, "root").select("fp", "component_id")

@@ -254,7 +254,7 @@ def brute_components(fps, radius=2):
     return root
 
 
-@pytest.mark.parametrize("posting", [32, 1])
+@pytest.mark.parametrize("posting", [16, 2, 1])
 def test_simhash_components(spark, posting):
     import random
 
@@ -269,24 +269,65 @@ def test_simhash_components(spark, posting):
     assert {x.doc_id: x.component_id for x in rows} == brute_components(fps)
 
 
-def test_simhash_links_in_long_postings(spark):
-    """Chains of fingerprints two bits apart within one posting list are linked, whatever its length."""
-    r = np.random.default_rng(5)
-    fps = {0x0123456789ABCDEF}
-    while len(fps) < 300:
-        f = sorted(fps)[r.integers(len(fps))]
-        for _ in range(r.integers(1, 4)):
-            f ^= 1 << int(r.integers(64))
-        fps.add(f)
-    fps = sorted(fps)
-    got = simhash.components(simhash.links(spark.createDataFrame([(bytearray(f.to_bytes(8, "big")),) for f in fps], "fp binary"), simhash.covering_keys(), 2, 6, posting=4)).collect()
-    root = {int.from_bytes(x.node, "big"): bytes(x.root) for x in got if len(x.node) == 8}
-    want = brute_components({f: f for f in fps})
-    classes, brute = {}, {}
+def as_binary(spark, fps):
+    return spark.createDataFrame([(bytearray(f.to_bytes(8, "big")),) for f in fps], "fp binary")
+
+
+def linked_classes(fps, pairs):
+    root = {f: f for f in fps}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        root[find(a)] = find(b)
+    classes = {}
     for f in fps:
-        classes.setdefault(root.get(f, f), set()).add(f)
-        brute.setdefault(want[f], set()).add(f)
-    assert sorted(map(sorted, classes.values())) == sorted(map(sorted, brute.values()))
+        classes.setdefault(find(f), set()).add(f)
+    return sorted(map(sorted, classes.values()))
+
+
+@pytest.mark.parametrize(("size", "posting"), [(2, 1), (40, 16), (300, 4), (300, 1000), (10_000, 16)])
+def test_simhash_links_at_every_length_of_lists(spark, size, posting):
+    """Chains of fingerprints a few bits apart, as few or many as share their bytes, whether lists are paired, split or looked up."""
+    r = np.random.default_rng(size)
+    fps = [0x0123456789ABCDEF]
+    seen = set(fps)
+    while len(fps) < size:
+        f = fps[r.integers(len(fps))]
+        for _ in range(r.integers(1, 4)):
+            f ^= 1 << int(r.integers(64 if size < 1000 else 24))
+        if f not in seen:
+            seen.add(f)
+            fps.append(f)
+    flips = [1 << i for i in range(64)] + [1 << i | 1 << j for i in range(64) for j in range(i)]
+    want = linked_classes(fps, [(f, f ^ x) for f in fps for x in flips if f ^ x in seen])
+    got = simhash.links(as_binary(spark, fps), 2, posting=posting).collect()
+    pairs = [(int.from_bytes(x.a, "big"), int.from_bytes(x.b, "big")) for x in got]
+    assert size > 40 or all((a ^ b).bit_count() <= 2 for a, b in pairs)  # members that are looked up are linked to the least that they reach
+    assert linked_classes(fps, pairs) == want
+
+
+def test_simhash_tally_alone_rejects(spark):
+    """Pairs meet in lists with the bytes that they share, however lists are split; the tally is their number, and those with fewer than six are rejected by it."""
+    r = np.random.default_rng(9)
+    base = bytes(r.integers(0, 256, 8).tolist())
+    fps = [base] + [bytes(x if i not in away else (x + 1 + k) % 256 for i, x in enumerate(base)) for k in range(6) for away in ([k], [k, 7], [0, 3, k + 1][: k + 1], [0, 2, 4, 6], [1, 2, 3, 5, 7])]
+    fps = sorted(set(fps))
+    numbers = spark.createDataFrame([(int.from_bytes(f, "big", signed=True),) for f in fps], "fp long")
+    shared = {(a, b): sum(x == y for x, y in zip(a, b, strict=True)) for i, a in enumerate(fps) for b in fps[i + 1 :]}
+    name = lambda x: int(x).to_bytes(8, "big", signed=True)
+    for posting in (1000, 3):
+        pairs, long = simhash.met(numbers, 6, 3, posting)
+        tallies = {tuple(sorted((name(x.a), name(x.b)))): x.tally for x in simhash.tallied(pairs, 0).collect()}
+        kept = {tuple(sorted((name(x.a), name(x.b)))) for x in simhash.tallied(pairs, 6).collect()}
+        together = {tuple(sorted((name(a), name(b)))) for m in long.collect() for a in m.members for b in m.members if a != b}
+        assert any(3 <= t < 6 for t in tallies.values()) and all(t <= shared[p] for p, t in tallies.items())
+        assert kept == {p for p, t in tallies.items() if t >= 6} and kept | together >= {p for p, n in shared.items() if n >= 6}
+        assert posting == 3 or tallies == {p: n for p, n in shared.items() if n >= 3}
 
 
 def test_simhash_odd_rows(odd, empty):
