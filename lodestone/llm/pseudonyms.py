@@ -1,9 +1,11 @@
 """Format-preserving pseudonyms for personal data by a keyed Feistel permutation.
 
 Validated numbers and dates are replaced by others of the same format: payment cards (issuer prefix and Luhn digit stay valid), phone numbers, IPv4 addresses,
-social security numbers, calendar dates, and the letters and digits of mail addresses. Each format is a range 0..n-1 which the key permutes, so equal
-values get equal pseudonyms in all documents, and different values different ones. Numbers that fail validation stay as they are. A date with slashes is read
-month first, or day first if its first number is over 12; mail addresses have at most 64 characters before the sign, as their standard says.
+social security numbers, bank account numbers (IBAN; country and check digits stay valid), calendar dates, with English names of months too, and the letters and
+digits of mail addresses. Each format is a range 0..n-1 which the key permutes, so equal values get equal pseudonyms in all documents, and different values
+different ones. Numbers that fail validation stay as they are. Dates of all forms share one calendar, so a day is the same pseudonym however it is written; as a date
+with slashes is read month first, or day first if its first number is over 12, days up to the 12th and later ones are permuted among themselves. Mail addresses
+have at most 64 characters before the sign, as their standard says.
 
 Defined results: null text stays null with no spans; empty texts stay empty; repeated rows get equal results; whole texts are read, in time proportional to
 their length; an empty table gives no rows; other columns are kept, but for one named pii_spans, which the result replaces.
@@ -11,6 +13,7 @@ their length; an empty table gives no rows; other columns are kept, but for one
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import functools
 import hashlib
@@ -58,11 +61,17 @@ def luhn_digit(digits: str) -> str:
 
 #: Issuer prefixes and the lengths of their card numbers.
 CARD = re.compile(r"(?:(4)\d{12}(?:\d{3}){0,2}|(5[1-5])\d{14}|(2(?:22[1-9]|2[3-9]\d|[3-6]\d\d|7[01]\d|720))\d{12}|(3[47])\d{13}|(6011|65\d\d)\d{12})")
+#: The months' names and their usual short forms.
+MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+SHORT = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
+MONTH = "|".join((*MONTHS, *SHORT))
 #: What is looked at, by kind; each is validated before it is replaced.
 FOUND = re.compile(
     r"(?:(?<![A-Za-z0-9._%+-])[._%+-]*+(?P<mail>[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,10}\.[A-Za-z]{2,63}))"
     r"|(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))"
     r"|(?P<date>(?<![\w-])(?:\d{4}-\d\d-\d\d|\d{4}/\d\d/\d\d|\d\d\.\d\d\.\d{4}|\d\d/\d\d/\d{4})(?![\w-]))"
+    rf"|(?P<named>(?<!\w)(?:\d{{1,2}} (?:{MONTH}),? \d{{4}}|(?:{MONTH}) \d{{1,2}},? \d{{4}})(?!\w))"
+    r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?!\w))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d\d-\d{4}(?![\w-]))"
     r"|(?P<phone>(?<!\w)\+\d{1,3}[ .-]?(?:\(\d{2,4}\)(?:[ .-]?\d{3,4}){2}|(?:[ .-]?(?!\d{1,3}(?:\.\d{1,3}){3})\d{2,4}){2,4})(?!\w)|(?<!\w)\(\d{3}\) ?\d{3}-\d{4}(?!\w)|(?<![\w-])\d{3}[-.]\d{3}[-.]\d{4}(?![\w-]))"
     r"|(?P<card>(?<![\w-])(?:\d{13,19}|\d{4}(?P<s>[ -])\d{4}(?P=s)\d{4}(?P=s)\d{1,7}|\d{4}(?P<r>[ -])\d{6}(?P=r)\d{5})(?![\w-]))",
@@ -114,18 +123,57 @@ def ssn(s: str, permute: Permutation) -> str | None:
     return f"{areas[n // 9999 // 99]:03d}-{n // 9999 % 99 + 1:02d}-{n % 9999 + 1:04d}"
 
 
+@functools.cache
+def calendar(early: bool) -> list[int]:
+    """The days (ordinals) up to the 12th of their months, or the later ones."""
+    return [d for d in range(FIRST_DAY, LAST_DAY + 1) if (datetime.date.fromordinal(d).day <= 12) == early]
+
+
+def other_day(day: datetime.date, permute: Permutation) -> datetime.date | None:
+    if not FIRST_DAY <= day.toordinal() <= LAST_DAY:
+        return None
+    early = day.day <= 12
+    days = calendar(early)
+    return datetime.date.fromordinal(days[permute(f"date{early:d}", bisect.bisect_left(days, day.toordinal()), len(days))])
+
+
 def date(s: str, permute: Permutation) -> str | None:
     form = DATE_FORM["-" if "-" in s else "." if "." in s else "/" if s[4] == "/" else "//" if int(s[:2]) <= 12 else "d"]
     try:
-        day = datetime.datetime.strptime(s, form).date().toordinal()
+        new = other_day(datetime.datetime.strptime(s, form).date(), permute)
+    except ValueError:
+        return None
+    return new and form.replace("%Y", f"{new.year:04d}").replace("%m", f"{new.month:02d}").replace("%d", f"{new.day:02d}")
+
+
+def named(s: str, permute: Permutation) -> str | None:
+    """A date with a month's name, long or short as it was; the day has as many digits as it needs."""
+    name, (first, second) = re.search(MONTH, s)[0], re.findall(r"\d+", s)
+    names = MONTHS if name in MONTHS and name != "May" else SHORT if len(name) == 3 and name != "May" else MONTHS
+    try:
+        new = other_day(datetime.date(int(second), names.index(name) + 1, int(first)), permute)
     except ValueError:
         return None
-    if not FIRST_DAY <= day <= LAST_DAY:
+    return new and re.sub(rf"{MONTH}|\d+", lambda m: names[new.month - 1] if m[0] == name else f"{new.year:04d}" if m.start() and len(m[0]) == 4 else str(new.day), s)
+
+
+def iban(s: str, permute: Permutation) -> str | None:
+    """Validated by its check digits; letters and digits are permuted within their classes, and the check digits follow."""
+    plain = s.replace(" ", "")
+    number = lambda t: int("".join(str(int(c, 36)) for c in t))
+    if not 15 <= len(plain) <= 34 or number(plain[4:] + plain[:4]) % 97 != 1:
         return None
-    new = datetime.date.fromordinal(FIRST_DAY + permute("date", day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1))
-    while form == DATE_FORM["d"] and new.day <= 12:  # walked on to a day that is read day first again
-        new = datetime.date.fromordinal(FIRST_DAY + permute("date", new.toordinal() - FIRST_DAY, LAST_DAY - FIRST_DAY + 1))
-    return form.replace("%Y", f"{new.year:04d}").replace("%m", f"{new.month:02d}").replace("%d", f"{new.day:02d}")
+    own, value, n = plain[4:], 0, 1
+    for c in own:
+        base = 10 if c.isdigit() else 26
+        value, n = value * base + (int(c) if c.isdigit() else ord(c) - 65), n * base
+    new, out = permute(f"iban{plain[:2]}{re.sub('[A-Z]', 'A', re.sub('[0-9]', '0', own))}", value, n), []
+    for c in reversed(own):
+        new, k = divmod(new, 10 if c.isdigit() else 26)
+        out.append(str(k) if c.isdigit() else chr(65 + k))
+    own = "".join(reversed(out))
+    made = iter(f"{plain[:2]}{98 - number(own + plain[:2] + '00') % 97:02d}{own}")
+    return "".join(c if c == " " else next(made) for c in s)
 
 
 def mail(s: str, permute: Permutation) -> str | None:
@@ -146,7 +194,7 @@ def mail(s: str, permute: Permutation) -> str | None:
     return "".join(reversed(out)) + at + domain
 
 
-KINDS: dict[str, Callable[[str, Permutation], str | None]] = {"mail": mail, "ip": ip, "date": date, "ssn": ssn, "phone": phone, "card": card}
+KINDS: dict[str, Callable[[str, Permutation], str | None]] = {"mail": mail, "ip": ip, "date": date, "named": named, "iban": iban, "ssn": ssn, "phone": phone, "card": card}
 SPAN = "array<struct<kind: string, start: long, end: long, pseudonym: string>>"
 
 

@@ -327,3 +327,37 @@ def test_queries_are_their_sql(spark, name):
     assert sorted(df.columns) == sorted(names)
     got = [tuple(r[n] for n in names) for r in df.collect()]
     assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+# ---- pseudonyms
+
+
+def test_a_day_is_one_pseudonym_in_every_form():
+    import datetime
+
+    from lodestone.llm import pseudonyms
+
+    p, seen = pseudonyms.Permutation(b"key"), set()
+    for k in range(0, 73000, 61):
+        day = datetime.date(1900, 1, 1) + datetime.timedelta(k)
+        forms = [day.strftime("%Y-%m-%d"), day.strftime("%Y/%m/%d"), day.strftime("%d.%m.%Y"), day.strftime("%m/%d/%Y"), f"{day.day} {day:%B} {day.year}", f"{day:%b} {day.day}, {day.year}"]
+        forms += [day.strftime("%d/%m/%Y")] if day.day > 12 else []
+        new = [pseudonyms.pseudonymised(f"on {f}.", p)[0][3:-1] for f in forms]
+        image = datetime.date.fromisoformat(new[0])
+        want = [image.strftime("%Y-%m-%d"), image.strftime("%Y/%m/%d"), image.strftime("%d.%m.%Y"), image.strftime("%m/%d/%Y"), f"{image.day} {image:%B} {image.year}", f"{image:%b} {image.day}, {image.year}", image.strftime("%d/%m/%Y")]
+        want[5] = f"{image:%B} {image.day}, {image.year}" if day.month == 5 else want[5]  # May is a long name
+        assert new == want[: len(new)] and (image.day > 12) == (day.day > 12)
+        seen.add(image)
+    assert len(seen) == len(range(0, 73000, 61))
+
+
+def test_bank_accounts_stay_valid_and_linked():
+    from lodestone.llm import pseudonyms
+
+    p = pseudonyms.Permutation(b"key")
+    valid = lambda t: int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97 == 1
+    plain, spaced = "GB82WEST12345698765432", "GB82 WEST 1234 5698 7654 32"
+    new, spans = pseudonyms.pseudonymised(f"pay {plain} or {spaced}; not GB83WEST12345698765432", p)
+    first, second = spans[0]["pseudonym"], spans[1]["pseudonym"]
+    assert [x["kind"] for x in spans] == ["iban", "iban"] and first == second.replace(" ", "") != plain and valid(first) and first[:2] == "GB"
+    assert [len(x) for x in second.split(" ")] == [4, 4, 4, 4, 4, 2] and new.endswith("GB83WEST12345698765432") and first[4:8].isalpha() and first[8:].isdigit()
