@@ -1,8 +1,8 @@
 """WARC archives written and read by Spark, with segmented records reassembled.
 
 The writer makes a record per page: an HTTP response in chunked transfer framing, or a revisit where a page of smaller id has the same payload.
-Blocks longer than `segment` bytes go on in continuation records that name their origin and number. The reader parses archives by their content
-lengths, once, groups segments by origin, orders them by number, verifies the total length and takes the chunked framing off. Segments are dealt and
+Blocks longer than `segment` bytes go on in continuation records that name their origin and number. The reader takes an archive line by line and parses it by its
+records' content lengths, once, groups segments by origin, orders them by number, verifies the total length and takes the chunked framing off. Segments are dealt and
 sorted by origin and walked in batches, so a task holds one record's segments at a time.
 
 Defined results: null html counts as an empty payload, null url as an empty one; a null page_id is written as `null` and read back as null; rows
@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -77,6 +76,8 @@ def records_of(page_id: int | None, ordinal: str, url: str, html: str, refers_to
     return out
 
 
+#: About as many bytes as a record's own lines have.
+HEAD = 512
 KEY = ["_null", "_id", "_sha"]
 
 
@@ -95,11 +96,11 @@ def first_of_payload(pages: DataFrame, least: int) -> tuple[DataFrame, int]:
     return staged(joined.select(*KEY, F.when((F.col("_n") >= least) & (F.col("_null") | (F.col("_id") != F.col("first"))), F.col("first")).alias("refers_to"), "_rows")), total
 
 
-def write(pages: DataFrame, path: str, dedupe_from: int = 0, segment: int = 131072, per_file: int = 1024) -> None:
+def write(pages: DataFrame, path: str, dedupe_from: int = 0, segment: int = 131072, per_archive: int = 1 << 30) -> None:
     """Archives of the pages (page_id, url, html) below path.
 
-    dedupe_from: payloads of that many bytes at least are revisits after their first page; segment: most bytes of a record's block; per_file: most
-    records in an archive, which bounds its size by segment * per_file.
+    dedupe_from: payloads of that many bytes at least are revisits after their first page; segment: most bytes of a record's block; per_archive: most
+    bytes of an archive before compression, by so many records of at most a segment.
     """
     firsts, total = first_of_payload(pages, dedupe_from)
     p = joined_by_key(keyed(pages), firsts, KEY, "_rows", total)
@@ -117,33 +118,29 @@ def write(pages: DataFrame, path: str, dedupe_from: int = 0, segment: int = 1310
                     out, held = [], 0
 
     lines = p.select(F.when(~F.col("_null"), F.col("_id")).alias("page_id"), "url", "html", "_sha", "refers_to", F.monotonically_increasing_id()).mapInArrow(run, "value binary")
-    lines.select(F.col("value").cast("string")).write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
-
-
-def parsed(raw: bytes) -> Iterator[tuple]:
-    """Records of an archive, gzip or plain."""
-    if raw[:2] == b"\x1f\x8b":
-        whole = bytearray()
-        while raw[:2] == b"\x1f\x8b":
-            z = zlib.decompressobj(31)
-            whole += z.decompress(raw)
-            raw = z.unused_data
-        raw = bytes(whole)
-    at = 0
+    lines.select(F.col("value").cast("string")).write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", max(1, per_archive // (segment + HEAD))).text(path)
+
+
+def parsed(lines: Iterator[bytes]) -> Iterator[tuple]:
+    """Records of archives, one after the other, from their bytes cut at each CR LF; one record is held at a time."""
     whole_number = lambda v: None if v in (None, "null") else int(v)
-    while at < len(raw):
-        end = raw.index(b"\r\n\r\n", at)
-        version, *lines = raw[at:end].decode("utf-8").split("\r\n")
-        if not version.startswith("WARC/"):
+    for version in lines:
+        if not version.startswith(b"WARC/"):
             raise ValueError(f"no record where one should begin: {version[:40]!r}")
-        h = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines)
-        n, begin = int(h["Content-Length"]), end + 4
-        block = raw[begin : begin + n]
-        if len(block) != n or raw[begin + n : begin + n + 4] != b"\r\n\r\n":
+        h: dict[str, str] = {}
+        for line in lines:
+            if not line:
+                break
+            name, _, value = line.decode("utf-8").partition(":")
+            h[name] = value.removeprefix(" ")
+        n, held, size = int(h["Content-Length"]), [], 0
+        while size < n + 2 and (line := next(lines, None)) is not None:
+            held += [line, b"\r\n"]
+            size += len(line) + 2
+        if size != n + 2 or next(lines, None) != b"":
             raise ValueError(f"record {h.get('WARC-Record-ID')} is cut short")
         copy = h.get("X-Copy", "")
-        yield h.get("WARC-Record-ID"), f"{h.get('WARC-Segment-Origin-ID', h.get('WARC-Record-ID'))} {copy}", whole_number(h.get("WARC-Segment-Number")), whole_number(h.get("WARC-Segment-Total-Length")), h["WARC-Type"], whole_number(h.get("X-Page-Id")), whole_number(h.get("X-Refers-To-Page-Id")), h.get("WARC-Payload-Digest", "").removeprefix("sha1:"), whole_number(h.get("X-Payload-Length")), block
-        at = begin + n + 4
+        yield h.get("WARC-Record-ID"), f"{h.get('WARC-Segment-Origin-ID', h.get('WARC-Record-ID'))} {copy}", whole_number(h.get("WARC-Segment-Number")), whole_number(h.get("WARC-Segment-Total-Length")), h["WARC-Type"], whole_number(h.get("X-Page-Id")), whole_number(h.get("X-Refers-To-Page-Id")), h.get("WARC-Payload-Digest", "").removeprefix("sha1:"), whole_number(h.get("X-Payload-Length")), b"".join(held)[:n]
 
 
 PAGE = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -171,25 +168,34 @@ PART = "origin string, segment int, total long, " + PAGE
 PART_KINDS = [pa.string(), pa.int32(), pa.int64(), *PAGE_KINDS]
 
 
-def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """The pages in the archives below path: page_id, payload_bytes, payload_digest, record_type, refers_to and, if asked for, payload."""
-    files = spark.read.format("binaryFile").load(path).select("content")
+def lines_of(archive: bytes) -> Iterator[bytes]:
+    return iter(archive.removesuffix(b"\r\n").split(b"\r\n") if archive else [])
+
+
+def read(spark: SparkSession, path: str, payload: bool = True, compressed: bool = True) -> DataFrame:
+    """The pages in the archives below path: page_id, payload_bytes, payload_digest, record_type, refers_to and, if asked for, payload.
+
+    compressed: whether they are, as what write() makes; such archives are of any size, others are read whole by one task each and have less than 2 GB.
+    """
+    if compressed:  # such an archive is one split, and its lines come in order
+        lines = spark.read.option("lineSep", "\r\n").text(path).select(F.col("value").cast("binary"))
+    else:
+        lines = spark.read.format("binaryFile").load(path).select("content")
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for raw in b.column(0):
-                rows: list[tuple] = []
-                held = 0
-                for rec in parsed(raw.as_buffer().to_pybytes()):
-                    if rec[2] is None:
-                        rows.append((rec[0], 0, None, *page_of(rec, payload)))
-                    else:
-                        rows.append((rec[1], rec[2], rec[3], rec[5], rec[8], rec[7], rec[4], rec[6], rec[9]))
-                        held += len(rec[9])
-                    if len(rows) >= 500 or held > 16 << 20:
-                        yield batch_of(rows, PART, PART_KINDS)
-                        rows, held = [], 0
+        rows: list[tuple] = []
+        held = 0
+        cells = (x for b in batches for x in b.column(0).to_pylist())
+        for rec in parsed(cells if compressed else (line for x in cells for line in lines_of(x))):
+            if rec[2] is None:
+                rows.append((rec[0], 0, None, *page_of(rec, payload)))
+            else:
+                rows.append((rec[1], rec[2], rec[3], rec[5], rec[8], rec[7], rec[4], rec[6], rec[9]))
+            held += len(rec[9])
+            if len(rows) >= 500 or held > 16 << 20:
                 yield batch_of(rows, PART, PART_KINDS)
+                rows, held = [], 0
+        yield batch_of(rows, PART, PART_KINDS)
 
     def assembled(origin: str, recs: list[tuple]) -> tuple:
         block = b"".join(r[8] for r in recs)
@@ -215,5 +221,5 @@ def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
         if recs:
             yield batch_of([assembled(recs[0][0], recs)], PAGE, PAGE_KINDS)
 
-    rows = files.mapInArrow(parts, PART).repartition("origin").sortWithinPartitions("origin", "segment").mapInArrow(pages, PAGE)
+    rows = lines.mapInArrow(parts, PART).repartition("origin").sortWithinPartitions("origin", "segment").mapInArrow(pages, PAGE)
     return rows if payload else rows.drop("payload")

@@ -450,9 +450,10 @@ def test_warc_framing_and_damage():
     with pytest.raises(ValueError):
         warc.unchunked(b"5\r\nab\r\n0\r\n\r\n")
     rec = warc.records_of(1, "x", "u", "hello", None, 1000)[0] + b"\r\n"
-    assert len(list(warc.parsed(rec * 3))) == 3
-    with pytest.raises(ValueError):
-        list(warc.parsed(rec[:-3]))
+    assert len(list(warc.parsed(warc.lines_of(rec * 3)))) == 3
+    for damaged in (rec[:-3], rec[:-4] + b"\r\n", b"x" + rec, rec[:-8] + rec[-4:]):
+        with pytest.raises(ValueError):
+            list(warc.parsed(warc.lines_of(damaged)))
 
 
 def test_warc_table(spark):
