@@ -99,9 +99,13 @@ def knn(store: DataFrame, queries: DataFrame, k: int = 10, metric: Metric | str
     return ranked(blocked(store, queries, -(-n * dim * 8 // BROADCAST_BYTES), metric, k, skip_self), k, metric)
 
 
+#: Vectors of a block that a task holds, about.
+BLOCK_ROWS = 65_536
+
+
 def blocked(store: DataFrame, queries: DataFrame, groups: int, metric: Metric, k: int, skip_self: bool, blocks: int | None = None) -> DataFrame:
-    """Hits by query groups meeting blocks of the store in a co-grouped shuffle."""
-    blocks = blocks or int(store.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Hits by query groups meeting blocks of about BLOCK_ROWS vectors of the store in a co-grouped shuffle."""
+    blocks = blocks or max(1, -(-store.count() // BLOCK_ROWS))
     q = queries.withColumn("qg", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")).withColumn("sb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     s = store.withColumn("sb", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("qg", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
 

@@ -629,36 +629,45 @@ def model_family(spark, d):
     return model_ids(spark, d).select("id", files.model_family(F.regexp_extract("id", r"^[^/]*/(.*)@", 1)).alias("family"))
 
 
-# Cache: English documents are cached with the vector of their id; the clock of an entry is the event of its id.
+# Cache: all documents are cached, with the vector of their id or else a constant one; the clock of an entry is the event of its id, or else the first of the year.
 
 
 def cached(spark: SparkSession, d: str) -> DataFrame:
     e = vectors(spark, d).select(F.col("vec_id").alias("doc_id"), "embedding")
     ts = table(spark, d, "events").select(F.col("event_id").alias("doc_id"), F.col("ts").alias("accessed"))
-    rows = docs(spark, d).where("lang = 'en'").join(e, "doc_id").join(ts, "doc_id")
-    c = cache.entries(rows.withColumn("vector", F.col("embedding")), F.col("accessed"), "m")
+    rows = docs(spark, d).join(e, "doc_id", "left").join(ts, "doc_id", "left")
+    vector = F.coalesce("embedding", F.array_repeat(F.lit(0.125).cast("float"), 64))
+    c = cache.entries(rows.withColumn("vector", vector), F.coalesce("accessed", F.to_timestamp(F.lit("2024-01-01")).cast(ts.schema["accessed"].dataType)), "m")
     return c.groupBy(*cache.KEY).agg(F.max(F.struct("accessed_at", *[x for x in c.columns if x not in ("accessed_at", "text_hash", "model_id")])).alias("r")).select(*cache.KEY, "r.*")
 
 
-_CACHE = f"cache AS (SELECT {_HASH} AS text_hash, max(ts) AS accessed_at, arg_max(strlen(text) + 4 * len(embedding) + 200, (ts, text)) AS size FROM documents JOIN embeddings ON vec_id = doc_id JOIN events ON event_id = doc_id WHERE lang = 'en' GROUP BY text_hash)"
+def asked_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Requests: the documents' texts, and those of the conversations, with ids below 0."""
+    talk = table(spark, d, "conversations").select((-1 - F.col("conv_id") * 1000 - F.col("turn")).alias("id"), "text")
+    return docs(spark, d).select(F.col("doc_id").alias("id"), "text").unionByName(talk)
 
 
-@query(f"WITH {_CACHE} SELECT doc_id, (c.text_hash IS NOT NULL) AS hit FROM (SELECT doc_id, {_HASH} AS h FROM documents) d LEFT JOIN cache c ON c.text_hash = d.h")
+_ENTRIES = f"entries AS (SELECT {_HASH} AS text_hash, text, coalesce(ts, TIMESTAMP '2024-01-01') AS ts, coalesce(embedding, list_transform(range(64), lambda i: 0.125::FLOAT)) AS embedding FROM documents LEFT JOIN embeddings ON vec_id = doc_id LEFT JOIN events ON event_id = doc_id)"
+_CACHE = _ENTRIES + ", cache AS (SELECT text_hash, max(ts) AS accessed_at, arg_max(strlen(text) + 4 * len(embedding) + 200, (ts, text)) AS size FROM entries GROUP BY text_hash)"
+_REQUESTS = "requests AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT -1 - conv_id * 1000 - turn, text FROM conversations)"
+
+
+@query(f"WITH {_CACHE}, {_REQUESTS} SELECT id, (c.text_hash IS NOT NULL) AS hit FROM (SELECT id, {_HASH} AS h FROM requests) d LEFT JOIN cache c ON c.text_hash = d.h")
 def cache_lookup_exact(spark, d):
-    return cache.lookup(cached(spark, d), docs(spark, d).select("doc_id", "text"), "m").select("doc_id", "hit")
+    return cache.lookup(cached(spark, d), asked_texts(spark, d), "m").select("id", "hit")
 
 
-@query(f"WITH cv AS (SELECT {_HASH} AS text_hash, max(ts) AS accessed_at, arg_max(embedding, ts) AS v FROM documents JOIN embeddings ON vec_id = doc_id JOIN events ON event_id = doc_id WHERE lang = 'en' GROUP BY text_hash), t AS (SELECT * FROM cv ORDER BY accessed_at DESC, text_hash LIMIT 1000), s AS (SELECT vec_id, text_hash, accessed_at, 1 - ({distance_sql(Metric.COSINE, 'embedding', 'v')}) AS s FROM embeddings, t WHERE vec_id % 50 = 0) SELECT vec_id, round(max(s), 6) AS similarity FROM s WHERE s >= 0.3 GROUP BY vec_id")
+@query(f"WITH {_ENTRIES}, cv AS (SELECT text_hash, max(ts) AS accessed_at, arg_max(embedding, (ts, text, embedding)) AS v FROM entries GROUP BY text_hash), t AS (SELECT * FROM cv ORDER BY accessed_at DESC, text_hash LIMIT 1000), s AS (SELECT vec_id, text_hash, accessed_at, 1 - ({distance_sql(Metric.COSINE, 'embedding', 'v')}) AS s FROM embeddings, t WHERE vec_id % 50 = 0) SELECT vec_id, round(max(s), 6) AS similarity FROM s WHERE s >= 0.3 GROUP BY vec_id")
 def cache_semantic_match(spark, d):
     e = vectors(spark, d)
     return rounded(cache.lookup_semantic(cached(spark, d), asked(e), "m", 0.3, id_col="vec_id", vector_col="embedding"), "similarity").drop("text_hash")
 
 
-@query(f"WITH {_CACHE} SELECT text_hash, count(*) AS n FROM (SELECT text_hash FROM cache UNION SELECT {_HASH} FROM documents JOIN embeddings ON vec_id = doc_id) GROUP BY text_hash")
+@query(f"WITH {_CACHE}, {_REQUESTS} SELECT text_hash, count(*) AS n FROM (SELECT text_hash FROM cache UNION SELECT {_HASH} FROM requests) GROUP BY text_hash")
 def cache_insert_absent(spark, d):
-    e = vectors(spark, d).select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
-    new = cache.entries(docs(spark, d).join(e, "doc_id"), F.timestamp_seconds(F.lit(0)), "m")
-    return cache.insert_absent(cached(spark, d), new).groupBy("text_hash").agg(F.count("*").alias("n"))
+    new = asked_texts(spark, d).withColumn("vector", F.array_repeat(F.lit(0.125).cast("float"), 64))
+    both = cache.insert_absent(cached(spark, d), cache.entries(new, F.timestamp_seconds(F.lit(0)), "m"))
+    return both.groupBy("text_hash").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {_CACHE} SELECT text_hash FROM cache ORDER BY accessed_at, text_hash OFFSET 50")

@@ -162,17 +162,27 @@ def sqlite_files(path: str) -> list[str]:
     return sorted(glob.glob(os.path.join(path, "*.db"))) if os.path.isdir(path) else [path]
 
 
-def sqlite_schema(paths: list[str], query: str) -> str:
-    """The query's columns as DDL: SQLite itself tells which classes each column holds, one row a file; mixed numbers become double, other mixtures text."""
+def sqlite_survey(spark: SparkSession, paths: list[str], query: str, key: str | None) -> tuple[str, dict[str, tuple]]:
+    """The query's columns as DDL, and the least and greatest integer key by file, surveyed by a task for each file: SQLite itself tells which classes each column
+    holds; mixed numbers become double, other mixtures text. The driver gets a row for each file and column."""
+
+    def survey(batches):
+        for batch in batches:
+            for p in batch["path"]:
+                with closing(sqlite3.connect(f"file:{p}?mode=ro", uri=True)) as con:
+                    names = [c[0] for c in con.execute(f"select * from ({query}) limit 0").description]
+                    bounds = f"min(\"{key}\") filter (where typeof(\"{key}\") = 'integer'), max(\"{key}\") filter (where typeof(\"{key}\") = 'integer')" if key else "null, null"
+                    low, high, *classes = con.execute(f"select {bounds}, " + ", ".join(f'group_concat(distinct typeof("{c}"))' for c in names) + f" from ({query})").fetchone()
+                yield pd.DataFrame([(p, i, c, k or "", low, high) for i, (c, k) in enumerate(zip(names, classes, strict=True))], columns=["path", "at", "name", "classes", "low", "high"]).astype({"low": "Int64", "high": "Int64"})
+
+    tasks = spark.createDataFrame([(p,) for p in paths], "path string").repartition(len(paths))
     seen: dict[str, set] = {}
-    for path in paths:
-        with closing(sqlite3.connect(f"file:{path}?mode=ro", uri=True)) as con:
-            names = [c[0] for c in con.execute(f"select * from ({query}) limit 0").description]
-            classes = con.execute("select " + ", ".join(f'group_concat(distinct typeof("{c}"))' for c in names) + f" from ({query})").fetchone()
-        for c, found in zip(names, classes, strict=True):
-            seen.setdefault(c, set()).update((found or "").split(","))
+    bounds: dict[str, tuple] = {}
+    for r in sorted(tasks.mapInPandas(survey, "path string, at int, name string, classes string, low long, high long").collect(), key=lambda r: (r["path"], r["at"])):
+        seen.setdefault(r["name"], set()).update(r["classes"].split(","))
+        bounds[r["path"]] = (r["low"], r["high"])
     kind = lambda k: STORED[min(k)] if len(k) == 1 else "double" if k == {"integer", "real"} else "string"
-    return ", ".join(f"`{c}` {kind(k - {'', 'null'})}" for c, k in seen.items())
+    return ", ".join(f"`{c}` {kind(k - {'', 'null'})}" for c, k in seen.items()), bounds
 
 
 def read_sqlite(spark: SparkSession, path: str, query: str, key: str | None = None, schema: str | None = None, step: int = 50_000) -> DataFrame:
@@ -182,14 +192,12 @@ def read_sqlite(spark: SparkSession, path: str, query: str, key: str | None = No
     without, a task streams a file's rows in batches. Column types come from the file unless a schema is given. No rows give an empty table.
     """
     paths = sqlite_files(path)
-    schema = schema or sqlite_schema(paths, query)
+    found, bounds = sqlite_survey(spark, paths, query, key) if paths and (key or not schema) else ("", {})
     ranges = []
     for p in paths:
-        low, high = None, None
-        if key:
-            with closing(sqlite3.connect(f"file:{p}?mode=ro", uri=True)) as con:
-                low, high = con.execute(f"select min(\"{key}\"), max(\"{key}\") from ({query}) where typeof(\"{key}\") = 'integer'").fetchone()
+        low, high = bounds.get(p, (None, None))
         ranges += [(p, None, None, True)] if low is None else [(p, k, min(k + step - 1, high), k == low) for k in range(low, high + 1, step)]
+    schema = schema or found
     fields = StructType.fromDDL(schema)
     texts = [f.name for f in fields if f.dataType == StringType()]
 
