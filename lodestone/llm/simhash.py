@@ -66,6 +66,8 @@ BYTES = 8
 #: A list's key: the number of its set of positions in these bits and above, below them its bytes, the first position's lowest.
 KEY_BITS = 56
 LINK = "a long, b long"
+#: As many keys with their counts at most (16 bytes each) are broadcast.
+SMALL = 1_000_000
 
 
 def position_sets(size: int) -> list[tuple[int, ...]]:
@@ -92,7 +94,8 @@ def met(fps: DataFrame, deepest: int, start: int, posting: int) -> tuple[DataFra
         number = F.shiftright("key", KEY_BITS).cast("int")
         mask = by_set([sum(1 << p for p in some) for some in sets])(number).cast("long").alias("mask")
         lists = staged(own.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
-        members = staged(own.join(lists.where("n > 2").select("key", "n"), "key"))
+        wanted = lists.where("n > 2").select("key", "n")
+        members = staged(own.join(F.broadcast(wanted) if wanted.count() <= SMALL else wanted, "key"))
         short = members.where(F.col("n") <= posting).select("key", "fp")
         some = lists.where("n = 2").select("a", "b", "key").unionByName(short.withColumnRenamed("fp", "a").join(short.withColumnRenamed("fp", "b"), "key").where("a < b").select("a", "b", "key"))
         pairs = some.select("a", "b", mask) if pairs is None else pairs.unionByName(some.select("a", "b", mask))
