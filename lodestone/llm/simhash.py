@@ -88,7 +88,8 @@ def by_set(values: list) -> Callable[[Column], Column]:
 def met(fps: DataFrame, deepest: int, start: int, posting: int) -> tuple[DataFrame, DataFrame]:
     """(a, b, mask): pairs of fingerprints (longs, column fp), for each list of `posting` members at most in which they meet, with the list's positions as bits;
     and (members): the lists of `deepest` positions that are longer."""
-    own, pairs = fps.select("fp", F.posexplode(keys(F.col("fp"), start)).alias("number", "key")).select("fp", "key"), None
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a few bytes become dozens of rows, so many tasks share them
+    own, pairs = fps.repartition(tasks).select("fp", F.explode(keys(F.col("fp"), start)).alias("key")), None
     for size in range(start, deepest + 1):
         sets = position_sets(size)
         number = F.shiftright("key", KEY_BITS).cast("int")
