@@ -210,6 +210,11 @@ def epoch_layout(edges: DataFrame, layout: DataFrame, epoch: int, n: int, config
     return sums.select("num", *[(F.col(f"p{d}") + rate * move(d)).alias(f"p{d}") for d in dims])
 
 
+def numbered(ids: DataFrame) -> DataFrame:
+    """id, num: gapless numbers in order of id, from 0."""
+    return ranks.numbered(ids, [], ["id"], "num").select("id", (F.col("num") - 1).alias("num"))
+
+
 def project(rows: DataFrame, config: ProjectionConfig = ProjectionConfig(), id_col: str = "vec_id", vector_col: str = "embedding", approximate: bool = False, start: str = "spectral") -> DataFrame:
     """id, position: a layout of the neighbour graph by sampled attraction and repulsion, a Spark job for each round.
 
@@ -225,8 +230,7 @@ def project(rows: DataFrame, config: ProjectionConfig = ProjectionConfig(), id_c
     folder, files = shared_folder(spark, "projection"), Files(spark)
     find = descended if approximate else knn_graph
     graph = written(memberships(find(rows, config.neighbours, id_col=id_col, vector_col=vector_col)), f"{folder}/graph")
-    nodes = ranks.numbered(graph.select(F.col("src").alias("id")).distinct(), [], ["id"], "num").select("id", (F.col("num") - 1).alias("num"))
-    nodes = written(nodes, f"{folder}/nodes")
+    nodes = written(numbered(graph.select(F.col("src").alias("id")).distinct()), f"{folder}/nodes")
     n = nodes.count()
     number = lambda end, name: nodes.select(F.col("id").alias(end), F.col("num").alias(name))
     edges = written(graph.join(number("src", "s"), "src").join(number("dst", "t"), "dst").select("s", "t", "w"), f"{folder}/edges")

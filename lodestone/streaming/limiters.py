@@ -157,6 +157,7 @@ def ordered(frames: Iterator[pd.DataFrame], rows: int = 10_000) -> Iterator[pd.D
         yield whole.iloc[k : k + rows]
 
 
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE = StructType([StructField(n, DoubleType()) for n in ("a", "b", "last")])
 
 
@@ -199,7 +200,8 @@ class _Walker(StatefulProcessor):
 
 
 def limit_stream(events: DataFrame, limiter: Limiter, id_col: str, ts_col: str, order_col: str, cost_col: str | None = None, reset_col: str | None = None, idle: float | None = None, delay: str = "0 seconds") -> DataFrame:
-    """The same as `limit` for a streaming DataFrame: states are kept in the state store (RocksDB, which the session must be set to) from batch to batch.
+    """The same as `limit` for a streaming DataFrame: states are kept in the state store from batch to batch. Only RocksDB has what it takes, so the session's
+    queries that start from now on use that.
 
     Events of a batch are walked in order of time, then order_col; batches as they come, so an event that comes in a later batch than one behind it is walked
     after that. reset_col: events that begin a new state, as after a reset. idle: seconds after which an identifier without events starts anew; once the
@@ -210,6 +212,7 @@ def limit_stream(events: DataFrame, limiter: Limiter, id_col: str, ts_col: str,
     reset = F.coalesce(F.col(reset_col).cast("boolean"), F.lit(False)) if reset_col else F.lit(False)
     ts = F.col(ts_col).cast("timestamp")
     d = events.where(ts.isNotNull()).select(F.col(id_col).alias("who"), F.col(order_col).alias("order"), (F.unix_micros(ts) / 1e6).alias("t"), cost.alias("cost"), reset.alias("reset"), ts.alias("at"))
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     d = d.withWatermark("at", delay) if idle is not None else d
     out = d.groupBy("who").transformWithStateInPandas(_Walker(limiter, idle), f"{kinds}, allowed boolean", "append", "EventTime" if idle is not None else "None")
     return out.select(F.col("who").alias(id_col), F.col("order").alias(order_col), "allowed")
