@@ -599,3 +599,36 @@ def test_status_of_every_limiter(spark):
 @pytest.mark.parametrize("name", ["normalize_stable", "quantization_ratios", "rate_status", "model_id_parse", "model_family"])
 def test_small_queries_are_their_sql(spark, name):
     same(spark, name)
+
+
+# Bounded searches
+
+
+@pytest.mark.parametrize("metric", list(Metric))
+def test_search_holds_no_more_than_a_tile_of_distances(metric, monkeypatch):
+    """Before, all queries met all rows of a batch in one matrix."""
+    monkeypatch.setattr(search, "TILE_QUERIES", 7)
+    monkeypatch.setattr(search, "TILE_ROWS", 13)
+    x = np.random.default_rng(8).integers(-2, 3, (120, 4)).astype(float)
+    x[5:30] = x[5]  # copies over several tiles tie to the smaller id
+    ids, sizes = np.random.default_rng(9).permutation(120), []
+    inner = search.Nearest.about
+    monkeypatch.setattr(search.Nearest, "about", lambda self, q, v, norms: (sizes.append(len(q) * len(v)), inner(self, q, v, norms))[1])
+    got = search.nearest(ids[:40], x[:40], ids, x, metric, 9, True)
+    assert max(sizes) <= 7 * 13
+    for i in range(40):
+        mine = got[0] == ids[i]
+        d = search.distances(x[i : i + 1], x, metric)[0].round(12)
+        want = sorted((t, j) for t, j in zip(d, ids, strict=True) if j != ids[i])[:9]
+        assert np.allclose(got[2][mine], [t for t, _ in want]) and len(set(got[1][mine])) == 9
+        far = want[-1][0]
+        assert {j for t, j in want if t < far - 1e-9} <= set(got[1][mine])
+        if metric is not Metric.COSINE:  # whose ties depend on rounding where vectors are not equal
+            assert [int(j) for _, j in want] == got[1][mine].tolist()
+
+
+def test_many_queries_are_dealt_into_bounded_blocks():
+    for n, dim in ((1, 64), (102_564, 64), (615_384, 64), (100_000, 1536)):
+        parts = search.parts_of(n, dim)
+        assert n * dim * 8 / parts <= 16 << 20
+    assert search.parts_of(102_564, 64) >= 8
