@@ -632,3 +632,22 @@ def test_many_queries_are_dealt_into_bounded_blocks():
         parts = search.parts_of(n, dim)
         assert n * dim * 8 / parts <= 16 << 20
     assert search.parts_of(102_564, 64) >= 8
+
+
+def test_similarity_matrix_is_whole_in_blocks_and_sends_few_rows_at_once(spark, monkeypatch):
+    """Before, a block's whole matrix was one table and each small tile was shuffled by itself."""
+    x = np.random.default_rng(3).normal(size=(50, 4))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    unit = x / np.sqrt((x * x).sum(1))[:, None]
+    want = unit @ unit.T
+    few = frame.where("vec_id % 7 = 0")
+    for limit in (search.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(search, "BROADCAST_BYTES", limit)
+        for got, left in ((search.similarity_matrix(frame, tile=4), range(50)), (search.similarity_matrix(few, frame, tile=4), range(0, 50, 7))):
+            rows = got.collect()
+            assert sorted((r[0], r[1]) for r in rows) == [(i, j) for i in left for j in range(50)]
+            assert np.allclose([r[2] for r in rows], [want[r[0], r[1]] for r in rows])
+    assert search.similarity_matrix(few.limit(0), frame).count() == 0
+    ids = np.arange(3000)
+    pieces = list(search.similarities(ids, np.ones((3000, 2)), ids[:100], np.ones((100, 2)), Metric.DOT, False, 64, True))
+    assert max(p.num_rows for p in pieces) <= search.PIECE and sum(p.num_rows for p in pieces) == 600_000
