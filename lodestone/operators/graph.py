@@ -30,7 +30,7 @@ EDGES = "src long, dst long, d double"
 
 
 def met(groups: DataFrame, keys: list[str], pool: int) -> DataFrame:
-    """src, dst, d: of each group's members (id, v, and far: the distance up to which it wants to know others) the `pool` nearest others of the group.
+    """src, dst, d: of each group's members (id, v, and far: the squared distance up to which it wants to know others) the `pool` nearest others of the group.
 
     A group is a few dozen vectors, compared in one matrix product.
     """
@@ -38,12 +38,10 @@ def met(groups: DataFrame, keys: list[str], pool: int) -> DataFrame:
     def meet(group: pa.Table) -> pa.Table:
         ids, first = np.unique(group.column("id").to_numpy(), return_index=True)
         far = group.column("far").to_numpy()[first]
-        d = S.distances(x := S.matrix(group.column("v"))[first], x, Metric.EUCLIDEAN)
-        np.fill_diagonal(d, np.inf)
-        near = np.argsort(d, axis=1, kind="stable")[:, :pool]
-        value = np.take_along_axis(d, near, 1)
-        r, c = np.nonzero((value < far[:, None]) & np.isfinite(value))
-        return pa.table({"src": ids[r], "dst": ids[near[r, c]], "d": value[r, c]})
+        x = S.matrix(group.column("v"))[first]
+        src, dst, d = S.nearest(ids, x, ids, x, Metric.EUCLIDEAN, pool, True)
+        wanted = d <= far[np.searchsorted(ids, src)]
+        return pa.table({"src": src[wanted], "dst": dst[wanted], "d": d[wanted]})
 
     return groups.select(*keys, "id", "v", "far").groupBy(*keys).applyInArrow(meet, EDGES)
 
@@ -54,27 +52,49 @@ def nearest_edges(edges: DataFrame, pool: int) -> DataFrame:
     return edges.groupBy("src", "dst").agg(F.min("d").alias("d")).withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= pool).drop("_k")
 
 
-def descended(rows: DataFrame, k: int, pool: int | None = None, rounds: int = 12, starts: int = 6, close: float = 0.001, seed: int = 0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+#: Nodes whose neighbours are searched exactly to see how many a descent has found.
+CHECKED = 500
+
+
+def found_share(edges: DataFrame, nodes: DataFrame, k: int, seed: int) -> float:
+    """The share of the true k nearest others that nodes chosen by hash have among their k nearest edges; as near ones count too."""
+    some = nodes.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(CHECKED)
+    true = written(S.knn(nodes, some, k, Metric.EUCLIDEAN, skip_self=True, id_col="id", vector_col="v").select(F.col("query_id").alias("src"), "distance"))
+    last = F.broadcast(true.groupBy("src").agg(F.max("distance").alias("last")))  # CHECKED rows
+    w = Window.partitionBy("src").orderBy("d", "dst")
+    own = edges.join(last, "src").withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= k)
+    return own.where(F.col("d") <= F.col("last") * (1 + 1e-9)).count() / max(true.count(), 1)
+
+
+def descended(rows: DataFrame, k: int, pool: int | None = None, rounds: int = 12, starts: int = 6, close: float = 0.001, seed: int = 0, id_col: str = "vec_id", vector_col: str = "embedding", goal: float = 0.97) -> DataFrame:
     """src, rank, dst, distance: about the k nearest others of each vector, by descent over neighbours of neighbours; rows shuffled are linear in vectors.
 
     The start: vectors are sorted along `starts` drawn directions and each stretch of 2 * pool compared among itself. A round gathers around every node its
     `pool` neighbours and about as many of those that have it as one (where there are more, as around a hub, a share of them drawn by hash), compares them with each
-    other, and keeps for each the nearest; only pairs nearer than a node's farthest neighbour are sent on. It ends when a round changes fewer than `close` of
-    all edges. Null vectors take no part; rows of one id must have one vector.
+    other, and keeps for each the nearest; only pairs no farther than a node's farthest neighbour are sent on. When a round changes fewer than `close` of all edges,
+    or after `rounds` of them, up to CHECKED nodes are searched exactly; where the descent has under `goal` of their neighbours, it goes on with two more directions and a pool
+    twice as large, as vectors without clusters need the more the more there are. Null vectors take no part; rows of one id must have one vector.
     """
     pool = pool or 3 * k
     spark, folder = rows.sparkSession, shared_folder(rows.sparkSession, "descent")
     nodes = rows.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
     nodes = written(nodes, f"{folder}/nodes")
     dim, draw, files = nodes.agg(F.max(F.size("v"))).first()[0] or 0, np.random.default_rng(seed), Files(spark)
-    edges = spark.createDataFrame([], EDGES)
-    for _ in range(starts):
-        direction = F.array(*[F.lit(float(x)) for x in draw.normal(size=dim)]).cast("array<double>")
-        along = nodes.withColumn("along", F.aggregate(F.zip_with("v", direction, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x))
-        stretch = ranks.numbered(along, [], ["along"]).select(F.floor(F.col("position") / (2 * pool)).alias("stretch"), "id", "v", F.lit(float("inf")).alias("far"))
-        edges = edges.unionByName(met(stretch, ["stretch"], pool))
-    edges = written(nearest_edges(edges, pool), f"{folder}/edges")
-    for n in range(rounds):
+
+    def kept(edges: DataFrame, name: str) -> DataFrame:
+        return written(nearest_edges(edges, pool), f"{folder}/{name}")
+
+    def started(edges: DataFrame, directions: int) -> DataFrame:
+        for _ in range(directions):
+            direction = F.array(*[F.lit(float(x)) for x in draw.normal(size=dim)]).cast("array<double>")
+            along = nodes.withColumn("along", F.aggregate(F.zip_with("v", direction, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x))
+            stretch = ranks.numbered(along, [], ["along"]).select(F.floor(F.col("position") / (2 * pool)).alias("stretch"), "id", "v", F.lit(float("inf")).alias("far"))
+            edges = edges.unionByName(met(stretch, ["stretch"], pool))
+        return edges
+
+    edges, at = kept(started(spark.createDataFrame([], EDGES), starts), "edges"), "edges"
+    size, n, left = nodes.count(), 0, rounds
+    while left > 0:
         far = edges.groupBy("src").agg(F.when(F.count(F.lit(1)) >= pool, F.max("d")).otherwise(F.lit(float("inf"))).alias("far"))
         members = nodes.join(far.withColumnRenamed("src", "id"), "id", "left").withColumn("far", F.coalesce("far", F.lit(float("inf"))))
         held = edges.groupBy(F.col("dst").alias("mid")).agg(F.count(F.lit(1)).alias("held"))
@@ -82,11 +102,15 @@ def descended(rows: DataFrame, k: int, pool: int | None = None, rounds: int = 12
         behind = edges.join(held, edges["dst"] == held["mid"]).where(share < pool).select("mid", F.col("src").alias("id"))
         around = edges.select(F.col("src").alias("mid"), F.col("dst").alias("id")).unionByName(behind).unionByName(nodes.select(F.col("id").alias("mid"), "id"))
         found = met(around.join(members, "id"), ["mid"], pool)
-        better = written(nearest_edges(edges.unionByName(found), pool), f"{folder}/edges{n}")
+        better = kept(edges.unionByName(found), f"edges{n}")
         changed, all_edges = better.join(edges, ["src", "dst"], "left_anti").count(), better.count()
-        files.delete(f"{folder}/edges{n - 1}" if n else f"{folder}/edges")
-        edges = better
-        if changed < close * all_edges:
+        files.delete(f"{folder}/{at}")
+        edges, at, n, left = better, f"edges{n}", n + 1, left - 1
+        if (changed < close * all_edges or not left) and pool < size and found_share(edges, nodes, k, seed) < goal:
+            pool, left, last = 2 * pool, rounds, at
+            edges, at = kept(started(edges, 2), f"wide{n}"), f"wide{n}"
+            files.delete(f"{folder}/{last}")
+        elif changed < close * all_edges:
             break
     w = Window.partitionBy("src").orderBy("d", "dst")
     top = edges.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

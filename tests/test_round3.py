@@ -651,3 +651,14 @@ def test_similarity_matrix_is_whole_in_blocks_and_sends_few_rows_at_once(spark,
     ids = np.arange(3000)
     pieces = list(search.similarities(ids, np.ones((3000, 2)), ids[:100], np.ones((100, 2)), Metric.DOT, False, 64, True))
     assert max(p.num_rows for p in pieces) <= search.PIECE and sum(p.num_rows for p in pieces) == 600_000
+
+
+def test_descent_widens_its_pool_until_it_has_found_enough(spark):
+    """A pool of the k neighbours alone is too small; before, the descent ended with what it found."""
+    from lodestone.operators import graph
+
+    x = np.random.default_rng(4).normal(size=(300, 32))
+    e = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    exact = {(r[0], r[1]) for r in graph.knn_graph(e, 3).select("src", "dst").collect()}
+    share = lambda goal: len({(r[0], r[2]) for r in graph.descended(e, 3, pool=3, rounds=2, starts=1, goal=goal).collect()} & exact) / len(exact)
+    assert share(0.0) < 0.8 and share(0.97) >= 0.95
