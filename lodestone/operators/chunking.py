@@ -124,10 +124,12 @@ def aggregate(chunks: DataFrame, how: str = "mean", id_col: str = "doc_id", vect
         if skip_mismatched:
             dim = rows.groupBy(id_col).agg(F.min_by(F.size("_v"), F.col("_i")).alias("_dim"))
             rows = rows.join(dim, id_col).withColumn("_v", F.when(F.size("_v") == F.col("_dim"), F.col("_v")).otherwise(F.array().cast("array<double>"))).drop("_dim")
-        total = rows.groupBy(id_col).agg(F.sum("_w").alias("_total"))
-        sums = rows.select(id_col, "_w", F.posexplode("_v").alias("_d", "_x")).groupBy(id_col, "_d").agg(F.sum(F.col("_x") * F.col("_w")).alias("_s"))
-        vec = sums.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("_d", "_s"))).alias("_c"))
-        out = vec.join(total, id_col).select(id_col, F.transform("_c", lambda s: F.when(F.col("_total") > 0, s["_s"] / F.col("_total")).otherwise(s["_s"])).alias("vector"))
+        # the first element stands for the weights, so that the rows, which may come from a model, are made once
+        elements = F.concat(F.array(F.lit(1.0)), F.coalesce("_v", F.array().cast("array<double>")))
+        sums = rows.select(id_col, "_w", F.posexplode(elements).alias("_d", "_x")).groupBy(id_col, "_d").agg(F.sum(F.col("_x") * F.col("_w")).alias("_s"))
+        vec = sums.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("_d", "_s"))).alias("_c")).where(F.size("_c") > 1)
+        total, rest = F.get("_c", F.lit(0))["_s"], F.slice("_c", F.lit(2), F.size("_c") - 1)
+        out = vec.select(id_col, total.alias("_total"), rest.alias("_c")).select(id_col, F.transform("_c", lambda s: F.when(F.col("_total") > 0, s["_s"] / F.col("_total")).otherwise(s["_s"])).alias("vector"))
     else:
         raise ValueError(f"unknown aggregation {how}")
     return out.select(id_col, V.normalize("vector").alias("vector")) if normalize else out
@@ -147,10 +149,9 @@ def aggregate_custom(chunks: DataFrame, function: Callable[[list[list[float]]],
 def embed_documents(docs: DataFrame, how: Chunking, model: Embedder, aggregated: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The chunks of each document with their vectors; with `aggregated` (mean, weighted by characters, first, last, concatenate) one vector for each document.
 
-    Chunks and vectors travel in one row: the chunk's place is part of the key under which its text is embedded.
+    Chunks and vectors travel in one row: the chunk is the key under which its text is embedded.
     """
-    key = F.struct(id_col, "index").alias("_key")
-    c = chunk(docs, how, id_col, text_col).select("*", key)
-    v = embed(c, model, "_key", "text").select(f"_key.{id_col}", "_key.index", "vector")
-    both = c.drop("_key").join(v, [id_col, "index"])
+    c = chunk(docs, how, id_col, text_col)
+    v = embed(c.select(F.struct(*c.columns).alias("_key"), "text"), model, "_key", "text")
+    both = v.select(*[f"_key.{x}" for x in c.columns], "vector")
     return both if aggregated is None else aggregate(both.withColumn("_w", F.length("text")), aggregated, id_col, weight_col="_w")

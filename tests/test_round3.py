@@ -662,3 +662,17 @@ def test_descent_widens_its_pool_until_it_has_found_enough(spark):
     exact = {(r[0], r[1]) for r in graph.knn_graph(e, 3).select("src", "dst").collect()}
     share = lambda goal: len({(r[0], r[2]) for r in graph.descended(e, 3, pool=3, rounds=2, starts=1, goal=goal).collect()} & exact) / len(exact)
     assert share(0.0) < 0.8 and share(0.97) >= 0.95
+
+
+# Embedding
+
+
+def test_weighted_vectors_make_their_rows_once(spark):
+    """Before, chunks were cut and embedded for the weights and for the sums, and joined with themselves."""
+    from lodestone.operators import chunking
+
+    got = catalogue.QUERIES["chunk_aggregate_weighted"](spark, D)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 1
+    rows = spark.createDataFrame([(1, 0, [1.0, 2.0], 1.0), (1, 1, [3.0, 4.0], 3.0), (2, 0, [], 1.0), (3, 0, None, 1.0), (3, 1, [2.0, 0.0], 1.0)], "doc_id long, index int, vector array<double>, w double")
+    assert {r[0]: r[1] for r in chunking.aggregate(rows, "weighted", weight_col="w", normalize=False).collect()} == {1: [2.5, 3.5], 3: [1.0, 0.0]}
