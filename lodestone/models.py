@@ -10,6 +10,7 @@ from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,19 @@ class Embedder(ABC):
     def embed(self, texts: Sequence[str]) -> np.ndarray: ...
 
 
+def crc_table() -> np.ndarray:
+    """The checksum's change by a byte: zlib's polynomial."""
+    t = np.arange(256, dtype=np.int64)
+    for _ in range(8):
+        t = np.where(t & 1, t >> 1 ^ 0xEDB88320, t >> 1)
+    return t
+
+
+CRC = crc_table()
+#: Bytes of words whose grams are held at once, about.
+PIECE = 1 << 18
+
+
 class HashEmbedder(Embedder):
     """Vectors without a model file, by signed feature hashing: the character n-grams of a text's words, with marks where words begin and end, are counted; one
     checksum of a gram names the element it adds to, another its sign. Texts that share words or parts of words have similar vectors; a text without a letter or digit has
@@ -40,12 +54,44 @@ class HashEmbedder(Embedder):
     def __init__(self, dimension: int = 384, normalize: bool = True, sizes: Sequence[int] = (3, 4, 5)):
         self.dimension, self.normalize, self.sizes = dimension, normalize, tuple(sizes)
 
+    def packed(self, words: list[bytes]) -> np.ndarray:
+        """The grams of marked words, in order of word, size and place: up to seven bytes, the first one lowest, and their number in the highest byte."""
+        lengths, sizes = np.array([len(w) for w in words]), np.array(self.sizes)
+        deep = max(self.sizes)
+        text = np.frombuffer(b"".join(words) + bytes(deep - 1), np.uint8).astype(np.int64)
+        ahead = sum(text[k : len(text) - deep + 1 + k] << 8 * k for k in range(deep))
+        many = np.maximum(1, lengths[:, None] - sizes + 1).ravel()
+        start = np.repeat(np.cumsum(lengths) - lengths, len(sizes)) - (np.cumsum(many) - many)
+        width = np.repeat(np.minimum(lengths[:, None], sizes).ravel(), many)
+        return ahead[np.repeat(start, many) + np.arange(len(width))] & (1 << 8 * width) - 1 | width << 56
+
+    def placed(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The element of each packed gram, by its CRC-32, and its sign, by the lowest bit of its Adler-32, which is the parity of one and its bytes."""
+        width, crc = grams >> 56, np.full(len(grams), 0xFFFFFFFF)
+        sums = np.ones(len(grams), np.int64)
+        for k in range(max(self.sizes)):
+            byte = grams >> 8 * k & 255
+            sums += np.where(k < width, byte, 0)
+            crc = np.where(k < width, CRC[(crc ^ byte) & 255] ^ crc >> 8, crc)
+        return (crc ^ 0xFFFFFFFF) % self.dimension, np.where(sums & 1, 1, -1)
+
+    def counted(self, marked: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Element, sign and count of the distinct grams, in the order in which they come."""
+        if max(self.sizes) > 7 or min(self.sizes) < 1:
+            grams = Counter(w[i : i + n] for w in marked for n in self.sizes for i in range(max(1, len(w) - n + 1)))
+            return np.array([zlib.crc32(g) % self.dimension for g in grams]), np.array([1 if zlib.adler32(g) & 1 else -1 for g in grams]), np.array(list(grams.values()))
+        piece = np.cumsum([len(w) for w in marked]) // PIECE
+        cuts = [*(np.flatnonzero(np.diff(piece)) + 1), len(marked)]
+        grams, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        for low, high in zip([0, *cuts], cuts):
+            which, both = pd.factorize(np.concatenate([grams, self.packed(marked[low:high])]))
+            counts, grams = np.bincount(which[len(grams) :], minlength=len(both)) + np.pad(counts, (0, len(both) - len(grams))), both
+        return *self.placed(grams), counts
+
     def vector(self, text: str) -> np.ndarray:
-        marked = [f"<{w}>".encode() for w in re.findall(r"[^\W_]+", text.casefold())] or [b"<>"]
-        grams = Counter(w[i : i + n] for w in marked for n in self.sizes for i in range(max(1, len(w) - n + 1)))
-        v = np.zeros(self.dimension)
-        for gram, count in grams.items():
-            v[zlib.crc32(gram) % self.dimension] += (1 if zlib.adler32(gram) & 1 else -1) * (1 + math.log(count))
+        element, sign, counts = self.counted([f"<{w}>".encode() for w in re.findall(r"[^\W_]+", text.casefold())] or [b"<>"])
+        sizes, which = np.unique(counts, return_inverse=True)
+        v = np.bincount(element, sign * np.array([1 + math.log(n) for n in sizes])[which], self.dimension)
         length = float(np.linalg.norm(v))
         if not length:  # all signs cancelled out
             v[0] = length = 1.0
@@ -72,9 +118,10 @@ def embed(rows: DataFrame, model: Embedder, id_col: str = "doc_id", text_col: st
 
 def embed_once(rows: DataFrame, model: Embedder, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The same, with each distinct text embedded once: for relations with many repeated texts."""
-    keyed = rows.select(id_col, F.coalesce(text_col, F.lit("")).alias("_t"))
-    vectors = embed(keyed.select("_t").distinct().withColumn("_k", F.col("_t")), model, "_k", "_t", **how)
-    return keyed.join(vectors, keyed["_t"] == vectors["_k"]).select(id_col, "vector")
+    text = F.coalesce(text_col, F.lit(""))
+    keyed = rows.select(id_col, text.alias("_t"), F.sha2(text, 256).alias("_k"))  # joined by digests, so that texts are shuffled once
+    vectors = embed(keyed.select("_k", "_t").distinct(), model, "_k", "_t", **how)
+    return keyed.select(id_col, "_k").join(vectors, "_k").select(id_col, "vector")
 
 
 def pooled(rows: DataFrame, tokens_col: str, pooling: str = "mean", mask_col: str | None = None, weights_col: str | None = None, normalize: bool = True, empty: str = "all") -> DataFrame:
