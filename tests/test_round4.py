@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from lodestone import models
-from lodestone.operators import search
+from lodestone.operators import search, tokenizers
 from lodestone.plans import catalogue
 
 
@@ -51,3 +51,15 @@ def test_packed_grams_are_the_grams(monkeypatch, sizes):
             v[zlib.crc32(gram) % 16] += (1 if zlib.adler32(gram) & 1 else -1) * (1 + math.log(n))
         if np.linalg.norm(v):
             assert (models.HashEmbedder(16, False, sizes).vector(text) == v).all(), text
+
+
+def test_words_meet_their_texts_once_a_block(spark, monkeypatch):
+    monkeypatch.setattr(tokenizers, "BLOCK", 30)
+    t = tokenizers.WordPiece({t: i for i, t in enumerate(["[UNK]", "ab", "abc", "##c", "##cd", "##d", "a", "##"])}, {"unk": "[UNK]"})
+    texts = ["abcd abcd", "ab a zz", "", None, "abcd " * 40, "abcd abcd", "  ", "ab" + "c" * 300]
+    rows = spark.createDataFrame([(i % 6, x) for i, x in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = tokenizers.encode(rows, t, tokenizers.Options(0))
+    assert "posexplode" not in plan(got)  # an occurrence of a word is no row of its own
+    split = {"abcd": ["abc", "##d"], "ab": ["ab"], "a": ["a"], "zz": ["[UNK]"], "ab" + "c" * 300: ["[UNK]"]}
+    want = [[p for w in (x or "").split() for p in split[w]] for x in texts]
+    assert sorted((r["doc_id"], r["tokens"], r["ids"], r["mask"]) for r in got.collect()) == sorted((i % 6, w, [t.vocabulary[p] for p in w], [1] * len(w)) for i, w in enumerate(want))
