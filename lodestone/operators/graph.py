@@ -32,86 +32,195 @@ EDGES = "src long, dst long, d double"
 def met(groups: DataFrame, keys: list[str], pool: int) -> DataFrame:
     """src, dst, d: of each group's members (id, v, and far: the squared distance up to which it wants to know others) the `pool` nearest others of the group.
 
-    A group is a few dozen vectors, compared in one matrix product.
+    A group is some thousand vectors, compared in tiles.
     """
 
     def meet(group: pa.Table) -> pa.Table:
         ids, first = np.unique(group.column("id").to_numpy(), return_index=True)
         far = group.column("far").to_numpy()[first]
         x = S.matrix(group.column("v"))[first]
-        src, dst, d = S.nearest(ids, x, ids, x, Metric.EUCLIDEAN, pool, True)
-        wanted = d <= far[np.searchsorted(ids, src)]
-        return pa.table({"src": src[wanted], "dst": dst[wanted], "d": d[wanted]})
+        return pa.table(dict(zip(("src", "dst", "d"), S.nearest(ids, x, ids, x, Metric.EUCLIDEAN, pool, True, far), strict=True)))
 
     return groups.select(*keys, "id", "v", "far").groupBy(*keys).applyInArrow(meet, EDGES)
 
 
+#: Pairs of a small group's members that are held at once, about: 16 MB of doubles.
+HELD_PAIRS = 2 << 20
+
+
+def pairs_within(mids: np.ndarray, ids: np.ndarray, x: np.ndarray, far: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """src, dst, d of the members (in order of mid and id) of each mid that are no farther than src wants to know; many small groups in one matrix product."""
+    new = np.ones(len(ids), bool)
+    new[1:] = (mids[1:] != mids[:-1]) | (ids[1:] != ids[:-1])
+    mids, ids, x, far = mids[new], ids[new], x[new], far[new]
+    first = np.flatnonzero(np.append(True, mids[1:] != mids[:-1]))
+    sizes = np.diff(np.append(first, len(mids)))
+    order, at = np.argsort(sizes, kind="stable")[::-1], 0  # those of about one size together
+    with np.errstate(over="ignore", invalid="ignore"):
+        squares = (x * x).sum(1)
+        while at < len(order):
+            wide = sizes[order[at]]
+            some = order[at : (at := at + max(1, HELD_PAIRS // int(wide * max(wide, x.shape[1]))))]
+            held = np.arange(wide) < sizes[some][:, None]
+            rows = np.where(held, first[some][:, None] + np.arange(wide), 0)
+            v, s = x[rows], squares[rows]
+            d = v @ v.transpose(0, 2, 1)
+            d *= -2
+            d += s[:, :, None]
+            d += s[:, None, :]
+            limit = np.where(held, far[rows] + 1e-14 * (x.shape[1] + 16) * (s + s.max(1, keepdims=True)), -np.inf)
+            near = ~(d > limit[:, :, None])  # what overflows is settled below
+            near &= held[:, None, :]
+            near[:, np.arange(wide), np.arange(wide)] = False
+            g, r = np.divmod(np.flatnonzero(near), wide * wide)
+            i, j = rows[g, r // wide], rows[g, r % wide]
+            for piece in range(0, len(i), S.TILE_ROWS):
+                a, b = i[piece : piece + S.TILE_ROWS], j[piece : piece + S.TILE_ROWS]
+                exact = ((x[b] - x[a]) ** 2).sum(1)
+                wanted = exact <= far[a]
+                yield ids[a[wanted]], ids[b[wanted]], exact[wanted]
+
+
+def met_around(around: DataFrame) -> DataFrame:
+    """src, dst, d: of those that stand around one node (mid, id, v, far), the pairs that src wants to know. A node has a few dozen or hundred around it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def compared(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(rows).combine_chunks()
+            if t.num_rows:
+                found = list(pairs_within(t.column("mid").to_numpy(), t.column("id").to_numpy(), S.matrix(t.column("v")), t.column("far").to_numpy()))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["src", "dst", "d"])
+
+        waiting: list[pa.RecordBatch] = []  # of one node, which may go on in the next batch
+        for b in batches:
+            if b.num_rows:
+                mids = b.column("mid").to_numpy()
+                cut = int(np.searchsorted(mids, mids[-1]))
+                if cut or waiting and waiting[-1].column("mid")[0].as_py() != mids[-1]:
+                    yield from compared([*waiting, b.slice(0, cut)])
+                    waiting = []
+                waiting.append(b.slice(cut))
+        if waiting:
+            yield from compared(waiting)
+
+    return around.select("mid", "id", "v", "far").repartition("mid").sortWithinPartitions("mid", "id").mapInArrow(run, EDGES)
+
+
 def nearest_edges(edges: DataFrame, pool: int) -> DataFrame:
-    """The `pool` nearest distinct ends of each node; a node has a few hundred candidates at most."""
+    """The `pool` nearest distinct ends of each node, by one shuffle; a node has a few hundred candidates at most."""
     w = Window.partitionBy("src").orderBy("d", "dst")
-    return edges.groupBy("src", "dst").agg(F.min("d").alias("d")).withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= pool).drop("_k")
+    return edges.repartition("src").groupBy("src", "dst").agg(F.min("d").alias("d")).withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= pool).drop("_k")
 
 
 #: Nodes whose neighbours are searched exactly to see how many a descent has found.
 CHECKED = 500
 
 
-def found_share(edges: DataFrame, nodes: DataFrame, k: int, seed: int) -> float:
-    """The share of the true k nearest others that nodes chosen by hash have among their k nearest edges; as near ones count too."""
+def checked(nodes: DataFrame, k: int, seed: int) -> DataFrame:
+    """src, true and last of nodes chosen by hash: how many nearest others they have, k at most, and the squared distance of the last of them."""
     some = nodes.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(CHECKED)
-    true = written(S.knn(nodes, some, k, Metric.EUCLIDEAN, skip_self=True, id_col="id", vector_col="v").select(F.col("query_id").alias("src"), "distance"))
-    last = F.broadcast(true.groupBy("src").agg(F.max("distance").alias("last")))  # CHECKED rows
+    hits = S.knn(nodes, some, k, Metric.EUCLIDEAN, skip_self=True, id_col="id", vector_col="v")
+    return F.broadcast(written(hits.groupBy(F.col("query_id").alias("src")).agg(F.count("*").alias("true"), F.max("distance").alias("last"))))  # CHECKED rows
+
+
+def found_share(edges: DataFrame, check: DataFrame, k: int) -> float:
+    """The share of the checked nodes' true k nearest others that are among their k nearest edges; as near ones count too."""
     w = Window.partitionBy("src").orderBy("d", "dst")
-    own = edges.join(last, "src").withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= k)
-    return own.where(F.col("d") <= F.col("last") * (1 + 1e-9)).count() / max(true.count(), 1)
+    own = edges.join(check, "src").withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= k)
+    true = check.agg(F.sum("true")).first()[0]
+    return own.where(F.col("d") <= F.col("last") * (1 + 1e-9)).count() / true if true else 1.0
+
+
+#: Bytes of a stretch's vectors, at most, as doubles.
+STRETCH_BYTES = 16 << 20
+
+
+def stretches(nodes: DataFrame, n: int, middle: np.ndarray, directions: np.ndarray, longest: int) -> DataFrame:
+    """draw, stretch, id, v, far: the nodes once for each draw (draws x bits x dim), cut into stretches of at most `longest`.
+
+    A draw halves the vectors by the side of the middle on which they lie along its first direction, the halves along the second and so on, and cuts what is so in
+    order into stretches of about one length; what lies on the same sides is in order of a hash, which differs from draw to draw.
+    """
+    own = nodes.sparkSession.sparkContext.broadcast((middle, directions.reshape(-1, directions.shape[-1])))
+    draws, bits = directions.shape[:2]
+    kind = nodes.schema["v"].dataType.simpleString()
+
+    def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        center, along = own.value
+        for b in batches:
+            up = ((S.matrix(b.column("v")) - center) @ along.T > 0).reshape(b.num_rows, draws, bits)
+            code = (up * (1 << np.arange(bits - 1, -1, -1))).sum(2)
+            for t in range(draws):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, t, np.int32)), pa.array(code[:, t]), b.column("id"), b.column("v"), b.column("far")], ["draw", "code", "id", "v", "far"])
+
+    cut = -(-n // longest)
+    coded = nodes.mapInArrow(sides, f"draw int, code long, id long, v {kind}, far double").withColumn("_hash", F.xxhash64("draw", "id"))
+    placed = ranks.numbered(coded, ["draw"], ["code", "_hash"])
+    return placed.select("draw", F.floor((F.col("position") - 1) * cut / n).alias("stretch"), "id", "v", "far").repartition(max(1, min(2 * draws * cut, 2_000)), "draw", "stretch")
 
 
-def descended(rows: DataFrame, k: int, pool: int | None = None, rounds: int = 12, starts: int = 6, close: float = 0.001, seed: int = 0, id_col: str = "vec_id", vector_col: str = "embedding", goal: float = 0.97) -> DataFrame:
+def descended(rows: DataFrame, k: int, pool: int | None = None, rounds: int = 12, starts: int = 6, seed: int = 0, id_col: str = "vec_id", vector_col: str = "embedding", goal: float = 0.97) -> DataFrame:
     """src, rank, dst, distance: about the k nearest others of each vector, by descent over neighbours of neighbours; rows shuffled are linear in vectors.
 
-    The start: vectors are sorted along `starts` drawn directions and each stretch of 2 * pool compared among itself. A round gathers around every node its
+    The start: vectors are halved along drawn directions, again and again, and each stretch of what is then in order compared among itself, `starts` times; a stretch has
+    8 * pool^2 vectors, so that a node meets about as many others in one as in two rounds. A round gathers around every node its
     `pool` neighbours and about as many of those that have it as one (where there are more, as around a hub, a share of them drawn by hash), compares them with each
-    other, and keeps for each the nearest; only pairs no farther than a node's farthest neighbour are sent on. When a round changes fewer than `close` of all edges,
-    or after `rounds` of them, up to CHECKED nodes are searched exactly; where the descent has under `goal` of their neighbours, it goes on with two more directions and a pool
-    twice as large, as vectors without clusters need the more the more there are. Null vectors take no part; rows of one id must have one vector.
+    other, and keeps for each the nearest; only pairs no farther than a node's farthest neighbour are sent on.
+    Up to CHECKED nodes are searched exactly, and the descent ends when it has `goal` of their neighbours. Until then: while `starts` more draws find over half of what
+    was missing, vectors are drawn anew; after that there are rounds, `rounds` at most, while each finds over a quarter of it; after that the pool is made twice as large and
+    all begins again, as vectors without clusters need the more the more there are. Null vectors take no part; rows of one id must have one vector.
     """
     pool = pool or 3 * k
     spark, folder = rows.sparkSession, shared_folder(rows.sparkSession, "descent")
     nodes = rows.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
     nodes = written(nodes, f"{folder}/nodes")
-    dim, draw, files = nodes.agg(F.max(F.size("v"))).first()[0] or 0, np.random.default_rng(seed), Files(spark)
-
-    def kept(edges: DataFrame, name: str) -> DataFrame:
-        return written(nearest_edges(edges, pool), f"{folder}/{name}")
-
-    def started(edges: DataFrame, directions: int) -> DataFrame:
-        for _ in range(directions):
-            direction = F.array(*[F.lit(float(x)) for x in draw.normal(size=dim)]).cast("array<double>")
-            along = nodes.withColumn("along", F.aggregate(F.zip_with("v", direction, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x))
-            stretch = ranks.numbered(along, [], ["along"]).select(F.floor(F.col("position") / (2 * pool)).alias("stretch"), "id", "v", F.lit(float("inf")).alias("far"))
-            edges = edges.unionByName(met(stretch, ["stretch"], pool))
-        return edges
-
-    edges, at = kept(started(spark.createDataFrame([], EDGES), starts), "edges"), "edges"
-    size, n, left = nodes.count(), 0, rounds
-    while left > 0:
-        far = edges.groupBy("src").agg(F.when(F.count(F.lit(1)) >= pool, F.max("d")).otherwise(F.lit(float("inf"))).alias("far"))
-        members = nodes.join(far.withColumnRenamed("src", "id"), "id", "left").withColumn("far", F.coalesce("far", F.lit(float("inf"))))
+    n, dim = nodes.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    if not n or k <= 0:
+        return spark.createDataFrame([], "src long, rank int, dst long, distance double")
+    nodes = S.same_length(nodes, "v", dim)
+    middle = np.array(nodes.agg(*[F.avg(F.get("v", F.lit(i)).cast("double")) for i in range(dim)]).first(), float) if dim else np.zeros(0)
+    middle = np.where(np.isfinite(middle), middle, 0)
+    draw, files, check = np.random.default_rng(seed), Files(spark), checked(nodes, k, seed)
+    edges, made = spark.createDataFrame([], EDGES), 0
+
+    def wanting() -> DataFrame:
+        """The nodes with the squared distance up to which they want to know others."""
+        far = edges.groupBy(F.col("src").alias("id")).agg(F.when(F.count(F.lit(1)) >= pool, F.max("d")).otherwise(F.lit(float("inf"))).alias("far"))
+        return nodes.join(far, "id", "left").withColumn("far", F.coalesce("far", F.lit(float("inf"))))
+
+    def keep(found: DataFrame) -> float:
+        """Puts what was found among the edges; the share of the checked nodes' neighbours that they have now."""
+        nonlocal edges, made
+        edges, made = written(nearest_edges(edges.unionByName(found), pool), f"{folder}/edges{made + 1}"), made + 1
+        files.delete(f"{folder}/edges{made - 1}")
+        return found_share(edges, check, k)
+
+    def drawn() -> DataFrame:
+        longest = max(2 * pool, min(8 * pool * pool, STRETCH_BYTES // (8 * max(dim, 1))))
+        bits = min(40, 4 + (-(-n // longest) - 1).bit_length())
+        return met(stretches(wanting() if made else nodes.withColumn("far", F.lit(float("inf"))), n, middle, draw.normal(size=(starts, bits, dim)), longest), ["draw", "stretch"], pool)
+
+    def around() -> DataFrame:
         held = edges.groupBy(F.col("dst").alias("mid")).agg(F.count(F.lit(1)).alias("held"))
-        share = F.pmod(F.xxhash64("src", "dst", F.lit(n), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30) * F.col("held")
+        share = F.pmod(F.xxhash64("src", "dst", F.lit(made), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30) * F.col("held")
         behind = edges.join(held, edges["dst"] == held["mid"]).where(share < pool).select("mid", F.col("src").alias("id"))
-        around = edges.select(F.col("src").alias("mid"), F.col("dst").alias("id")).unionByName(behind).unionByName(nodes.select(F.col("id").alias("mid"), "id"))
-        found = met(around.join(members, "id"), ["mid"], pool)
-        better = kept(edges.unionByName(found), f"edges{n}")
-        changed, all_edges = better.join(edges, ["src", "dst"], "left_anti").count(), better.count()
-        files.delete(f"{folder}/{at}")
-        edges, at, n, left = better, f"edges{n}", n + 1, left - 1
-        if (changed < close * all_edges or not left) and pool < size and found_share(edges, nodes, k, seed) < goal:
-            pool, left, last = 2 * pool, rounds, at
-            edges, at = kept(started(edges, 2), f"wide{n}"), f"wide{n}"
-            files.delete(f"{folder}/{last}")
-        elif changed < close * all_edges:
+        both = edges.select(F.col("src").alias("mid"), F.col("dst").alias("id")).unionByName(behind).unionByName(nodes.select(F.col("id").alias("mid"), "id"))
+        return met_around(both.join(wanting(), "id"))
+
+    share = 0.0
+    while True:
+        more = True
+        while more and (share < goal or not made):
+            before, share = share, keep(drawn())
+            more = 1 - share < (1 - before) / 2
+        more, left = True, rounds
+        while more and left and share < goal:
+            before, share, left = share, keep(around()), left - 1
+            more = 1 - share < (1 - before) * 3 / 4
+        if share >= goal or pool >= n:
             break
+        pool *= 2
     w = Window.partitionBy("src").orderBy("d", "dst")
     top = edges.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return top.select("src", "rank", "dst", F.sqrt("d").alias("distance"))
