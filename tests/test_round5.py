@@ -68,3 +68,33 @@ def test_nearest_keeps_to_a_limit(metric, monkeypatch):
     near = d <= far[q]
     got = search.nearest(ids, x, ids, x, metric, 12, True, far)
     assert all(np.array_equal(a, b[near]) for a, b in zip(got, (q, i, d), strict=True))
+
+
+@pytest.mark.parametrize("both", [False, True])
+def test_rounded_similarities_are_whole_and_in_order(both, monkeypatch):
+    """Before, rows came tile by tile, and a file of rounded similarities held no runs."""
+    rng = np.random.default_rng(11)
+    x, y, ids, jds = rng.normal(size=(37, 5)), rng.normal(size=(50, 5)), np.arange(37) * 3, np.arange(50) * 2 + 1001
+    y[3], y[4], x[2] = x[0] * 1e200, x[1] * 1e40, np.nan  # infinite, too large for a place, no number
+    monkeypatch.setattr(search, "ORDERED", 800)
+    monkeypatch.setattr(search, "PIECE", 64)
+    with np.errstate(over="ignore", invalid="ignore"):
+        want = x @ y.T
+    pieces = list(search.similarities(ids, x, jds, y, search.Metric.DOT, False, 4, both, 3))
+    rows = [r for p in pieces for r in zip(*(c.to_pylist() for c in p.columns), strict=True)]
+    assert max(p.num_rows for p in pieces) <= 64 and len(rows) == 37 * 50 * (1 + both) == len({r[:2] for r in rows})
+    for r, c, s in rows:
+        i, j = min(r, c) // 3, (max(r, c) - 1001) // 2
+        assert np.isclose(s, want[i, j], rtol=1e-12, atol=0.5001e-3, equal_nan=True) and (not abs(s) < 1e9 or s == round(s, 3))
+    turns = sum(a[2] > b[2] for a, b in zip(rows, rows[1:], strict=False))
+    assert turns <= 8 * (1 + both) * -(-37 * 50 // 800) * 2
+
+
+def test_ordered_similarities_are_the_rounded_ones(spark):
+    x = np.random.default_rng(12).normal(size=(300, 16))
+    x[7], x[8] = 0, x[9]
+    digest = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("row_id", "col_id", "similarity").cast("decimal(38,0)"))).first()
+    few = frame(spark, x[::7])
+    for rows, columns in ((frame(spark, x), None), (few, frame(spark, x))):
+        plain = search.similarity_matrix(rows, columns, tile=16).withColumn("similarity", F.round("similarity", 6))
+        assert digest(plain) == digest(search.similarity_matrix(rows, columns, tile=16, digits=6))
